@@ -30,14 +30,8 @@ def docs_with_source(docs: DataFrame, sources: DataFrame, how: str = "left_semi"
 
 
 def model_labels(models: DataFrame, model: str | None = None, topic: str | None = None) -> DataFrame:
-    """The labels selected by a model and/or topic argument:
-
-    * model given: its related topics (title compared case-insensitively);
-    * topic given too: only related topics equal to it ignoring case;
-    * topic alone: the related topics of every model equal to it ignoring
-      case, plus the topic itself as an exact label;
-    * unknown model: no label (empty result).
-    """
+    """The related topics of the model (title compared ignoring case), or of
+    every model; with a topic, only related topics equal to it ignoring case."""
     m = models
     if model is not None:
         m = m.filter(F.lower("title") == F.lit(model.lower()))
@@ -47,17 +41,28 @@ def model_labels(models: DataFrame, model: str | None = None, topic: str | None
     return rel.distinct()
 
 
+def model_filter(models: DataFrame, model: str | None = None, topic: str | None = None,
+                 topics_col: str = "topics"):
+    """D3 as a Column: a topic argument requires that exact label; a model
+    alone requires any of its related topics; an unknown model selects
+    nothing.
+
+    The label set comes from the (small) model registry as one scalar
+    subquery (``collect_set``), so the docs are filtered in place: no
+    explode, no join, no shuffle of the docs."""
+    labels = F.transform(topics_col, lambda t: t["label"])
+    if topic is not None:
+        return F.coalesce(F.array_contains(labels, F.lit(topic)), F.lit(False))
+    if model is None:
+        return F.lit(True)
+    wanted = model_labels(models, model).select(F.collect_set("label")).scalar()
+    return F.coalesce(F.arrays_overlap(labels, wanted), F.lit(False))
+
+
 def docs_for_model(docs: DataFrame, models: DataFrame, model: str | None = None,
                    topic: str | None = None) -> DataFrame:
-    """D3: docs having at least one topic label selected by the model/topic
-    arguments (``exists`` over the nested topics, semi-joined to a broadcast
-    label set: the label set is a registry slice)."""
-    labels = model_labels(models, model, topic)
-    if topic is not None and model is None:
-        labels = labels.union(docs.sparkSession.createDataFrame([(topic,)], "label string")).distinct()
-    entries = docs.select("id", F.explode(F.transform("topics", lambda t: t["label"])).alias("label"))
-    matched = entries.join(bounded_broadcast(labels), "label", "left_semi").select("id").distinct()
-    return docs.join(matched, "id", "left_semi")
+    """D3: docs selected by the model/topic arguments."""
+    return docs.filter(model_filter(models, model, topic))
 
 
 def topic_docs(topics: DataFrame, docs: DataFrame) -> DataFrame:
