@@ -99,14 +99,15 @@ def _resolve(names, seen, out):
         out.append(sql)
 
 
-def with_fixtures(body: str, *names: str) -> str:
+def with_fixtures(body: str, *names: str, recursive: bool = False) -> str:
     """``WITH <fixture CTEs>, <body>``; ``body`` may start with more CTEs
     (``x AS (...), ... SELECT``) or be a plain SELECT."""
     out: list[str] = []
     _resolve(names, set(), out)
     body = body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
     if not out:
-        return body if body.upper().startswith("SELECT") else "WITH " + body
+        return body if body.upper().startswith("SELECT") else head + body
     if body.upper().startswith("SELECT"):
-        return "WITH " + ",\n".join(out) + "\n" + body
-    return "WITH " + ",\n".join(out) + ",\n" + body
+        return head + ",\n".join(out) + "\n" + body
+    return head + ",\n".join(out) + ",\n" + body
