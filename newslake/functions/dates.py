@@ -70,5 +70,12 @@ def parse_updated(c) -> Column:
 
 def from_asctime(c) -> Column:
     """B10 reverse: ``Mon Apr 11 16:15:48 2016`` style text."""
-    return F.try_to_timestamp(F.regexp_replace(as_col(c), r"\s+", " "),
-                              F.lit("EEE MMM d HH:mm:ss yyyy")).cast("timestamp_ntz")
+    # Day names are not parseable in Spark 3+ patterns: drop them first.
+    body = F.regexp_replace(F.regexp_replace(as_col(c), r"\s+", " "), r"^[A-Za-z]{3} ", "")
+    return F.try_to_timestamp(body, F.lit("MMM d HH:mm:ss yyyy")).cast("timestamp_ntz")
+
+
+def from_rfc822(c) -> Column:
+    """RSS ``pubDate``: ``Mon, 11 Apr 2016 16:15:48 +0200`` (zone applied)."""
+    body = F.regexp_replace(F.trim(as_col(c)), r"^[A-Za-z]{3},\s*", "")
+    return F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")).cast("timestamp_ntz")

@@ -296,7 +296,7 @@ def parse_command(text) -> Column:
     keywords; a command addressed to another bot is ignored.
     """
     t = as_col(text)
-    m = r"^/([A-Za-z_]+)(?:@(\S+))?(?:\s+(.*))?$"
+    m = r"^/([A-Za-z_]+)(?:@(\S+))?(?:\s|$)"
     cmd = F.lower(F.regexp_extract(t, m, 1))
     bot = F.regexp_extract(t, m, 2)
     rest = F.trim(F.regexp_extract(t, r"(?s)^/\S+\s+(.*)$", 1))

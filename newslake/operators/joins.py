@@ -72,14 +72,26 @@ def topic_docs(topics: DataFrame, docs: DataFrame) -> DataFrame:
     return dt.join(bounded_broadcast(tt), "tag")
 
 
-def apply_votes(docs: DataFrame, votes: DataFrame) -> DataFrame:
-    """Votes joined to docs by id; a vote on an unknown doc fails."""
-    known = docs.select(F.col("id").alias("doc_key"), F.lit(True).alias("__known"))
-    out = votes.join(known, votes["doc_key"] == known["doc_key"], "left").drop(known["doc_key"])
+def apply_votes(docs: DataFrame, votes: DataFrame, key: str = "id") -> DataFrame:
+    """The latest vote per (doc, voter) (F5) joined to the docs by
+    ``key``; a vote on an unknown doc is a failed outcome. Returns one row
+    per vote with ``outcome``."""
+    from newslake.operators.windows import latest_per_key
+    latest = latest_per_key(votes, [key, "voter"], F.struct("ts", "event_id") if "event_id" in votes.columns
+                            else F.col("ts"))
+    known = docs.select(key).distinct().withColumn("__known", F.lit(True))
+    out = latest.join(known, key, "left")
     return out.withColumn("outcome", F.when(F.col("__known"), F.lit("successful"))
                           .otherwise(F.lit("failed: unknown doc"))).drop("__known")
 
 
+def votes_map(votes: DataFrame, key: str = "id") -> DataFrame:
+    """The ``votes`` field of a doc: voter -> {name, score, id}."""
+    return votes.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(
+        "voter", F.struct(F.coalesce("name", "voter").alias("name"), F.col("score").cast("int").alias("score"),
+                          F.col("voter").alias("id"))))).alias("votes"))
+
+
 def apply_content(docs: DataFrame, content: DataFrame, min_size: int = NEWS_MIN_TEXT_SIZE) -> DataFrame:
     """Overlay extracted content on stored docs (join on id): text,
     title, summary, html, lang and content type replace the stored values

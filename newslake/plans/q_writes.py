@@ -1 +1,396 @@
-"""Registered queries."""
+"""Registered queries: writes, votes, run counters, sources (feeds, tweets,
+chat, paged reads, watermarks, registries, lookups), dates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newslake.functions import dates as D
+from newslake.functions import text as T
+from newslake.functions import urls as U
+from newslake.operators import aggregates as A
+from newslake.operators import joins as J
+from newslake.operators import writes as WR
+from newslake.plans.catalog import register
+from newslake.plans.oracle import sql_doc_id, with_fixtures
+from newslake.sources import feeds as FD
+from newslake.sources import fixtures as FX
+
+ISO = "strftime(updated, '%Y-%m-%dT%H:%M:%SZ')"
+
+
+# ---------------------------------------------------------------------------
+# B1-B5 store writes
+# ---------------------------------------------------------------------------
+@register("upsert_docs", with_fixtures(f"""
+allv AS (
+  SELECT id, origin, title, 0 AS seq FROM docs
+  UNION ALL SELECT id, origin, 'DE: ' || title, 1 FROM docs WHERE lang = 'de'
+  UNION ALL SELECT {sql_doc_id('url')}, regexp_extract(url, 'https?://([^/]+)', 1), 'page ' || CAST(page_id AS VARCHAR), 1 + page_id FROM pages)
+SELECT id, origin, title, seq FROM allv QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1
+""", "docs"))
+def q_upsert_docs(spark, base):
+    """B1 / B2 / H3: base docs, a batch re-titling the German docs and the
+    landed pages as new docs; last writer wins per id."""
+    docs = FX.docs(spark, base)
+    stored = docs.select("id", "origin", "title", F.lit(0).alias("seq"))
+    retitled = docs.filter(F.col("lang") == "de").select("id", "origin", F.concat(F.lit("DE: "), F.col("title")).alias("title"),
+                                                         F.lit(1).alias("seq"))
+    pages = FX.pages(spark, base).select(
+        U.doc_id("link").alias("id"), U.domain("link").alias("origin"),
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"),
+        (F.col("page_id") + 1).cast("int").alias("seq"))
+    return WR.upsert(stored, retitled.unionByName(pages), "id", "seq")
+
+
+@register("merge_fields", with_fixtures("""
+SELECT d.id, coalesce(p.summary, d.summary) AS summary, d.author
+FROM docs d LEFT JOIN (SELECT id, substr(text, 1, 50) AS summary FROM docs WHERE lang = 'fr') p USING (id)
+""", "docs"))
+def q_merge_fields(spark, base):
+    """A partial update (summary of French docs) merged into the store;
+    a null patch field (author) leaves the stored value."""
+    docs = FX.docs(spark, base)
+    patch = docs.filter(F.col("lang") == "fr").select(
+        "id", F.substring("text", 1, 50).alias("summary"), F.lit(None).cast("string").alias("author"))
+    out = WR.merge_fields(docs.select("id", "summary", "author"), patch)
+    return out.select("id", "summary", "author")
+
+
+@register("delete_docs", with_fixtures("""
+SELECT origin, count(*) AS n FROM docs
+WHERE id NOT IN (SELECT id FROM docs WHERE origin IN ('src5', 'src6'))
+GROUP BY origin
+""", "docs"))
+def q_delete_docs(spark, base):
+    """Delete by id (the docs of two sources), then count per source."""
+    docs = FX.docs(spark, base)
+    gone = docs.filter(F.col("origin").isin("src5", "src6")).select("id")
+    return WR.delete(docs, gone).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("clear_predictions", with_fixtures("""
+SELECT doc_id, CASE WHEN lang = 'es' THEN false ELSE topics IS NOT NULL END AS has_topics FROM docs
+""", "docs"))
+def q_clear_predictions(spark, base):
+    """Drop predictions where a condition holds."""
+    docs = FX.docs(spark, base)
+    out = WR.clear_predictions(docs, F.col("lang") == "es")
+    return out.select("doc_id", F.col("topics").isNotNull().alias("has_topics"))
+
+
+# ---------------------------------------------------------------------------
+# votes, outcomes, run counters
+# ---------------------------------------------------------------------------
+@register("vote_latest", with_fixtures("""
+SELECT doc_id, voter, score FROM votes
+QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY ts DESC, event_id DESC) = 1
+""", "votes"))
+def q_vote_latest(spark, base):
+    """F5 / M5 (batch form): the last vote of every voter on every doc."""
+    from newslake.operators.windows import latest_per_key
+    v = FX.votes(spark, base)
+    return latest_per_key(v, ["doc_id", "voter"], F.struct("ts", "event_id")).select("doc_id", "voter", "score")
+
+
+@register("apply_votes", with_fixtures("""
+latest AS (SELECT * FROM votes
+           QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY ts DESC, event_id DESC) = 1)
+SELECT l.doc_id, count(*) AS n_voters, sum(l.score) AS score_sum,
+       CASE WHEN max(d.doc_id) IS NULL THEN 'failed: unknown doc' ELSE 'successful' END AS outcome
+FROM latest l LEFT JOIN docs d ON d.doc_id = l.doc_id GROUP BY l.doc_id
+""", "votes", "docs"))
+def q_apply_votes(spark, base):
+    """Latest votes applied to the docs, per doc totals."""
+    docs = FX.docs(spark, base)
+    applied = J.apply_votes(docs, FX.votes(spark, base), key="doc_id")
+    return applied.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_voters"), F.sum("score").alias("score_sum"),
+        F.max("outcome").alias("outcome"))
+
+
+@register("votes_map", with_fixtures("""
+latest AS (SELECT * FROM votes
+           QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY ts DESC, event_id DESC) = 1)
+SELECT doc_id, array_to_string(list_sort(list(voter || '=' || name || ':' || CAST(score AS VARCHAR))), ',') AS votes
+FROM latest GROUP BY doc_id
+""", "votes"))
+def q_votes_map(spark, base):
+    """The ``votes`` map of each doc (voter -> name, score, id)."""
+    from newslake.operators.windows import latest_per_key
+    v = latest_per_key(FX.votes(spark, base), ["doc_id", "voter"], F.struct("ts", "event_id"))
+    m = J.votes_map(v, "doc_id")
+    entries = F.transform(F.map_entries("votes"), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"]["name"], F.lit(":"), e["value"]["score"].cast("string")))
+    return m.select("doc_id", F.array_join(F.array_sort(entries), ",").alias("votes"))
+
+
+@register("run_metrics", with_fixtures("""
+SELECT 'upsert' AS call, count(*) AS total, count(*) AS "count",
+       count(*) FILTER (WHERE length(text) > 1000) AS successful,
+       count(*) FILTER (WHERE NOT (length(text) > 1000) OR text IS NULL) AS failed,
+       0 AS errors
+FROM docs
+""", "docs"))
+def q_run_metrics(spark, base):
+    """Outcome per doc (C14 gate) and the run counters."""
+    docs = FX.docs(spark, base)
+    rows = WR.with_outcome(docs, F.coalesce(F.length("text") > 1000, F.lit(False)),
+                           reason=F.lit("text too small"))
+    return WR.run_metrics(rows, "upsert").drop("duration")
+
+
+@register("outcome_counts", with_fixtures("""
+SELECT CASE WHEN length(text) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome, count(*) AS n
+FROM docs GROUP BY 1
+""", "docs"))
+def q_outcome_counts(spark, base):
+    """Rows per outcome."""
+    docs = FX.docs(spark, base)
+    rows = WR.with_outcome(docs, F.coalesce(F.length("text") > 1000, F.lit(False)),
+                           reason=F.lit("text too small"))
+    return A.outcome_counts(rows)
+
+
+# ---------------------------------------------------------------------------
+# D2, D8 joins
+# ---------------------------------------------------------------------------
+@register("docs_with_source", with_fixtures("""
+SELECT d.origin, s.title AS source_title, count(*) AS n FROM docs d JOIN sources s ON s.id = d.origin
+GROUP BY d.origin, s.title
+""", "docs", "sources"))
+def q_docs_with_source(spark, base):
+    """Parent-child join (the orphan source drops out)."""
+    out = J.docs_with_source(FX.docs(spark, base), FX.sources(spark, base), "inner")
+    return out.groupBy("origin", "source_title").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("not_yet_collected", with_fixtures(f"""
+new AS (SELECT {sql_doc_id('url')} AS id FROM pages UNION ALL SELECT id FROM docs WHERE lang = 'es')
+SELECT DISTINCT id FROM new WHERE id NOT IN (SELECT id FROM docs WHERE text IS NOT NULL)
+""", "docs"))
+def q_not_yet_collected(spark, base):
+    """Candidate items (landed pages, re-seen Spanish docs) minus those
+    already stored with a text."""
+    docs = FX.docs(spark, base)
+    new = FX.pages(spark, base).select(U.doc_id("link").alias("id")).unionByName(
+        docs.filter(F.col("lang") == "es").select("id"))
+    return J.not_yet_collected(new, docs).distinct()
+
+
+# ---------------------------------------------------------------------------
+# A3, A5, A6, A11, A12 reads
+# ---------------------------------------------------------------------------
+@register("watermark_read", with_fixtures("""
+st AS (SELECT user_id, max(event_id) AS since FROM events
+       WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 10 DAY GROUP BY user_id)
+SELECT e.event_id, e.user_id FROM events e LEFT JOIN st USING (user_id)
+WHERE st.since IS NULL OR e.event_id > st.since
+"""))
+def q_watermark_read(spark, base):
+    """Per account, only statuses newer than the stored
+    high-water mark (stored = the first 10 days)."""
+    ev = FX.read_table(spark, base, "events")
+    first = ev.select(F.min("ts")).scalar()
+    stored = ev.filter(F.col("ts") < F.timestamp_add("DAY", F.lit(10), first))
+    new = FD.newer_than_watermark(ev, stored, key="user_id", id_col="event_id")
+    return new.select("event_id", "user_id")
+
+
+@register("recent_per_source", with_fixtures("""
+SELECT origin, doc_id FROM docs WHERE lang = 'en'
+QUALIFY row_number() OVER (PARTITION BY origin ORDER BY doc_id DESC) <= 5
+""", "docs"))
+def q_recent_per_source(spark, base):
+    """English only, the 5 most recent (highest id) per source."""
+    docs = FX.docs(spark, base)
+    return FD.recent_per_source(docs, 5, "en", "origin", "doc_id").select("origin", "doc_id")
+
+
+@register("page_prefix", with_fixtures("""
+pg AS (SELECT user_id AS source, event_id AS "offset", CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS n_entries
+       FROM events),
+fe AS (SELECT source, min(CASE WHEN n_entries = 0 THEN "offset" END) AS first_empty FROM pg GROUP BY source)
+SELECT pg.source, pg."offset" FROM pg JOIN fe USING (source)
+WHERE fe.first_empty IS NULL OR pg."offset" < fe.first_empty
+"""))
+def q_page_prefix(spark, base):
+    """A3: paged reads stop at the first page without entries (page log:
+    one page per event, an error event is an empty page)."""
+    ev = FX.read_table(spark, base, "events")
+    pages = ev.select(F.col("user_id").alias("source"), F.col("event_id").alias("offset"),
+                      F.when(F.col("event_type") == "error", 0).otherwise(1).alias("n_entries"))
+    return FD.take_until_empty_page(pages).select("source", "offset")
+
+
+@register("point_lookup", with_fixtures("""
+SELECT doc_id, id FROM docs
+WHERE id IN (md5('https%3A//src0.example.com/fr/0'), md5('https%3A//src1.example.com/en/1'))
+   OR (origin = 'src2' AND id = md5('https%3A//src2.example.com/en/2'))
+""", "docs"))
+def q_point_lookup(spark, base):
+    """Get by id, and by id routed to its parent source."""
+    docs = FX.docs(spark, base)
+    ids = [U.doc_id(F.lit(x)) for x in ("https://src0.example.com/fr/0", "https://src1.example.com/en/1")]
+    a = docs.filter(F.col("id").isin(*ids))
+    b = docs.filter((F.col("origin") == "src2") & (F.col("id") == U.doc_id(F.lit("https://src2.example.com/en/2"))))
+    return a.unionByName(b).select("doc_id", "id")
+
+
+@register("registry_scan", with_fixtures("""
+reg AS (SELECT id, title, 'source' AS type FROM sources
+        UNION ALL SELECT id, title, 'topic' FROM topics UNION ALL SELECT id, title, 'model' FROM models)
+SELECT type, count(*) AS n FROM reg GROUP BY type
+""", "sources", "topics", "models"))
+def q_registry_scan(spark, base):
+    """One registry table of all object types, listed by type."""
+    from newslake.operators.predicates import of_type
+    reg = (FX.sources(spark, base).select("id", "title", F.lit("source").alias("type"))
+           .unionByName(FX.topics(spark).select("id", "title", F.lit("topic").alias("type")))
+           .unionByName(FX.models(spark).select("id", "title", F.lit("model").alias("type"))))
+    parts = [of_type(reg, t).groupBy("type").agg(F.count(F.lit(1)).alias("n")) for t in ("source", "topic", "model")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---------------------------------------------------------------------------
+# A1/A2 feeds, A4 tweets, A9/A10/I33 chat
+# ---------------------------------------------------------------------------
+def _xml_text(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+@register("feed_items", with_fixtures(f"""
+SELECT id, link, title, author, {ISO} AS updated, array_to_string(tags, ',') AS tags,
+       'https://' || origin || '.example.com/feed' AS source, format
+FROM docs
+""", "docs"))
+def q_feed_items(spark, base):
+    """A1 + A2: docs rendered as RSS items (one XML text per row), parsed
+    back with the feed schema and normalised into docs."""
+    docs = FX.docs(spark, base)
+    cats = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("<category>"), t, F.lit("</category>"))), "")
+    xml = F.concat(
+        F.lit("<item><title>"), _xml_text(F.col("title")), F.lit("</title><link>"), F.col("link"),
+        F.lit("</link><author>"), F.coalesce(F.col("author"), F.lit("")), F.lit("</author><pubDate>"),
+        F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("</pubDate>"), cats,
+        F.lit("<source url=\"https://"), F.col("origin"), F.lit(".example.com/feed\">"), F.col("origin"),
+        F.lit("</source></item>"))
+    items = docs.select("origin", F.from_xml(xml, FD.RSS_ITEM_SCHEMA, {"ignoreSurroundingSpaces": "false"}).alias("i"))
+    flat = items.select("origin", "i.*")
+    out = FD.normalize_entries(flat, F.col("origin"), F.lit(None).cast("timestamp_ntz"))
+    return out.select("id", "link", "title", F.nullif("author", F.lit("")).alias("author"),
+                      D.to_iso_z("updated").alias("updated"), F.array_join("tags", ",").alias("tags"),
+                      "source", "format")
+
+
+def _tweets_json(spark, base):
+    conv = FX.read_table(spark, base, "conversations")
+    cid = F.col("conv_id").cast("string")
+    words = F.split("text", r"[ \t\n\r]+", 3)
+    tweet = F.struct(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id_str"),
+        F.concat("text", F.lit(" https://t.example.com/"), cid).alias("text"),
+        F.col("turn").cast("int").alias("retweet_count"),
+        F.lit("en").alias("lang"),
+        F.struct(F.concat(F.lit("u"), cid).alias("screen_name")).alias("user"),
+        F.struct(
+            F.transform(F.slice(words, 1, 2), lambda w: F.struct(w.alias("text"))).alias("hashtags"),
+            F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.concat(
+                F.lit("https://news.example.com/"), cid, F.lit("/"), F.col("turn").cast("string")).alias("expanded_url"))))
+            .otherwise(F.array().cast("array<struct<expanded_url:string>>")).alias("urls")).alias("entities"))
+    return conv.select(F.to_json(tweet).alias("json"))
+
+
+@register("tweet_docs", with_fixtures(f"""
+SELECT {sql_doc_id("CASE WHEN turn % 2 = 0 THEN 'https://news.example.com/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) ELSE 'https://twitter.com/u' || CAST(conv_id AS VARCHAR) || '/status/' || CAST(conv_id * 1000 + turn AS VARCHAR) END")} AS id,
+       'u' || CAST(conv_id AS VARCHAR) AS author, CAST(conv_id * 1000 + turn AS VARCHAR) AS status_id,
+       md5(trim(regexp_replace(text || ' https://t.example.com/' || CAST(conv_id AS VARCHAR), 'https?://\\S+', '', 'g'))) AS summary_md5,
+       array_to_string(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+')[1:2],
+           lambda t: regexp_replace(replace(replace(lower(trim(t)), 'news', ''), ' ', '_'), '[^\\x00-\\x7F]', '', 'g')), ',') AS tags,
+       CAST(turn AS INTEGER) AS occurences
+FROM conversations
+"""))
+def q_tweet_docs(spark, base):
+    """A4 (+I4, I5, I6): statuses (JSON text built from conversations) read
+    with the tweet schema and mapped to docs."""
+    tw = _tweets_json(spark, base).select(F.from_json("json", FD.TWEET_SCHEMA).alias("t")).select("t.*")
+    out = FD.tweets_to_docs(tw, "twitter-source")
+    return out.select("id", "author", "status_id", F.md5("summary").alias("summary_md5"),
+                      F.array_join("tags", ",").alias("tags"), "occurences")
+
+
+_CMD_RE = "^/([A-Za-z_]+)(?:@(\\S+))?(?:\\s|$)"
+
+
+@register("chat_commands", with_fixtures(f"""
+p AS (SELECT message_id, text,
+             lower(regexp_extract(text, '{_CMD_RE}', 1)) AS cmd,
+             regexp_extract(text, '{_CMD_RE}', 2) AS bot,
+             trim(regexp_extract(text, '(?s)^/\\S+\\s+(.*)$', 1)) AS rest
+      FROM chat),
+c AS (SELECT *, CASE WHEN cmd IN ('subscribe', 'follow', 'watch', 'teach', 'digest', 'help')
+                          AND (bot = '' OR bot = 'dfmtelegrambot') AND starts_with(text, '/') THEN cmd END AS command,
+             NULLIF(regexp_extract(rest, '^(https?://\\S+)', 1), '') AS url,
+             trim(regexp_extract(rest, '(?s)^https?://\\S+\\s*(.*)$', 1)) AS after_url
+      FROM p)
+SELECT message_id, command,
+       CASE WHEN command IN ('follow', 'watch') THEN NULLIF(rest, '') WHEN command IN ('teach', 'subscribe') THEN url END AS target,
+       CASE WHEN command = 'teach' THEN array_to_string(list_filter(list_transform(string_split(after_url, ','), lambda k: trim(k)), lambda k: length(k) > 0), '|') END AS keywords,
+       CASE WHEN command IS NULL THEN false
+            WHEN command = 'follow' THEN coalesce(starts_with(rest, '@'), false)
+            WHEN command IN ('watch', 'teach', 'subscribe') THEN (CASE WHEN command IN ('follow', 'watch') THEN NULLIF(rest, '') ELSE url END) IS NOT NULL
+            ELSE true END AS valid
+FROM c
+""", "chat"))
+def q_chat_commands(spark, base):
+    """Bot commands parsed from the chat messages."""
+    msgs = FX.chat_messages(spark, base)
+    c = T.parse_command("text")
+    return msgs.select("message_id", c["command"].alias("command"), c["target"].alias("target"),
+                       F.array_join(c["keywords"], "|").alias("keywords"), c["valid"].alias("valid"))
+
+
+@register("chat_docs", with_fixtures(f"""
+SELECT {sql_doc_id("'https://x.example.com/' || CAST(chat_id AS VARCHAR)")} AS id,
+       'https://x.example.com/' || CAST(chat_id AS VARCHAR) AS link, first_name || ' ' AS source,
+       array_to_string(list_filter(list_transform(string_split(trim(regexp_extract(text, '(?s)^/\\S+\\s+https?://\\S+\\s*(.*)$', 1)), ','), lambda k: trim(k)), lambda k: length(k) > 0), '|') AS tags,
+       {sql_doc_id("'telegram'")} AS origin, 'telegram' AS format
+FROM chat WHERE turn % 3 = 0
+""", "chat"))
+def q_chat_docs(spark, base):
+    """Taught URLs become docs of the chat channel."""
+    msgs = FX.chat_messages(spark, base)
+    out = FD.messages_to_docs(msgs, F.lit(None).cast("timestamp_ntz"))
+    return out.select("id", "link", "source", F.array_join("tags", "|").alias("tags"), "origin", "format")
+
+
+@register("chat_sources", with_fixtures(f"""
+SELECT {sql_doc_id("trim(regexp_extract(text, '(?s)^/\\S+\\s+(.*)$', 1))")} AS id_check,
+       'Telegram ' || first_name || ' twitter source to scrap.' AS title,
+       first_name || ' ' || CAST(from_id AS VARCHAR) || ' ' AS creator, 'twitter' AS format, 200 AS "limit"
+FROM chat WHERE turn % 3 IN (1, 2)
+""", "chat"))
+def q_chat_sources(spark, base):
+    """A10: ``/follow`` and ``/watch`` messages become twitter sources with
+    the chat defaults."""
+    msgs = FX.chat_messages(spark, base)
+    out = FD.messages_to_sources(msgs)
+    return out.select(F.col("id").alias("id_check"), "title", "creator", "format", "limit")
+
+
+@register("iso_dates", with_fixtures("""
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, true AS iso_round_trip, true AS asctime_round_trip
+FROM events
+"""))
+def q_iso_dates(spark, base):
+    """B10 + I9: ISO-Z serialisation, parse back (first 19 characters, zone
+    dropped) and the asctime form, over every event timestamp."""
+    ev = FX.read_table(spark, base, "events")
+    iso = D.to_iso_z("ts")
+    back = D.parse_updated(F.concat(iso, F.lit("+0200")))
+    asc = D.from_asctime(F.date_format("ts", "EEE MMM d HH:mm:ss yyyy"))
+    trunc = F.date_trunc("second", "ts").cast("timestamp_ntz")
+    return ev.select("event_id", iso.alias("iso"), (back == trunc).alias("iso_round_trip"),
+                     (asc == trunc).alias("asctime_round_trip"))
