@@ -123,8 +123,9 @@ def topic_scores(topics) -> Column:
 # HTML
 # ---------------------------------------------------------------------------
 def b64_html(html) -> Column:
-    """base64 of the page source."""
-    return F.base64(F.encode(as_col(html), "UTF-8"))
+    """base64 of the page source, one line (Spark may chunk base64 into
+    MIME lines depending on ``spark.sql.chunkBase64String.enabled``)."""
+    return F.regexp_replace(F.base64(F.encode(as_col(html), "UTF-8")), r"[\r\n]", "")
 
 
 def decode_entities(c) -> Column:

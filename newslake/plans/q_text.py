@@ -1 +1,338 @@
-"""Registered queries."""
+"""Registered queries: page extraction, text functions, language detection,
+summaries and keywords, the content pass."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newslake.functions import text as T
+from newslake.functions import urls as U
+from newslake.operators import text as X
+from newslake.operators import writes as WR
+from newslake.plans.catalog import register
+from newslake.plans.oracle import sql_doc_id, with_fixtures
+from newslake.sources import fixtures as FX
+
+# ---------------------------------------------------------------------------
+# SQL twins of the HTML functions
+# ---------------------------------------------------------------------------
+CRLF = "chr(13) || chr(10)"
+
+
+def sql_decode(e: str) -> str:
+    out = e
+    for ent, ch in T.HTML_ENTITIES:
+        q = ch.replace("'", "''")
+        out = f"replace({out}, '{ent}', '{q}')"
+    return out
+
+
+def sql_strip(h: str) -> str:
+    h = f"regexp_replace({h}, '(?s)<!--.*?-->', '', 'g')"
+    return f"regexp_replace({h}, '(?is)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>', '', 'g')"
+
+
+def sql_nodes(h: str) -> str:
+    s = f"regexp_replace({sql_strip(h)}, '(?s)<[^>]*>', chr(1), 'g')"
+    return (f"list_filter(list_transform(string_split({s}, chr(1)), lambda x: trim({sql_decode('x')})), "
+            f"lambda x: length(x) > 0)")
+
+
+def sql_visible(h: str) -> str:
+    return f"array_to_string({sql_nodes(h)}, {CRLF})"
+
+
+def sql_plain(c: str) -> str:
+    return f"trim(regexp_replace({sql_decode(f'regexp_replace({c}, {chr(39)}(?s)<[^>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, '\\s+', ' ', 'g'))"
+
+
+def sql_dense(h: str) -> str:
+    split = "(?i)<(?:" + "|".join(X.BLOCK_TAGS) + ")\\b[^>]*>"
+    blocks = f"regexp_split_to_array({sql_strip(h)}, '{split}')"
+    links = "array_to_string(regexp_extract_all(b, '(?is)<a\\b[^>]*>(.*?)</a>', 1), ' ')"
+    info = f"list_transform({blocks}, lambda b: {{'text': {sql_plain('b')}, 'link_chars': length({sql_plain(links)})}})"
+    kept = (f"list_filter({info}, lambda x: length(x.text) >= {X.MIN_BLOCK_CHARS} AND "
+            f"x.link_chars <= length(x.text) * {X.MAX_LINK_DENSITY})")
+    return f"array_to_string(list_transform({kept}, lambda x: x.text), chr(10))"
+
+
+def sql_main(h: str, min_size: int = T.NEWS_MIN_TEXT_SIZE) -> str:
+    d = sql_dense(h)
+    return f"CASE WHEN length({d}) >= {min_size} THEN {d} ELSE {sql_visible(h)} END"
+
+
+def sql_clean(e: str) -> str:
+    return f"replace(replace({e}, chr(10) || chr(10), chr(10)), '....', ' ')"
+
+
+def sql_title(h: str) -> str:
+    t = f"NULLIF(trim(regexp_extract({h}, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"
+    meta = (f"NULLIF(regexp_extract({h}, '(?is)<meta[^>]*(?:name|property)=.(?:og:)?title.[^>]*content=.([^\"'']*)', 1), '')")
+    return sql_decode(f"coalesce({t}, {meta})")
+
+
+def sql_words(e: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({e}), '[^\\p{{L}}]+'), lambda t: length(t) > 0)"
+
+
+# ---------------------------------------------------------------------------
+# I12-I17, I26, I32, I36 on pages
+# ---------------------------------------------------------------------------
+@register("visible_text", with_fixtures(f"""
+SELECT page_id, md5({sql_visible('html')}) AS text_md5, length({sql_visible('html')}) AS text_len,
+       len({sql_nodes('html')}) AS n_nodes
+FROM pages
+"""))
+def q_visible_text(spark, base):
+    """Visible text nodes of every page."""
+    p = FX.pages(spark, base)
+    vt = T.visible_text("html")
+    return p.select("page_id", F.md5(vt).alias("text_md5"), F.length(vt).alias("text_len"),
+                    F.size(T.text_nodes("html")).alias("n_nodes"))
+
+
+@register("html_title", with_fixtures(f"""
+SELECT page_id, {sql_title('html')} AS title,
+       array_to_string(list_filter(list_transform(string_split(regexp_extract(html, '(?is)<meta[^>]*name=.keywords.[^>]*content=.([^"'']*)', 1), ','), lambda x: trim(x)), lambda x: length(x) > 0), ',') AS keywords,
+       NULLIF(regexp_extract(html, '(?is)<meta[^>]*http-equiv=.?refresh[^>]*content=.?[0-9]*;\\s*url=([^"''>\\s]+)', 1), '') AS refresh,
+       md5(to_base64(encode(html))) AS html_b64_md5,
+       CASE WHEN contains(url, '.pdf') THEN 'application/pdf' ELSE 'text/html' END AS content_type
+FROM pages
+"""))
+def q_html_title(spark, base):
+    """Title, keywords meta, refresh target,
+    base64 page, content type."""
+    p = FX.pages(spark, base)
+    return p.select("page_id", T.html_title("html").alias("title"),
+                    F.array_join(T.meta_keywords("html"), ",").alias("keywords"),
+                    U.meta_refresh_target("html").alias("refresh"),
+                    F.md5(T.b64_html("html")).alias("html_b64_md5"),
+                    T.content_type_of("link", F.lit("text/html")).alias("content_type"))
+
+
+@register("html_tokens", with_fixtures(f"""
+SELECT page_id, len(list_filter(regexp_split_to_array(lower(replace(array_to_string({sql_nodes('html')}, ' '), '&', ' and ')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0)) AS n_tokens
+FROM pages
+"""))
+def q_html_tokens(spark, base):
+    """The html analyser (tokens of the page text, ``&`` as ``and``)."""
+    p = FX.pages(spark, base)
+    return p.select("page_id", F.size(T.html_tokens("html")).alias("n_tokens"))
+
+
+@register("main_text", with_fixtures(f"""
+SELECT page_id, md5({sql_clean(sql_main('html'))}) AS text_md5, length({sql_clean(sql_main('html'))}) AS text_len,
+       length({sql_dense('html')}) AS dense_len
+FROM pages
+"""))
+def q_main_text(spark, base):
+    """J4 (+I17): dense-block main text with the visible-text fallback."""
+    p = FX.pages(spark, base)
+    t = T.clean_extracted(X.extract_main_text("html"))
+    return p.select("page_id", F.md5(t).alias("text_md5"), F.length(t).alias("text_len"),
+                    F.length(X.dense_text("html")).alias("dense_len"))
+
+
+@register("extract_docs", with_fixtures(f"""
+SELECT page_id, {sql_doc_id('url')} AS id,
+       coalesce({sql_title('html')}, trim(regexp_extract({sql_clean(sql_main('html'))}, '^\\s*([^.!?]+[.!?]*)', 1))) AS title,
+       NULLIF(lower(regexp_extract(html, '(?is)<html[^>]*\\blang=.([A-Za-z-]+)', 1)), '') AS lang,
+       length({sql_clean(sql_main('html'))}) AS text_len,
+       length({sql_clean(sql_main('html'))}) > 1000 AS long_enough
+FROM pages
+"""))
+def q_extract_docs(spark, base):
+    """J5 (+C14): pages to doc fields."""
+    d = X.extract_docs(FX.pages(spark, base))
+    return d.select("page_id", "id", "title", "lang", F.length("text").alias("text_len"),
+                    F.coalesce(F.length("text") > 1000, F.lit(False)).alias("long_enough"))
+
+
+@register("url_filters", with_fixtures("""
+SELECT page_id,
+       coalesce(regexp_matches(url, '(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\\.)+(?:[A-Z]{2,6}\\.?|[A-Z0-9-]{2,}\\.?)|localhost|\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3})(?::\\d+)?(?:/?|[/?]\\S+)$'), false)
+       AND NOT regexp_matches(url, '(cheap-pills)|(spam-farm)')
+       AND NOT regexp_matches(url, '((\\.html))([?#].*)?$') AS crawlable
+FROM pages
+"""))
+def q_url_filters(spark, base):
+    """C11-C13 with custom exclusion lists (spam hosts, ``.html`` pages)."""
+    p = FX.pages(spark, base)
+    ok = (U.is_valid_url("link") & U.not_excluded_uri("link", [r"cheap-pills", r"spam-farm"])
+          & U.not_excluded_type("link", None, [r"\.html"]))
+    return p.select("page_id", ok.alias("crawlable"))
+
+
+@register("content_pass", with_fixtures(f"""
+SELECT {sql_doc_id('url')} AS id,
+       CASE WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
+       length({sql_clean(sql_main('html'))}) AS text_len
+FROM pages
+WHERE NOT regexp_matches(url, '(sourceforge\\.net)')
+QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
+"""))
+def q_content_pass(spark, base):
+    """L7 (+D7, C11-C14, J5, B11): landed pages become stubs without text,
+    the content pass fills them from the page content and flags texts that
+    are too small (the doc is kept)."""
+    from newslake.operators.writes import upsert
+    pages = FX.pages(spark, base)
+    stubs = pages.select(U.doc_id("link").alias("id"), "link", F.lit(None).cast("string").alias("text"),
+                         F.lit(None).cast("array<string>").alias("tags"), F.col("page_id").alias("seq"))
+    stubs = upsert(stubs.limit(0), stubs, "id", "seq")
+    out = X.content_pass(stubs, pages)
+    return out.select("id", "outcome", F.length("text").alias("text_len"))
+
+
+@register("extract_rules", with_fixtures("""
+SELECT doc_id,
+       array_to_string(regexp_extract_all(text, '(?im)(CVE-[0-9]{4}-[0-9]{4,})', 1), ',') AS cve,
+       array_to_string(regexp_extract_all(text, '(?im)([a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,})', 1), ',') AS email,
+       array_to_string(regexp_extract_all(text, '(?im)(token = "[0-9a-f]+")', 1), ',') AS token,
+       array_to_string(regexp_extract_all(text, '(?im)(released under the [a-z0-9 .-]+ license)', 1), ',') AS license
+FROM documents
+"""))
+def q_extract_rules(spark, base):
+    """Configured extraction rules (name -> regex) on whole texts."""
+    rules = {"cve": r"CVE-[0-9]{4}-[0-9]{4,}", "email": r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",
+             "token": r"token = \"[0-9a-f]+\"", "license": r"released under the [a-z0-9 .-]+ license"}
+    d = FX.read_table(spark, base, "documents")
+    cols = [F.array_join(c, ",").alias(name) for name, c in
+            zip(rules, [T.extract_rule("text", p) for p in rules.values()])]
+    return d.select("doc_id", *cols)
+
+
+@register("prediction_input", with_fixtures("""
+SELECT doc_id, md5(regexp_replace(concat_ws(chr(13) || chr(10), title, summary, text), 'https?://\\S+', '', 'g')) AS input_md5
+FROM docs
+""", "docs"))
+def q_prediction_input(spark, base):
+    """The classifier input (title, summary, text; every URL removed)."""
+    d = FX.docs(spark, base)
+    return d.select("doc_id", F.md5(T.prediction_input("title", "summary", "text")).alias("input_md5"))
+
+
+@register("card_fields", with_fixtures("""
+SELECT doc_id,
+       coalesce(title, array_to_string(string_split_regex(translate(trim(substr(text, 1, 120)), '()[]$', ''), '\\r\\n|\\r|\\n'), ' ')) AS card_title,
+       array_to_string(string_split_regex(translate(trim(substr(text, 1, 250)), '()[]$', ''), '\\r\\n|\\r|\\n'), ' ') AS extract,
+       array_to_string(list_transform(tags, lambda t: ' #' || regexp_replace(t, '[^A-Za-z0-9]+', '', 'g')), '') AS hashtags,
+       array_to_string(list_transform(topics, lambda t: t.label), ' and ') AS topics_text,
+       round(coalesce(list_sum(list_transform(topics, lambda t: t.score)) / len(topics), 0.0), 6) AS score,
+       replace(translate(origin, '-', '_'), 'src', 'source_') AS sanitized
+FROM docs
+""", "docs"))
+def q_card_fields(spark, base):
+    """Message card of every doc."""
+    d = FX.docs(spark, base)
+    c = T.card("title", "text", "link", "tags", "topics")
+    return d.select("doc_id", c["title"].alias("card_title"), c["extract"].alias("extract"),
+                    c["hashtags"].alias("hashtags"), c["topics_text"].alias("topics_text"),
+                    F.round(c["score"], 6).alias("score"),
+                    F.replace(T.sanitize_topic_title("origin"), F.lit("src"), F.lit("source_")).alias("sanitized"))
+
+
+@register("share_links", with_fixtures("""
+SELECT doc_id,
+       'https://twitter.com/intent/tweet?text=' || replace(replace(url_encode(title), '%20', '+'), '~', '%7E') || '%20' ||
+           replace(replace(url_encode(link), '%20', '+'), '~', '%7E') AS twitter,
+       'https://www.reddit.com/submit?url=' || replace(replace(url_encode(link), '%20', '+'), '~', '%7E') AS reddit
+FROM docs
+""", "docs"))
+def q_share_links(spark, base):
+    """I23 (+I2 ``quote_plus``): share URLs of every doc."""
+    d = FX.docs(spark, base)
+    s = U.share_links("title", "link", F.lit(""), "tags")
+    return d.select("doc_id", s["twitter"].alias("twitter"), s["reddit"].alias("reddit"))
+
+
+@register("language_names", with_fixtures("""
+SELECT lang, count(*) AS n,
+       CASE lang WHEN 'de' THEN 'german' WHEN 'en' THEN 'english' WHEN 'es' THEN 'spanish'
+                 WHEN 'fr' THEN 'french' ELSE lang END AS language
+FROM documents GROUP BY lang
+"""))
+def q_language_names(spark, base):
+    """Language code -> summariser language name."""
+    d = FX.read_table(spark, base, "documents")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(
+        "lang", "n", T.language_name("lang").alias("language"))
+
+
+@register("fetch_outcomes", with_fixtures("""
+SELECT CASE WHEN status < 300 THEN 'found' WHEN status = 429 THEN 'retry'
+            WHEN status >= 400 AND status <= 427 THEN 'refused' WHEN status >= 500 THEN 'server error'
+            ELSE 'other' END AS outcome, count(*) AS n
+FROM (SELECT CAST(round(value * 10) AS INTEGER) % 600 AS status FROM events) GROUP BY 1
+"""))
+def q_fetch_outcomes(spark, base):
+    """I36 on a fetch log (status codes derived from the events)."""
+    ev = FX.read_table(spark, base, "events")
+    log = ev.select((F.round(F.col("value") * 10).cast("int") % 600).alias("status"))
+    return log.groupBy(T.fetch_outcome("status").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# J1 language detection, J2 summaries, J3 keywords
+# ---------------------------------------------------------------------------
+_W = sql_words("text")
+
+
+@register("language_detect", with_fixtures(f"""
+lab AS (SELECT lang, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+prof AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({_W}) AS token FROM lab) GROUP BY 1, 2),
+v AS (SELECT count(DISTINCT token) AS v FROM prof),
+nl AS (SELECT count(*) AS n FROM lab),
+langs AS (SELECT d.lang, ln(d.docs / nl.n) AS log_prior, ln(t.tokens + v.v) AS log_denom
+          FROM (SELECT lang, count(*) AS docs FROM lab GROUP BY lang) d
+          JOIN (SELECT lang, sum(n) AS tokens FROM prof GROUP BY lang) t USING (lang) CROSS JOIN nl CROSS JOIN v),
+target AS (SELECT page_id, {sql_visible('html')} AS text FROM pages),
+cnt AS (SELECT page_id, token, count(*) AS c FROM (SELECT page_id, unnest({_W}) AS token FROM target) GROUP BY 1, 2),
+seen AS (SELECT page_id, lang, sum(c * ln(n + 1)) AS s FROM cnt JOIN prof USING (token) GROUP BY 1, 2),
+dl AS (SELECT page_id, len({_W}) AS dl FROM target),
+sc AS (SELECT dl.page_id, dl.dl, langs.lang,
+              langs.log_prior - dl.dl * langs.log_denom + coalesce(seen.s, 0) AS score
+       FROM dl CROSS JOIN langs LEFT JOIN seen ON seen.page_id = dl.page_id AND seen.lang = langs.lang)
+SELECT page_id, CASE WHEN dl > 0 THEN lang ELSE '' END AS detected FROM sc
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, lang) = 1
+"""))
+def q_language_detect(spark, base):
+    """Word naive-Bayes profiles fitted on the labelled documents,
+    applied to the visible text of every page."""
+    docs = FX.read_table(spark, base, "documents")
+    profile, langs = X.fit_language_profiles(docs)
+    target = FX.pages(spark, base).select("page_id", T.visible_text("html").alias("text"))
+    return X.detect_language(target, profile, langs, "page_id")
+
+
+@register("summaries", with_fixtures(f"""
+ex AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS ss FROM documents),
+sents AS (SELECT doc_id, pos, trim(s) AS sentence
+          FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM ex)
+          WHERE length(trim(s)) > 0),
+toks AS (SELECT doc_id, pos, unnest({sql_words('sentence')}) AS token FROM sents),
+tf AS (SELECT doc_id, token, count(*) AS c FROM toks GROUP BY 1, 2),
+ss2 AS (SELECT t.doc_id, t.pos, avg(tf.c) AS score FROM toks t JOIN tf USING (doc_id, token) GROUP BY 1, 2),
+top AS (SELECT * FROM ss2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) <= 3)
+SELECT doc_id, md5(string_agg(sentence, ' ' ORDER BY pos)) AS summary_md5 FROM top JOIN sents USING (doc_id, pos)
+GROUP BY doc_id
+"""))
+def q_summaries(spark, base):
+    """3-sentence extractive summary of every document (whole texts)."""
+    d = FX.read_table(spark, base, "documents")
+    s = X.summarize(d, "doc_id", "text", 3)
+    return s.select("doc_id", F.md5("summary").alias("summary_md5"))
+
+
+@register("keywords", with_fixtures(f"""
+toks AS (SELECT doc_id, unnest({_W}) AS token FROM documents),
+cnt AS (SELECT doc_id, token, count(*) AS n FROM toks
+        WHERE length(token) >= 3 AND token NOT IN ({", ".join(repr(w) for w in X.STOP_WORDS)})
+        GROUP BY 1, 2)
+SELECT doc_id, token, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rank
+FROM cnt QUALIFY rank <= 10
+"""))
+def q_keywords(spark, base):
+    """The 10 most frequent non-stop words of every document."""
+    d = FX.read_table(spark, base, "documents")
+    return X.keywords(d, "doc_id", "text", 10)
