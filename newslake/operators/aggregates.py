@@ -124,7 +124,8 @@ def cooccurrence(docs: DataFrame, k_topic: int = ES_DEFAULT_BUCKETS, k_tag: int
     per_link = visits.groupBy("topic", "tag", "link").agg(
         F.count(F.lit(1)).alias("link_count"), F.min("id").alias("hit_id"))
     top_links = windows.top_k_per(per_link, ["topic", "tag"], [F.col("link_count").desc(), F.col("link")], k_link)
-    return top_links.join(F.broadcast(top_topics), "topic")
+    # top_tags and top_topics hold at most k_topic * k_tag rows: bounded broadcasts.
+    return top_links.join(F.broadcast(top_tags), ["topic", "tag"]).join(F.broadcast(top_topics), "topic")
 
 
 def outcome_counts(df: DataFrame, outcome: str = "outcome") -> DataFrame:
