@@ -1 +1,109 @@
-"""Registered queries: streaming (rows-only checks)."""
+"""Registered queries: streaming operators run with ``availableNow`` over the
+driver tables as file streams; the final store view is returned. Where the
+final state equals a batch query, that query's SQL is the oracle."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from newslake.functions import text as T
+from newslake.functions import urls as U
+from newslake.operators import text as X
+from newslake.plans.catalog import register
+from newslake.plans.oracle import sql_doc_id, with_fixtures
+from newslake.plans.q_text import sql_clean, sql_main
+from newslake.sources import fixtures as FX
+from newslake.streaming import streams as S
+
+
+def _stream(spark, base, name, max_files=1):
+    static = FX.read_table(spark, base, name)
+    return S.file_stream(spark, os.path.join(base, f"{name}*.parquet"), static.schema, "parquet", max_files)
+
+
+@register("stream_votes", with_fixtures("""
+SELECT doc_id, voter, score FROM votes
+QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY ts DESC, event_id DESC) = 1
+""", "votes"))
+def q_stream_votes(spark, base):
+    """M5: votes as a stream; the last vote per (doc, voter) is streaming
+    state (update mode), written per batch and read back as the store view."""
+    n_docs = FX.read_table(spark, base, "documents").count()
+    ev = _stream(spark, base, "events")
+    votes = (ev.filter(F.col("event_type").isin(list(FX.VOTE_SCORES)))
+             .select("event_id", "ts", (F.col("event_id") % n_docs).alias("doc_id"),
+                     F.col("user_id").cast("string").alias("voter"),
+                     F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1)
+                     .otherwise(2).alias("score")))
+    latest = S.latest_per_key_stream(votes, ["doc_id", "voter"], ["ts", "event_id"], ["score"])
+    ck = S.checkpoint_path(spark, "votes")
+    S.run_available(latest, ck + "/out", ck + "/ckpt")
+    view = S.latest_across_batches(S.read_batches(spark, ck + "/out"), ["doc_id", "voter"])
+    return view.select("doc_id", "voter", "score")
+
+
+@register("stream_resume_points", with_fixtures("""
+SELECT user_id, max(event_id) AS since_id FROM events GROUP BY user_id
+"""))
+def q_stream_resume_points(spark, base):
+    """M6: per-account high-water marks kept as streaming state."""
+    ev = _stream(spark, base, "events")
+    marks = S.resume_points(ev, "user_id", "event_id").withColumn("o", F.struct(F.col("since_id")))
+    ck = S.checkpoint_path(spark, "resume")
+    S.run_available(marks, ck + "/out", ck + "/ckpt")
+    view = S.latest_across_batches(S.read_batches(spark, ck + "/out"), ["user_id"])
+    return view.select("user_id", "since_id")
+
+
+@register("stream_dedup", with_fixtures("""
+SELECT DISTINCT user_id FROM events
+"""))
+def q_stream_dedup(spark, base):
+    """M4: drop repeated keys within the watermark (first arrival kept)."""
+    ev = _stream(spark, base, "events")
+    first = S.dedup_first_seen(ev.select("user_id", "ts", "event_id"), "user_id", "ts", "3650 days")
+    ck = S.checkpoint_path(spark, "dedup")
+    S.run_available(first, ck + "/out", ck + "/ckpt", output_mode="append")
+    return S.read_batches(spark, ck + "/out").select("user_id").distinct()
+
+
+@register("stream_content", with_fixtures(f"""
+SELECT {sql_doc_id('url')} AS id,
+       CASE WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
+       length({sql_clean(sql_main('html'))}) AS text_len
+FROM pages
+WHERE NOT regexp_matches(url, '(sourceforge\\.net)')
+QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
+"""))
+def q_stream_content(spark, base):
+    """M2 (+M7): landed pages as a stream through the content pass (gates,
+    extraction, size outcome) into an append-only store read as latest per
+    id."""
+    pages = _stream(spark, base, "pages").select("page_id", F.col("url").alias("link"), "html")
+    gated = pages.filter(U.is_valid_url("link") & U.not_excluded_uri("link") & U.not_excluded_type("link"))
+    docs = X.extract_docs(gated).select(
+        "id", "text", F.struct(F.col("page_id")).alias("o"),
+        F.when(F.length("text") > T.NEWS_MIN_TEXT_SIZE, F.lit("successful"))
+        .otherwise(F.lit("failed: text too small")).alias("outcome"))
+    ck = S.checkpoint_path(spark, "content")
+    S.run_available(docs, ck + "/out", ck + "/ckpt", output_mode="append")
+    view = S.latest_across_batches(S.read_batches(spark, ck + "/out"), ["id"])
+    return view.select("id", "outcome", F.length("text").alias("text_len"))
+
+
+@register("stream_predict")
+def q_stream_predict(spark, base):
+    """M3: a topic model fitted in batch, applied to a document stream."""
+    from newslake.operators import topics as TP
+    from newslake.plans.q_topics import _labelled
+    model, _ = TP.train_topic_model(_labelled(spark, base), "linear",
+                                    TP.trainer_profile("linear", 2, iterations=30))
+    docs = _stream(spark, base, "documents").select(
+        "doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary"), "text")
+    pred = S.predict_stream(docs, {"quality": model}).select(
+        "doc_id", F.size("topics").alias("n_topics"), F.struct("doc_id").alias("o"))
+    ck = S.checkpoint_path(spark, "predict")
+    S.run_available(pred, ck + "/out", ck + "/ckpt", output_mode="append")
+    return S.read_batches(spark, ck + "/out").select("doc_id", "n_topics")
