@@ -63,67 +63,73 @@ def _visits(tree: DataFrame) -> DataFrame:
                        F.col("title").alias("link_label"))
 
 
+def _order(r4: int) -> Column:
+    return F.struct(F.col("topic_rank").cast("int").alias("r1"), F.col("tag_rank").cast("int").alias("r2"),
+                    F.col("link_rank").cast("int").alias("r3"), F.lit(r4).alias("r4"))
+
+
+def _topic_order() -> Column:
+    return F.struct(F.col("topic_rank").cast("int").alias("r1"), F.lit(0).alias("r2"),
+                    F.lit(0).alias("r3"), F.lit(0).alias("r4"))
+
+
+def _tag_order() -> Column:
+    return F.struct(F.col("topic_rank").cast("int").alias("r1"), F.col("tag_rank").cast("int").alias("r2"),
+                    F.lit(0).alias("r3"), F.lit(0).alias("r4"))
+
+
 def graph_nodes(tree: DataFrame) -> DataFrame:
     """K3: topic, tag, link, source and author nodes; first occurrence (in
-    bucket order) wins."""
+    bucket order) wins. Each visit row emits its nodes as one array that is
+    exploded, so the tree is read once."""
     v = _visits(tree)
-
-    def order(r1, r2, r3, r4):
-        return F.struct(r1.cast("int").alias("r1"), r2.cast("int").alias("r2"),
-                        r3.cast("int").alias("r3"), F.lit(r4).alias("r4"))
-    zero = F.lit(0)
     none = F.lit(None).cast("string")
-    topics = tree.select("topic", "topic_rank").distinct().select(
-        F.col("topic").alias("id"), F.col("topic").alias("label"), F.lit(TOPIC_NODE[0]).alias("type"),
-        F.lit(TOPIC_NODE[1]).alias("size"), F.lit("topic").alias("category"), none.alias("url"),
-        order(F.col("topic_rank"), zero, zero, 0).alias("o"))
-    tags = tree.select("topic_rank", "tag", "tag_rank").distinct().select(
-        F.col("tag").alias("id"), F.col("tag").alias("label"), F.lit(TAG_NODE[0]).alias("type"),
-        F.lit(TAG_NODE[1]).alias("size"), F.lit("tag").alias("category"), none.alias("url"),
-        order(F.col("topic_rank"), F.col("tag_rank"), zero, 0).alias("o"))
-    rk = (F.col("topic_rank"), F.col("tag_rank"), F.col("link_rank"))
-    links = v.select(F.col("link_id").alias("id"), F.col("link_label").alias("label"), none.alias("type"),
-                     F.lit(LINK_NODE_SIZE).alias("size"), F.col("source_type").alias("category"),
-                     F.col("link").alias("url"), order(*rk, 1).alias("o"))
-    sources = v.select(F.col("src").alias("id"), F.col("src").alias("label"), F.lit(SOURCE_NODE[0]).alias("type"),
-                       F.lit(SOURCE_NODE[1]).alias("size"), F.lit("source").alias("category"), none.alias("url"),
-                       order(*rk, 2).alias("o"))
-    authors = v.filter(F.col("author").isNotNull()).select(
-        F.col("author").alias("id"), F.col("author").alias("label"), F.lit(AUTHOR_NODE[0]).alias("type"),
-        F.lit(AUTHOR_NODE[1]).alias("size"), F.lit("author").alias("category"), none.alias("url"),
-        order(*rk, 3).alias("o"))
-    allv = topics.unionByName(tags).unionByName(links).unionByName(sources).unionByName(authors)
+
+    def node(id_, label, type_, size, category, url, order):
+        return F.struct(id_.alias("id"), label.alias("label"), type_.alias("type"), F.lit(size).alias("size"),
+                        category.alias("category"), url.alias("url"), order.alias("o"))
+    topic = node(F.col("topic"), F.col("topic"), F.lit(TOPIC_NODE[0]), TOPIC_NODE[1], F.lit("topic"), none,
+                 _topic_order())
+    tag = node(F.col("tag"), F.col("tag"), F.lit(TAG_NODE[0]), TAG_NODE[1], F.lit("tag"), none, _tag_order())
+    link = node(F.col("link_id"), F.col("link_label"), none, LINK_NODE_SIZE, F.col("source_type"),
+                F.col("link"), _order(1))
+    source = node(F.col("src"), F.col("src"), F.lit(SOURCE_NODE[0]), SOURCE_NODE[1], F.lit("source"), none,
+                  _order(2))
+    author = F.when(F.col("author").isNotNull(),
+                    node(F.col("author"), F.col("author"), F.lit(AUTHOR_NODE[0]), AUTHOR_NODE[1],
+                         F.lit("author"), none, _order(3)))
+    nodes = v.select(F.explode(F.array(topic, tag, link, source, author)).alias("n")).filter(
+        F.col("n").isNotNull()).select("n.*")
+    # topic and tag nodes are emitted once per visit; count them once.
+    visits = F.count_distinct(F.col("o"))
     attrs = F.struct("label", "type", "size", "category", "url")
-    first = allv.groupBy("id").agg(F.min_by(attrs, "o").alias("a"), F.count(F.lit(1)).alias("visits"))
+    first = nodes.groupBy("id").agg(F.min_by(attrs, "o").alias("a"), visits.alias("visits"))
     return first.select("id", "a.label", "a.type", "a.size", "a.category", "a.url", "visits")
 
 
 def graph_edges(tree: DataFrame) -> DataFrame:
     """K4: weighted edges ``src_dst``. Per visit: source-author +1 (or
     source-link when there is no author), author-link +1, topic-link +10,
-    tag-link 5 the first time then +1."""
+    tag-link 5 the first time then +1. One explode of the visit's edges,
+    one aggregation per edge id."""
     v = _visits(tree)
-    rk = [F.col("topic_rank").cast("int"), F.col("tag_rank").cast("int"), F.col("link_rank").cast("int")]
 
-    def ev(src: Column, dst: Column, kind: str, r4: int, cond: Column | None = None) -> DataFrame:
-        d = v if cond is None else v.filter(cond)
-        return d.select(F.concat(src, F.lit("_"), dst).alias("id"), src.alias("source"), dst.alias("target"),
-                        F.lit(kind).alias("kind"),
-                        F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rk, 1)], F.lit(r4).alias("r4")).alias("o"))
+    def edge(src: Column, dst: Column, kind: str, r4: int) -> Column:
+        return F.struct(F.concat(src, F.lit("_"), dst).alias("id"), src.alias("source"), dst.alias("target"),
+                        F.lit(kind).alias("kind"), F.lit(EDGE_INCREMENT[kind]).alias("inc"),
+                        _order(r4).alias("o"))
     has_author = F.col("author").isNotNull()
-    events = (ev(F.col("src"), F.col("author"), "source_author", 1, has_author)
-              .unionByName(ev(F.col("src"), F.col("link_id"), "source_link", 1, ~has_author))
-              .unionByName(ev(F.col("author"), F.col("link_id"), "author_link", 2, has_author))
-              .unionByName(ev(F.col("topic"), F.col("link_id"), "topic_link", 3))
-              .unionByName(ev(F.col("tag"), F.col("link_id"), "tag_link", 4)))
-    inc = F.lit(0)
-    for kind, n in EDGE_INCREMENT.items():
-        inc = F.when(F.col("kind") == kind, F.lit(n)).otherwise(inc)
+    first_edge = F.when(has_author, edge(F.col("src"), F.col("author"), "source_author", 1)).otherwise(
+        edge(F.col("src"), F.col("link_id"), "source_link", 1))
+    author_edge = F.when(has_author, edge(F.col("author"), F.col("link_id"), "author_link", 2))
+    events = v.select(F.explode(F.array(
+        first_edge, author_edge, edge(F.col("topic"), F.col("link_id"), "topic_link", 3),
+        edge(F.col("tag"), F.col("link_id"), "tag_link", 4))).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
     bonus = F.lit(0)
     for kind in EDGE_FIRST:
         if EDGE_FIRST[kind] != EDGE_INCREMENT[kind]:
             bonus = F.when(F.col("first.kind") == kind, F.lit(EDGE_FIRST[kind] - EDGE_INCREMENT[kind])).otherwise(bonus)
-    agg = events.groupBy("id").agg(F.sum(inc).alias("inc"),
+    agg = events.groupBy("id").agg(F.sum("inc").alias("inc"),
                                    F.min_by(F.struct("source", "target", "kind"), "o").alias("first"))
     return agg.select("id", F.col("first.source").alias("source"), F.col("first.target").alias("target"),
                       (F.col("inc") + bonus).cast("bigint").alias("weight"))

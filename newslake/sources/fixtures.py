@@ -46,8 +46,33 @@ def doc_count(documents: DataFrame):
     return documents.select(F.count(F.lit(1))).scalar()
 
 
+# Materialised doc stores (base dir -> parquet path), see ``materialize_docs``.
+_STORES: dict[str, str] = {}
+
+
+def materialize_docs(spark: SparkSession, base: str, path: str) -> str:
+    """Write the doc table once (partitioned by source, as the store is kept
+    in production) and serve later ``docs(spark, base)`` calls from it, so
+    reports read a stored table instead of re-deriving it from events."""
+    build_docs(spark, base).write.mode("overwrite").partitionBy("origin").parquet(path)
+    _STORES[base] = path
+    return path
+
+
+def forget_store(base: str) -> None:
+    _STORES.pop(base, None)
+
+
 def docs(spark: SparkSession, base: str) -> DataFrame:
-    """The ``doc`` table of the model."""
+    """The ``doc`` table of the model (the materialised store when one was
+    registered for ``base``)."""
+    if base in _STORES:
+        return spark.read.parquet(_STORES[base])
+    return build_docs(spark, base)
+
+
+def build_docs(spark: SparkSession, base: str) -> DataFrame:
+    """Derive the ``doc`` table from the driver tables."""
     documents = read_table(spark, base, "documents")
     events = read_table(spark, base, "events")
     n_docs = doc_count(documents)
