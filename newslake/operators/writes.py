@@ -52,7 +52,8 @@ def clear_predictions(docs: DataFrame, cond: Column | None = None, field: str =
 
 def export_csv(rows: DataFrame, path: str) -> None:
     """``|``-delimited, back-quote quoted, with a header."""
-    rows.write.mode("overwrite").option("sep", "|").option("quote", "`").option("header", True).csv(path)
+    (rows.write.mode("overwrite").option("sep", "|").option("quote", "`").option("header", True)
+     .option("emptyValue", "").csv(path))
 
 
 def atom_entries(df: DataFrame) -> DataFrame:
@@ -63,7 +64,8 @@ def atom_entries(df: DataFrame) -> DataFrame:
         T.title_or("title", "summary").alias("title"),
         T.summary_or("summary").alias("summary"),
         T.content_or("summary").alias("content"),
-        T.categories("topics", "tags").alias("category"),
+        F.transform(T.categories("topics", "tags"), lambda c: F.struct(c["term"].alias("_term"),
+                                                                   c["label"].alias("_label"))).alias("category"),
         F.struct(T.author_or("author").alias("name")).alias("author"),
         U.unquote("link").alias("id"),
         dates.to_iso_z("updated").alias("updated"),

@@ -30,4 +30,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from newslake.plans import q_core, q_graph, q_reports, q_streams, q_text, q_topics, q_writes  # noqa: F401
+    from newslake.plans import (q_core, q_graph, q_reports, q_sinks, q_streams, q_text,  # noqa: F401
+                                q_topics, q_writes)

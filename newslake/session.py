@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
-                app_name: str = "newslake") -> SparkSession:
+                app_name: str = "newslake", driver_memory: str = "16g") -> SparkSession:
     """Local or cluster session with AQE on and the UI off.
 
     On a cluster the master and most settings come from spark-submit; the
@@ -22,6 +22,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode: the driver JVM is also the only executor.
+            builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
