@@ -204,7 +204,13 @@ def content_pass(stubs: DataFrame, pages: DataFrame, rules: dict[str, str] | Non
     from newslake.operators.joins import apply_content
     todo = stubs.filter(F.col("text").isNull())
     gated = pages.filter(U.is_valid_url("link") & U.not_excluded_uri("link") & U.not_excluded_type("link"))
-    content = extract_docs(gated, rules, min_size).select(
+    extracted = extract_docs(gated, rules, min_size)
+    # Several landed pages can map to one id (same link, other query): the
+    # latest landing wins, so the overlay join stays one-to-one.
+    seq = "page_id" if "page_id" in extracted.columns else None
+    extracted = (windows.latest_per_key(extracted, "id", seq) if seq
+                 else extracted.dropDuplicates(["id"]))
+    content = extracted.select(
         "id", "text", "title", F.lit(None).cast("string").alias("summary"), F.col("html_b64").alias("html"),
         "lang", "content_type", "tags")
     return apply_content(todo, content, min_size)

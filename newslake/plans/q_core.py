@@ -41,6 +41,7 @@ SELECT page_id, url AS link,
 FROM pages
 """))
 def q_doc_ids(spark, base):
+    """Ids, quoting, host and URL gates of every page URL."""
     p = FX.pages(spark, base)
     return p.select(
         "page_id", "link",
@@ -64,6 +65,7 @@ SELECT page_id, url AS link,
 FROM pages
 """))
 def q_url_parts(spark, base):
+    """I1 parts, I6 status id, I2 quote/unquote round trip."""
     p = FX.pages(spark, base)
     return p.select("page_id", "link",
                     U.url_netloc("link").alias("netloc"),
@@ -98,6 +100,7 @@ SELECT doc_id, array_to_string(list_transform({_RAW8}, {_NORM}), ',') AS tags
 FROM documents
 """))
 def q_normalize_tags(spark, base):
+    """The first 8 raw tokens of every text as normalised tags."""
     d = FX.read_table(spark, base, "documents")
     raw = F.slice(F.split("text", FX.TOKEN_SEP, 9), 1, 8)
     return d.select("doc_id", joined(T.normalize_tags(raw)).alias("tags"))
@@ -126,6 +129,7 @@ FROM (SELECT unnest(list_distinct(tags)) AS tag FROM docs)
 GROUP BY tag ORDER BY doc_count DESC, tag LIMIT 10
 """, "docs"))
 def q_tag_counts(spark, base):
+    """The 10 most frequent tags."""
     return A.tag_counts(FX.docs(spark, base), 10)
 
 
@@ -160,6 +164,7 @@ SELECT p.origin, o.doc_count, p.label, p.label_count, round(p.avg_score, 6) AS a
 FROM per_label p JOIN top_origins o USING (origin)
 """, "docs"))
 def q_topic_stats(spark, base):
+    """E2 + F1: per-source topic statistics (top 10 sources, top 10 labels)."""
     s = A.topic_stats(FX.docs(spark, base), 10, 10)
     return s.select("origin", "doc_count", "label", "label_count", r6("avg_score").alias("avg_score"))
 

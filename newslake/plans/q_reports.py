@@ -69,6 +69,7 @@ paged AS (SELECT *, {OVERALL} AS overall_score FROM base ORDER BY updated DESC,
 SELECT {FEED_COLS} FROM paged WHERE overall_score >= 0.1
 """, "docs", "now_t"))
 def q_ranked_feed(spark, base):
+    """L1: the ranked feed of the last 7 days (flagship report)."""
     docs, now = _now(spark, base)
     return R.ranked_feed(docs, FX.models(spark), now)
 

@@ -13,7 +13,7 @@ from newslake.functions import urls as U
 from newslake.operators import text as X
 from newslake.plans.catalog import register
 from newslake.plans.oracle import sql_doc_id, with_fixtures
-from newslake.plans.q_text import sql_clean, sql_main
+from newslake.plans.q_text import _GATE, sql_clean, sql_main
 from newslake.sources import fixtures as FX
 from newslake.streaming import streams as S
 
@@ -74,7 +74,7 @@ SELECT {sql_doc_id('url')} AS id,
        CASE WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
        length({sql_clean(sql_main('html'))}) AS text_len
 FROM pages
-WHERE NOT regexp_matches(url, '(sourceforge\\.net)')
+WHERE {_GATE}
 QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
 """))
 def q_stream_content(spark, base):

@@ -163,12 +163,19 @@ def q_url_filters(spark, base):
     return p.select("page_id", ok.alias("crawlable"))
 
 
+_GATE = ("coalesce(regexp_matches(url, '(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\\.)+"
+         "(?:[A-Z]{2,6}\\.?|[A-Z0-9-]{2,}\\.?)|localhost|\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3})"
+         "(?::\\d+)?(?:/?|[/?]\\S+)$'), false) AND NOT regexp_matches(url, '(sourceforge\\.net)') "
+         "AND NOT regexp_matches(url, '((\\.iso)|(\\.mp3)|(\\.mp4)|(\\.bin)|(\\.rom)|(\\.zip)|(\\.tar)|"
+         "(\\.tgz)|(\\.xz)|(\\.img))([?#].*)?$')")
+
+
 @register("content_pass", with_fixtures(f"""
 SELECT {sql_doc_id('url')} AS id,
-       CASE WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
-       length({sql_clean(sql_main('html'))}) AS text_len
+       CASE WHEN NOT ({_GATE}) THEN 'unchanged'
+            WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
+       CASE WHEN {_GATE} THEN length({sql_clean(sql_main('html'))}) END AS text_len
 FROM pages
-WHERE NOT regexp_matches(url, '(sourceforge\\.net)')
 QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
 """))
 def q_content_pass(spark, base):
