@@ -52,7 +52,9 @@ def bucket_tree(scope: DataFrame, k_topic: int = 10, k_tag: int = 10, k_link: in
     source = F.col("source") if "source" in scope.columns else F.lit(None).cast("string")
     hits = scope.select(F.col("id").alias("hit_id"), "title", "author", "source_type", "summary",
                         source.alias("source"))
-    return tree.join(hits.join(F.broadcast(tree.select("hit_id").distinct()), "hit_id", "left_semi"), "hit_id")
+    # The tree has at most k_topic * k_tag * k_link rows: broadcasting it is
+    # bounded, and the docs are scanned once for the representatives.
+    return hits.join(F.broadcast(tree), "hit_id")
 
 
 def _visits(tree: DataFrame) -> DataFrame:

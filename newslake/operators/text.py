@@ -10,12 +10,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslake.functions import text as T, urls as U
 from newslake.functions._util import as_col
 from newslake.operators import windows
 from newslake.operators.broadcast import bounded_broadcast
+from newslake.operators.partitioning import spread
 
 # Block-level tags that start a text block, block thresholds.
 BLOCK_TAGS = ["p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav",
@@ -91,7 +92,7 @@ def extract_docs(pages: DataFrame, rules: dict[str, str] | None = None,
     text = T.clean_extracted(extract_main_text(F.col(html), min_size))
     title = F.coalesce(T.html_title(F.col(html)), first_sentence(text))
     lang = html_lang(F.col(html))
-    return pages.select(
+    return spread(pages).select(
         "*",
         U.doc_id(link).alias("id"),
         F.array(F.struct(F.col(link).alias("base"), F.coalesce(lang, F.lit("")).alias("language"))).alias("content"),
@@ -115,7 +116,7 @@ def words(c) -> Column:
 def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Word counts per language and a per-language table (log prior, log of
     the smoothed denominator). Returns (profile, languages)."""
-    labelled = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    labelled = spread(train).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     profile = (labelled.select(F.col(lang).alias("lang"), F.explode(words(text)).alias("token"))
                .groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")))
     vocab = profile.select(F.count_distinct("token")).scalar()
@@ -134,6 +135,7 @@ def detect_language(df: DataFrame, profile: DataFrame, langs: DataFrame, key: st
     score(L) = log prior(L) - len * log(N_L + V) + sum_w c(w) * log(n(w, L) + 1)
     The sum runs over words seen in L only (join on the word); the per-
     language constants come from the small ``langs`` table as one array."""
+    df = spread(df)
     toks = df.select(key, F.explode(words(text)).alias("token"))
     counts = toks.groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
     seen = (counts.join(profile, "token")
@@ -169,10 +171,12 @@ def summarize(df: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFr
     """Extractive summary -- the ``n`` sentences whose words are most
     frequent in their text (mean count of the sentence's words), put back in
     text order and joined by a space."""
-    sents = sentences(df, key, text)
+    sents = sentences(spread(df), key, text)
     toks = sents.select(key, "pos", F.explode(words("sentence")).alias("token"))
-    tf = toks.groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
-    sscore = toks.join(tf, [key, "token"]).groupBy(key, "pos").agg(F.avg("c").alias("score"))
+    # Count of each word in its text as a window over (doc, word): the token
+    # rows are produced once (no self-join), then averaged per sentence.
+    tf = F.count(F.lit(1)).over(Window.partitionBy(key, "token"))
+    sscore = toks.withColumn("c", tf).groupBy(key, "pos").agg(F.avg("c").alias("score"))
     top = windows.top_k_per(sscore, [key], [F.col("score").desc(), F.col("pos")], n)
     chosen = top.join(sents, [key, "pos"])
     return chosen.groupBy(key).agg(F.array_join(F.transform(
@@ -184,7 +188,7 @@ def keywords(df: DataFrame, key: str, text: str = "text", k: int = 10, min_len:
     """The ``k`` most frequent words of each text (stop words and words
     shorter than ``min_len`` left out), count desc then word asc."""
     stops = STOP_WORDS if stop_words is None else stop_words
-    toks = df.select(key, F.explode(words(text)).alias("token")).filter(
+    toks = spread(df).select(key, F.explode(words(text)).alias("token")).filter(
         (F.length("token") >= min_len) & ~F.col("token").isin(stops))
     counts = toks.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     return windows.top_k_per(counts, [key], [F.col("n").desc(), F.col("token")], k, rank_col="rank")

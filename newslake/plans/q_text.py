@@ -308,7 +308,8 @@ def q_language_detect(spark, base):
     applied to the visible text of every page."""
     docs = FX.read_table(spark, base, "documents")
     profile, langs = X.fit_language_profiles(docs)
-    target = FX.pages(spark, base).select("page_id", T.visible_text("html").alias("text"))
+    from newslake.operators.partitioning import spread
+    target = spread(FX.pages(spark, base)).select("page_id", T.visible_text("html").alias("text"))
     return X.detect_language(target, profile, langs, "page_id")
 
 
