@@ -47,13 +47,27 @@ def date_math(expr: str, now) -> Column:
     return out
 
 
+def bound(expr: str, now) -> Column:
+    """One date-math bound. ``now`` may be a Column, a ``datetime`` (folded to
+    a literal) or a one-column DataFrame (a clock derived from data): then the
+    whole bound is one scalar subquery, so the comparison still reaches the
+    Parquet scan as a pushed filter (row groups skipped by their min/max)."""
+    import datetime as _dt
+    from pyspark.sql import DataFrame
+    if isinstance(now, DataFrame):
+        return now.select(date_math(expr, F.col(now.columns[0]))).scalar()
+    if isinstance(now, _dt.datetime):
+        return date_math(expr, F.lit(now).cast("timestamp_ntz"))
+    return date_math(expr, now)
+
+
 def in_range(ts, gte: str | None, lt: str | None, now) -> Column:
     """Half-open ``[gte, lt)`` on a timestamp column."""
     cond = F.lit(True)
     if gte is not None:
-        cond = cond & (as_col(ts) >= date_math(gte, now))
+        cond = cond & (as_col(ts) >= bound(gte, now))
     if lt is not None:
-        cond = cond & (as_col(ts) < date_math(lt, now))
+        cond = cond & (as_col(ts) < bound(lt, now))
     return cond
 
 

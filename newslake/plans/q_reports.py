@@ -120,6 +120,23 @@ def q_ranked_feed_search(spark, base):
     return R.ranked_feed(docs, FX.models(spark), now, q="anea attion")
 
 
+FORMULA_LOG = "ln(1 + es_score) * (aggregate(topics_scores, 0D, (acc, x) -> acc + x) / size(topics_scores))"
+
+
+@register("ranked_feed_formula", with_fixtures(f"""
+base AS (SELECT docs.* FROM docs, now_t WHERE updated >= now_t.now - INTERVAL 7 DAY AND updated < now_t.now),
+""" + sql_bm25("base", ["the"]) + f""",
+paged AS (SELECT *, CASE WHEN len(topics) > 0 THEN ln(1 + score) * (list_sum(list_transform(topics, lambda t: t.score / 100.0)) / len(topics)) ELSE 0.0 END AS overall_score
+          FROM scored ORDER BY updated DESC, score DESC, id LIMIT 4000)
+SELECT {FEED_COLS} FROM paged WHERE overall_score >= 0.1
+""", "docs", "now_t"))
+def q_ranked_feed_formula(spark, base):
+    """L1 + N1: a user overall-score formula (log relevance times the mean
+    topic probability) given as SQL expression text."""
+    docs, now = _now(spark, base)
+    return R.ranked_feed(docs, FX.models(spark), now, q="the", formula=FORMULA_LOG)
+
+
 # ---------------------------------------------------------------------------
 # J8 / C9 / C7 search
 # ---------------------------------------------------------------------------
