@@ -1,7 +1,8 @@
 """User-facing reports (L1, L2, L5, L6, L10, L11): one DataFrame plan each.
 
-``now`` is a Column (a literal or a scalar subquery) so the same plan runs
-with a fixed clock in tests.
+``now`` is the report clock: a ``datetime`` (folded to literals, so time
+bounds reach the Parquet scan as pushed filters), a Column, or a one-column
+DataFrame (bounds become scalar subqueries).
 """
 
 from __future__ import annotations

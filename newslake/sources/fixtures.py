@@ -189,6 +189,14 @@ def now_of(docs_df: DataFrame) -> DataFrame:
         F.timestamp_add("DAY", F.lit(1), F.date_trunc("day", F.max("updated")).cast("timestamp_ntz")).alias("now"))
 
 
+def clock(docs_df: DataFrame):
+    """The fixture clock as a Python ``datetime`` (one scalar fetched once):
+    report time bounds then fold to literals, reach the Parquet scan as
+    pushed filters and skip row groups by their min/max ``updated``. In
+    production the clock is the current time, also a literal."""
+    return now_of(docs_df).first()[0]
+
+
 def materialize_docs_sorted(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write a doc table partitioned by source and range-clustered by
     (origin, updated): a hot source is split over several tasks (no single
