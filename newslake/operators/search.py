@@ -57,15 +57,43 @@ def _equals(term: str):
     return lambda t: t == F.lit(term)
 
 
+def term_stats(corpus: DataFrame, fields: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The corpus statistics of BM25, built once per store version (the
+    "index"): ``terms(term, df)`` -- documents per term -- and
+    ``totals(n, avgdl)``. Stored sorted by term, a query's lookups are pushed
+    filters on a small table instead of a pass over every text."""
+    from newslake.operators.partitioning import spread
+    fields = fields or ["text"]
+    tok = tokens(searchable(corpus, fields))
+    per_doc = spread(corpus).select(F.array_distinct(tok).alias("terms"), F.size(tok).alias("dl"))
+    terms = per_doc.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return terms, totals
+
+
+def write_term_stats(corpus: DataFrame, path: str, fields: list[str] | None = None) -> None:
+    terms, totals = term_stats(corpus, fields)
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path + "/terms")
+    totals.write.mode("overwrite").parquet(path + "/totals")
+
+
+def read_term_stats(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(path + "/terms"), spark.read.parquet(path + "/totals")
+
+
 def bm25(docs: DataFrame, q: str, fields: list[str] | None = None, corpus: DataFrame | None = None,
-         score_col: str = "score", mode: str = "any", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+         score_col: str = "score", mode: str = "any", k1: float = BM25_K1, b: float = BM25_B,
+         stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """BM25 of ``q`` over ``fields`` for every doc of ``docs`` that
-    matches (``mode``); the statistics (N, avgdl, df) come from ``corpus``
+    matches (``mode``). The statistics (N, avgdl, df) come from ``stats``
+    (see ``term_stats``) when given, else from one aggregate over ``corpus``
     (default: ``docs`` itself). Without terms every doc scores 1.0."""
     fields = fields or ["text"]
     terms = list(dict.fromkeys(query_terms(q)))
     if not terms:
         return docs.withColumn(score_col, F.lit(1.0))
+    if stats is not None:
+        return _bm25_with(docs, terms, fields, stats, score_col, mode, k1, b)
     corpus = docs if corpus is None else corpus
 
     def with_tf(df):
@@ -96,6 +124,30 @@ def bm25(docs: DataFrame, q: str, fields: list[str] | None = None, corpus: DataF
     return out.drop("__dl", *[f"__tf{i}" for i in range(len(terms))])
 
 
+def _bm25_with(docs, terms, fields, stats, score_col, mode, k1, b) -> DataFrame:
+    terms_df, totals = stats
+    tot = totals.select(F.struct("n", "avgdl")).scalar()
+    # One lookup of the query terms in the term table (a pushed IN filter).
+    dfs = terms_df.filter(F.col("term").isin(terms)).select(
+        F.map_from_entries(F.collect_list(F.struct("term", "df")))).scalar()
+    tok = tokens(searchable(docs, fields))
+    scored = docs.select("*", F.size(tok).alias("__dl"),
+                         *[F.size(F.filter(tok, _equals(t))).alias(f"__tf{i}") for i, t in enumerate(terms)])
+    total = F.lit(0.0)
+    for i, t in enumerate(terms):
+        df_i = F.coalesce(F.try_element_at(dfs, F.lit(t)), F.lit(0))
+        idf = F.log((tot.getField("n") - df_i + 0.5) / (df_i + 0.5) + 1.0)
+        tf = F.col(f"__tf{i}").cast("double")
+        norm = tf + k1 * (1 - b + b * F.col("__dl") / tot.getField("avgdl"))
+        total = total + F.when(tf > 0, idf * tf * (k1 + 1) / norm).otherwise(F.lit(0.0))
+    match = [F.col(f"__tf{i}") > 0 for i in range(len(terms))]
+    cond = match[0]
+    for m in match[1:]:
+        cond = (cond & m) if mode == "all" else (cond | m)
+    out = scored.filter(cond).withColumn(score_col, total)
+    return out.drop("__dl", *[f"__tf{i}" for i in range(len(terms))])
+
+
 def with_overall_score(df: DataFrame, es_score: str = "score", topics: str = "topics",
                        formula: str = DEFAULT_OVERALL_SCORE, out: str = "overall_score") -> DataFrame:
     """A user formula over ``es_score`` and ``topics_scores`` (topic

@@ -117,7 +117,7 @@ SELECT {FEED_COLS} FROM paged WHERE overall_score >= 0.1
 def q_ranked_feed_search(spark, base):
     """L1 + C9 + J8: text query ``anea attion`` (any term), BM25 relevance."""
     docs, now = _now(spark, base)
-    return R.ranked_feed(docs, FX.models(spark), now, q="anea attion")
+    return R.ranked_feed(docs, FX.models(spark), now, q="anea attion", stats=FX.term_stats(spark, base))
 
 
 FORMULA_LOG = "ln(1 + es_score) * (aggregate(topics_scores, 0D, (acc, x) -> acc + x) / size(topics_scores))"
@@ -134,7 +134,8 @@ def q_ranked_feed_formula(spark, base):
     """L1 + N1: a user overall-score formula (log relevance times the mean
     topic probability) given as SQL expression text."""
     docs, now = _now(spark, base)
-    return R.ranked_feed(docs, FX.models(spark), now, q="the", formula=FORMULA_LOG)
+    return R.ranked_feed(docs, FX.models(spark), now, q="the", formula=FORMULA_LOG,
+                         stats=FX.term_stats(spark, base))
 
 
 # ---------------------------------------------------------------------------
@@ -146,7 +147,7 @@ SELECT doc_id, round(score, 6) AS score FROM scored
 def q_bm25_search(spark, base):
     """BM25 of ``the anea eriner`` over every doc (any term)."""
     docs = FX.docs(spark, base)
-    out = S.bm25(docs, "the anea eriner", R.SEARCH_FIELDS)
+    out = S.bm25(docs, "the anea eriner", R.SEARCH_FIELDS, stats=FX.term_stats(spark, base))
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -156,7 +157,7 @@ SELECT doc_id, round(score, 6) AS score FROM scored
 def q_bm25_search_all(spark, base):
     """J8 + C9 (all terms)."""
     docs = FX.docs(spark, base)
-    out = S.bm25(docs, "the and", R.SEARCH_FIELDS, mode="all")
+    out = S.bm25(docs, "the and", R.SEARCH_FIELDS, mode="all", stats=FX.term_stats(spark, base))
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 

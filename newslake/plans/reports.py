@@ -17,9 +17,9 @@ ATOM_SIZE = 4000
 SEARCH_FIELDS = ["title", "summary", "text"]
 
 
-def _scored(docs: DataFrame, corpus: DataFrame, q: str | None) -> DataFrame:
+def _scored(docs: DataFrame, corpus: DataFrame, q: str | None, stats=None) -> DataFrame:
     if q:
-        return S.bm25(docs, q, SEARCH_FIELDS, corpus=corpus)
+        return S.bm25(docs, q, SEARCH_FIELDS, corpus=corpus, stats=stats)
     return docs.withColumn("score", F.lit(1.0))
 
 
@@ -31,7 +31,7 @@ def ranked_feed(docs: DataFrame, models: DataFrame, now: Column, q: str | None =
                 model: str | None = None, topic: str | None = None, gte: str = "now-7d",
                 lt: str = "now", offset: int = 0, size: int = ATOM_SIZE,
                 formula: str = S.DEFAULT_OVERALL_SCORE,
-                threshold: float = T.OVERALL_SCORE_THRESHOLD) -> DataFrame:
+                threshold: float = T.OVERALL_SCORE_THRESHOLD, stats=None) -> DataFrame:
     """L1: the ranked feed. Docs in ``[gte, lt)``, optionally selected by
     model/topic (D3) and a text query (C9 + BM25), newest first then by
     relevance, paged, then scored (I24) and cut at the threshold (C16); rows
@@ -39,7 +39,7 @@ def ranked_feed(docs: DataFrame, models: DataFrame, now: Column, q: str | None =
     d = docs.filter(in_range("updated", gte, lt, now))
     if model or topic:
         d = d.filter(J.model_filter(models, model, topic))
-    d = _scored(d, docs, q)
+    d = _scored(d, docs, q, stats)
     ordered = d.orderBy(F.col("updated").desc_nulls_last(), F.col("score").desc(), F.col("id"))
     paged = W.page(ordered, offset, size)
     scored = S.with_overall_score(paged, "score", "topics", formula)

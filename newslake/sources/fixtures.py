@@ -61,6 +61,26 @@ def materialize_docs(spark: SparkSession, base: str, path: str) -> str:
 
 def forget_store(base: str) -> None:
     _STORES.pop(base, None)
+    _TERM_STATS.pop(base, None)
+
+
+# Materialised BM25 statistics (base dir -> path), see ``materialize_term_stats``.
+_TERM_STATS: dict[str, str] = {}
+SEARCH_FIELDS = ["title", "summary", "text"]
+
+
+def materialize_term_stats(spark: SparkSession, base: str, path: str) -> str:
+    """Build the search statistics of the doc store once (the index)."""
+    from newslake.operators.search import write_term_stats
+    write_term_stats(docs(spark, base), path, SEARCH_FIELDS)
+    _TERM_STATS[base] = path
+    return path
+
+
+def term_stats(spark: SparkSession, base: str):
+    """Stored search statistics for ``base`` or None (computed per query)."""
+    from newslake.operators.search import read_term_stats
+    return read_term_stats(spark, _TERM_STATS[base]) if base in _TERM_STATS else None
 
 
 def docs(spark: SparkSession, base: str) -> DataFrame:

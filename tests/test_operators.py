@@ -131,3 +131,15 @@ def test_merge_tags_superset(spark, a, b):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     out = df.select(S.merge_tags("a", "b")).first()[0]
     assert out[: len(a)] == a and set(out) == set(a) | set(b)
+
+
+def test_bm25_stored_stats_equal_on_the_fly(spark, tmp_dir):
+    from newslake.operators import search as SE
+    from newslake.sources import fixtures as FX
+    docs = FX.docs(spark, "/root/testdata/sf0.001").select("doc_id", "title", "summary", "text")
+    fields = ["title", "summary", "text"]
+    SE.write_term_stats(docs, tmp_dir + "/stats", fields)
+    stats = SE.read_term_stats(spark, tmp_dir + "/stats")
+    a = {r["doc_id"]: round(r["score"], 9) for r in SE.bm25(docs, "the anea", fields).collect()}
+    b = {r["doc_id"]: round(r["score"], 9) for r in SE.bm25(docs, "the anea", fields, stats=stats).collect()}
+    assert a == b and len(a) > 0
