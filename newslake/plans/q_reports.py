@@ -284,7 +284,7 @@ def q_docs_of_source(spark, base):
 SELECT origin AS collector_id, id AS news_id, {ISO} AS updated_date, {UNQUOTE} AS link,
        coalesce(title, '') AS title, coalesce(summary, '') AS summary,
        round(CASE WHEN len(topics) > 0 THEN 1.0 * (list_sum(list_transform(topics, lambda t: t.score / 100.0)) / len(topics)) ELSE 0.0 END, 6) AS overall_score,
-       1.0 AS _score,
+       CAST(1.0 AS DOUBLE) AS _score,
        array_to_string(flatten(list_transform(coalesce(topics, []), lambda t: [t.label, CAST(t.score AS VARCHAR)])), '|') AS topic_pairs
 FROM docs, now_t
 WHERE updated >= now_t.now - INTERVAL 30 DAY AND updated < now_t.now

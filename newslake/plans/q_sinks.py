@@ -34,7 +34,7 @@ def _scratch(spark, name: str) -> str:
 
 @register("atom_export", with_fixtures(f"""
 SELECT link AS id, coalesce(author, 'unknown') AS author, {ISO} AS updated,
-       len(coalesce(topics, [])) + len(tags) AS n_categories
+       CAST(len(coalesce(topics, [])) + len(tags) AS INTEGER) AS n_categories
 FROM docs, now_t WHERE updated >= now_t.now - INTERVAL 7 DAY AND updated < now_t.now
 """, "docs", "now_t"))
 def q_atom_export(spark, base):
@@ -112,7 +112,7 @@ def q_ingest_all(spark, base):
 
 
 @register("projections", with_fixtures("""
-SELECT doc_id, 1.0 AS score, origin, lang FROM docs WHERE author IS NULL
+SELECT doc_id, CAST(1.0 AS DOUBLE) AS score, origin, lang FROM docs WHERE author IS NULL
 """, "docs"))
 def q_projections(spark, base):
     """C10 (constant score filter) + C17 (include / exclude fields)."""

@@ -72,7 +72,7 @@ def q_stream_dedup(spark, base):
 @register("stream_content", with_fixtures(f"""
 SELECT {sql_doc_id('url')} AS id,
        CASE WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
-       length({sql_clean(sql_main('html'))}) AS text_len
+       CAST(length({sql_clean(sql_main('html'))}) AS INTEGER) AS text_len
 FROM pages
 WHERE {_GATE}
 QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1

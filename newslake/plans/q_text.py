@@ -79,8 +79,8 @@ def sql_words(e: str) -> str:
 # I12-I17, I26, I32, I36 on pages
 # ---------------------------------------------------------------------------
 @register("visible_text", with_fixtures(f"""
-SELECT page_id, md5({sql_visible('html')}) AS text_md5, length({sql_visible('html')}) AS text_len,
-       len({sql_nodes('html')}) AS n_nodes
+SELECT page_id, md5({sql_visible('html')}) AS text_md5, CAST(length({sql_visible('html')}) AS INTEGER) AS text_len,
+       CAST(len({sql_nodes('html')}) AS INTEGER) AS n_nodes
 FROM pages
 """))
 def q_visible_text(spark, base):
@@ -111,7 +111,7 @@ def q_html_title(spark, base):
 
 
 @register("html_tokens", with_fixtures(f"""
-SELECT page_id, len(list_filter(regexp_split_to_array(lower(replace(array_to_string({sql_nodes('html')}, ' '), '&', ' and ')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0)) AS n_tokens
+SELECT page_id, CAST(len(list_filter(regexp_split_to_array(lower(replace(array_to_string({sql_nodes('html')}, ' '), '&', ' and ')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 0)) AS INTEGER) AS n_tokens
 FROM pages
 """))
 def q_html_tokens(spark, base):
@@ -121,8 +121,8 @@ def q_html_tokens(spark, base):
 
 
 @register("main_text", with_fixtures(f"""
-SELECT page_id, md5({sql_clean(sql_main('html'))}) AS text_md5, length({sql_clean(sql_main('html'))}) AS text_len,
-       length({sql_dense('html')}) AS dense_len
+SELECT page_id, md5({sql_clean(sql_main('html'))}) AS text_md5, CAST(length({sql_clean(sql_main('html'))}) AS INTEGER) AS text_len,
+       CAST(length({sql_dense('html')}) AS INTEGER) AS dense_len
 FROM pages
 """))
 def q_main_text(spark, base):
@@ -137,7 +137,7 @@ def q_main_text(spark, base):
 SELECT page_id, {sql_doc_id('url')} AS id,
        coalesce({sql_title('html')}, trim(regexp_extract({sql_clean(sql_main('html'))}, '^\\s*([^.!?]+[.!?]*)', 1))) AS title,
        NULLIF(lower(regexp_extract(html, '(?is)<html[^>]*\\blang=.([A-Za-z-]+)', 1)), '') AS lang,
-       length({sql_clean(sql_main('html'))}) AS text_len,
+       CAST(length({sql_clean(sql_main('html'))}) AS INTEGER) AS text_len,
        length({sql_clean(sql_main('html'))}) > 1000 AS long_enough
 FROM pages
 """))
@@ -174,7 +174,7 @@ _GATE = ("coalesce(regexp_matches(url, '(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[
 SELECT {sql_doc_id('url')} AS id,
        CASE WHEN NOT ({_GATE}) THEN 'unchanged'
             WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
-       CASE WHEN {_GATE} THEN length({sql_clean(sql_main('html'))}) END AS text_len
+       CAST(CASE WHEN {_GATE} THEN length({sql_clean(sql_main('html'))}) END AS INTEGER) AS text_len
 FROM pages
 QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
 """))
@@ -337,7 +337,7 @@ toks AS (SELECT doc_id, unnest({_W}) AS token FROM documents),
 cnt AS (SELECT doc_id, token, count(*) AS n FROM toks
         WHERE length(token) >= 3 AND token NOT IN ({", ".join(repr(w) for w in X.STOP_WORDS)})
         GROUP BY 1, 2)
-SELECT doc_id, token, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rank
+SELECT doc_id, token, n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS INTEGER) AS rank
 FROM cnt QUALIFY rank <= 10
 """))
 def q_keywords(spark, base):

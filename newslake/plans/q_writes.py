@@ -33,13 +33,13 @@ def q_upsert_docs(spark, base):
     """B1 / B2 / H3: base docs, a batch re-titling the German docs and the
     landed pages as new docs; last writer wins per id."""
     docs = FX.docs(spark, base)
-    stored = docs.select("id", "origin", "title", F.lit(0).alias("seq"))
+    stored = docs.select("id", "origin", "title", F.lit(0).cast("bigint").alias("seq"))
     retitled = docs.filter(F.col("lang") == "de").select("id", "origin", F.concat(F.lit("DE: "), F.col("title")).alias("title"),
-                                                         F.lit(1).alias("seq"))
+                                                         F.lit(1).cast("bigint").alias("seq"))
     pages = FX.pages(spark, base).select(
         U.doc_id("link").alias("id"), U.domain("link").alias("origin"),
         F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"),
-        (F.col("page_id") + 1).cast("int").alias("seq"))
+        (F.col("page_id") + 1).alias("seq"))
     return WR.upsert(stored, retitled.unionByName(pages), "id", "seq")
 
 
@@ -96,7 +96,7 @@ def q_vote_latest(spark, base):
 @register("apply_votes", with_fixtures("""
 latest AS (SELECT * FROM votes
            QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY ts DESC, event_id DESC) = 1)
-SELECT l.doc_id, count(*) AS n_voters, sum(l.score) AS score_sum,
+SELECT l.doc_id, count(*) AS n_voters, CAST(sum(l.score) AS BIGINT) AS score_sum,
        CASE WHEN max(d.doc_id) IS NULL THEN 'failed: unknown doc' ELSE 'successful' END AS outcome
 FROM latest l LEFT JOIN docs d ON d.doc_id = l.doc_id GROUP BY l.doc_id
 """, "votes", "docs"))
@@ -129,7 +129,7 @@ def q_votes_map(spark, base):
 SELECT 'upsert' AS call, count(*) AS total, count(*) AS "count",
        count(*) FILTER (WHERE length(text) > 1000) AS successful,
        count(*) FILTER (WHERE NOT (length(text) > 1000) OR text IS NULL) AS failed,
-       0 AS errors
+       CAST(0 AS BIGINT) AS errors
 FROM docs
 """, "docs"))
 def q_run_metrics(spark, base):
