@@ -143,3 +143,22 @@ def test_bm25_stored_stats_equal_on_the_fly(spark, tmp_dir):
     a = {r["doc_id"]: round(r["score"], 9) for r in SE.bm25(docs, "the anea", fields).collect()}
     b = {r["doc_id"]: round(r["score"], 9) for r in SE.bm25(docs, "the anea", fields, stats=stats).collect()}
     assert a == b and len(a) > 0
+
+
+def test_train_net_and_trees(spark):
+    """The network (layers sized from the fitted vocabulary) and the
+    tree trainer both fit and predict every class."""
+    words = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot"]
+    rows = []
+    for i in range(60):
+        cls = "a" if i % 2 else "b"
+        vocab = words[:3] if cls == "a" else words[3:]
+        rows.append((i, None, None, " ".join(vocab[(i + k) % 3] for k in range(12)), cls))
+    df = spark.createDataFrame(rows, "doc_id long, title string, summary string, text string, topic string")
+    for kind, extra in [("net", {"layers": [8], "iterations": 20, "min_count": 2}),
+                        ("trees", {"num_trees": 5, "iterations": 5, "min_count": 2})]:
+        params = TP.trainer_profile(kind, 2, test_split=0.2, **extra)
+        model, test = TP.train_topic_model(df, kind, params)
+        pred = TP.predict_topics(df.limit(5), {"m": model}).collect()
+        assert all(len(r["topics"]) == 2 for r in pred)
+        assert TP.labels_of(model) == ["a", "b"]
