@@ -20,7 +20,7 @@ URL_VALID_PATTERN = (
     r"(?::\d+)?"
     r"(?:/?|[/?]\S+)$"
 )
-# Default exclusion lists (regex fragments).
+# Default exclusion lists (regex fragments); N4: callers may pass their own.
 EXCLUDED_FILE_EXTENSIONS = [r"\.iso", r"\.mp3", r"\.mp4", r"\.bin", r"\.rom", r"\.zip",
                             r"\.tar", r"\.tgz", r"\.xz", r"\.img"]
 EXCLUDED_URIS = [r"sourceforge\.net"]

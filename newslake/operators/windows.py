@@ -94,7 +94,8 @@ def tag_quotas(inventory: DataFrame, limit_col: str = "limit", group: list[str]
 # sorting and paging
 # ---------------------------------------------------------------------------
 def newest(df: DataFrame, score: str | None = "score", key: str = "id") -> DataFrame:
-    """G1: ``updated desc``, then score, then id for a total order."""
+    """G1: ``updated desc``, then score, then id for a total order (the
+    ranked feed's order)."""
     order = [F.col("updated").desc_nulls_last()]
     if score:
         order.append(F.col(score).desc_nulls_last())
@@ -138,12 +139,6 @@ def page(df: DataFrame, offset: int = 0, size: int = -1) -> DataFrame:
     return out
 
 
-def ranked(df: DataFrame, order, rank_col: str = "rank") -> DataFrame:
-    """Attach the 1-based position of every row in a global order (for
-    reports that page). Only for results already bounded by a limit."""
-    return df.withColumn(rank_col, F.row_number().over(Window.orderBy(*_orders(order))))
-
-
 def pick_one(df: DataFrame, order, seed: int, lo: int = 1, hi: int = 10) -> DataFrame:
     """One row at a seeded random offset ``lo..hi`` of the ordered rows."""
     import random

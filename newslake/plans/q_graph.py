@@ -43,8 +43,8 @@ def _tree(spark, base):
 SELECT topic, topic_count, tag, tag_count, link, link_count, hit_id FROM tree
 """, "docs", "now_t"))
 def q_cooccurrence(spark, base):
-    """Topic -> tag -> link buckets (top 10 each) of the last
-    month's docs with one representative doc per link."""
+    """E10 / K1 / K2 (+F1, F2): topic -> tag -> link buckets (top 10 each)
+    of the last month's docs with one representative doc per link."""
     return _tree(spark, base).select("topic", "topic_count", "tag", "tag_count", "link", "link_count", "hit_id")
 
 

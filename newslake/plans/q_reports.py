@@ -69,7 +69,9 @@ paged AS (SELECT *, {OVERALL} AS overall_score FROM base ORDER BY updated DESC,
 SELECT {FEED_COLS} FROM paged WHERE overall_score >= 0.1
 """, "docs", "now_t"))
 def q_ranked_feed(spark, base):
-    """L1: the ranked feed of the last 7 days (flagship report)."""
+    """L1: the ranked feed of the last 7 days (flagship report): C6 window,
+    G1 newest first, G4 paging, I24 overall score, C16 threshold, I9-I11
+    display fallbacks, I29 categories and rights."""
     docs, now = _now(spark, base)
     return R.ranked_feed(docs, FX.models(spark), now)
 
@@ -249,7 +251,8 @@ WHERE updated >= now_t.now - INTERVAL 1 DAY AND updated < now_t.now AND text IS
 ORDER BY {BEST} DESC NULLS LAST, updated DESC, id LIMIT 10
 """, "docs", "now_t"))
 def q_recent_docs(spark, base):
-    """L2 (+G2, G4): the day's docs with text, best topic first, 10 rows."""
+    """L2 (+C2 has text, G2, G4): the day's docs with text, best topic
+    first, 10 rows."""
     docs, now = _now(spark, base)
     out = R.recent_docs(docs, FX.models(spark), now, gte="now-1d", size=10)
     return out.select("id", R.dates.to_iso_z("updated").alias("updated"), W.best_topic_key().alias("best_score"))

@@ -24,6 +24,10 @@ from newslake.plans.oracle import sql_doc_id, with_fixtures
 from newslake.session import ensure_checkpoint_dir
 from newslake.sources import feeds as FD
 from newslake.sources import fixtures as FX
+from newslake.plans.q_text import sql_clean, sql_visible
+
+# The text writer ends every file with a newline; that node survives trim.
+CLEAN = sql_clean(sql_visible("(html || chr(10))"))
 
 ISO = "strftime(updated, '%Y-%m-%dT%H:%M:%SZ')"
 
@@ -92,6 +96,24 @@ def q_training_files(spark, base):
     return back.groupBy("model", "topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("landed_documents", with_fixtures(f"""
+SELECT page_id, 'text/html' AS content_type,
+       CAST(length({CLEAN}) AS INTEGER) AS text_len,
+       CASE WHEN length(trim({CLEAN})) > 0 THEN 'successful' ELSE 'error: empty text' END AS outcome
+FROM pages
+"""))
+def q_landed_documents(spark, base):
+    """Landed responses (each page's HTML written as one file) scanned as
+    binary files, typed by their first bytes, decoded and cleaned (I17)."""
+    pages = FX.pages(spark, base)
+    path = _scratch(spark, "landed")
+    pages.select("page_id", "html").write.partitionBy("page_id").text(path)
+    docs = FD.read_documents(spark, path, "*.txt")
+    page_id = F.regexp_extract("link", r"page_id=([0-9]+)", 1).cast("bigint")
+    return docs.select(page_id.alias("page_id"), "content_type",
+                       F.length("text").alias("text_len"), "outcome")
+
+
 @register("ingest_all", with_fixtures(f"""
 SELECT format, count(*) AS n FROM (
   SELECT 'rss' AS format FROM docs
@@ -115,7 +137,8 @@ def q_ingest_all(spark, base):
 SELECT doc_id, CAST(1.0 AS DOUBLE) AS score, origin, lang FROM docs WHERE author IS NULL
 """, "docs"))
 def q_projections(spark, base):
-    """C10 (constant score filter) + C17 (include / exclude fields)."""
+    """C10 (constant score filter on C2 ``missing(author)``) + C17 (include /
+    exclude fields)."""
     docs = FX.docs(spark, base)
     kept = P.constant_score(docs, P.missing("author"))
     return P.project(kept, ["doc_id", "score", "origin", "lang", "text"], exclude=["text"])

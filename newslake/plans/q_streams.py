@@ -93,6 +93,31 @@ def q_stream_content(spark, base):
     return view.select("id", "outcome", F.length("text").alias("text_len"))
 
 
+@register("stream_feeds", with_fixtures("""
+SELECT id, link, title, array_to_string(tags, ',') AS tags, origin,
+       strftime(updated, '%Y-%m-%dT%H:%M:%SZ') AS updated
+FROM docs
+""", "docs"))
+def q_stream_feeds(spark, base):
+    """M1 (+A1, A2, M7): the docs landed as RSS files (Spark's XML writer),
+    collected by a file stream with bounded batches and normalised."""
+    from newslake.functions import dates as D
+    docs = FX.docs(spark, base)
+    items = docs.select(
+        "title", "link", F.col("lang").alias("description"), "author",
+        F.date_format("updated", "yyyy-MM-dd'T'HH:mm:ss").alias("pubDate"), F.col("tags").alias("category"),
+        F.struct(F.concat(F.lit("https://"), F.col("origin"), F.lit(".example.com/feed")).alias("_url"),
+                 F.col("origin").alias("_VALUE")).alias("source"))
+    ck = S.checkpoint_path(spark, "feeds")
+    items.repartition(4).write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(ck + "/landed")
+    stream = S.feed_stream(spark, ck + "/landed", F.col("source._VALUE"), "item", max_files=1,
+                           now=F.lit(None).cast("timestamp_ntz"))
+    S.run_available(stream.withColumn("o", F.struct(F.lit(0))), ck + "/out", ck + "/ckpt", output_mode="append")
+    out = S.read_batches(spark, ck + "/out")
+    return out.select("id", "link", "title", F.array_join("tags", ",").alias("tags"), "origin",
+                      D.to_iso_z("updated").alias("updated"))
+
+
 @register("stream_predict")
 def q_stream_predict(spark, base):
     """M3: a topic model fitted in batch, applied to a document stream."""

@@ -156,7 +156,8 @@ SELECT page_id,
 FROM pages
 """))
 def q_url_filters(spark, base):
-    """C11-C13 with custom exclusion lists (spam hosts, ``.html`` pages)."""
+    """C11-C13 + N4: configured exclusion lists (spam hosts, ``.html``
+    pages) instead of the defaults."""
     p = FX.pages(spark, base)
     ok = (U.is_valid_url("link") & U.not_excluded_uri("link", [r"cheap-pills", r"spam-farm"])
           & U.not_excluded_type("link", None, [r"\.html"]))

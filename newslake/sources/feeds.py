@@ -174,13 +174,14 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     """Landed responses. Type guessed from magic bytes / extension;
     HTML-like text decoded, cleaned (I17); empty text is an error."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    head = F.lower(F.decode(F.substring("content", 1, 512), "UTF-8"))
+    # Bytes -> text without failing on invalid UTF-8 (replaced by U+FFFD).
+    body = F.make_valid_utf8(F.col("content").cast("string"))
+    head = F.lower(F.substring(body, 1, 512))
     kind = (F.when(F.substring("content", 1, 4) == F.lit(bytearray(b"%PDF")), F.lit("application/pdf"))
             .when(head.contains("<html") | head.contains("<!doctype html"), F.lit("text/html"))
             .when(F.trim(head).startswith("{") | F.trim(head).startswith("["), F.lit("application/json"))
             .when(F.lower("path").endswith(".csv"), F.lit("text/csv"))
             .otherwise(F.lit("text/plain")))
-    body = F.decode("content", "UTF-8")
     text = F.when(kind == "text/html", TX.visible_text(body)).when(kind != "application/pdf", body)
     out = raw.select(F.col("path").alias("link"), kind.alias("content_type"),
                      TX.clean_extracted(text).alias("text"), F.col("length"))

@@ -44,12 +44,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.load(path)
 
 
-def feed_stream(spark: SparkSession, path: str, origin: str, row_tag: str = "item",
-                max_files: int = MAX_FILES_PER_TRIGGER) -> DataFrame:
-    """M1: landed RSS/Atom files as a stream of normalised docs (A1, A2)."""
+def feed_stream(spark: SparkSession, path: str, origin, row_tag: str = "item",
+                max_files: int = MAX_FILES_PER_TRIGGER, now=None) -> DataFrame:
+    """M1: landed RSS/Atom files as a stream of normalised docs (A1, A2).
+    ``origin`` is a source id or a Column of the entry."""
     schema = FD.RSS_ITEM_SCHEMA if row_tag == "item" else FD.ATOM_ENTRY_SCHEMA
-    raw = file_stream(spark, path, schema, "xml", max_files, rowTag=row_tag)
-    return FD.normalize_entries(raw, origin, F.current_timestamp().cast("timestamp_ntz"), row_tag)
+    raw = file_stream(spark, path, schema, "xml", max_files, rowTag=row_tag, ignoreSurroundingSpaces="false")
+    now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
+    return FD.normalize_entries(raw, origin, now, row_tag)
 
 
 def dedup_first_seen(stream: DataFrame, key: str = "id", ts: str = "updated",
@@ -105,7 +107,8 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_across_batches(df: DataFrame, keys: list[str]) -> DataFrame:
     """The store view of an update-mode sink: per key, the row of the last
-    batch (then the highest order inside it)."""
+    batch (then the highest order inside it). M8: arrival order wins,
+    whatever the row's ``updated`` says."""
     return windows.first_per(df, keys, [F.col("batch_id").desc(), F.col("o").desc()]).drop("batch_id", "o")
 
 
