@@ -28,8 +28,9 @@ SELECT doc_id, voter, score FROM votes
 QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY ts DESC, event_id DESC) = 1
 """, "votes"))
 def q_stream_votes(spark, base):
-    """M5: votes as a stream; the last vote per (doc, voter) is streaming
-    state (update mode), written per batch and read back as the store view."""
+    """M5 (+M8): votes as a stream; the last vote per (doc, voter) is
+    streaming state (update mode), written per batch and read back as the
+    store view; arrival order wins."""
     n_docs = FX.read_table(spark, base, "documents").count()
     ev = _stream(spark, base, "events")
     votes = (ev.filter(F.col("event_type").isin(list(FX.VOTE_SCORES)))

@@ -12,23 +12,28 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "newslake", driver_memory: str = "16g") -> SparkSession:
     """Local or cluster session with AQE on and the UI off.
 
-    On a cluster the master and most settings come from spark-submit; the
-    values here only fill what is unset.
+    On a cluster (no ``master`` given) the master, memory and the number of
+    shuffle partitions come from spark-submit / the cluster defaults (size
+    them so a shuffle partition is a few hundred MB; AQE coalesces small
+    ones). Local runs get 8 shuffle partitions and a large driver heap.
     """
     builder = SparkSession.builder.appName(app_name)
+    local = bool(master) and master.startswith("local")
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
-            # Local mode: the driver JVM is also the only executor.
-            builder = builder.config("spark.driver.memory", driver_memory)
+    if local:
+        # Local mode: the driver JVM is also the only executor.
+        builder = builder.config("spark.driver.memory", driver_memory)
+        shuffle_partitions = shuffle_partitions or 8
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -227,7 +227,8 @@ def materialize_docs_sorted(df: DataFrame, path: str, partitions: int | None = N
     bounded number of files, and no sampling pass is needed (unlike a range
     partitioning). Sorted files give tight min/max ``updated`` per row group,
     so time-range filters skip row groups."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4)))
     (df.repartition(n, F.col("origin"), salt).sortWithinPartitions("origin", "updated")
      .write.mode("overwrite").partitionBy("origin").parquet(path))
\ No newline at end of file
