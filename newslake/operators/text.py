@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newslake.functions import text as T, urls as U
 from newslake.functions._util import as_col
 from newslake.operators import windows
-from newslake.operators.broadcast import bounded_broadcast
 from newslake.operators.partitioning import spread
 
 # Block-level tags that start a text block, block thresholds.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from newslake.operators import graph as G
 from newslake.plans.catalog import register
 from newslake.plans.oracle import with_fixtures

@@ -13,7 +13,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from newslake.functions import dates as D
 from newslake.functions import text as T
 from newslake.functions import urls as U
 from newslake.operators import predicates as P

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from newslake.functions import text as T
 from newslake.functions import urls as U
 from newslake.operators import text as X
-from newslake.operators import writes as WR
 from newslake.plans.catalog import register
 from newslake.plans.oracle import sql_doc_id, with_fixtures
 from newslake.sources import fixtures as FX

@@ -162,3 +162,12 @@ def test_train_net_and_trees(spark):
         pred = TP.predict_topics(df.limit(5), {"m": model}).collect()
         assert all(len(r["topics"]) == 2 for r in pred)
         assert TP.labels_of(model) == ["a", "b"]
+
+
+def test_spread_only_widens_narrow_inputs(spark):
+    from newslake.operators.partitioning import spread
+    target = spark.sparkContext.defaultParallelism
+    narrow = spark.range(100).coalesce(1)
+    assert spread(narrow).rdd.getNumPartitions() == target
+    wide = spark.range(100).repartition(target + 3)
+    assert spread(wide).rdd.getNumPartitions() == target + 3
