@@ -306,9 +306,10 @@ def parse_command(text) -> Column:
     command = F.when(known, cmd)
     url = F.nullif(F.regexp_extract(rest, r"^(https?://\S+)", 1), F.lit(""))
     after_url = F.trim(F.regexp_extract(rest, r"(?s)^https?://\S+\s*(.*)$", 1))
-    keywords = F.when(command == "teach",
-                      F.filter(F.transform(F.split(after_url, ","), lambda k: F.trim(k)),
-                               lambda k: F.length(k) > 0))
+    # Taught keywords: the remainder after the URL, stripped of surrounding
+    # whitespace, split on commas (elements kept as given).
+    stripped = F.regexp_replace(after_url, r"^\s+|\s+$", "")
+    keywords = F.when(command == "teach", F.split(stripped, ","))
     target = (F.when(command.isin("follow", "watch"), F.nullif(rest, F.lit("")))
               .when(command.isin("teach", "subscribe"), url))
     valid = (F.when(command.isNull(), F.lit(False))

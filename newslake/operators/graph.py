@@ -62,7 +62,7 @@ def _visits(tree: DataFrame) -> DataFrame:
     link_id = F.coalesce(F.col("title"), F.col("hit_id"))
     return tree.select("topic", "tag", "link", "topic_rank", "tag_rank", "link_rank", "author",
                        "source_type", "summary", src.alias("src"), link_id.alias("link_id"),
-                       F.col("title").alias("link_label"))
+                       link_id.alias("link_label"))
 
 
 def _order(r4: int) -> Column:

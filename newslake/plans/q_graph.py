@@ -52,7 +52,7 @@ ev AS (
          topic_rank AS r1, 0 AS r2, 0 AS r3, 0 AS r4 FROM (SELECT DISTINCT topic, topic_rank FROM tree)
   UNION ALL SELECT tag, tag, 'cross', 1, 'tag', NULL, topic_rank, tag_rank, 0, 0
          FROM (SELECT DISTINCT topic_rank, tag, tag_rank FROM tree)
-  UNION ALL SELECT link_id, title, NULL, 2, source_type, link, topic_rank, tag_rank, link_rank, 1 FROM tree
+  UNION ALL SELECT link_id, link_id, NULL, 2, source_type, link, topic_rank, tag_rank, link_rank, 1 FROM tree
   UNION ALL SELECT src, src, 'diamond', 1, 'source', NULL, topic_rank, tag_rank, link_rank, 2 FROM tree
   UNION ALL SELECT author, author, 'square', 1, 'author', NULL, topic_rank, tag_rank, link_rank, 3
          FROM tree WHERE author IS NOT NULL)

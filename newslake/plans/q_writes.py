@@ -337,7 +337,7 @@ c AS (SELECT *, CASE WHEN cmd IN ('subscribe', 'follow', 'watch', 'teach', 'dige
       FROM p)
 SELECT message_id, command,
        CASE WHEN command IN ('follow', 'watch') THEN NULLIF(rest, '') WHEN command IN ('teach', 'subscribe') THEN url END AS target,
-       CASE WHEN command = 'teach' THEN array_to_string(list_filter(list_transform(string_split(after_url, ','), lambda k: trim(k)), lambda k: length(k) > 0), '|') END AS keywords,
+       CASE WHEN command = 'teach' THEN array_to_string(string_split(regexp_replace(after_url, '^\\s+|\\s+$', '', 'g'), ','), '|') END AS keywords,
        CASE WHEN command IS NULL THEN false
             WHEN command = 'follow' THEN coalesce(starts_with(rest, '@'), false)
             WHEN command IN ('watch', 'teach', 'subscribe') THEN (CASE WHEN command IN ('follow', 'watch') THEN NULLIF(rest, '') ELSE url END) IS NOT NULL
@@ -355,7 +355,7 @@ def q_chat_commands(spark, base):
 @register("chat_docs", with_fixtures(f"""
 SELECT {sql_doc_id("'https://x.example.com/' || CAST(chat_id AS VARCHAR)")} AS id,
        'https://x.example.com/' || CAST(chat_id AS VARCHAR) AS link, first_name || ' ' AS source,
-       array_to_string(list_filter(list_transform(string_split(trim(regexp_extract(text, '(?s)^/\\S+\\s+https?://\\S+\\s*(.*)$', 1)), ','), lambda k: trim(k)), lambda k: length(k) > 0), '|') AS tags,
+       array_to_string(string_split(regexp_replace(trim(regexp_extract(text, '(?s)^/\\S+\\s+https?://\\S+\\s*(.*)$', 1)), '^\\s+|\\s+$', '', 'g'), ','), '|') AS tags,
        {sql_doc_id("'telegram'")} AS origin, 'telegram' AS format
 FROM chat WHERE turn % 3 = 0
 """, "chat"))
