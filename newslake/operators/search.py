@@ -64,8 +64,8 @@ def term_stats(corpus: DataFrame, fields: list[str] | None = None) -> tuple[Data
     filters on a small table instead of a pass over every text."""
     from newslake.operators.partitioning import spread
     fields = fields or ["text"]
-    tok = tokens(searchable(corpus, fields))
-    per_doc = spread(corpus).select(F.array_distinct(tok).alias("terms"), F.size(tok).alias("dl"))
+    tokd = spread(corpus).select(tokens(searchable(corpus, fields)).alias("__tok"))
+    per_doc = tokd.select(F.array_distinct("__tok").alias("terms"), F.size("__tok").alias("dl"))
     terms = per_doc.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return terms, totals
@@ -97,10 +97,11 @@ def bm25(docs: DataFrame, q: str, fields: list[str] | None = None, corpus: DataF
     corpus = docs if corpus is None else corpus
 
     def with_tf(df):
-        tok = tokens(searchable(df, fields))
+        # Tokens once per row as a column, then one size per term.
+        tok = F.col("__tok")
         cols = [F.size(tok).alias("__dl")]
         cols += [F.size(F.filter(tok, _equals(term))).alias(f"__tf{i}") for i, term in enumerate(terms)]
-        return df.select("*", *cols)
+        return df.withColumn("__tok", tokens(searchable(df, fields))).select("*", *cols).drop("__tok")
 
     stats_src = with_tf(corpus.select(*fields))
     stats = stats_src.agg(F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avgdl"),
@@ -130,9 +131,11 @@ def _bm25_with(docs, terms, fields, stats, score_col, mode, k1, b) -> DataFrame:
     # One lookup of the query terms in the term table (a pushed IN filter).
     dfs = terms_df.filter(F.col("term").isin(terms)).select(
         F.map_from_entries(F.collect_list(F.struct("term", "df")))).scalar()
-    tok = tokens(searchable(docs, fields))
-    scored = docs.select("*", F.size(tok).alias("__dl"),
-                         *[F.size(F.filter(tok, _equals(t))).alias(f"__tf{i}") for i, t in enumerate(terms)])
+    tok = F.col("__tok")
+    scored = (docs.withColumn("__tok", tokens(searchable(docs, fields)))
+              .select("*", F.size(tok).alias("__dl"),
+                      *[F.size(F.filter(tok, _equals(t))).alias(f"__tf{i}") for i, t in enumerate(terms)])
+              .drop("__tok"))
     total = F.lit(0.0)
     for i, t in enumerate(terms):
         df_i = F.coalesce(F.try_element_at(dfs, F.lit(t)), F.lit(0))

@@ -112,9 +112,14 @@ def words(c) -> Column:
     return F.filter(F.split(F.lower(as_col(c)), WORD_SPLIT), lambda t: F.length(t) > 0)
 
 
-def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lang",
+                          path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Word counts per language and a per-language table (log prior, log of
-    the smoothed denominator). Returns (profile, languages)."""
+    the smoothed denominator). Returns (profile, languages).
+
+    With ``path`` the fitted model is written there (like any trained model)
+    and read back: scoring then starts from stored tables, whose row counts
+    are known cheaply, and the lineage to the training corpus is cut."""
     labelled = spread(train).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     profile = (labelled.select(F.col(lang).alias("lang"), F.explode(words(text)).alias("token"))
                .groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")))
@@ -125,36 +130,51 @@ def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lan
     langs = docs_per.join(tokens_per, "lang").select(
         "lang", F.log(F.col("docs") / n_docs).alias("log_prior"),
         F.log(F.col("tokens") + vocab).alias("log_denom"))
+    if path:
+        spark = train.sparkSession
+        profile.write.mode("overwrite").parquet(path + "/profile")
+        langs.write.mode("overwrite").parquet(path + "/langs")
+        return spark.read.parquet(path + "/profile"), spark.read.parquet(path + "/langs")
     return profile, langs
 
 
-def detect_language(df: DataFrame, profile: DataFrame, langs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def detect_language(df: DataFrame, profile: DataFrame, langs: DataFrame, key: str, text: str = "text",
+                    max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Most probable language per row (``""`` when the text is empty).
 
-    score(L) = log prior(L) - len * log(N_L + V) + sum_w c(w) * log(n(w, L) + 1)
-    The sum runs over words seen in L only (join on the word); the per-
-    language constants come from the small ``langs`` table as one array."""
-    df = spread(df)
-    toks = df.select(key, F.explode(words(text)).alias("token"))
-    counts = toks.groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
-    seen = (counts.join(profile, "token")
-            .groupBy(key, "lang").agg(F.sum(F.col("c") * F.log(F.col("n") + 1)).alias("s")))
-    per_doc = seen.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("m"))
-    # The language table has one row per language (bounded by the number of
-    # languages, checked): it becomes a literal array of the plan.
+    score(L) = log prior(L) - len * log(N_L + V) + sum over words seen in L
+    of log(n(w, L) + 1), one term per occurrence.
+
+    One pass over the texts: every word occurrence is joined to the profile
+    (broadcast when its row count is under ``max_broadcast_rows``, checked)
+    and summed per (row, language) in a single aggregation whose map-side
+    step collapses each text to one row -- the shuffle carries one number
+    per language per text, not words."""
     rows = langs.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError("too many languages for a literal table")
-    lang_arr = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(float(r["log_prior"])).alias("log_prior"),
-                                  F.lit(float(r["log_denom"])).alias("log_denom")) for r in rows])
-    base = df.select(key, F.size(words(text)).alias("dl")).join(per_doc, key, "left")
-
-    def score(l):
-        return l["log_prior"] - F.col("dl") * l["log_denom"] + F.coalesce(F.try_element_at(F.col("m"), l["lang"]), F.lit(0.0))
-    scored = F.transform(lang_arr, lambda l: F.struct(score(l).alias("score"), l["lang"].alias("lang")))
+    names = [r["lang"] for r in rows]
+    prof = profile
+    if prof.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        prof = F.broadcast(prof)
+    # Words are computed once into a column: the explode and the length both
+    # read it (an inlined expression would be re-evaluated per exploded row).
+    tokd = spread(df).select(key, words(text).alias("__w"))
+    toks = tokd.select(key, F.size("__w").alias("dl"), F.explode_outer("__w").alias("token"))
+    seen = toks.join(prof, "token", "left")
+    weight = F.log(F.col("n") + 1)
+    per_doc = seen.groupBy(key).agg(
+        F.max("dl").alias("dl"),
+        *[F.coalesce(F.sum(F.when(F.col("lang") == name, weight)), F.lit(0.0)).alias(f"__s{i}")
+          for i, name in enumerate(names)])
+    cands = F.array(*[F.struct(
+        (F.lit(float(r["log_prior"])) - F.col("dl") * F.lit(float(r["log_denom"])) + F.col(f"__s{i}")).alias("score"),
+        F.lit(r["lang"]).alias("lang")) for i, r in enumerate(rows)])
+    # Arg-max as a fold over the (few) languages in name order: the first of
+    # equal scores wins.
     init = F.struct(F.lit(float("-inf")).alias("score"), F.lit("").alias("lang"))
-    best = F.aggregate(scored, init, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
-    return base.select(key, F.when(F.col("dl") > 0, best["lang"]).otherwise(F.lit("")).alias("detected"))
+    best = F.aggregate(cands, init, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
+    return per_doc.select(key, F.when(F.col("dl") > 0, best["lang"]).otherwise(F.lit("")).alias("detected"))
 
 
 # ---------------------------------------------------------------------------

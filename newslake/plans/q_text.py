@@ -304,10 +304,15 @@ SELECT page_id, CASE WHEN dl > 0 THEN lang ELSE '' END AS detected FROM sc
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, lang) = 1
 """))
 def q_language_detect(spark, base):
-    """Word naive-Bayes profiles fitted on the labelled documents,
-    applied to the visible text of every page."""
+    """Word naive-Bayes profiles fitted on the labelled documents (the
+    fitted model stored under the checkpoint dir), applied to the visible
+    text of every page."""
+    import os
+    import uuid
+    from newslake.session import ensure_checkpoint_dir
     docs = FX.read_table(spark, base, "documents")
-    profile, langs = X.fit_language_profiles(docs)
+    model_path = os.path.join(ensure_checkpoint_dir(spark), "models", f"lang-{uuid.uuid4().hex[:12]}")
+    profile, langs = X.fit_language_profiles(docs, path=model_path)
     from newslake.operators.partitioning import spread
     target = spread(FX.pages(spark, base)).select("page_id", T.visible_text("html").alias("text"))
     return X.detect_language(target, profile, langs, "page_id")
