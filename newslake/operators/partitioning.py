@@ -12,14 +12,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+# Plan nodes that already give the data a shuffle-sized parallelism (or would
+# make ``rdd`` execute stages eagerly under AQE): spreading is skipped.
+_SHUFFLING = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Subquery", "Generate", "Expand",
+              "Union", "Distinct", "Deduplicate")
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over ``min_partitions`` (default: the default
-    parallelism) when it has fewer partitions; otherwise return it as is."""
+    parallelism) when it is a plain scan with fewer splits; otherwise return
+    it as is.
+
+    Only scan-only plans are inspected: for them ``rdd.getNumPartitions()``
+    lists file splits without running anything. Plans with an exchange or a
+    subquery are returned untouched (their parallelism comes from the
+    shuffle, and inspecting them would execute stages)."""
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - plans that cannot be inspected stay as they are
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - not a classic DataFrame: leave it
+        return df
+    if any(node in plan for node in _SHUFFLING):
         return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
     return df.repartition(target) if n < target else df

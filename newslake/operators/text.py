@@ -123,6 +123,15 @@ def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lan
     labelled = spread(train).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     profile = (labelled.select(F.col(lang).alias("lang"), F.explode(words(text)).alias("token"))
                .groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")))
+    spark = train.sparkSession
+    # The profile is materialised once (a stored model, or a reliable
+    # checkpoint in the shared checkpoint dir); the statistics below read it
+    # instead of re-aggregating the corpus.
+    if path:
+        profile.write.mode("overwrite").parquet(path + "/profile")
+        profile = spark.read.parquet(path + "/profile")
+    else:
+        profile = profile.checkpoint(eager=True)
     vocab = profile.select(F.count_distinct("token")).scalar()
     n_docs = labelled.select(F.count(F.lit(1))).scalar()
     docs_per = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
@@ -131,10 +140,8 @@ def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lan
         "lang", F.log(F.col("docs") / n_docs).alias("log_prior"),
         F.log(F.col("tokens") + vocab).alias("log_denom"))
     if path:
-        spark = train.sparkSession
-        profile.write.mode("overwrite").parquet(path + "/profile")
         langs.write.mode("overwrite").parquet(path + "/langs")
-        return spark.read.parquet(path + "/profile"), spark.read.parquet(path + "/langs")
+        langs = spark.read.parquet(path + "/langs")
     return profile, langs
 
 
