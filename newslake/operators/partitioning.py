@@ -35,6 +35,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         return df
     if any(node in plan for node in _SHUFFLING):
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return df
     return df.repartition(target) if n < target else df
