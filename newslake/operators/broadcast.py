@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Registries (topics, models, voters of one request...) above this many rows
+# Registries (topics, models, voters of one request...) above these bounds
 # are joined by shuffle instead of broadcast.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else return it
-    unchanged so the planner shuffles (AQE may still pick a broadcast from
-    runtime sizes, which is also a checked bound).
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (exact for local data, file sizes for
+    scans; None when it cannot be read)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001
+        return None
 
-    The check is one ``limit(max_rows + 1).count()`` on the small side: it
-    stops reading as soon as the bound is exceeded.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when ``df`` is known to be small: by the planner's size estimate
+    (no job), else by counting at most ``max_rows + 1`` rows."""
+    size = plan_size_bytes(df)
+    if size is not None and size <= max_bytes:
+        return True
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if it is checked to be small (see ``is_bounded``),
+    else return it unchanged so the planner shuffles (AQE may still pick a
+    broadcast from runtime sizes, which is also a checked bound)."""
+    return F.broadcast(df) if is_bounded(df, max_rows, max_bytes) else df

@@ -33,7 +33,7 @@ tree AS (SELECT t3.*, t2.tag_rank, t2.tag_count, t1.topic_rank, t1.topic_count,
 
 def _tree(spark, base):
     docs = FX.docs(spark, base)
-    scope = G.graph_scope(docs, FX.clock(docs))
+    scope = G.graph_scope(docs, FX.clock_for(spark, base))
     return G.bucket_tree(scope, 10, 10, 10)
 
 

@@ -56,7 +56,7 @@ scored AS (SELECT tf.* EXCLUDE (tok), {parts} AS score FROM tf CROSS JOIN st WHE
 
 def _now(spark, base):
     docs = FX.docs(spark, base)
-    return docs, FX.clock(docs)
+    return docs, FX.clock_for(spark, base)
 
 
 # ---------------------------------------------------------------------------

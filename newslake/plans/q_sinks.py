@@ -44,7 +44,7 @@ def q_atom_export(spark, base):
     """B7 + A1: the week's docs written as Atom entries (XML) and read back
     with the entry schema."""
     docs = FX.docs(spark, base)
-    week = docs.filter(P.in_range("updated", "now-7d", "now", FX.clock(docs)))
+    week = docs.filter(P.in_range("updated", "now-7d", "now", FX.clock_for(spark, base)))
     path = _scratch(spark, "atom")
     WR.export_atom(week, path)
     schema = ("id string, author struct<name:string>, updated string, "
@@ -62,7 +62,7 @@ FROM docs, now_t WHERE updated >= now_t.now - INTERVAL 7 DAY AND updated < now_t
 def q_csv_export(spark, base):
     """CSV with ``|`` separators and back-quote quoting, read back."""
     docs = FX.docs(spark, base)
-    rows = R.csv_rows(R.docs_of_source(docs, FX.clock(docs), None))
+    rows = R.csv_rows(R.docs_of_source(docs, FX.clock_for(spark, base), None))
     path = _scratch(spark, "csv")
     WR.export_csv(rows, path)
     back = (spark.read.option("sep", "|").option("quote", "`").option("header", True)

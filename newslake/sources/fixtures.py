@@ -210,6 +210,9 @@ def now_of(docs_df: DataFrame) -> DataFrame:
         F.timestamp_add("DAY", F.lit(1), F.date_trunc("day", F.max("updated")).cast("timestamp_ntz")).alias("now"))
 
 
+_CLOCKS: dict[str, object] = {}
+
+
 def clock(docs_df: DataFrame):
     """The fixture clock as a Python ``datetime`` (one scalar fetched once):
     report time bounds then fold to literals, reach the Parquet scan as
@@ -218,6 +221,13 @@ def clock(docs_df: DataFrame):
     return now_of(docs_df).first()[0]
 
 
+def clock_for(spark: SparkSession, base: str):
+    """``clock(docs(spark, base))``, fetched once per base directory."""
+    if base not in _CLOCKS:
+        _CLOCKS[base] = clock(docs(spark, base))
+    return _CLOCKS[base]
+
+
 def materialize_docs_sorted(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write a doc table partitioned by source, every file sorted by time.
 
