@@ -14,7 +14,8 @@ def plan_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df`` (exact for local data, file sizes for
     scans; None when it cannot be read)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
     except Exception:  # noqa: BLE001
         return None
 
