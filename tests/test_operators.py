@@ -175,3 +175,24 @@ def test_spread_only_widens_narrow_inputs(spark):
     assert spread(narrow).rdd.getNumPartitions() == target
     shuffled = spark.range(100).repartition(target + 3)
     assert spread(shuffled) is shuffled  # plans with an exchange are left alone
+
+
+def test_topic_stats_edges(spark):
+    """E2 / E7 / G2 with null, empty and tied topics."""
+    from newslake.functions.text import mean_topic_score
+    from newslake.operators import aggregates as A
+    t = "array<struct<label:string,score:double>>"
+    docs = spark.createDataFrame([
+        ("a", "s1", [("x", 50.0), ("y", 50.0)], dt.datetime(2024, 1, 2)),
+        ("b", "s1", [], dt.datetime(2024, 1, 3)),
+        ("c", "s2", None, dt.datetime(2024, 1, 4)),
+        ("d", "s2", [("x", 10.0)], dt.datetime(2024, 1, 1)),
+        ("e", "s2", [("x", 50.0)], dt.datetime(2024, 1, 2)),
+    ], f"id string, origin string, topics {t}, updated timestamp_ntz")
+    stats = {(r["origin"], r["label"]): (r["doc_count"], r["label_count"], r["avg_score"])
+             for r in A.topic_stats(docs).collect()}
+    assert stats == {("s1", "x"): (1, 1, 50.0), ("s1", "y"): (1, 1, 50.0), ("s2", "x"): (2, 2, 30.0)}
+    means = {r["id"]: r["m"] for r in docs.select("id", mean_topic_score("topics").alias("m")).collect()}
+    assert means == {"a": 50.0, "b": None, "c": None, "d": 10.0, "e": 50.0}
+    order = [r["id"] for r in W.best_topic_first(docs.withColumn("score", F.lit(1.0))).collect()]
+    assert order == ["a", "e", "d", "c", "b"]  # ties: updated desc, then id
