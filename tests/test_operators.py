@@ -196,3 +196,13 @@ def test_topic_stats_edges(spark):
     assert means == {"a": 50.0, "b": None, "c": None, "d": 10.0, "e": 50.0}
     order = [r["id"] for r in W.best_topic_first(docs.withColumn("score", F.lit(1.0))).collect()]
     assert order == ["a", "e", "d", "c", "b"]  # ties: updated desc, then id
+
+
+def test_conform_schema_defaults_and_extra(spark):
+    from newslake import schema as SC
+    df = spark.createDataFrame([("s1", None, "x")], "id string, active boolean, surprise string")
+    out = SC.conform(df, SC.SOURCES, SC.DEFAULTS["sources"], keep_extra=True)
+    r = out.first()
+    assert out.columns == SC.SOURCES.fieldNames() + ["extra"]
+    assert (r["id"], r["active"], r["predict"], r["enable_content"]) == ("s1", False, True, True)
+    assert r["extra"] == '{"surprise":"x"}'
