@@ -41,7 +41,8 @@ HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
                  ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 # Chat commands understood by the bot.
 CHAT_COMMANDS = ["subscribe", "follow", "watch", "teach", "digest", "help"]
-BOT_NAME = "dfmtelegrambot"
+# The bot's own account name (commands addressed to another bot are ignored).
+BOT_NAME = "newslakebot"
 
 URL_IN_TEXT = r"https?://\S+"
 NON_ASCII = r"[^\x00-\x7F]"
@@ -295,7 +296,7 @@ def document_label(file_name, mime_type, file_size) -> Column:
                            as_col(file_size).cast("string"))
 
 
-def parse_command(text) -> Column:
+def parse_command(text, bot_name: str = BOT_NAME) -> Column:
     """``/cmd[@bot] rest`` -> struct(command, target, keywords, valid).
 
     ``follow`` needs an ``@account``; ``teach`` takes a URL then comma-separated
@@ -306,7 +307,7 @@ def parse_command(text) -> Column:
     cmd = F.lower(F.regexp_extract(t, m, 1))
     bot = F.regexp_extract(t, m, 2)
     rest = F.trim(F.regexp_extract(t, r"(?s)^/\S+\s+(.*)$", 1))
-    for_me = (bot == "") | (bot == BOT_NAME)
+    for_me = (bot == "") | (bot == bot_name)
     known = cmd.isin(CHAT_COMMANDS) & for_me & t.startswith("/")
     command = F.when(known, cmd)
     url = F.nullif(F.regexp_extract(rest, r"^(https?://\S+)", 1), F.lit(""))

@@ -331,7 +331,7 @@ p AS (SELECT message_id, text,
              trim(regexp_extract(text, '(?s)^/\\S+\\s+(.*)$', 1)) AS rest
       FROM chat),
 c AS (SELECT *, CASE WHEN cmd IN ('subscribe', 'follow', 'watch', 'teach', 'digest', 'help')
-                          AND (bot = '' OR bot = 'dfmtelegrambot') AND starts_with(text, '/') THEN cmd END AS command,
+                          AND (bot = '' OR bot = 'newslakebot') AND starts_with(text, '/') THEN cmd END AS command,
              NULLIF(regexp_extract(rest, '^(https?://\\S+)', 1), '') AS url,
              trim(regexp_extract(rest, '(?s)^https?://\\S+\\s*(.*)$', 1)) AS after_url
       FROM p)

@@ -142,7 +142,7 @@ def test_prediction_input_removes_every_url(spark):
 @pytest.mark.parametrize("text,cmd,target,valid", [
     ("/follow @someone", "follow", "@someone", True),
     ("/follow someone", "follow", "someone", False),
-    ("/watch@dfmtelegrambot big news", "watch", "big news", True),
+    ("/watch@newslakebot big news", "watch", "big news", True),
     ("/watch@otherbot big news", None, None, False),
     ("/teach https://x.example/a k1, k2", "teach", "https://x.example/a", True),
     ("/digest", "digest", None, True),
