@@ -13,7 +13,8 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "newslake", driver_memory: str = "16g") -> SparkSession:
+                app_name: str = "newslake", driver_memory: str = "16g",
+                conf: dict[str, str] | None = None) -> SparkSession:
     """Local or cluster session with AQE on and the UI off.
 
     On a cluster (no ``master`` given) the master, memory and the number of
@@ -31,6 +32,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         shuffle_partitions = shuffle_partitions or 8
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
