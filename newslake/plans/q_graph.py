@@ -7,9 +7,16 @@ from newslake.plans.catalog import register
 from newslake.plans.oracle import with_fixtures
 from newslake.sources import fixtures as FX
 
-_TREE = """
+_SCOPE = """
 scope AS (SELECT docs.* FROM docs, now_t WHERE text IS NOT NULL
-          AND updated >= date_trunc('day', now_t.now - INTERVAL 1 MONTH) AND updated < date_trunc('day', now_t.now)),
+          AND updated >= date_trunc('day', now_t.now - INTERVAL 1 MONTH) AND updated < date_trunc('day', now_t.now)),"""
+_TOK = ("list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), "
+        "coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 0)")
+_SCOPE_Q = f"""
+scope AS (SELECT docs.* FROM docs, now_t WHERE text IS NOT NULL
+          AND updated >= date_trunc('day', now_t.now - INTERVAL 1 MONTH) AND updated < date_trunc('day', now_t.now)
+          AND (list_contains({_TOK}, 'anea') OR list_contains({_TOK}, 'attion'))),"""
+_TREE_BODY = """
 t1 AS (SELECT topic, count(*) AS topic_count,
               row_number() OVER (ORDER BY count(*) DESC, topic) AS topic_rank
        FROM (SELECT unnest(list_transform(topics, lambda x: x.label)) AS topic FROM scope) GROUP BY topic
@@ -29,11 +36,12 @@ tree AS (SELECT t3.*, t2.tag_rank, t2.tag_count, t1.topic_rank, t1.topic_count,
                 coalesce(d.title, t3.hit_id) AS link_id
          FROM t3 JOIN t2 USING (topic, tag) JOIN t1 USING (topic) JOIN scope d ON d.id = t3.hit_id)
 """
+_TREE = _SCOPE + _TREE_BODY
 
 
-def _tree(spark, base):
+def _tree(spark, base, q=None):
     docs = FX.docs(spark, base)
-    scope = G.graph_scope(docs, FX.clock_for(spark, base))
+    scope = G.graph_scope(docs, FX.clock_for(spark, base), q=q)
     return G.bucket_tree(scope, 10, 10, 10)
 
 
@@ -81,3 +89,26 @@ FROM ev QUALIFY row_number() OVER (PARTITION BY id ORDER BY r1, r2, r3, r4) = 1
 def q_graph_edges(spark, base):
     """K4: weighted edges (topic-link 10 per visit, tag-link 5 then +1)."""
     return G.graph_edges(_tree(spark, base))
+
+
+_EDGES = """,
+ev AS (
+  SELECT src || '_' || author AS id, src AS source, author AS target, 'source_author' AS kind, 1 AS inc,
+         topic_rank AS r1, tag_rank AS r2, link_rank AS r3, 1 AS r4 FROM tree WHERE author IS NOT NULL
+  UNION ALL SELECT src || '_' || link_id, src, link_id, 'source_link', 1, topic_rank, tag_rank, link_rank, 1
+         FROM tree WHERE author IS NULL
+  UNION ALL SELECT author || '_' || link_id, author, link_id, 'author_link', 1, topic_rank, tag_rank, link_rank, 2
+         FROM tree WHERE author IS NOT NULL
+  UNION ALL SELECT topic || '_' || link_id, topic, link_id, 'topic_link', 10, topic_rank, tag_rank, link_rank, 3 FROM tree
+  UNION ALL SELECT tag || '_' || link_id, tag, link_id, 'tag_link', 1, topic_rank, tag_rank, link_rank, 4 FROM tree)
+SELECT id, source, target,
+       CAST(sum(inc) OVER (PARTITION BY id) + CASE WHEN kind = 'tag_link' THEN 4 ELSE 0 END AS BIGINT) AS weight
+FROM ev QUALIFY row_number() OVER (PARTITION BY id ORDER BY r1, r2, r3, r4) = 1
+"""
+
+
+@register("graph_edges_search", with_fixtures(_SCOPE_Q + _TREE_BODY + _EDGES, "docs", "now_t"))
+def q_graph_edges_search(spark, base):
+    """K1 (text query) + K2 + K4: the graph of the month's docs that match
+    ``anea attion`` (any term)."""
+    return G.graph_edges(_tree(spark, base, q="anea attion"))

@@ -258,6 +258,22 @@ def q_recent_docs(spark, base):
     return out.select("id", R.dates.to_iso_z("updated").alias("updated"), W.best_topic_key().alias("best_score"))
 
 
+@register("recent_docs_model_search", with_fixtures("""
+base AS (SELECT docs.* FROM docs, now_t
+         WHERE updated >= now_t.now - INTERVAL 3 DAY AND updated < now_t.now AND text IS NOT NULL
+           AND list_has_any(list_transform(topics, lambda t: t.label), ['click', 'view'])),
+""" + sql_bm25("base", ["anea", "attion"]) + f"""
+SELECT id, round(score, 6) AS score FROM scored
+ORDER BY {BEST} DESC NULLS LAST, updated DESC, score DESC, id LIMIT 10
+""", "docs", "now_t"))
+def q_recent_docs_model_search(spark, base):
+    """L2 + D3 + C9/J8: the last 3 days' docs of model ``alpha`` matching a
+    text query, best topic first, then newest, then relevance."""
+    docs, now = _now(spark, base)
+    out = R.recent_docs(docs, _alpha_models(spark), now, q="anea attion", model="alpha", gte="now-3d", size=10)
+    return out.select("id", F.round("score", 6).alias("score"))
+
+
 @register("recent_docs_filtered", with_fixtures(f"""
 SELECT id, {ISO} AS updated FROM docs, now_t
 WHERE updated >= now_t.now - INTERVAL 3 DAY AND updated < now_t.now AND text IS NOT NULL
