@@ -197,6 +197,15 @@ def extract_rules(text, rules: dict[str, str] | None = None) -> list[Column]:
     return [extract_rule(text, pat).alias(name) for name, pat in rules.items()]
 
 
+def rules_map(text, rules: dict[str, str] | None = None) -> Column:
+    """I18 as the model's ``rules`` field: MAP<rule name, ARRAY<match>>."""
+    rules = DEFAULT_EXTRACTION_RULES if rules is None else rules
+    pairs = []
+    for name, pat in rules.items():
+        pairs += [F.lit(name), extract_rule(text, pat)]
+    return F.create_map(*pairs)
+
+
 def prediction_input(title, summary, text) -> Column:
     """Title, summary and text joined by CRLF with every URL removed."""
     return strip_urls(F.concat_ws(CRLF, as_col(title), as_col(summary), as_col(text)))

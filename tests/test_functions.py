@@ -167,3 +167,9 @@ def test_url_predicates(spark):
 def test_domain_fallback(spark):
     df = spark.createDataFrame([("https://a.b/c", "s"), ("no-url", "src")], "l string, s string")
     assert [r[0] for r in df.select(U.domain("l", "s")).collect()] == ["a.b", "src"]
+
+
+def test_rules_map(spark):
+    df = spark.createDataFrame([("CVE-2020-0001 and a@b.example",)], "text string")
+    m = df.select(T.rules_map("text", {"cve": r"CVE-[0-9]{4}-[0-9]{4,}", "email": r"[a-z]+@[a-z.]+"})).first()[0]
+    assert m == {"cve": ["CVE-2020-0001"], "email": ["a@b.example"]}
