@@ -81,20 +81,22 @@ def _tag_order() -> Column:
 
 
 def graph_nodes(tree: DataFrame) -> DataFrame:
-    """K3: topic, tag, link, source and author nodes; first occurrence (in
+    """K3: topic, tag, link, source and author nodes (link nodes carry their
+    metadata: category, url, source, summary, author); first occurrence (in
     bucket order) wins. Each visit row emits its nodes as one array that is
     exploded, so the tree is read once."""
     v = _visits(tree)
     none = F.lit(None).cast("string")
 
-    def node(id_, label, type_, size, category, url, order):
+    def node(id_, label, type_, size, category, url, order, meta=(none, none, none)):
         return F.struct(id_.alias("id"), label.alias("label"), type_.alias("type"), F.lit(size).alias("size"),
-                        category.alias("category"), url.alias("url"), order.alias("o"))
+                        category.alias("category"), url.alias("url"), meta[0].alias("source"),
+                        meta[1].alias("summary"), meta[2].alias("author"), order.alias("o"))
     topic = node(F.col("topic"), F.col("topic"), F.lit(TOPIC_NODE[0]), TOPIC_NODE[1], F.lit("topic"), none,
                  _topic_order())
     tag = node(F.col("tag"), F.col("tag"), F.lit(TAG_NODE[0]), TAG_NODE[1], F.lit("tag"), none, _tag_order())
     link = node(F.col("link_id"), F.col("link_label"), none, LINK_NODE_SIZE, F.col("source_type"),
-                F.col("link"), _order(1))
+                F.col("link"), _order(1), (F.col("src"), F.coalesce(F.col("summary"), F.lit("")), F.col("author")))
     source = node(F.col("src"), F.col("src"), F.lit(SOURCE_NODE[0]), SOURCE_NODE[1], F.lit("source"), none,
                   _order(2))
     author = F.when(F.col("author").isNotNull(),
@@ -104,9 +106,10 @@ def graph_nodes(tree: DataFrame) -> DataFrame:
         F.col("n").isNotNull()).select("n.*")
     # topic and tag nodes are emitted once per visit; count them once.
     visits = F.count_distinct(F.col("o"))
-    attrs = F.struct("label", "type", "size", "category", "url")
+    attrs = F.struct("label", "type", "size", "category", "url", "source", "summary", "author")
     first = nodes.groupBy("id").agg(F.min_by(attrs, "o").alias("a"), visits.alias("visits"))
-    return first.select("id", "a.label", "a.type", "a.size", "a.category", "a.url", "visits")
+    return first.select("id", "a.label", "a.type", "a.size", "a.category", "a.url", "a.source", "a.summary",
+                        "a.author", "visits")
 
 
 def graph_edges(tree: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ t2 AS (SELECT topic, tag, count(*) AS tag_count,
 t3 AS (SELECT v.topic, v.tag, v.link, count(*) AS link_count, min(v.id) AS hit_id,
               row_number() OVER (PARTITION BY v.topic, v.tag ORDER BY count(*) DESC, v.link) AS link_rank
        FROM dtt v JOIN t2 USING (topic, tag) GROUP BY v.topic, v.tag, v.link QUALIFY link_rank <= 10),
-tree AS (SELECT t3.*, t2.tag_rank, t2.tag_count, t1.topic_rank, t1.topic_count, d.title, d.author, d.source_type,
+tree AS (SELECT t3.*, t2.tag_rank, t2.tag_count, t1.topic_rank, t1.topic_count, d.title, d.author, d.source_type, d.summary,
                 coalesce(NULLIF(regexp_extract(t3.link, 'https?://([^/]+)', 1), ''), NULL) AS src,
                 coalesce(d.title, t3.hit_id) AS link_id
          FROM t3 JOIN t2 USING (topic, tag) JOIN t1 USING (topic) JOIN scope d ON d.id = t3.hit_id)
@@ -57,14 +57,17 @@ def q_cooccurrence(spark, base):
 @register("graph_nodes", with_fixtures(_TREE + """,
 ev AS (
   SELECT topic AS id, topic AS label, 'star' AS type, 3 AS size, 'topic' AS category, NULL AS url,
+         CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS author,
          topic_rank AS r1, 0 AS r2, 0 AS r3, 0 AS r4 FROM (SELECT DISTINCT topic, topic_rank FROM tree)
-  UNION ALL SELECT tag, tag, 'cross', 1, 'tag', NULL, topic_rank, tag_rank, 0, 0
+  UNION ALL SELECT tag, tag, 'cross', 1, 'tag', NULL, NULL, NULL, NULL, topic_rank, tag_rank, 0, 0
          FROM (SELECT DISTINCT topic_rank, tag, tag_rank FROM tree)
-  UNION ALL SELECT link_id, link_id, NULL, 2, source_type, link, topic_rank, tag_rank, link_rank, 1 FROM tree
-  UNION ALL SELECT src, src, 'diamond', 1, 'source', NULL, topic_rank, tag_rank, link_rank, 2 FROM tree
-  UNION ALL SELECT author, author, 'square', 1, 'author', NULL, topic_rank, tag_rank, link_rank, 3
+  UNION ALL SELECT link_id, link_id, NULL, 2, source_type, link, src, coalesce(summary, ''), author,
+         topic_rank, tag_rank, link_rank, 1 FROM tree
+  UNION ALL SELECT src, src, 'diamond', 1, 'source', NULL, NULL, NULL, NULL, topic_rank, tag_rank, link_rank, 2 FROM tree
+  UNION ALL SELECT author, author, 'square', 1, 'author', NULL, NULL, NULL, NULL, topic_rank, tag_rank, link_rank, 3
          FROM tree WHERE author IS NOT NULL)
-SELECT id, label, type, size, category, url, count(*) OVER (PARTITION BY id) AS visits FROM ev
+SELECT id, label, type, size, category, url, source, summary, author,
+       count(*) OVER (PARTITION BY id) AS visits FROM ev
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY r1, r2, r3, r4) = 1
 """, "docs", "now_t"))
 def q_graph_nodes(spark, base):
