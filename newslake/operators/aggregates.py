@@ -97,7 +97,7 @@ def count_if(cond: Column) -> Column:
 
 def max_id_per_source(df: DataFrame, origin: str = "origin", id_col: str = "status_id") -> DataFrame:
     """Highest (numeric) id per source."""
-    return df.groupBy(origin).agg(F.max(F.col(id_col).cast("bigint")).alias("max_id"))
+    return df.groupBy(origin).agg(F.max(F.col(id_col).try_cast("bigint")).alias("max_id"))
 
 
 def cooccurrence(docs: DataFrame, k_topic: int = ES_DEFAULT_BUCKETS, k_tag: int = ES_DEFAULT_BUCKETS,

@@ -111,9 +111,9 @@ def take_until_empty_page(pages: DataFrame, source: str = "source", offset: str
 def newer_than_watermark(new: DataFrame, stored: DataFrame, key: str = "origin", id_col: str = "status_id") -> DataFrame:
     """Only items with an id above the highest stored id of their
     source (numeric comparison)."""
-    marks = stored.groupBy(key).agg(F.max(F.col(id_col).cast("bigint")).alias("__since"))
+    marks = stored.groupBy(key).agg(F.max(F.col(id_col).try_cast("bigint")).alias("__since"))
     return (new.join(marks, key, "left")
-            .filter(F.col("__since").isNull() | (F.col(id_col).cast("bigint") > F.col("__since")))
+            .filter(F.col("__since").isNull() | (F.col(id_col).try_cast("bigint") > F.col("__since")))
             .drop("__since"))
 
 
@@ -122,7 +122,7 @@ def recent_per_source(df: DataFrame, limit: int, lang: str | None = "en", key: s
     """Language filter, then the ``limit`` most recent (highest id) per
     source (a WindowGroupLimit: bounded per task before the shuffle)."""
     d = df if lang is None else df.filter(F.col("lang") == lang)
-    return windows.top_k_per(d, [key], [F.col(id_col).cast("bigint").desc()], limit)
+    return windows.top_k_per(d, [key], [F.col(id_col).try_cast("bigint").desc()], limit)
 
 
 # ---------------------------------------------------------------------------

@@ -76,7 +76,7 @@ def latest_per_key_stream(stream: DataFrame, keys: list[str], order_cols: list[s
 
 def resume_points(stream: DataFrame, key: str, id_col: str) -> DataFrame:
     """M6: the per-source high-water mark as streaming state."""
-    return stream.groupBy(key).agg(F.max(F.col(id_col).cast("bigint")).alias("since_id"))
+    return stream.groupBy(key).agg(F.max(F.col(id_col).try_cast("bigint")).alias("since_id"))
 
 
 def batch_writer(path: str, fmt: str = "parquet", partition_by: list[str] | None = None):
