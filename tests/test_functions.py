@@ -173,3 +173,25 @@ def test_rules_map(spark):
     df = spark.createDataFrame([("CVE-2020-0001 and a@b.example",)], "text string")
     m = df.select(T.rules_map("text", {"cve": r"CVE-[0-9]{4}-[0-9]{4,}", "email": r"[a-z]+@[a-z.]+"})).first()[0]
     assert m == {"cve": ["CVE-2020-0001"], "email": ["a@b.example"]}
+
+
+def test_eventlog_summary(tmp_dir):
+    """Per-query figures from a (hand-written) Spark event log."""
+    import json
+    import os
+    from newslake.eventlog import summarize
+    os.makedirs(tmp_dir + "/app", exist_ok=True)
+    events = [
+        {"Event": "SparkListenerJobStart", "Stage IDs": [1, 2], "Properties": {"spark.jobGroup.id": "q1"}},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 1,
+         "Task Info": {"Launch Time": 1000, "Finish Time": 3000},
+         "Task Metrics": {"Shuffle Write Metrics": {"Shuffle Bytes Written": 2_000_000},
+                          "Shuffle Read Metrics": {"Remote Bytes Read": 0, "Local Bytes Read": 0}}},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 2,
+         "Task Info": {"Launch Time": 0, "Finish Time": 500},
+         "Task Metrics": {"Shuffle Read Metrics": {"Remote Bytes Read": 1_000_000, "Local Bytes Read": 1_000_000}}},
+        {"Event": "SparkListenerTaskEnd", "Stage ID": 9, "Task Info": {}, "Task Metrics": {}},
+    ]
+    with open(tmp_dir + "/app/events_1", "w") as f:
+        f.write("\n".join(json.dumps(e) for e in events))
+    assert summarize(tmp_dir) == {"q1": {"shuffle_write_mb": 2.0, "shuffle_read_mb": 2.0, "tasks": 2, "task_sec": 2.5}}
