@@ -374,6 +374,24 @@ def q_digest(spark, base):
     return R.digest(docs, FX.models(spark), now, 5)
 
 
+@register("digest_cards", with_fixtures(f"""
+SELECT id,
+       coalesce(title, array_to_string(string_split_regex(translate(trim(substr(text, 1, 120)), '()[]$', ''), '\\r\\n|\\r|\\n'), ' ')) AS card_title,
+       array_to_string(list_transform(tags, lambda t: ' #' || regexp_replace(t, '[^A-Za-z0-9]+', '', 'g')), '') AS hashtags,
+       array_to_string(list_transform(topics, lambda t: t.label), ' and ') AS topics_text
+FROM docs, now_t
+WHERE updated >= date_trunc('day', now_t.now - INTERVAL 1 DAY) AND updated < now_t.now AND text IS NOT NULL
+ORDER BY {BEST} DESC NULLS LAST, updated DESC, id LIMIT 5
+""", "docs", "now_t"))
+def q_digest_cards(spark, base):
+    """L11 (G6 + I22, I27): the digest's best 5 docs as message cards."""
+    docs, now = _now(spark, base)
+    best = R.recent_docs(docs, FX.models(spark), now, gte="now-1d/d", size=5)
+    c = R.T.card("title", "text", "link", "tags", "topics")
+    return best.select("id", c["title"].alias("card_title"), c["hashtags"].alias("hashtags"),
+                       c["topics_text"].alias("topics_text"))
+
+
 @register("pick_one", with_fixtures(f"""
 SELECT id FROM docs, now_t
 WHERE updated >= now_t.now - INTERVAL 3 DAY AND updated < now_t.now AND text IS NOT NULL
