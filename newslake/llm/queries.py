@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newslake.llm import chat, decontam, html_extract, licenses, pii, quality, sentencepiece_codec, token_counts, toxicity
 from newslake.llm.common import table
 from newslake.llm.jaccard import jaccard_components
 
@@ -28,3 +30,125 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its 3-word shingle set and the smallest
     doc_id reachable over links of Jaccard similarity 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), percent=90, k=3)
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity by a non-negative PU classifier that
+    learns from the labels outside the held-out rows."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~toxicity.held_out("doc_id"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= toxicity.Limits().threshold).cast("int").alias("predicted"))
+
+
+@query()
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = """
+WITH w AS (SELECT 0 AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
+           UNION ALL SELECT 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') FROM benchmark),
+g AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+n AS (SELECT id, count(*) AS n FROM g WHERE side = 1 GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, n.n AS item_shingles, count(*) AS shared, round(count(*) / n.n, 6) AS containment
+FROM g b JOIN n ON n.id = b.id JOIN g d ON d.side = 0 AND d.g = b.g WHERE b.side = 1
+GROUP BY d.id, b.id, n.n HAVING count(*) * 100 >= 80 * n.n
+"""
+
+
+@query(OP3_SQL)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item of whose 5-word shingles it
+    holds 80 % or more."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Where the driver's box keeps the public vocabularies; a parameter of the operators.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its token ids, and whether they decode to the text."""
+    docs = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model", check="round_trip")
+    return docs.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
+
+
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+OP9_SQL = """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7F]'))) AS n_letters,
+        length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters FROM w),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+ln AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) - count(DISTINCT line) FILTER (WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS n_dup_lines,
+        count(*) FILTER (WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS n_lines, count(*) FILTER (WHERE line <> '') AS n_runs,
+        count(*) FILTER (WHERE line LIKE '%...') AS n_cut FROM l GROUP BY doc_id),
+g AS (SELECT doc_id, i, w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rw AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
+top AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM w) GROUP BY doc_id, x) GROUP BY doc_id),
+b AS (SELECT c.*, n_dup_lines, n_lines, n_runs, n_cut, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(most, 0) AS most,
+        n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+      FROM c JOIN ln USING (doc_id) LEFT JOIN rw USING (doc_id) LEFT JOIN top USING (doc_id))
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 20 * n_words) AND NOT 4 * n_symbols > n_words AND NOT 10 * n_dup_lines > 3 * n_lines
+       AND NOT 10 * n_letters < 6 * n_words AND NOT 2 * upper > letters AND NOT (n_runs >= 3 AND 10 * n_cut > 3 * n_runs) AND NOT 10 * most > 3 * n_words AS kept
+FROM b
+"""
+
+
+@query(OP9_SQL)
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base statistics and the verdict of the cascade."""
+    return quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+OP1_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(regexp_replace(text, '([\\[<])(~*/?(?:INST|NEXT|s)[\\]>])', '\\1~\\2', 'g')) AS n, length(regexp_replace(role, '([\\[<])(~*/?(?:INST|NEXT|s)[\\]>])', '\\1~\\2', 'g')) AS r,
+        coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS again FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(n + CASE WHEN again THEN 6 ELSE 17 + r END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query(OP1_SQL)
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted; the figures
+    are read back from the formatted string and the loss mask."""
+    odd = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    out = chat.format_chats(turns.unionByName(more))
+    read = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"))
+    line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a document holds a licence template."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of encoded lengths of all documents, with the answers for every context limit."""
+    lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents").select("text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_counts.limits(token_counts.histogram(lengths))
