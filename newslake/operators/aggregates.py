@@ -7,7 +7,7 @@ before the shuffle and never lands whole in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslake.functions._util import as_col
 from newslake.operators import windows
@@ -81,7 +81,7 @@ def tag_inventory(topics: DataFrame, docs: DataFrame) -> DataFrame:
     counts = docs_per_tag(docs, tt)
     inv = tt.join(counts, "tag", "left").select(
         "topic", "tag", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"))
-    return windows.top_k_per(inv, ["topic"], [F.col("n_docs"), F.col("tag")], 1 << 30, rank_col="tag_order")
+    return inv.withColumn("tag_order", F.row_number().over(Window.partitionBy("topic").orderBy("n_docs", "tag")))
 
 
 def count_matching(df: DataFrame, cond: Column | None = None) -> DataFrame:

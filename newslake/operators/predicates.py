@@ -21,7 +21,8 @@ def of_type(df: DataFrame, t: str, col: str = "type") -> DataFrame:
 def has(field) -> Column:
     """The field exists: not null and, for arrays, not empty."""
     c = as_col(field)
-    return c.isNotNull()
+    # The type test is constant, so only array fields are looked into.
+    return c.isNotNull() & (~F.startswith(F.typeof(c), F.lit("array")) | (F.to_json(F.array(c)) != "[[]]"))
 
 
 def has_values(field) -> Column:

@@ -9,6 +9,7 @@ aggregate evaluated as scalar subqueries.
 
 from __future__ import annotations
 
+import ast
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,8 +21,7 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # Default overall score: relevance times the mean topic probability.
-DEFAULT_OVERALL_SCORE = "es_score * (aggregate(topics_scores, 0D, (acc, x) -> acc + x) / size(topics_scores))"
-_ALLOWED_FORMULA = re.compile(r"^[\w\s\.\+\-\*/\(\),<>=D]*$")
+DEFAULT_OVERALL_SCORE = "es_score*(sum(topics_scores)/len(topics_scores))"
 
 
 def tokens(c) -> Column:
@@ -31,7 +31,7 @@ def tokens(c) -> Column:
 
 def query_terms(q: str) -> list[str]:
     """Terms of a simple query string, analysed like the documents."""
-    return [t for t in re.split(r"[^\w]+", q.lower()) if t]
+    return re.findall(r"[^\W_]+", q.lower())  # letters and digits, as in TOKEN_SPLIT
 
 
 def searchable(df: DataFrame, fields: list[str]) -> Column:
@@ -151,15 +151,51 @@ def _bm25_with(docs, terms, fields, stats, score_col, mode, k1, b) -> DataFrame:
     return out.drop("__dl", *[f"__tf{i}" for i in range(len(terms))])
 
 
+def _total(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+
+
+# What a score formula may call.
+FORMULA_CALLS = {
+    "sum": _total, "len": F.size, "mean": lambda c: _total(c) / F.size(c), "avg": lambda c: _total(c) / F.size(c),
+    "max": lambda *c: F.array_max(c[0]) if len(c) == 1 else F.greatest(*c),
+    "min": lambda *c: F.array_min(c[0]) if len(c) == 1 else F.least(*c),
+    "log": lambda c: F.log(c), "ln": lambda c: F.log(c), "log10": F.log10, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs,
+    "pow": F.pow, "round": lambda c: F.round(c),
+}
+_OPERATIONS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b,
+               ast.Div: lambda a, b: a / b, ast.Pow: F.pow}
+
+
+def score_formula(text: str, names: dict[str, Column]) -> Column:
+    """A formula of numbers, the given names, ``+ - * / **`` and the calls
+    of ``FORMULA_CALLS`` as a Column. Anything else (sub-queries, other names
+    or functions, attributes) raises ValueError."""
+    def column(node) -> Column:
+        if isinstance(node, ast.Expression):
+            return column(node.body)
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+            return F.lit(float(node.value))
+        if isinstance(node, ast.Name) and node.id in names:
+            return names[node.id]
+        if isinstance(node, ast.BinOp) and type(node.op) in _OPERATIONS:
+            return _OPERATIONS[type(node.op)](column(node.left), column(node.right))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+            return -column(node.operand) if isinstance(node.op, ast.USub) else column(node.operand)
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in FORMULA_CALLS and not node.keywords:
+            return FORMULA_CALLS[node.func.id](*map(column, node.args))
+        raise ValueError(f"not allowed in a score formula: {ast.dump(node)[:80]}")
+    try:
+        return column(ast.parse(text.strip(), mode="eval"))
+    except SyntaxError as e:
+        raise ValueError(f"not a score formula: {text!r}") from e
+
+
 def with_overall_score(df: DataFrame, es_score: str = "score", topics: str = "topics",
                        formula: str = DEFAULT_OVERALL_SCORE, out: str = "overall_score") -> DataFrame:
     """A user formula over ``es_score`` and ``topics_scores`` (topic
-    scores scaled to 0..1), given as SQL expression text and parsed by
-    Spark's own parser (no Python ``eval``); 0 for docs without topics."""
-    if not _ALLOWED_FORMULA.match(formula):
-        raise ValueError("formula may only use names, numbers, arithmetic and calls")
+    scores scaled to 0..1, see ``score_formula``); 0 for docs without topics."""
     t = F.col(topics)
-    tmp = df.withColumn("es_score", F.col(es_score).cast("double")).withColumn(
-        "topics_scores", F.transform(t, lambda x: x["score"] / 100.0))
-    tmp = tmp.withColumn(out, F.when(F.size(t) > 0, F.expr(formula)).otherwise(F.lit(0.0)))
-    return tmp.drop("topics_scores", *([] if es_score == "es_score" else ["es_score"]))
+    value = score_formula(formula, {"es_score": F.col(es_score).cast("double"),
+                                    "topics_scores": F.transform(t, lambda x: x["score"] / 100.0)})
+    return df.withColumn(out, F.when(F.size(t) > 0, value).otherwise(F.lit(0.0)))

@@ -2,10 +2,10 @@
 
 * Page extraction (J4, J5) is per row and narrow: higher-order functions over
   the blocks of one page, no explode and no shuffle.
-* Language detection (J1), summaries (J2) and keywords (J3) need term
-  statistics: tokens are exploded and aggregated with ``groupBy`` on keys
-  that start with the doc key, so partial aggregation shrinks them inside
-  each task before the shuffle. Whole texts are processed.
+* Summaries (J2) and keywords (J3) count the words of one text inside its
+  row: arrays are sorted and cut into runs, so there is no shuffle.
+* Language detection (J1) joins each text's word counts with a profile.
+  Whole texts are processed.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslake.functions import text as T, urls as U
-from newslake.functions._util import as_col
+from newslake.functions._util import as_col, let
 from newslake.operators import windows
 from newslake.operators.partitioning import spread
 
@@ -22,7 +22,6 @@ BLOCK_TAGS = ["p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "
               "footer", "header", "ul", "ol", "table", "tr", "td", "br", "aside", "main",
               "blockquote", "pre"]
 MIN_BLOCK_CHARS = 25
-MAX_LANGUAGES = 1000
 MAX_LINK_DENSITY = 0.5
 SENTENCE = r"[^.!?]+[.!?]*"
 WORD_SPLIT = r"[^\p{L}]+"
@@ -42,7 +41,7 @@ def _block_split() -> str:
 def strip_boilerplate(html) -> Column:
     """Comments, script/style/head/title blocks removed."""
     h = F.regexp_replace(as_col(html), r"(?is)<!--.*?-->", "")
-    return F.regexp_replace(h, r"(?is)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>", "")
+    return F.regexp_replace(h, T.HIDDEN_ELEMENTS, "")
 
 
 def _plain(c: Column) -> Column:
@@ -145,43 +144,33 @@ def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lan
     return profile, langs
 
 
-def detect_language(df: DataFrame, profile: DataFrame, langs: DataFrame, key: str, text: str = "text",
-                    max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def detect_language(df: DataFrame, profile: DataFrame, langs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Most probable language per row (``""`` when the text is empty).
 
     score(L) = log prior(L) - len * log(N_L + V) + sum over words seen in L
-    of log(n(w, L) + 1), one term per occurrence.
-
-    One pass over the texts: every word occurrence is joined to the profile
-    (broadcast when its row count is under ``max_broadcast_rows``, checked)
-    and summed per (row, language) in a single aggregation whose map-side
-    step collapses each text to one row -- the shuffle carries one number
-    per language per text, not words."""
-    rows = langs.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError("too many languages for a literal table")
-    names = [r["lang"] for r in rows]
-    prof = profile
-    if prof.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        prof = F.broadcast(prof)
-    # Words are computed once into a column: the explode and the length both
-    # read it (an inlined expression would be re-evaluated per exploded row).
-    tokd = spread(df).select(key, words(text).alias("__w"))
-    toks = tokd.select(key, F.size("__w").alias("dl"), F.explode_outer("__w").alias("token"))
-    seen = toks.join(prof, "token", "left")
-    weight = F.log(F.col("n") + 1)
-    per_doc = seen.groupBy(key).agg(
-        F.max("dl").alias("dl"),
-        *[F.coalesce(F.sum(F.when(F.col("lang") == name, weight)), F.lit(0.0)).alias(f"__s{i}")
-          for i, name in enumerate(names)])
-    cands = F.array(*[F.struct(
-        (F.lit(float(r["log_prior"])) - F.col("dl") * F.lit(float(r["log_denom"])) + F.col(f"__s{i}")).alias("score"),
-        F.lit(r["lang"]).alias("lang")) for i, r in enumerate(rows)])
-    # Arg-max as a fold over the (few) languages in name order: the first of
-    # equal scores wins.
+    of log(n(w, L) + 1), one term per occurrence; of equal scores the first
+    language by name.
+
+    Words are counted inside each row, so a word reaches the join with the
+    profile once per text (a frequent word's rows can be split by AQE; the
+    planner broadcasts the profile only by its stored size). Sums are grouped
+    by (row, language), then per row with the table of languages, whose number
+    has no bound here."""
+    # Words are computed once into a column: an inlined expression would be
+    # evaluated again for each exploded row.
+    counted = spread(df).select(key, words(F.col(text)).alias("__w")).select(
+        key, F.size("__w").alias("dl"),
+        F.explode_outer(_runs(F.array_sort("__w"), lambda w: w, lambda a, lo, hi: F.struct(F.get(a, lo).alias("token"), (hi - lo).alias("c")))).alias("x"))
+    seen = counted.select(key, "dl", F.col("x.token").alias("token"), F.col("x.c").alias("c")).join(profile, "token", "left")
+    per_lang = seen.groupBy(key, "lang").agg(F.max("dl").alias("dl"), F.sum(F.col("c") * F.log(F.col("n") + 1)).alias("s"))
+    per_doc = per_lang.groupBy(key).agg(F.max("dl").alias("dl"), F.collect_list(F.struct("lang", "s")).alias("sums"))
+    table = langs.agg(F.array_sort(F.collect_list(F.struct("lang", "log_prior", "log_denom")))).scalar()
+    score = F.transform(F.col("__langs"), lambda g: F.struct(
+        (g["log_prior"] - F.col("dl") * g["log_denom"]
+         + F.coalesce(F.get(F.filter("sums", lambda x: x["lang"] == g["lang"]), 0)["s"], F.lit(0.0))).alias("score"), g["lang"].alias("lang")))
     init = F.struct(F.lit(float("-inf")).alias("score"), F.lit("").alias("lang"))
-    best = F.aggregate(cands, init, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
-    return per_doc.select(key, F.when(F.col("dl") > 0, best["lang"]).otherwise(F.lit("")).alias("detected"))
+    best = F.aggregate(score, init, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
+    return per_doc.withColumn("__langs", table).select(key, F.when(F.col("dl") > 0, best["lang"]).otherwise(F.lit("")).alias("detected"))
 
 
 # ---------------------------------------------------------------------------
@@ -193,38 +182,60 @@ def sentences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
             .select(key, "pos", F.trim("s").alias("sentence")).filter(F.length("sentence") > 0))
 
 
+def _runs(sorted_array: Column, key, make) -> Column:
+    """``make(array, begin, end)`` of each run of equal ``key(element)`` in a
+    sorted array: the grouping of one row's elements, without a shuffle."""
+    def cut(a):
+        begins = F.filter(F.sequence(F.lit(0), F.size(a) - 1),
+                          lambda i: (i == 0) | (key(F.get(a, i)) != key(F.get(a, i - 1))))
+        return let(begins, lambda b: F.transform(b, lambda lo, k: make(a, lo, F.coalesce(F.get(b, k + 1), F.size(a)))))
+    return let(sorted_array, lambda a: F.when(F.size(a) > 0, cut(a)))
+
+
+def best_sentences(text, n: int = 3) -> Column:
+    """J2 in the row: the ``n`` sentences (struct pos, sentence) whose words are
+    most frequent in the text (mean count of the sentence's words; the earlier
+    of equal ones), in text order; null when there is none."""
+    def choose(ss):
+        word = F.flatten(F.transform(ss, lambda s, i: F.transform(words(s), lambda w: F.struct(w.alias("w"), i.alias("i")))))
+        # Words by their count, then the counts by sentence.
+        counted = F.flatten(_runs(F.array_sort(word), lambda x: x["w"], lambda a, lo, hi: F.transform(
+            F.sequence(lo, hi - 1), lambda i: F.struct(F.get(a, i)["i"].alias("i"), (hi - lo).cast("double").alias("c")))))
+        score = _runs(F.array_sort(counted), lambda x: x["i"], lambda a, lo, hi: F.struct(
+            (-F.aggregate(F.sequence(lo, hi - 1), F.lit(0.0), lambda acc, i: acc + F.get(a, i)["c"]) / (hi - lo)).alias("s"), F.get(a, lo)["i"].alias("i")))
+        top = F.slice(F.array_sort(score), 1, n)
+        return F.transform(F.array_sort(F.transform(top, lambda x: x["i"])), lambda i: F.struct(i.alias("pos"), F.get(ss, i).alias("sentence")))
+    found = F.transform(F.regexp_extract_all(as_col(text), F.lit(SENTENCE), 0), lambda s: F.trim(s))
+    return let(F.filter(found, lambda s: F.length(s) > 0), choose)
+
+
 def summarize(df: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFrame:
-    """Extractive summary -- the ``n`` sentences whose words are most
-    frequent in their text (mean count of the sentence's words), put back in
-    text order and joined by a space."""
-    sents = sentences(spread(df), key, text)
-    toks = sents.select(key, "pos", F.explode(words("sentence")).alias("token"))
-    # Count of each word in its text as a window over (doc, word): the token
-    # rows are produced once (no self-join), then averaged per sentence.
-    tf = F.count(F.lit(1)).over(Window.partitionBy(key, "token"))
-    sscore = toks.withColumn("c", tf).groupBy(key, "pos").agg(F.avg("c").alias("score"))
-    top = windows.top_k_per(sscore, [key], [F.col("score").desc(), F.col("pos")], n)
-    chosen = top.join(sents, [key, "pos"])
-    return chosen.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    """Extractive summary -- the ``n`` best sentences of each text, in text
+    order and joined by a space. A narrow step: no shuffle."""
+    best = spread(df).select(key, best_sentences(F.col(text), n).alias("__b")).filter(F.size("__b") > 0)
+    return best.select(key, F.array_join(F.transform("__b", lambda x: x["sentence"]), " ").alias("summary"))
+
+
+def top_words(text, k: int = 10, min_len: int = 3, stop_words: list[str] | None = None) -> Column:
+    """J3 in the row: the ``k`` most frequent words as structs (n, token),
+    count desc then word asc; null when there is none."""
+    stops = STOP_WORDS if stop_words is None else stop_words
+    kept = F.filter(words(text), lambda w: (F.length(w) >= min_len) & ~w.isin(stops))
+    counted = _runs(F.array_sort(kept), lambda w: w, lambda a, lo, hi: F.struct((lo - hi).alias("m"), F.get(a, lo).alias("token")))
+    return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: F.struct((-x["m"]).cast("long").alias("n"), x["token"].alias("token")))
 
 
 def keywords(df: DataFrame, key: str, text: str = "text", k: int = 10, min_len: int = 3,
              stop_words: list[str] | None = None) -> DataFrame:
     """The ``k`` most frequent words of each text (stop words and words
-    shorter than ``min_len`` left out), count desc then word asc."""
-    stops = STOP_WORDS if stop_words is None else stop_words
-    toks = spread(df).select(key, F.explode(words(text)).alias("token")).filter(
-        (F.length("token") >= min_len) & ~F.col("token").isin(stops))
-    counts = toks.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    return windows.top_k_per(counts, [key], [F.col("n").desc(), F.col("token")], k, rank_col="rank")
+    shorter than ``min_len`` left out). A narrow step: no shuffle."""
+    top = spread(df).select(key, F.posexplode(top_words(F.col(text), k, min_len, stop_words)).alias("p", "x"))
+    return top.select(key, F.col("x.token").alias("token"), F.col("x.n").alias("n"), (F.col("p") + 1).cast("int").alias("rank"))
 
 
 def keyword_tags(df: DataFrame, key: str, text: str = "text", k: int = 10) -> DataFrame:
     """J3 as a tags column (key, tags) in rank order."""
-    kw = keywords(df, key, text, k)
-    return kw.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))),
-                                           lambda x: x["token"]).alias("tags"))
+    return spread(df).select(key, F.transform(top_words(F.col(text), k), lambda x: x["token"]).alias("tags")).filter(F.size("tags") > 0)
 
 
 def content_pass(stubs: DataFrame, pages: DataFrame, rules: dict[str, str] | None = None,

@@ -122,7 +122,7 @@ def q_ranked_feed_search(spark, base):
     return R.ranked_feed(docs, FX.models(spark), now, q="anea attion", stats=FX.term_stats(spark, base))
 
 
-FORMULA_LOG = "ln(1 + es_score) * (aggregate(topics_scores, 0D, (acc, x) -> acc + x) / size(topics_scores))"
+FORMULA_LOG = "log(1 + es_score) * mean(topics_scores)"
 
 
 @register("ranked_feed_formula", with_fixtures(f"""
@@ -134,7 +134,7 @@ SELECT {FEED_COLS} FROM paged WHERE overall_score >= 0.1
 """, "docs", "now_t"))
 def q_ranked_feed_formula(spark, base):
     """L1 + N1: a user overall-score formula (log relevance times the mean
-    topic probability) given as SQL expression text."""
+    topic probability) given as text."""
     docs, now = _now(spark, base)
     return R.ranked_feed(docs, FX.models(spark), now, q="the", formula=FORMULA_LOG,
                          stats=FX.term_stats(spark, base))

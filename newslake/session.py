@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "newslake", driver_memory: str = "16g",
+                app_name: str = "newslake", driver_memory: str = "8g",
                 conf: dict[str, str] | None = None) -> SparkSession:
     """Local or cluster session with AQE on and the UI off.
 
@@ -51,7 +51,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (tests, a laptop) fall back to a fresh local folder."""
+    (tests, a laptop) in local mode fall back to a fresh local folder. On a
+    cluster without it this raises: executors would each write to their own disk."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext on the client
@@ -61,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is not None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="newslake-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(configured)
