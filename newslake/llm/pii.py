@@ -180,8 +180,9 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
         group = NAME_LIST[form]
         names = GIVEN[group]
         low = [x.lower() for x in names]
-        # One permutation for all attempts: names of a list never collide.
-        return names[permute(key, low.index(form), len(names), kind, group)].lower()
+        # The next name in a keyed order of the list: names never collide, and none stays as it is.
+        order = sorted(range(len(low)), key=lambda i: hmac.new(key, f"given|{group}|{low[i]}".encode(), hashlib.sha256).digest())
+        return low[order[(order.index(low.index(form)) + 1) % len(order)]]
     if kind == "family":
         if any(a <= form[0] <= b for a, b in _SCRIPTS):
             return "".join(_like(c, draw) for c in form) + "".join(_like(form[0], draw) for _ in range(attempt // 4))
