@@ -144,6 +144,7 @@ def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prio
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
             w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+            w[:n] = np.maximum(w[:n], 0)  # every feature was chosen as a sign of toxicity
     return w[:n], float(w[n])
 
 
