@@ -1,0 +1,65 @@
+import re
+
+from newslake.llm import pii
+from newslake.llm.common import Scratch
+
+KEY = b"k" * 32
+
+
+def run(spark, rows, **kw):
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kind string").repartition(3)
+    return {r["doc_id"]: r for r in pii.pseudonymise(df, **kw).collect()}
+
+
+def test_kinds_formats_and_coreference(spark):
+    rows = [
+        (1, "Write to Jane.Doe@Mail7.example.com or call +1 (017) 555-7713 from 97.51.17.173."),
+        (2, "jane.doe@mail7.example.com; card 4539 1488 0343 6467, other 9807915762804490\ntoken = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""),
+        (3, "Mr. Smith met Mary Miller and Mary Smith. Password=e3b3ed3cc8548923d6, SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00"),
+        (4, "Елена Иванова и Сергей Иванов"), (5, "CC BY-NC 4.0, version 3.1.2, on 2024-01-31 for 1,000,000 words"), (6, None), (7, ""), (8, "Mary Miller 97.51.17.173")]
+    got = run(spark, rows)
+    text = {i: got[i]["text"] for i, _ in rows}
+    for i, t in rows[:4]:
+        for _, _, kind, form in pii.detect(t):
+            assert form not in text[i].lower(), (kind, form)
+    assert text[5] == rows[4][1] and text[6] is None and text[7] == "" and got[5]["n_entities"] == got[6]["n_entities"] == 0
+    assert got[1]["kind"] == "x" and got[1]["n_entities"] == 3
+    mail = re.search(r"\S+@\S+", text[1])[0]
+    assert mail.lower() == re.search(r"[^\s;]+@[^\s;]+", text[2])[0] and re.fullmatch(r"[A-Z][a-z]{3}\.[a-z]{3}@[a-z]{4}\d\.[a-z]{7}\.com", mail)
+    assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4} from \d+\.\d+\.\d+\.\d+\.$", text[1])
+    card, other = re.search(r"card (\d{4} \d{4} \d{4} \d{4}), other (\d{16})\n", text[2]).groups()
+    assert pii.luhn(card.replace(" ", "")) and not pii.luhn(other)
+    assert re.search(r'token = "[0-9a-f]{40}"$', text[2])
+    m = re.match(r"Mr\. (\w+) met (\w+) (\w+) and (\w+) (\w+)\.", text[3])
+    assert m[1] == m[5] and m[2] == m[4] and m[3] != m[1] and pii.NAME_LIST[m[2].lower()] == ("female", "latin")
+    a, b = re.match(r"(\w+) \w+ и (\w+) ", text[4] + " ").groups()
+    assert pii.NAME_LIST[a.lower()] == ("female", "cyrillic") and pii.NAME_LIST[b.lower()] == ("male", "cyrillic")
+    assert text[8].split()[0] == m[2] and text[8].split()[2] == re.search(r"from (\S+)\.$", text[1])[1]
+    assert run(spark, rows)[3]["text"] == text[3] and run(spark, rows, key="other")[3]["text"] != text[3]
+
+
+def test_permutation_is_one_to_one():
+    for n in (2, 10, 97, 1000):
+        assert sorted(pii.permute(KEY, x, n, "t") for x in range(n)) == list(range(n))
+
+
+def test_collisions_are_resolved(spark):
+    # All one-letter addresses of one host: surrogates of attempt 0 collide.
+    rows = [(i, f"{a}@{b}.io") for i, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "abcdef")]
+    scratch = Scratch(spark, "test")
+    entities = {f for _, t in rows for _, _, _, f in pii.detect(t)}
+    assert pii.attempts(spark.createDataFrame(rows, "doc_id long, text string").select("text"), pii.hashlib.sha256(b"newslake").digest(), scratch).count() > 0
+    for limit in (100_000, 0):  # exceptions sent to the tasks, and joined
+        pii.BROADCAST_EXCEPTIONS, kept = limit, pii.BROADCAST_EXCEPTIONS
+        try:
+            out = [r["text"] for r in run(spark, rows).values()]
+        finally:
+            pii.BROADCAST_EXCEPTIONS = kept
+        assert len(set(out)) == len(entities) == 60 and not entities & set(out)
+
+
+def test_empty_table_and_long_text(spark):
+    df = spark.createDataFrame([(1, "a" * 400_000 + " x@y.org " + "1" * 50_000)], "doc_id long, text string")
+    r = pii.pseudonymise(df).first()
+    assert "x@y.org" not in r["text"] and r["n_entities"] == 1 and len(r["text"]) > 450_000
+    assert pii.pseudonymise(df.limit(0)).count() == 0
