@@ -216,13 +216,19 @@ def summarize(df: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFr
     return best.select(key, F.array_join(F.transform("__b", lambda x: x["sentence"]), " ").alias("summary"))
 
 
+def most_frequent(tokens, k: int) -> Column:
+    """The ``k`` most frequent elements of an array of strings as structs (n,
+    token), count desc then token asc; null for an empty array."""
+    counted = _runs(F.array_sort(as_col(tokens)), lambda w: w, lambda a, lo, hi: F.struct((lo - hi).alias("m"), F.get(a, lo).alias("token")))
+    return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: F.struct((-x["m"]).cast("long").alias("n"), x["token"].alias("token")))
+
+
 def top_words(text, k: int = 10, min_len: int = 3, stop_words: list[str] | None = None) -> Column:
     """J3 in the row: the ``k`` most frequent words as structs (n, token),
     count desc then word asc; null when there is none."""
     stops = STOP_WORDS if stop_words is None else stop_words
     kept = F.filter(words(text), lambda w: (F.length(w) >= min_len) & ~w.isin(stops))
-    counted = _runs(F.array_sort(kept), lambda w: w, lambda a, lo, hi: F.struct((lo - hi).alias("m"), F.get(a, lo).alias("token")))
-    return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: F.struct((-x["m"]).cast("long").alias("n"), x["token"].alias("token")))
+    return most_frequent(kept, k)
 
 
 def keywords(df: DataFrame, key: str, text: str = "text", k: int = 10, min_len: int = 3,

@@ -33,9 +33,7 @@ def sql_doc_id(expr: str) -> str:
     return f"md5({sql_quote(sql_id_basis(expr))})"
 
 
-_TAGS = ("list_sort(list_distinct(list_filter(list_transform("
-         "regexp_split_to_array(d.text, '[ \\t\\n\\r]+')[1:8], "
-         "lambda t: lower(regexp_replace(t, '[^A-Za-z]', '', 'g'))), lambda t: length(t) > 2)))")
+_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}]+'), lambda t: length(t) > 0)"
 
 _LINK = "'https://' || d.source || '.example.com/' || d.lang || '/' || CAST(d.doc_id AS VARCHAR)"
 
@@ -49,18 +47,35 @@ CTES: dict[str, tuple[list[str], str]] = {
 doc_topics AS (
   SELECT doc_id, list(struct_pack(label := label, score := score) ORDER BY label, score) AS topics
   FROM doc_label WHERE doc_id % 7 <> 0 GROUP BY doc_id)"""),
-    "docs": (["doc_updated", "doc_topics"], f"""docs AS (
+    "doc_tags": ([], """doc_tags AS (
+  SELECT doc_id, list_sort(list(token)) AS tags FROM (
+    SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, token) AS rn FROM (
+      SELECT doc_id, lower(regexp_replace(unnest(regexp_split_to_array(text, '[ \\t\\n\\r]+')), '[^A-Za-z]', '', 'g')) AS token FROM documents)
+    WHERE length(token) > 2 GROUP BY doc_id, token) WHERE rn <= 8 GROUP BY doc_id)"""),
+    "doc_titles": ([], f"""title_sents AS (
+  SELECT doc_id, pos, trim(s) AS sentence FROM (
+    SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM (
+      SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS ss FROM documents)) WHERE length(trim(s)) > 0),
+title_words AS (SELECT doc_id, pos, unnest({_WORDS.format('sentence')}) AS token FROM title_sents),
+title_counts AS (SELECT doc_id, token, count(*) AS c FROM title_words GROUP BY doc_id, token),
+doc_titles AS (
+  SELECT doc_id, sentence AS title FROM (
+    SELECT w.doc_id, w.pos FROM title_words w JOIN title_counts c ON c.doc_id = w.doc_id AND c.token = w.token
+    GROUP BY w.doc_id, w.pos QUALIFY row_number() OVER (PARTITION BY w.doc_id ORDER BY avg(c.c) DESC, w.pos) = 1)
+  JOIN title_sents USING (doc_id, pos))"""),
+    "docs": (["doc_updated", "doc_topics", "doc_tags", "doc_titles"], f"""docs AS (
   SELECT d.doc_id, d.text, d.lang, d.source AS origin,
          {_LINK} AS link,
          {sql_doc_id(_LINK)} AS id,
-         substr(d.text, 1, 40) AS title,
+         h.title,
          CASE WHEN d.doc_id % 5 <> 0 THEN 'author' || CAST(d.doc_id % 11 AS VARCHAR) END AS author,
-         {_TAGS} AS tags,
+         coalesce(g.tags, []) AS tags,
          CAST(NULL AS VARCHAR) AS summary,
          'rss' AS format, 'rss' AS source_type,
          u.updated, t.topics
   FROM documents d LEFT JOIN doc_updated u ON u.doc_id = d.doc_id
-       LEFT JOIN doc_topics t ON t.doc_id = d.doc_id)"""),
+       LEFT JOIN doc_topics t ON t.doc_id = d.doc_id LEFT JOIN doc_tags g ON g.doc_id = d.doc_id
+       LEFT JOIN doc_titles h ON h.doc_id = d.doc_id)"""),
     "now_t": (["docs"], "now_t AS (SELECT CAST(date_trunc('day', max(updated)) AS TIMESTAMP) "
                         "+ INTERVAL 1 DAY AS now FROM docs)"),
     "sources": ([], """sources AS (

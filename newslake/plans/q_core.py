@@ -90,34 +90,34 @@ def q_dedup_by_id(spark, base):
 # ---------------------------------------------------------------------------
 # tags: I3, H1, E1
 # ---------------------------------------------------------------------------
-_RAW8 = "regexp_split_to_array(text, '[ \\t\\n\\r]+')[1:8]"
+_RAW = "regexp_split_to_array(text, '[ \\t\\n\\r]+')"
 _NORM = ("lambda t: regexp_replace(replace(replace(lower(trim(t)), 'news', ''), ' ', '_'), "
          "'[^\\x00-\\x7F]', '', 'g')")
 
 
 @register("normalize_tags", with_fixtures(f"""
-SELECT doc_id, array_to_string(list_transform({_RAW8}, {_NORM}), ',') AS tags
+SELECT doc_id, array_to_string(list_transform({_RAW}, {_NORM}), ',') AS tags
 FROM documents
 """))
 def q_normalize_tags(spark, base):
-    """The first 8 raw tokens of every text as normalised tags."""
+    """All tokens of every text as normalised tags."""
     d = FX.read_table(spark, base, "documents")
-    raw = F.slice(F.split("text", FX.TOKEN_SEP, 9), 1, 8)
+    raw = F.split("text", FX.TOKEN_SEP)
     return d.select("doc_id", joined(T.normalize_tags(raw)).alias("tags"))
 
 
 @register("merge_tags", with_fixtures(f"""
 SELECT doc_id,
        array_to_string(list_concat(tags, list_sort(list_distinct(list_filter(
-           list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+')[9:16], lambda t: lower(regexp_replace(t, '[^A-Za-z]', '', 'g'))),
+           list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda t: lower(regexp_replace(t, '[^A-Za-z]', '', 'g'))),
            lambda x: length(x) > 2 AND NOT list_contains(tags, x))))), ',') AS merged
 FROM docs
 """, "docs"))
 def q_merge_tags(spark, base):
     """H1: stored tags + (new - stored), new part distinct and sorted. The
-    new tags are the next 8 tokens of the text."""
+    new tags are all words of the text."""
     d = FX.docs(spark, base)
-    nxt = F.slice(F.split("text", FX.TOKEN_SEP, 17), 9, 8)
+    nxt = F.split("text", FX.TOKEN_SEP)
     new = F.filter(F.transform(nxt, lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z]", ""))),
                    lambda t: F.length(t) > 2)
     return d.select("doc_id", joined(S.merge_tags("tags", new)).alias("merged"))

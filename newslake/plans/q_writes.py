@@ -45,14 +45,14 @@ def q_upsert_docs(spark, base):
 
 @register("merge_fields", with_fixtures("""
 SELECT d.id, coalesce(p.summary, d.summary) AS summary, d.author
-FROM docs d LEFT JOIN (SELECT id, substr(text, 1, 50) AS summary FROM docs WHERE lang = 'fr') p USING (id)
+FROM docs d LEFT JOIN (SELECT id, text AS summary FROM docs WHERE lang = 'fr') p USING (id)
 """, "docs"))
 def q_merge_fields(spark, base):
     """A partial update (summary of French docs) merged into the store;
     a null patch field (author) leaves the stored value."""
     docs = FX.docs(spark, base)
     patch = docs.filter(F.col("lang") == "fr").select(
-        "id", F.substring("text", 1, 50).alias("summary"), F.lit(None).cast("string").alias("author"))
+        "id", F.col("text").alias("summary"), F.lit(None).cast("string").alias("author"))
     out = WR.merge_fields(docs.select("id", "summary", "author"), patch)
     return out.select("id", "summary", "author")
 
@@ -287,7 +287,7 @@ def q_feed_items(spark, base):
 def _tweets_json(spark, base):
     conv = FX.read_table(spark, base, "conversations")
     cid = F.col("conv_id").cast("string")
-    words = F.split("text", r"[ \t\n\r]+", 3)
+    words = F.split("text", r"[ \t\n\r]+")
     tweet = F.struct(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("id_str"),
@@ -296,7 +296,7 @@ def _tweets_json(spark, base):
         F.lit("en").alias("lang"),
         F.struct(F.concat(F.lit("u"), cid).alias("screen_name")).alias("user"),
         F.struct(
-            F.transform(F.slice(words, 1, 2), lambda w: F.struct(w.alias("text"))).alias("hashtags"),
+            F.transform(words, lambda w: F.struct(w.alias("text"))).alias("hashtags"),
             F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.concat(
                 F.lit("https://news.example.com/"), cid, F.lit("/"), F.col("turn").cast("string")).alias("expanded_url"))))
             .otherwise(F.array().cast("array<struct<expanded_url:string>>")).alias("urls")).alias("entities"))
@@ -307,7 +307,7 @@ def _tweets_json(spark, base):
 SELECT {sql_doc_id("CASE WHEN turn % 2 = 0 THEN 'https://news.example.com/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) ELSE 'https://twitter.com/u' || CAST(conv_id AS VARCHAR) || '/status/' || CAST(conv_id * 1000 + turn AS VARCHAR) END")} AS id,
        'u' || CAST(conv_id AS VARCHAR) AS author, CAST(conv_id * 1000 + turn AS VARCHAR) AS status_id,
        md5(trim(regexp_replace(text || ' https://t.example.com/' || CAST(conv_id AS VARCHAR), 'https?://\\S+', '', 'g'))) AS summary_md5,
-       array_to_string(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+')[1:2],
+       array_to_string(list_transform(regexp_split_to_array(text, '[ \\t\\n\\r]+'),
            lambda t: regexp_replace(replace(replace(lower(trim(t)), 'news', ''), ' ', '_'), '[^\\x00-\\x7F]', '', 'g')), ',') AS tags,
        CAST(turn AS INTEGER) AS occurences
 FROM conversations

@@ -34,11 +34,18 @@ TOPIC_SCHEMA = "array<struct<label:string,score:double>>"
 
 
 def fixture_tags(text) -> F.Column:
-    """First 8 whitespace tokens, letters only, lower case, longer than 2,
-    distinct, sorted."""
-    first8 = F.slice(F.split(text, TOKEN_SEP, 9), 1, 8)
-    letters = F.transform(first8, lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z]", "")))
-    return F.array_sort(F.array_distinct(F.filter(letters, lambda t: F.length(t) > 2)))
+    """The 8 most frequent words of the whole text (white-space tokens, letters
+    A-Z only, lower case, longer than 2; of equal counts the first by name), sorted."""
+    from newslake.operators.text import most_frequent
+    letters = F.transform(F.split(text, TOKEN_SEP), lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z]", "")))
+    top = most_frequent(F.filter(letters, lambda t: F.length(t) > 2), 8)
+    return F.coalesce(F.array_sort(F.transform(top, lambda x: x["token"])), F.array().cast("array<string>"))
+
+
+def fixture_title(text) -> F.Column:
+    """The one-sentence summary (J2) of the whole text."""
+    from newslake.operators.text import best_sentences
+    return F.get(best_sentences(text, 1), 0)["sentence"]
 
 
 def doc_count(documents: DataFrame):
@@ -105,7 +112,7 @@ def build_docs(spark: SparkSession, base: str) -> DataFrame:
         F.col("source").alias("origin"),
         link.alias("link"),
         urls.doc_id(link).alias("id"),
-        F.substring("text", 1, 40).alias("title"),
+        fixture_title(F.col("text")).alias("title"),
         F.when(F.col("doc_id") % 5 != 0,
                F.concat(F.lit("author"), (F.col("doc_id") % 11).cast("string"))).alias("author"),
         fixture_tags(F.col("text")).alias("tags"),
