@@ -51,9 +51,13 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])(?P<v>\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w])")),
 ]
-_NEEDED = re.compile(r"[\d@]|(?i:password|passwd|pwd|token|secret|key|credential)")
-_FULL = re.compile(rf"\b(?P<given>{'|'.join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))}) (?P<family>[^\W\d_a-zа-яα-ωß-ÿ]{_LETTER}+)\b")
-_TITLED = re.compile(rf"\b{TITLE} (?:(?P<given>[^\W\d_a-z]{_LETTER}+) )?(?P<family>[^\W\d_a-z]{_LETTER}+)\b")
+_DIGIT = re.compile(r"[0-9]")
+_KEYWORDS = ("password", "passwd", "pwd", "token", "secret", "key", "credential")
+_CAPITAL = r"[^\W\d_a-zß-ÿа-яα-ω]"
+# A capitalised word before another one; whether it is a given name is looked up.
+_FULL = re.compile(rf"(?<!\w)(?P<given>{_CAPITAL}{_LETTER}+)(?= (?P<family>{_CAPITAL}{_LETTER}+))")
+_TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr", "Señor", "Monsieur", "Madame")
+_TITLED = re.compile(rf"\b{TITLE} (?:(?P<given>{_CAPITAL}{_LETTER}+) )?(?P<family>{_CAPITAL}{_LETTER}+)\b")
 
 Span = tuple[int, int, str, str]  # start, end, type, canonical form
 
@@ -72,14 +76,17 @@ def detect(text: str | None) -> list[Span]:
     found: list[Span] = []
     if not text:
         return found
-    if _NEEDED.search(text):
+    # Cheap tests first: every pattern needs a digit, an @ or a keyword with = or :.
+    if "@" in text or _DIGIT.search(text) or ("=" in text or ":" in text) and any(k in text.lower() for k in _KEYWORDS):
         for kind, p in PATTERNS:
             for m in p.finditer(text):
                 found.append((m.start("v"), m.end("v"), kind, canonical(kind, m["v"])))
     for m in _FULL.finditer(text):
+        if m["given"].lower() not in NAME_LIST:
+            continue
         found.append((m.start("given"), m.end("given"), "given", m["given"].lower()))
         found.append((m.start("family"), m.end("family"), "family", m["family"].lower()))
-    if ". " in text or any(t in text for t in ("Miss ", "Herr ", "Frau ", "Mme ", "Señor", "M")):
+    if any(t in text for t in _TITLES):
         for m in _TITLED.finditer(text):
             if m["given"] and m["given"].lower() in NAME_LIST:
                 found.append((m.start("given"), m.end("given"), "given", m["given"].lower()))
