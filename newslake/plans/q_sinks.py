@@ -18,6 +18,7 @@ from newslake.functions import urls as U
 from newslake.operators import predicates as P
 from newslake.operators import writes as WR
 from newslake.plans import reports as R
+from newslake.plans import catalog, q_topics  # noqa: F401 - registers training_set
 from newslake.plans.catalog import register
 from newslake.plans.oracle import sql_doc_id, with_fixtures
 from newslake.session import ensure_checkpoint_dir
@@ -82,11 +83,10 @@ def q_json_export(spark, base):
     return spark.read.schema(docs.schema).json(path)
 
 
-@register("training_files")
+@register("training_files", "SELECT model, topic, count(*) AS n FROM (" + catalog.ORACLES["training_set"] + ") GROUP BY model, topic")
 def q_training_files(spark, base):
     """The training set written as one folder per model/topic (target
-    replaced), read back as counts per folder. Rows-only: the content is
-    checked by ``training_set``."""
+    replaced), read back as counts per folder."""
     from newslake.operators import topics as TP
     ts = TP.training_set(FX.docs(spark, base), FX.models(spark), FX.topics(spark))
     path = _scratch(spark, "training")
@@ -203,10 +203,12 @@ def q_document_labels(spark, base):
                                                            F.octet_length("text")).alias("caption"))
 
 
-@register("prediction_pass")
+@register("prediction_pass", with_fixtures("""
+SELECT id, CASE WHEN text IS NOT NULL THEN 2 ELSE len(topics) END AS n_topics FROM docs
+""", "docs"))
 def q_prediction_pass(spark, base):
     """Docs with text -> classifier input (I19) -> topics (J9) -> upsert
-    into the store (B1); rows-only (a fitted model)."""
+    into the store (B1): every doc with text has a score for each class."""
     from newslake.operators import topics as TP
     from newslake.plans.q_topics import _labelled
     model, _ = TP.train_topic_model(_labelled(spark, base), "linear",

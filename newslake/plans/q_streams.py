@@ -18,27 +18,36 @@ from newslake.sources import fixtures as FX
 from newslake.streaming import streams as S
 
 
-def _stream(spark, base, name, max_files=1):
-    static = FX.read_table(spark, base, name)
-    return S.file_stream(spark, os.path.join(base, f"{name}*.parquet"), static.schema, "parquet", max_files)
+ARRIVALS = 4
+
+
+def _stream(spark, base, name, key):
+    """The whole table as a stream of several arrivals: rows land in ``ARRIVALS``
+    folders one after the other (``key`` modulo their number) and are read a
+    file at a time, so state, updates and resuming cross micro-batches."""
+    static = FX.read_table(spark, base, name).withColumn("arrival", F.pmod(F.col(key), F.lit(ARRIVALS)).cast("int"))
+    path = S.checkpoint_path(spark, f"landed-{name}")
+    for i in range(ARRIVALS):
+        static.filter(F.col("arrival") == i).write.parquet(os.path.join(path, f"{i}"))
+    return S.file_stream(spark, os.path.join(path, "*"), static.schema, "parquet", 1)
 
 
 @register("stream_votes", with_fixtures("""
 SELECT doc_id, voter, score FROM votes
-QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY ts DESC, event_id DESC) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY event_id % 4 DESC, event_id DESC) = 1
 """, "votes"))
 def q_stream_votes(spark, base):
     """M5 (+M8): votes as a stream; the last vote per (doc, voter) is
     streaming state (update mode), written per batch and read back as the
     store view; arrival order wins."""
     n_docs = FX.read_table(spark, base, "documents").count()
-    ev = _stream(spark, base, "events")
+    ev = _stream(spark, base, "events", "event_id")
     votes = (ev.filter(F.col("event_type").isin(list(FX.VOTE_SCORES)))
-             .select("event_id", "ts", (F.col("event_id") % n_docs).alias("doc_id"),
+             .select("event_id", "arrival", (F.col("event_id") % n_docs).alias("doc_id"),
                      F.col("user_id").cast("string").alias("voter"),
                      F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1)
                      .otherwise(2).alias("score")))
-    latest = S.latest_per_key_stream(votes, ["doc_id", "voter"], ["ts", "event_id"], ["score"])
+    latest = S.latest_per_key_stream(votes, ["doc_id", "voter"], ["arrival", "event_id"], ["score"])
     ck = S.checkpoint_path(spark, "votes")
     S.run_available(latest, ck + "/out", ck + "/ckpt")
     view = S.latest_across_batches(S.read_batches(spark, ck + "/out"), ["doc_id", "voter"])
@@ -50,7 +59,7 @@ SELECT user_id, max(event_id) AS since_id FROM events GROUP BY user_id
 """))
 def q_stream_resume_points(spark, base):
     """M6: per-account high-water marks kept as streaming state."""
-    ev = _stream(spark, base, "events")
+    ev = _stream(spark, base, "events", "event_id")
     marks = S.resume_points(ev, "user_id", "event_id").withColumn("o", F.struct(F.col("since_id")))
     ck = S.checkpoint_path(spark, "resume")
     S.run_available(marks, ck + "/out", ck + "/ckpt")
@@ -59,15 +68,16 @@ def q_stream_resume_points(spark, base):
 
 
 @register("stream_dedup", with_fixtures("""
-SELECT DISTINCT user_id FROM events
+SELECT user_id, min(event_id % 4)::INTEGER AS arrival FROM events GROUP BY user_id
 """))
 def q_stream_dedup(spark, base):
-    """M4: drop repeated keys within the watermark (first arrival kept)."""
-    ev = _stream(spark, base, "events")
-    first = S.dedup_first_seen(ev.select("user_id", "ts", "event_id"), "user_id", "ts", "3650 days")
+    """M4: drop repeated keys within the watermark: one row per key, from its
+    first arrival."""
+    ev = _stream(spark, base, "events", "event_id")
+    first = S.dedup_first_seen(ev.select("user_id", "ts", "arrival"), "user_id", "ts", "3650 days")
     ck = S.checkpoint_path(spark, "dedup")
     S.run_available(first, ck + "/out", ck + "/ckpt", output_mode="append")
-    return S.read_batches(spark, ck + "/out").select("user_id").distinct()
+    return S.read_batches(spark, ck + "/out").select("user_id", "arrival")
 
 
 @register("stream_content", with_fixtures(f"""
@@ -76,13 +86,13 @@ SELECT {sql_doc_id('url')} AS id,
        CAST(length({sql_clean(sql_main('html'))}) AS INTEGER) AS text_len
 FROM pages
 WHERE {_GATE}
-QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
+QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id % 4 DESC, page_id DESC) = 1
 """))
 def q_stream_content(spark, base):
     """M2 (+M7): landed pages as a stream through the content pass (gates,
     extraction, size outcome) into an append-only store read as latest per
-    id."""
-    pages = _stream(spark, base, "pages").select("page_id", F.col("url").alias("link"), "html")
+    id: the page of the last arrival."""
+    pages = _stream(spark, base, "pages", "page_id").select("page_id", F.col("url").alias("link"), "html")
     gated = pages.filter(U.is_valid_url("link") & U.not_excluded_uri("link") & U.not_excluded_type("link"))
     docs = X.extract_docs(gated).select(
         "id", "text", F.struct(F.col("page_id")).alias("o"),
@@ -119,14 +129,14 @@ def q_stream_feeds(spark, base):
                       D.to_iso_z("updated").alias("updated"))
 
 
-@register("stream_predict")
+@register("stream_predict", "SELECT doc_id, 2 AS n_topics FROM documents")
 def q_stream_predict(spark, base):
     """M3: a topic model fitted in batch, applied to a document stream."""
     from newslake.operators import topics as TP
     from newslake.plans.q_topics import _labelled
     model, _ = TP.train_topic_model(_labelled(spark, base), "linear",
                                     TP.trainer_profile("linear", 2, iterations=30))
-    docs = _stream(spark, base, "documents").select(
+    docs = _stream(spark, base, "documents", "doc_id").select(
         "doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary"), "text")
     pred = S.predict_stream(docs, {"quality": model}).select(
         "doc_id", F.size("topics").alias("n_topics"), F.struct("doc_id").alias("o"))
