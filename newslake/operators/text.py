@@ -78,29 +78,32 @@ def html_lang(html) -> Column:
     return F.nullif(F.lower(F.regexp_extract(as_col(html), r"(?is)<html[^>]*\blang=.([A-Za-z-]+)", 1)), F.lit(""))
 
 
-def first_sentence(text) -> Column:
-    return F.trim(F.regexp_extract(as_col(text), r"^\s*([^.!?]+[.!?]*)", 1))
-
-
 def extract_docs(pages: DataFrame, rules: dict[str, str] | None = None,
-                 min_size: int = T.NEWS_MIN_TEXT_SIZE, link: str = "link", html: str = "html") -> DataFrame:
-    """Page -> doc fields (link, id, content, content_type, title, html
-    as base64, text, rule fields, tags from keywords meta, language from the
-    page). Per-row expressions only."""
-    text = T.clean_extracted(extract_main_text(F.col(html), min_size))
-    title = F.coalesce(T.html_title(F.col(html)), first_sentence(text))
+                 min_size: int = T.NEWS_MIN_TEXT_SIZE, link: str = "link", html: str = "html",
+                 content_type: str | None = None) -> DataFrame:
+    """Page -> doc fields (link, id, content, content_type, title, html as
+    base64, text, summary, rule fields, tags, language of the page).
+
+    The title falls back to the text's best sentence, the summary has its three
+    best (J2), the tags are the keywords meta and the ten most frequent words
+    (J3), normalised. ``content_type`` is the column of the landed header, where
+    there is one. Per-row expressions only; the text is computed once."""
     lang = html_lang(F.col(html))
-    return spread(pages).select(
+    header = F.col(content_type) if content_type else F.lit("text/html")
+    tags = F.concat(T.normalize_tags(T.meta_keywords(F.col(html))),
+                    F.coalesce(T.normalize_tags(F.transform(top_words(F.col("text")), lambda x: x["token"])), F.array().cast("array<string>")))
+    with_text = spread(pages).select("*", T.clean_extracted(extract_main_text(F.col(html), min_size)).alias("text"))
+    return with_text.select(
         "*",
         U.doc_id(link).alias("id"),
         F.array(F.struct(F.col(link).alias("base"), F.coalesce(lang, F.lit("")).alias("language"))).alias("content"),
-        F.lit("text/html").alias("content_type"),
-        title.alias("title"),
+        T.content_type_of(F.col(link), header).alias("content_type" if content_type != "content_type" else "found_type"),
+        F.coalesce(T.html_title(F.col(html)), F.get(best_sentences(F.col("text"), 1), 0)["sentence"]).alias("title"),
+        F.array_join(F.transform(best_sentences(F.col("text")), lambda x: x["sentence"]), " ").alias("summary"),
         T.b64_html(F.col(html)).alias("html_b64"),
-        text.alias("text"),
         lang.alias("lang"),
-        T.normalize_tags(T.meta_keywords(F.col(html))).alias("tags"),
-        *T.extract_rules(text, rules),
+        F.array_distinct(F.filter(tags, lambda t: F.length(t) > 0)).alias("tags"),
+        *T.extract_rules(F.col("text"), rules),
     )
 
 
@@ -258,6 +261,6 @@ def content_pass(stubs: DataFrame, pages: DataFrame, rules: dict[str, str] | Non
     extracted = (windows.latest_per_key(extracted, "id", seq) if seq
                  else extracted.dropDuplicates(["id"]))
     content = extracted.select(
-        "id", "text", "title", F.lit(None).cast("string").alias("summary"), F.col("html_b64").alias("html"),
+        "id", "text", "title", "summary", F.col("html_b64").alias("html"),
         "lang", "content_type", "tags")
     return apply_content(todo, content, min_size)

@@ -134,19 +134,40 @@ def q_main_text(spark, base):
                     F.length(X.dense_text("html")).alias("dense_len"))
 
 
-@register("extract_docs", with_fixtures(f"""
+STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+# Extracted text, summary and tags of each page.
+_EXT = f"""
+ext AS (SELECT page_id, url, html, {sql_clean(sql_main('html'))} AS text FROM pages),
+sents AS (SELECT page_id, pos, trim(s) AS sentence FROM (SELECT page_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos
+          FROM (SELECT page_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS ss FROM ext)) WHERE length(trim(s)) > 0),
+toks AS (SELECT page_id, pos, unnest({sql_words('sentence')}) AS token FROM sents),
+tf AS (SELECT page_id, token, count(*) AS c FROM toks GROUP BY 1, 2),
+best AS (SELECT t.page_id, t.pos, row_number() OVER (PARTITION BY t.page_id ORDER BY avg(tf.c) DESC, t.pos) AS rn FROM toks t JOIN tf USING (page_id, token) GROUP BY 1, 2),
+summ AS (SELECT page_id, string_agg(sentence, ' ' ORDER BY pos) AS summary, max(sentence) FILTER (WHERE rn = 1) AS first_sentence
+         FROM best JOIN sents USING (page_id, pos) WHERE rn <= 3 GROUP BY page_id),
+words AS (SELECT page_id, unnest({sql_words('text')}) AS token FROM ext),
+topw AS (SELECT page_id, token FROM words WHERE length(token) >= 3 AND token NOT IN ({STOPS})
+         GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, token) <= 10),
+tags AS (SELECT page_id, string_agg(DISTINCT t, ',' ORDER BY t) AS tags FROM (
+         SELECT page_id, regexp_replace(replace(replace(lower(trim(token)), 'news', ''), ' ', '_'), '[^\\x00-\\x7F]', '', 'g') AS t FROM topw)
+         WHERE length(t) > 0 GROUP BY page_id)"""
+
+
+@register("extract_docs", with_fixtures(_EXT + f"""
 SELECT page_id, {sql_doc_id('url')} AS id,
-       coalesce({sql_title('html')}, trim(regexp_extract({sql_clean(sql_main('html'))}, '^\\s*([^.!?]+[.!?]*)', 1))) AS title,
+       coalesce({sql_title('html')}, first_sentence) AS title,
        NULLIF(lower(regexp_extract(html, '(?is)<html[^>]*\\blang=.([A-Za-z-]+)', 1)), '') AS lang,
-       CAST(length({sql_clean(sql_main('html'))}) AS INTEGER) AS text_len,
-       length({sql_clean(sql_main('html'))}) > 1000 AS long_enough
-FROM pages
+       CAST(length(text) AS INTEGER) AS text_len, length(text) > 1000 AS long_enough,
+       md5(summary) AS summary_md5, coalesce(tags, '') AS tags,
+       CASE WHEN contains(url, '.pdf') THEN 'application/pdf' ELSE 'text/html' END AS content_type
+FROM ext LEFT JOIN summ USING (page_id) LEFT JOIN tags USING (page_id)
 """))
 def q_extract_docs(spark, base):
-    """J5 (+C14): pages to doc fields."""
+    """J5 (+C14, J2, J3, I32): pages to doc fields."""
     d = X.extract_docs(FX.pages(spark, base))
     return d.select("page_id", "id", "title", "lang", F.length("text").alias("text_len"),
-                    F.coalesce(F.length("text") > 1000, F.lit(False)).alias("long_enough"))
+                    F.coalesce(F.length("text") > 1000, F.lit(False)).alias("long_enough"),
+                    F.md5("summary").alias("summary_md5"), F.array_join(F.array_sort("tags"), ",").alias("tags"), "content_type")
 
 
 @register("url_filters", with_fixtures("""
@@ -172,25 +193,27 @@ _GATE = ("coalesce(regexp_matches(url, '(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[
          "(\\.tgz)|(\\.xz)|(\\.img))([?#].*)?$')")
 
 
-@register("content_pass", with_fixtures(f"""
+@register("content_pass", with_fixtures(_EXT + f"""
 SELECT {sql_doc_id('url')} AS id,
-       CASE WHEN NOT ({_GATE}) THEN 'unchanged'
-            WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
-       CAST(CASE WHEN {_GATE} THEN length({sql_clean(sql_main('html'))}) END AS INTEGER) AS text_len
-FROM pages
+       CASE WHEN NOT ({_GATE}) THEN 'unchanged' WHEN length(text) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
+       CAST(CASE WHEN {_GATE} THEN length(text) END AS INTEGER) AS text_len,
+       CASE WHEN {_GATE} THEN md5(summary) END AS summary_md5,
+       CASE WHEN {_GATE} THEN coalesce(tags, '') END AS tags
+FROM ext LEFT JOIN summ USING (page_id) LEFT JOIN tags USING (page_id)
 QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
 """))
 def q_content_pass(spark, base):
     """L7 (+D7, C11-C14, J5, B11): landed pages become stubs without text,
-    the content pass fills them from the page content and flags texts that
-    are too small (the doc is kept)."""
+    the content pass fills them from the page content (text, summary, tags)
+    and flags texts that are too small (the doc is kept)."""
     from newslake.operators.writes import upsert
     pages = FX.pages(spark, base)
     stubs = pages.select(U.doc_id("link").alias("id"), "link", F.lit(None).cast("string").alias("text"),
                          F.lit(None).cast("array<string>").alias("tags"), F.col("page_id").alias("seq"))
     stubs = upsert(stubs.limit(0), stubs, "id", "seq")
     out = X.content_pass(stubs, pages)
-    return out.select("id", "outcome", F.length("text").alias("text_len"))
+    return out.select("id", "outcome", F.length("text").alias("text_len"), F.md5("summary").alias("summary_md5"),
+                      F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
 @register("extract_rules", with_fixtures("""
