@@ -33,6 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 #: Parts longer than this go through a step per position instead of a step per position of all parts of that length.
 TOGETHER = 64
+#: Text in one output batch; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _QUICK = 1 << 20
 
@@ -293,7 +295,7 @@ def encode_column(v: Vocabulary, text: pa.Array) -> pa.ListArray:
     """Token ids of each text; null for null, none for empty."""
     data, offsets = text_buffers(text)
     ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for lo, hi in row_blocks(offsets, 1 << 20):
+    for lo, hi in row_blocks(offsets, 1 << 19):
         t, n = _encode_block(v, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
         ids.append(t)
         counts.append(n)
@@ -309,6 +311,13 @@ def decode_column(v: Vocabulary, ids: pa.ListArray) -> pa.Array:
     at = ids.offsets.to_numpy().astype(np.int64)
     flat = ids.values.to_numpy(zero_copy_only=False)[at[0]: at[-1]]
     at = at - at[0]
+    texts: list[str] = []
+    for lo, hi in row_blocks(at, 1 << 18):
+        texts += _decode_block(v, flat[at[lo]: at[hi]], at[lo: hi + 1] - at[lo])
+    return pa.array(texts, pa.string(), mask=np.array(ids.is_null())) if ids.null_count else pa.array(texts, pa.string())
+
+
+def _decode_block(v: Vocabulary, flat: np.ndarray, at: np.ndarray) -> list[str]:
     count = np.diff(v.out_at)[flat]
     raw = v.out[_gather(v.out_at[flat], count)]
     end = np.concatenate([[0], np.cumsum(count)])[at]
@@ -322,8 +331,7 @@ def decode_column(v: Vocabulary, ids: pa.ListArray) -> pa.Array:
         gone[strip + 1] = 1
         end = end - np.cumsum(gone)
     blob = raw.tobytes()
-    texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(end[:-1].tolist(), end[1:].tolist())]
-    return pa.array(texts, pa.string(), mask=np.array(ids.is_null())) if ids.null_count else pa.array(texts, pa.string())
+    return [blob[a:b].decode("utf-8", "replace") for a, b in zip(end[:-1].tolist(), end[1:].tolist())]
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str = "token_ids", check: str | None = None) -> DataFrame:
@@ -338,14 +346,17 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
 
     def run(batches):
         v = vocabulary.value
-        for b in batches:
-            text = b.column(text_col)
-            ids = encode_column(v, text)
-            cols, names = [*b.columns, ids], [*b.schema.names, into]
-            if check:
-                same = [x == y for x, y in zip(text.to_pylist(), decode_column(v, ids).to_pylist())]
-                cols, names = [*cols, pa.array(same, pa.bool_())], [*names, check]
-            yield pa.RecordBatch.from_arrays(cols, names)
+        for whole in batches:
+            # Batches of a bounded number of bytes, so that the working arrays stay small.
+            for lo, hi in row_blocks(text_buffers(whole.column(text_col))[1], BATCH_BYTES):
+                b = whole.slice(lo, hi - lo)
+                text = b.column(text_col)
+                ids = encode_column(v, text)
+                cols, names = [*b.columns, ids], [*b.schema.names, into]
+                if check:
+                    same = [x == y for x, y in zip(text.to_pylist(), decode_column(v, ids).to_pylist())]
+                    cols, names = [*cols, pa.array(same, pa.bool_())], [*names, check]
+                yield pa.RecordBatch.from_arrays(cols, names)
     fields = [*docs.schema.fields, StructField(into, ArrayType(IntegerType()))] + ([StructField(check, BooleanType())] if check else [])
     return docs.mapInArrow(run, StructType(fields))
 
