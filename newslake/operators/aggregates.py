@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newslake.functions._util import as_col
 from newslake.operators import windows
-from newslake.operators.broadcast import bounded_broadcast
+from newslake.operators.broadcast import MAX_BROADCAST_ROWS, bounded_broadcast
 
 ES_DEFAULT_BUCKETS = 10
 
@@ -31,14 +31,16 @@ def topic_stats(docs: DataFrame, n_sources: int = ES_DEFAULT_BUCKETS,
     predicted = docs.filter(F.exists("topics", lambda t: t["label"].isNotNull()))
     per_origin = predicted.groupBy("origin").agg(F.count(F.lit(1)).alias("doc_count"))
     top_origins = windows.top_k_per(per_origin, [], [F.col("doc_count").desc(), F.col("origin")], n_sources)
-    # top_origins has at most n_sources rows: broadcasting it is size-bounded.
-    entries = (predicted.join(F.broadcast(top_origins.select("origin")), "origin", "left_semi")
+    # top_origins has at most n_sources rows, a number that the caller sets.
+    small = n_sources <= MAX_BROADCAST_ROWS
+    bounded = F.broadcast if small else (lambda df: df)
+    entries = (predicted.join(bounded(top_origins.select("origin")), "origin", "left_semi")
                .select("origin", F.explode("topics").alias("t"))
                .select("origin", F.col("t.label").alias("label"), F.col("t.score").alias("score")))
     per_label = entries.groupBy("origin", "label").agg(
         F.count(F.lit(1)).alias("label_count"), F.avg("score").alias("avg_score"))
     top_labels = windows.top_k_per(per_label, ["origin"], [F.col("label_count").desc(), F.col("label")], n_topics)
-    return top_labels.join(F.broadcast(top_origins), "origin")
+    return top_labels.join(bounded(top_origins), "origin")
 
 
 def default_topic_size(sources: DataFrame) -> DataFrame:

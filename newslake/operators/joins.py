@@ -18,7 +18,7 @@ from newslake.functions.text import NEWS_MIN_TEXT_SIZE
 def with_source_title(stats: DataFrame, sources: DataFrame, key: str = "origin") -> DataFrame:
     """Stats left-joined to source titles; unknown -> ``Orphan News for <key>``."""
     titles = sources.select(F.col("id").alias(key), F.col("title").alias("__title"))
-    out = stats.join(titles, key, "left")
+    out = stats.join(bounded_broadcast(titles), key, "left")
     return out.withColumn("title", F.coalesce("__title", F.concat(F.lit("Orphan News for "), F.col(key)))).drop("__title")
 
 
@@ -26,7 +26,8 @@ def docs_with_source(docs: DataFrame, sources: DataFrame, how: str = "left_semi"
     """Parent-child join on ``origin``."""
     s = sources.select(F.col("id").alias("origin"), *( [] if how in ("left_semi", "left_anti")
                                                        else [F.col("title").alias("source_title")]))
-    return docs.join(s, "origin", how)
+    # The registry is small or is not broadcast; then AQE splits a hot source.
+    return docs.join(bounded_broadcast(s), "origin", how)
 
 
 def model_labels(models: DataFrame, model: str | None = None, topic: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from newslake.functions import dates, text as TX, urls as U
 from newslake.functions._util import EMPTY_STRINGS, as_col
+from newslake.operators.broadcast import bounded_broadcast
 from newslake.operators import windows
 
 # Chat-created sources and docs.
@@ -34,6 +35,9 @@ ATOM_ENTRY_SCHEMA = T.StructType([
     T.StructField("author", T.StructType([T.StructField("name", T.StringType())])),
     T.StructField("updated", T.StringType()),
     T.StructField("category", T.ArrayType(T.StructType([T.StructField("_term", T.StringType())]))),
+    T.StructField("source", T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("title", T.StringType()),
+        T.StructField("link", T.StructType([T.StructField("_href", T.StringType())]))])),
 ])
 TWEET_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -78,8 +82,8 @@ def normalize_entries(items: DataFrame, origin, now, row_tag: str = "item") -> D
     else:
         link, summary, author = F.col("link._href"), F.col("summary"), F.col("author.name")
         tags = F.coalesce(F.transform("category", lambda c: c["_term"]), F.array().cast(EMPTY_STRINGS))
-        updated = dates.parse_updated(F.col("updated"))
-        source = F.lit("")
+        updated = F.coalesce(dates.parse_updated(F.col("updated")), dates.from_rfc822(F.col("updated")))
+        source = F.coalesce(F.col("source.link._href"), F.lit(""))
     return items.select(
         U.doc_id(link).alias("id"), o.alias("origin"), link.alias("link"),
         F.col("title"), summary.alias("summary"), author.alias("author"),
@@ -111,7 +115,8 @@ def take_until_empty_page(pages: DataFrame, source: str = "source", offset: str
 def newer_than_watermark(new: DataFrame, stored: DataFrame, key: str = "origin", id_col: str = "status_id") -> DataFrame:
     """Only items with an id above the highest stored id of their
     source (numeric comparison)."""
-    marks = stored.groupBy(key).agg(F.max(F.col(id_col).try_cast("bigint")).alias("__since"))
+    # One row per source: broadcast where its size is checked.
+    marks = bounded_broadcast(stored.groupBy(key).agg(F.max(F.col(id_col).try_cast("bigint")).alias("__since")))
     return (new.join(marks, key, "left")
             .filter(F.col("__since").isNull() | (F.col(id_col).try_cast("bigint") > F.col("__since")))
             .drop("__since"))
