@@ -6,13 +6,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +35,12 @@ class Scratch:
         self.base = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, parts: int | None = None) -> DataFrame:
+        """Write and read again; ``parts`` bounds the number of files of a
+        result whose rows cost little to make."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        (df.coalesce(parts) if parts else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,7 +64,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def row_blocks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each; a longer row is a range of
     its own. Bounds the working arrays of numpy code, not what is processed."""
     lo, n = 0, len(offsets) - 1
@@ -76,8 +77,7 @@ def row_blocks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int,
 def dense_counts(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], cells: int) -> np.ndarray:
     """Sum of ``count(batch)`` (indices into ``cells``) over all rows, as an
     array of ``cells`` counters on the driver: its size depends on ``cells``
-    only. Each task sends its counters in pieces, which are summed in two steps
-    so that no task gets more than a bounded number of them."""
+    only."""
     def run(batches):
         total = np.zeros(cells, np.int64)
         for b in batches:
@@ -86,35 +86,39 @@ def dense_counts(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], c
     return unpacked(df.mapInArrow(run, PACKED), cells)
 
 
-PACKED = "piece int, lot int, counts binary"
+PACKED = "piece int, counts binary"
 PIECE = 1 << 16
 
 
 def packed(total: np.ndarray) -> pa.RecordBatch:
     pieces = range(0, len(total), PIECE)
-    lot = TaskContext.get().partitionId() % 256  # the same when a task is run again
-    return pa.RecordBatch.from_arrays([
-        pa.array([p // PIECE for p in pieces], pa.int32()), pa.array([lot] * len(pieces), pa.int32()),
-        pa.array([total[p: p + PIECE].astype(np.int64).tobytes() for p in pieces], pa.binary())], ["piece", "lot", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array([p // PIECE for p in pieces], pa.int32()), pa.array([_pack(total[p: p + PIECE]) for p in pieces], pa.binary())], ["piece", "counts"])
+
+
+def _pack(v: np.ndarray) -> bytes:
+    wide = v.max(initial=0) >> 31
+    return zlib.compress((b"8" if wide else b"4") + v.astype(np.int64 if wide else np.int32).tobytes(), 1)
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    raw = zlib.decompress(b)
+    return np.frombuffer(raw[1:], np.int64 if raw[:1] == b"8" else np.int32).astype(np.int64)
 
 
 def _sum(batches):
-    sums: dict[tuple[int, int], np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for p, lot, c in zip(b.column("piece").to_pylist(), b.column("lot").to_pylist(), b.column("counts").to_pylist()):
-            v = np.frombuffer(c, np.int64)
-            sums[p, lot] = sums[p, lot] + v if (p, lot) in sums else v
-    yield pa.RecordBatch.from_arrays([
-        pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),
-        pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["piece", "lot", "counts"])
+        for p, c in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist()):
+            sums[p] = sums[p] + _unpack(c) if p in sums else _unpack(c)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_pack(v) for v in sums.values()], pa.binary())], ["piece", "counts"])
 
 
 def unpacked(pieces: DataFrame, cells: int) -> np.ndarray:
-    """Sum packed counters: first by (piece, lot), then by piece."""
-    once = pieces.repartition("piece", "lot").mapInArrow(_sum, PACKED)
-    done = once.withColumn("lot", F.lit(0)).repartition("piece").mapInArrow(_sum, PACKED)
+    """Sum of packed counters: 32 tasks add up what all others sent, each with
+    one total in memory, and one adds up theirs."""
+    done = pieces.repartition(32).mapInArrow(_sum, PACKED).repartition(1).mapInArrow(_sum, PACKED)
     total = np.zeros(cells, np.int64)
-    for r in done.toLocalIterator():
-        v = np.frombuffer(r["counts"], np.int64)
+    for r in done.collect():  # cells / PIECE pieces
+        v = _unpack(r["counts"])
         total[r["piece"] * PIECE: r["piece"] * PIECE + len(v)] += v
     return total

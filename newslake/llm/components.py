@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from newslake.llm.common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, parts: int | None = None) -> DataFrame:
     """``edges(u, v)`` (longs, any direction, repeats allowed) to
     ``(node, component)``: each node that has an edge with the smallest node it
     reaches. Neither edges nor components pass through the driver; each step
-    is written to the shared folder. An empty table gives an empty one."""
-    e = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    is written to the shared folder, in ``parts`` files at most. An empty table gives an empty one."""
+    e = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), parts)
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        e = scratch.save(small)
+        e = scratch.save(small, parts)
         r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (r[0], r[1]) == mark:
             break
