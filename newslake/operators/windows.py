@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from newslake.functions._util import as_col
 
 
+# Up to this limit (``spark.sql.optimizer.windowGroupLimitThreshold``) Spark cuts
+# groups below the shuffle by itself.
+GROUP_LIMIT = 1000
+
+
 def _orders(order) -> list[Column]:
     return [as_col(o) for o in (order if isinstance(order, (list, tuple)) else [order])]
 
@@ -29,6 +34,12 @@ def top_k_per(df: DataFrame, keys: list[str], order, k: int, rank_col: str | Non
         return out
     w = Window.partitionBy(*keys).orderBy(*order)
     rn = rank_col or "__rn"
+    if k > GROUP_LIMIT:
+        # Beyond Spark's own bound the rows of a group are first ranked among
+        # those of one input partition, so a hot group is dealt over many tasks.
+        part = Window.partitionBy(*keys, "__part").orderBy(*order)
+        df = (df.withColumn("__part", F.spark_partition_id()).withColumn("__first", F.row_number().over(part))
+              .filter(F.col("__first") <= k).drop("__part", "__first"))
     out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k)
     return out if rank_col else out.drop(rn)
 
@@ -129,7 +140,9 @@ def page(df: DataFrame, offset: int = 0, size: int = -1) -> DataFrame:
     """Skip ``offset`` rows, then at most ``size`` (negative = no limit).
 
     ``df`` must already be ordered; Spark keeps the order through
-    offset/limit (``TakeOrderedAndProject`` with an offset)."""
+    offset/limit (``TakeOrderedAndProject`` with an offset). An offset without
+    a size is a listing to its end, which Spark makes in one task: give a size
+    where the rest is large."""
     offset, size = int(offset), int(size)
     out = df
     if offset > 0:

@@ -206,3 +206,14 @@ def test_conform_schema_defaults_and_extra(spark):
     assert out.columns == SC.SOURCES.fieldNames() + ["extra"]
     assert (r["id"], r["active"], r["predict"], r["enable_content"]) == ("s1", False, True, True)
     assert r["extra"] == '{"surprise":"x"}'
+
+
+def test_top_k_per_beyond_the_group_limit(spark, monkeypatch):
+    """Limits over Spark's own bound rank in two steps, with the same rows."""
+    from pyspark.sql import functions as F
+    from newslake.operators import windows
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")).repartition(7)
+    want = windows.top_k_per(df, ["k"], F.col("v").desc(), 40, "rn").collect()
+    monkeypatch.setattr(windows, "GROUP_LIMIT", 10)
+    got = windows.top_k_per(df, ["k"], F.col("v").desc(), 40, "rn").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 120
