@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslake.llm import chat, decontam, html_extract, licenses, pii, quality, sentencepiece_codec, token_counts, toxicity
-from newslake.llm.common import table
+from newslake.llm.common import Scratch, table
 from newslake.llm.jaccard import jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,4 +151,5 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact histogram of encoded lengths of all documents, with the answers for every context limit."""
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents").select("text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/byte_bpe_50k.json")
-    return token_counts.limits(token_counts.histogram(lengths))
+    # Written once: the answers read the histogram twice, and documents are encoded once.
+    return token_counts.limits(Scratch(spark, "lengths").save(token_counts.histogram(lengths)))
