@@ -171,13 +171,16 @@ def assess(docs: DataFrame, text_col: str = "text", rules=RULES, order: list[str
     if set(new) & set(docs.columns):
         raise ValueError(f"one of the columns {new} exists")
     if order is None:
-        some = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null")
+        some = docs.select(F.col(text_col).cast("string").alias("t")).where("t is not null").withColumn("h", F.xxhash64("t"))
+        # The texts of the smallest hashes: hashes are ranked first, so that only the sample's texts move.
+        last = some.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+        some = some.where(F.col("h") <= F.lit(last)).limit(SAMPLE)
         # The sample's texts are measured in one task; only figures come back.
         def measured(batches):
             texts = pa.concat_arrays([pa.array([], pa.string()), *(b.column("t").cast(pa.string()) for b in batches)])
             found = plan(texts, rules)
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array(list(range(len(found))))], ["rule", "place"])
-        order = [r["rule"] for r in some.orderBy(F.xxhash64("t")).limit(SAMPLE).repartition(1).mapInArrow(measured, "rule string, place long").orderBy("place").collect()] or [r.__name__ for r in rules]
+        order = [r["rule"] for r in some.select("t").repartition(1).mapInArrow(measured, "rule string, place long").orderBy("place").collect()] or [r.__name__ for r in rules]
     by_name = {r.__name__: r for r in rules}
     cascade = [by_name[n] for n in order]
 
