@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslake.llm import decontam, jaccard, pii, sentencepiece_codec, toxicity
@@ -24,29 +24,44 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, model, into="_score").where(F.col("_score") < toxicity.Limits().threshold).drop("_score")
 
 
+#: A row's own key, from the stage that writes it to the one that drops it.
+ROW = "_row"
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.9 or more over 3-word
-    shingles keep the one with the smallest id. Documents without a word, with
-    a null id or linked with nothing stay; of rows that repeat an id in a group
-    one stays (the one with the smallest text)."""
-    found = jaccard.jaccard_components(docs, percent=90, k=3)
+    shingles keep the one with the smallest id. Rows without a word, with a
+    null id or linked with nothing stay. Rows with a word that repeat an id are
+    one document, the one with the smallest text, before links are looked for.
+    Adds the key of each row, as null ids may repeat."""
+    scratch = Scratch(spark, "groups")
+    again = scratch.save(docs.where(F.col("doc_id").isNotNull() & _has_word()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), 1)
+    # Written once if ids repeat, as the search reads it several times.
+    own = docs if again.isEmpty() else scratch.save(_first_of_id(docs, again))
+    found = jaccard.jaccard_components(own, percent=90, k=3)
     lose = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return _first_of_id(docs.join(lose, F.col("doc_id") == F.col("_lost"), "left_anti"))
+    return own.join(lose, (F.col("doc_id") == F.col("_lost")) & _has_word(), "left_anti").withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _has_word() -> Column:
+    return F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
-def _first_of_id(docs: DataFrame) -> DataFrame:
-    """One row of each non-null id with a word in its text; all other rows as they are."""
-    spare = [c for c in docs.columns if c != "doc_id"]
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    single = docs.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    twice = docs.join(again, F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in spare if c != "text"])).alias("_r"))
+def _first_of_id(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """One row, with the smallest text, of the rows with a word of each id in ``again``; all other rows as they are."""
+    spare = [c for c in docs.columns if c not in ("doc_id", "text")]
+    single = docs.join(again, (F.col("doc_id") == F.col("_again")) & _has_word(), "left_anti")
+    twice = docs.where(_has_word()).join(again, F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *spare)).alias("_r"))
     return single.unionByName(twice.select("doc_id", "_r.*").select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold 80 % or more of the 5-word shingles of a benchmark item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """Drop the rows that themselves hold 80 % or more of the 5-word shingles of
+    a benchmark item, whatever other rows of their id hold."""
+    if ROW not in docs.columns:  # a key that is not written could change between reads
+        docs = Scratch(spark, "rows").save(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = decontam.contaminated(docs.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(found, F.col(ROW) == F.col("_hit"), "left_anti").drop(ROW)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,25 @@ def test_run_against_brute_force(spark, tmp_dir):
 
 def test_stages():
     assert [n for n, _ in P.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii_surrogates", "sentencepiece"]
+
+
+def test_only_rows_at_fault_are_dropped(spark, tmp_dir):
+    rng = random.Random(4)
+    text = lambda n=80: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    item, article, other, near = text(25), text(), text(), text()
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    rows = [(9, None, "a"), (9, article, "a"), (8, " \n", "a"), (8, other, "a"), (8, "", "b"),
+            (1, near, "a"), (7, near + " tail", "b"), (7, None, "b"),  # a copy goes, the null text beside it stays
+            (30, near.replace("w", "y"), "a"), (30, "a", "a"), (40, near.replace("w", "y"), "a"),  # 30 is the row "a", so 40 has no copy
+            (None, "x " + item, "a"), (None, text(), "a"), (None, text(), "b"), (None, None, "a"), (None, near, "c")]
+    schema = "doc_id long, text string, source string"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    want = [r for r in rows if r not in (rows[6], rows[8])]
+    one = P.one_of_each_group(spark, df, tmp_dir)
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in one.drop(P.ROW).collect()), key=key) == sorted(want, key=key)
+    one.write.parquet(f"{tmp_dir}/one")
+    for docs in (spark.read.parquet(f"{tmp_dir}/one"), spark.createDataFrame(want, schema)):  # with and without the key
+        out = P.drop_contaminated(spark, docs, tmp_dir)
+        assert out.columns == ["doc_id", "text", "source"]
+        assert sorted((tuple(r) for r in out.collect()), key=key) == sorted((r for r in want if r != rows[11]), key=key)
