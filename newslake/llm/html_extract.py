@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose whole content is never text of the page, and of those the ones whose content is not markup.
-SKIP = frozenset("script style template noscript iframe object svg math canvas audio video select textarea button datalist title head".split())
+SKIP = frozenset("script style template noscript iframe svg annotation annotation-xml canvas audio video select textarea datalist title head".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An opening tag closes these open elements first.
@@ -30,11 +30,16 @@ FRAME_TAGS = frozenset("nav aside footer form menu search dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 # Words of class, id and role that announce the frame, and the article.
 FRAME_WORDS = frozenset("ad ads adv advert advertisement adverts advertising alert banner bar breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr hidden legal login masthead menu menubar message modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing shop sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar trending widget complementary contentinfo navigation".split())
+# Of these, the words that also name what wraps a whole page or article; the others are never released.
+HARD_WORDS = frozenset("adv advert advertisement adverts advertising comment comments commentlist consent cookie cookies contentinfo copyright disclaimer discussion disqus feedback footer gdpr hidden login newsletter promo promoted promotion recommended related reply replies respond signup sponsor sponsored subscribe subscription teaser trending".split())
+# After these a word names a state of the element and not the element: no-sidebar, has-nav.
+STATES = frozenset("no non has have with without".split())
 ARTICLE_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 HEAD_WORDS = frozenset("header head".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)[^>]*>")
 SPACES = re.compile(r"\s+")
 
 
@@ -47,33 +52,39 @@ class Block:
     article: int  # open containers of the article
     heading: int
     marked: bool  # stands in an element with data-main, as in the labelled table
+    soft: tuple[int, ...] = ()  # those of the open frame containers that may turn out to wrap the article
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[int, int, bool, bool]:
-    """Whether an element is of the frame or of the article, is hidden, is marked."""
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[int, int, bool, bool, bool]:
+    """Whether an element is of the frame or of the article, is hidden, is
+    marked, and whether only a name (or a form) makes it one of the frame."""
     frame, article = int(tag in FRAME_TAGS), int(tag in ARTICLE_TAGS)
+    soft = tag == "form"
     hidden = marked = False
     names: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes) if attributes.strip(" /\n\t") else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role", "itemprop"):
-            names |= {x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if x}
+            for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                words = [x for x in re.split(r"[^a-z]+", name) if x]
+                names |= {x for i, x in enumerate(words) if not i or words[i - 1] not in STATES}
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
         elif key == "data-main":
             marked = True
     if tag not in ("html", "body") and not article:
         if names & FRAME_WORDS:
+            soft = (soft or not frame) and not names & HARD_WORDS
             frame = 1
         elif names & ARTICLE_WORDS:
             article = 1
     if not inside and (tag == "header" or names & HEAD_WORDS and tag not in HEADING) and not article:
-        frame = 1
-    return frame, article, hidden, marked
+        frame, soft = 1, False
+    return frame, article, hidden, marked, soft
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -83,23 +94,23 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, int, int, bool]] = []  # open elements: tag, frame, article, marked
+    stack: list[tuple[str, int, int, bool, int]] = []  # open elements: tag, frame, article, marked, number of those that may wrap the article or -1
     frame = article = 0
     parts: list[str] = []
     linked: list[str] = []
-    heading = link = 0
+    heading = link = wrappers = 0
 
     def flush():
         nonlocal heading
         text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Block(text, len(text.split(" ")), len(html.unescape("".join(linked)).split()), frame, article, heading, any(s[3] for s in stack)))
+            out.append(Block(text, len(text.split(" ")), len(html.unescape("".join(linked)).split()), frame, article, heading, any(s[3] for s in stack), tuple(s[4] for s in stack if s[4] >= 0) if wrappers else ()))
         parts.clear()
         linked.clear()
 
     def close(i: int):
         nonlocal frame, article
-        for _, f, a, _ in stack[i:]:
+        for _, f, a, _, _ in stack[i:]:
             frame -= f
             article -= a
         del stack[i:]
@@ -138,12 +149,12 @@ def blocks(page: str | None) -> list[Block]:
                     break
             continue
         shut = m[3].rstrip().endswith("/") and tag not in BLOCK
-        f, a, hidden, marked = _kind(tag, m[3], article > 0)
-        if (tag in SKIP or hidden) and tag not in VOID:
+        f, a, hidden, marked, soft = _kind(tag, m[3], article > 0)
+        if (tag in SKIP or hidden or tag == "button" and f) and tag not in VOID:
             if tag in BLOCK:
                 flush()
             if not shut:
-                at = _past(page, at, tag)
+                at = _past(page, at, tag, stack[-1][0] if stack else None)
             continue
         if tag == "br":
             parts.append(" ")
@@ -166,15 +177,48 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "a":
             link = 1
         if tag not in VOID and not shut and (tag in BLOCK or f or a or marked):
-            stack.append((tag, f, a, marked))
+            stack.append((tag, f, a, marked, wrappers if soft and f else -1))
+            wrappers += bool(soft and f)
             frame += f
             article += a
     flush()
+    if wrappers:
+        _release(out, wrappers)
     return out
 
 
-def _past(page: str, at: int, tag: str) -> int:
-    """The place after the end tag that belongs to an element of which nothing is text."""
+def _release(found: list[Block], wrappers: int) -> None:
+    """Of the elements that a name puts into the frame, those that wrap the
+    article are none of it: those with a deeper article and no fewer words of
+    it than all blocks outside the frame, and, if no article is outside the
+    frame, those with most of the page's words. Words of links don't count."""
+    size, own, depth = [0] * wrappers, [0] * wrappers, [0] * wrappers
+    total = 0
+    for b in found:
+        n = b.words - b.linked
+        total += n
+        if b.frame == len(b.soft):
+            for w in b.soft:
+                size[w] += n
+                own[w] += n if b.article else 0
+                depth[w] = max(depth[w], b.article)
+    free = None
+    for w in sorted((w for w in range(wrappers) if size[w] or depth[w]), key=lambda w: (-own[w], -size[w], w)):
+        if free is None:
+            outside = [b for b in found if not b.frame and b.article]
+            free = sum(b.words - b.linked for b in outside), max((b.article for b in outside), default=0)
+        if depth[w] > free[1] and own[w] >= free[0] or not free[1] and 2 * size[w] > total:
+            for b in found:
+                if w in b.soft:
+                    b.soft = tuple(x for x in b.soft if x != w)
+                    b.frame -= 1
+            free = None
+
+
+def _past(page: str, at: int, tag: str, parent: str | None = None) -> int:
+    """The place after the end tag that belongs to an element of which nothing
+    is text; without an end tag, that of its parent or, in elements that hold
+    no blocks, of the next block."""
     if tag in RAW:
         m = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
         return m.end() if m else len(page)
@@ -186,7 +230,20 @@ def _past(page: str, at: int, tag: str) -> int:
     if tag == "head":
         m = re.compile(r"<body\b", re.I).search(page, at)
         return m.start() if m else len(page)
-    return at if tag not in SKIP else len(page)
+    if tag not in SKIP:
+        return at
+    depth, block = 0, None
+    for m in TAG.finditer(page, at):
+        name = m[2].lower()
+        if not m[1] and name in BLOCK and block is None:
+            block = m.start()
+            if parent is None or parent == "p" or parent in CLOSES or tag in ("svg", "select", "datalist"):
+                break
+        if name == parent:
+            depth += -1 if m[1] else 1
+            if depth < 0:
+                return m.start()
+    return len(page) if block is None else block
 
 
 FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "frame", "article", "heading")
@@ -267,7 +324,10 @@ BELOW = [
     "<div class=sidebar><h3>Most read</h3><ul><li><a href=/1>Storm hits coast</a></ul></div><div>Last change: May</div>",
     f"<form><p>Write to us with your name</p></form><div class=related><p>{_LONG}</p></div><div><a href=/z>Top of page</a></div>",
 ]
+# Wrappers with names of the frame, around the main blocks and around all.
+WRAPPER = ["<div class='layout no-sidebar'>", "<div class='right-sidebar container'>", "<div id=page class=has-nav><form id=search-page>"]
 LABELLED = [f"<body>{a}{m}{b}</body>" for a in ABOVE for m in MAIN for b in BELOW]
+LABELLED += [page for w in WRAPPER for m in MAIN for page in (f"<body>{w}{m}</div>{BELOW[1]}</body>", f"<body>{w}{ABOVE[1]}{m}{BELOW[4]}</div></body>")]
 
 
 def train(labelled: list[str] = LABELLED) -> Tree:

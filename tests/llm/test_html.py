@@ -41,3 +41,33 @@ def test_columns(spark):
     assert len(H.main_text("<article><p>" + "<p>word " * 50_000, TREE).split("\n\n")) == 50_000
     with pytest.raises(ValueError):
         H.extract(df, into="url")
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout no-sidebar'><p>{LONG}</p><p>{LONG}</p></div>",
+    f"<div class='right-sidebar container'><div><p>{LONG}</p><p>{LONG}</p></div></div><footer>Imprint</footer>",
+    f"<div id='page' class='has-nav'><div class=nav><a href=/>Home</a></div><article><p>{LONG}</p><p>{LONG}</p></article><div class=sidebar><article><p>{LONG}</p></article></div></div>",
+    f"<div class='modal message'><div class=sidebar><article><p>Other</p></article></div><main><p>{LONG}</p><p>{LONG}</p></main><section class=comments><article><p>{LONG}</p></article></section></div>",
+    f"<form id=legal><div class=post><p>{LONG}</p><p>{LONG}</p></div></form>",
+])
+def test_wrappers_with_names_of_the_frame(page):
+    assert H.main_text(page, TREE) == f"{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><p>{LONG}</p></article><div class=sidebar><article><p>{LONG}</p><p>{LONG}</p></article></div>",
+    f"<article><p>{LONG}</p></article><div class=comments><article><article><p>{LONG}</p><p>{LONG}</p></article></article></div>",
+])
+def test_frames_stay_frames(page):
+    assert H.main_text(page, TREE) == LONG
+
+
+def test_content_of_math_object_and_button():
+    page = "<article><h2><button>Energy</button></h2><p>It is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding=tex>E</annotation></math> there <object data=x><b>shown</b></object>.</p><button class=share>Share</button></article>"
+    assert H.main_text(page, TREE) == "Energy\n\nIt is E=m there shown."
+
+
+@pytest.mark.parametrize("tag", ["button", "svg", "select", "object", "template"])
+def test_unclosed_elements_end_at_their_parent(tag):
+    text = H.main_text(f"<article><p>One.</p><div><{tag}></div><p>{LONG}</p><p>Two <{tag}><p>{LONG}</article>", TREE)
+    assert text.startswith("One.") and text.count(LONG) == 2
