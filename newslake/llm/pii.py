@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -51,8 +52,10 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])(?P<v>\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w])")),
 ]
-_DIGIT = re.compile(r"[0-9]")
+_ASCII_DIGIT, _DIGIT = re.compile(r"[0-9]"), re.compile(r"\d")
+_PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-")
 _KEYWORDS = ("password", "passwd", "pwd", "token", "secret", "key", "credential")
+_ANY_KEYWORD = re.compile("|".join(_KEYWORDS), re.I)
 _CAPITAL = r"[^\W\d_a-zß-ÿа-яα-ω]"
 # A capitalised word before another one; whether it is a given name is looked up.
 _FULL = re.compile(rf"(?<!\w)(?P<given>{_CAPITAL}{_LETTER}+)(?= (?P<family>{_CAPITAL}{_LETTER}+))")
@@ -62,7 +65,28 @@ _TITLED = re.compile(rf"\b{TITLE} (?:(?P<given>{_CAPITAL}{_LETTER}+) )?(?P<famil
 Span = tuple[int, int, str, str]  # start, end, type, canonical form
 
 
+def _may_match(text: str) -> bool:
+    """False only where no pattern can match: each needs a digit of any script,
+    an @, the prefix of a key, or a keyword (whose letters have more than two
+    forms outside ASCII) with = or :."""
+    plain = text.isascii()
+    if "@" in text or (_ASCII_DIGIT if plain else _DIGIT).search(text) or _PREFIX.search(text):
+        return True
+    if "=" not in text and ":" not in text:
+        return False
+    if not plain:
+        return _ANY_KEYWORD.search(text) is not None
+    low = text.lower()
+    return any(k in low for k in _KEYWORDS)
+
+
+def _ascii_digits(text: str) -> str:
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 def canonical(kind: str, text: str) -> str:
+    if kind in ("phone", "card", "ssn", "iban", "ip"):
+        text = _ascii_digits(text)
     if kind in ("phone", "card", "ssn"):
         return re.sub(r"\D", "", text)
     if kind == "iban":
@@ -76,8 +100,7 @@ def detect(text: str | None) -> list[Span]:
     found: list[Span] = []
     if not text:
         return found
-    # Cheap tests first: every pattern needs a digit, an @ or a keyword with = or :.
-    if "@" in text or _DIGIT.search(text) or ("=" in text or ":" in text) and any(k in text.lower() for k in _KEYWORDS):
+    if _may_match(text):  # cheap tests first
         for kind, p in PATTERNS:
             for m in p.finditer(text):
                 found.append((m.start("v"), m.end("v"), kind, canonical(kind, m["v"])))
@@ -207,11 +230,19 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
     return head + "".join(_like(c, draw, hexa) for c in form[len(head):])
 
 
+def _digit_like(seen: str, c: str) -> str:
+    """The digit ``c`` in the script of the digit ``seen``."""
+    return chr(ord(seen) - unicodedata.decimal(seen) + int(c)) if c.isdecimal() and seen.isdecimal() and not seen.isascii() else c
+
+
 def shaped(kind: str, seen: str, form: str) -> str:
     """A canonical replacement in the format of the mention ``seen``."""
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(form)
-        return "".join(next(rest, c) if (c.isalnum()) else c for c in seen)
+        return "".join(_digit_like(c, next(rest, c)) if (c.isalnum()) else c for c in seen)
+    if kind == "ip" and not seen.isascii():
+        like = next(c for c in seen if c.isdecimal() and not c.isascii())
+        return "".join(_digit_like(like, c) for c in form)
     if kind in ("given", "family", "email"):
         if seen.isupper() and len(seen) > 1:
             return form.upper()
