@@ -13,6 +13,7 @@ then use the attempts of these exceptions and attempt 0 for all others.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -57,8 +58,15 @@ _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-")
 _KEYWORDS = ("password", "passwd", "pwd", "token", "secret", "key", "credential")
 _ANY_KEYWORD = re.compile("|".join(_KEYWORDS), re.I)
 _CAPITAL = r"[^\W\d_a-zß-ÿа-яα-ω]"
+# Particles before a surname; they stay.
+_PARTICLES = r"(?:(?:[Dd]e (?:la|las|los)|[Vv][ao]n (?:de[rn]?|het)|[Dd]e|[Dd]a|[Dd]os|[Dd]i|[Dd]el|[Dd]ella|[Vv][ao]n) )?"
 # A capitalised word before another one; whether it is a given name is looked up.
-_FULL = re.compile(rf"(?<!\w)(?P<given>{_CAPITAL}{_LETTER}+)(?= (?P<family>{_CAPITAL}{_LETTER}+))")
+_FULL = re.compile(rf"(?<!\w)(?P<given>{_CAPITAL}{_LETTER}+)(?= {_PARTICLES}(?P<family>{_CAPITAL}{_LETTER}+))")
+_NAME = re.compile(rf"(?<!\w){_CAPITAL}{_LETTER}+(?!\w)")
+# Capitalised words that follow a name in a title or at a slip of the pen; as names they are not looked for in the rest of the text.
+_NO_NAME = frozenset("a an and are as at but by for from had has have he her his i in is it its not of on or she so that the their then there they this to was we were what when where which who will with you "
+                     "der die das den dem des ein eine er es hat ich im ist mit nicht sie sind und von war wir zu "
+                     "de del el en es la las le les los ne pas por que se son un una une y et est il elle nous vous il и в на не он она что это και ο η το".split())
 _TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Sr", "Señor", "Monsieur", "Madame")
 _TITLED = re.compile(rf"\b{TITLE} (?:(?P<given>{_CAPITAL}{_LETTER}+) )?(?P<family>{_CAPITAL}{_LETTER}+)\b")
 
@@ -96,7 +104,8 @@ def canonical(kind: str, text: str) -> str:
 
 def detect(text: str | None) -> list[Span]:
     """Entities of a whole text in order, without overlaps; where two overlap,
-    the one of the earlier pattern stays. Null and empty texts have none."""
+    the one of the earlier pattern stays. A name found once is found wherever it
+    stands as a capitalised word of the text. Null and empty texts have none."""
     found: list[Span] = []
     if not text:
         return found
@@ -116,13 +125,19 @@ def detect(text: str | None) -> list[Span]:
                 found.append((m.start("family"), m.end("family"), "family", m["family"].lower()))
             else:
                 found.append((m.start("family") if not m["given"] else m.start("given"), m.end("given") if m["given"] else m.end("family"), "family", (m["given"] or m["family"]).lower()))
-    kept: list[Span] = []
-    taken: list[tuple[int, int]] = []
-    for s in found:  # few per text
-        if all(s[1] <= a or s[0] >= b for a, b in taken):
-            kept.append(s)
-            taken.append((s[0], s[1]))
-    return sorted(kept)
+    # Further mentions of the names found, alone or beside other words.
+    names: dict[str, str] = {}
+    for _, _, kind, form in found:
+        if kind in ("given", "family") and form not in _NO_NAME:
+            names.setdefault(form, kind)
+    if names:
+        found += [(m.start(), m.end(), names[form], form) for m in _NAME.finditer(text) if (form := m[0].lower()) in names]
+    kept: list[Span] = []  # in order
+    for s in found:
+        i = bisect.bisect(kept, s)
+        if (not i or kept[i - 1][1] <= s[0]) and (i == len(kept) or s[1] <= kept[i][0]):
+            kept.insert(i, s)
+    return kept
 
 
 def _stream(key: bytes, *parts: object) -> Callable[[int], int]:

@@ -84,3 +84,23 @@ def test_digits_of_other_scripts(spark):
     a, b = got[1]["text"], got[2]["text"]
     assert got[1]["n_entities"] == got[3]["n_entities"] == 1 and a.isascii() is False and a != "call +٩٦٦ ٥٥ ٥٥٥ ٧٧١٣ now"
     assert pii._ascii_digits(a) == b and not re.search("[0-9]", a + got[3]["text"])
+
+
+def test_later_mentions_of_a_name(spark):
+    rows = [(1, "Mary Miller came. Miller said that MILLER and Mary's friend, Ms. Jones, ate; Jones left. Millers and miller stay."), (2, "Maria de Souza and Anna van der Berg: Souza, Berg. María de la Cruz? Cruz!"),
+            (3, "Mary And the others. And then? And so on."), (4, "Miller said."), (5, "Mr. Smith " + "and Smith " * 20_000), (6, "Елена Иванова пришла. Иванова сказала")]
+    got = run(spark, rows)
+    a = re.fullmatch(r"(\w+) (\w+) came\. (\w+) said that (\w+) and (\w+)'s friend, Ms\. (\w+), ate; (\w+) left\. Millers and miller stay\.", got[1]["text"])
+    assert a[2] == a[3] == a[4].title() != "Miller" and a[1] == a[5] != "Mary" and a[6] == a[7] != "Jones" and a[4].isupper() and got[1]["n_entities"] == 7
+    # María is a listed name, Maria is not.
+    b = re.fullmatch(r"Maria de Souza and (\w+) van der (\w+): Souza, (\w+)\. (\w+) de la (\w+)\? (\w+)!", got[2]["text"])
+    assert b[2] == b[3] != "Berg" and b[5] == b[6] != "Cruz" and b[4] != "María"
+    assert got[3]["text"].endswith(" the others. And then? And so on.") and got[4]["text"] == "Miller said."
+    assert "Smith" not in got[5]["text"] and got[5]["n_entities"] == 20_001
+    assert "Иванов" not in got[6]["text"] and got[6]["n_entities"] == 3
+
+
+def test_earlier_pattern_wins():
+    text = "Mary Miller wrote Mary.Miller@x.org, Miller@y.org; token=Miller.Mary123456"
+    spans = pii.detect(text)
+    assert [(text[a:b], k) for a, b, k, _ in spans] == [("Mary", "given"), ("Miller", "family"), ("Mary.Miller@x.org", "email"), ("Miller@y.org", "email"), ("Miller.Mary123456", "secret")]
