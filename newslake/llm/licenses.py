@@ -12,6 +12,9 @@ candidates of a batch advance together, one template word at a time.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ K, WINDOW = 3, 4
 MATCH, OTHER, GAP = 2, -1, -1
 
 # Texts of public licence notices: fixed values.
-TEMPLATES = [
+NOTICES = [
     ("MIT-notice", "Released under the MIT License."),
     ("MIT-licensed", "Licensed under the MIT License."),
     ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
@@ -38,7 +41,32 @@ TEMPLATES = [
     ("Apache-2.0-header", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("GPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-network", "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software."),
+    ("EPL-2.0-header", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 ]
+#: Words from which paragraphs of a whole text are a part of their own.
+PART = 60
+
+
+def parts_of(name: str, text: str) -> list[tuple[str, str]]:
+    """A whole text cut into runs of paragraphs, so that each can be aligned in
+    a narrow band and a document that holds a part of the text is found by it."""
+    runs: list[str] = [""]
+    for paragraph in re.split(r"\n\s*\n", text):
+        if len(runs[-1].split()) >= PART:
+            runs.append("")
+        runs[-1] = f"{runs[-1]} {' '.join(paragraph.split())}"
+    if len(runs) > 1 and len(runs[-1].split()) < PART // 2:
+        last = runs.pop()
+        runs[-1] += last
+    runs = [re.sub(r"^[\W_]+|[\W_]+$", "", r) for r in runs]
+    return [(f"{name}-text" if len(runs) == 1 else f"{name}-text-{i}/{len(runs)}", r) for i, r in enumerate(runs, 1)]
+
+
+# Whole texts of public licences, in files beside this module.
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+TEMPLATES = NOTICES + [part for name, text in TEXTS.items() for part in parts_of(name, text)]
 
 
 def _words(texts: pa.Array) -> W.Words:
@@ -55,6 +83,7 @@ class Index:
         w = _words(pa.array([t for _, t in templates], pa.string()))
         h = w.hashes()
         self.words = [h[a:b] for a, b in zip(w.at[:-1], w.at[1:])]
+        self.own = [np.unique(x) for x in self.words]
         entries = set()
         for t, word in enumerate(self.words):
             n = len(word)
@@ -148,10 +177,23 @@ def find(texts: pa.Array, index: Index, percent: int):
             m = len(index.words[t])
             row, d = hit[0][hit[1] == t], hit[2][hit[1] == t]
             b = band(m)
-            # Hits within a band are one candidate.
-            new = np.ones(len(d), bool)
-            new[1:] = (row[1:] != row[:-1]) | (d[1:] - d[:-1] > b // 2)
-            row, d = row[new], d[new]
+            # Hits near the first one of a candidate are that candidate; near each other is not enough, a chain would leave the band.
+            key = row * (1 << 40) + d
+            picks, i = [], 0
+            while i < len(d):
+                picks.append(i)
+                i = int(np.searchsorted(key, key[i] + b // 2, "right"))
+            row, d = row[picks], d[picks]
+            # Only words of the template that stand in the band can match: too few of them, and there is no match.
+            lo, hi = np.maximum(w.at[row], d - b), np.minimum(w.at[row + 1], d + m + b)
+            n = np.maximum(hi - lo, 0)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            own = index.own[t]
+            same = own[np.minimum(np.searchsorted(own, h[place]), len(own) - 1)] == h[place]
+            enough = 100 * np.bincount(np.repeat(np.arange(len(d)), n)[same], minlength=len(d)) >= percent * m
+            row, d = row[enough], d[enough]
+            if not len(d):
+                continue
             n, s, e = align(index.words[t], h, w.at[row], w.at[row + 1], d)
             for i in np.flatnonzero(100 * n >= percent * m):
                 if lead is None:

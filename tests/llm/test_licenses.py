@@ -59,3 +59,25 @@ def test_alignment_finds_the_longest_common_words():
                 del words[i]
         found = L.find(pa.array([" ".join(["y"] * 9 + words + ["y"] * 9)]), L.Index([("t", t)]), 50)
         assert found and found[0][2] >= lcs(t.split(), words) - 2 and found[0][2] <= lcs(t.split(), words)
+
+
+def test_whole_and_partial_texts():
+    assert {"Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"} == set(L.TEXTS)
+    index = L.Index(L.TEMPLATES)
+    for name, text in L.TEXTS.items():
+        parts = [n for n, _ in L.parts_of(name, text)]
+        lines = text.split("\n")
+        half = "\n".join(lines[len(lines) // 2:])
+        found = L.find(pa.array(["before " + text + " after", "before " + half]), index, 80)
+        of = lambda row: {index.names[t] for r, t, *_ in found if r == row}
+        # A part of LGPL 3 lies in a match of GPL 3 with more words.
+        assert set(parts) - of(0) <= {"LGPL-3.0-text-13/14"}, (name, set(parts) - of(0))
+        assert len(set(parts) & of(1)) >= len(parts) // 2 - 1, name
+    assert L.find(pa.array([" ".join(t for t in L.TEXTS["GPL-3.0"].split()[::2]), "the terms of the license and of this software " * 50]), index, 80) == []
+
+
+def test_notices_of_other_licences():
+    index = L.Index(L.TEMPLATES)
+    names = ["AGPL-3.0-header", "AGPL-3.0-network", "EPL-2.0-header"]
+    found = L.find(pa.array([dict(L.TEMPLATES)[n] for n in names]), index, 80)
+    assert [(r, index.names[t]) for r, t, *_ in found] == list(enumerate(names))
