@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.llm import chat, decontam, html_extract, licenses, pii, quality, sentencepiece_codec, token_counts, toxicity
+from newslake.llm import chat, decontam, html_extract, licenses, periodic_runs, pii, quality, sentencepiece_codec, token_counts, toxicity
 from newslake.llm.common import Scratch, table
 from newslake.llm.jaccard import jaccard_components
 
@@ -153,3 +153,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.encoded_lengths(table(spark, sf_dir, "documents").select("text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/byte_bpe_50k.json")
     # Written once: the answers read the histogram twice, and documents are encoded once.
     return token_counts.limits(Scratch(spark, "lengths").save(token_counts.histogram(lengths)))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, one in ten with a periodic end, with its periodic runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    found = periodic_runs.find_runs(docs, rewrite=periodic_runs.planted("h"))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
