@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.llm import chat, decontam, html_extract, licenses, neighbours, periodic_runs, pii, quality, sentencepiece_codec, token_counts, toxicity
+from newslake.llm import chat, decontam, html_extract, licenses, neighbours, periodic_runs, pii, quality, sentencepiece_codec, token_counts, toxicity, whitening
 from newslake.llm.common import Scratch, table
 from newslake.llm.jaccard import jaccard_components
 
@@ -175,3 +175,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number
 def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 rows with the largest inner product for every 20th vector."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every complete vector, whitened along the first 32 components. A deviation beyond a long is null."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 32)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
