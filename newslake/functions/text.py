@@ -7,6 +7,8 @@ Everything here is a composition of built-in expressions (``regexp_*``,
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -134,12 +136,13 @@ def b64_html(html) -> Column:
     return F.regexp_replace(F.base64(F.encode(as_col(html), "UTF-8")), r"[\r\n]", "")
 
 
-def _entity_names() -> dict[str, str]:
-    """Entity name -> text, from Python's table of the HTML standard; the most
-    frequent ones first, as the lookup goes through the map in order."""
+@lru_cache(maxsize=1)
+def _entity_table() -> str:
+    """Entity name -> text as JSON, from Python's table of the HTML standard;
+    the most frequent ones first, as the lookup goes through the map in order."""
     first = ["amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot"]
     names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    return {k: names[k] for k in first} | names
+    return json.dumps({k: names[k] for k in first} | names)
 
 
 def _entity(ent: Column) -> Column:
@@ -149,7 +152,8 @@ def _entity(ent: Column) -> Column:
         F.nullif(F.regexp_extract(ent, r"^&#([0-9]+);$", 1), F.lit(""))).try_cast("long")
     valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     by_code = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-    table = F.create_map(*[F.lit(x) for kv in _entity_names().items() for x in kv])
+    # One literal, which the planner folds to a map.
+    table = F.from_json(F.lit(_entity_table()), "map<string,string>")
     by_name = F.try_element_at(table, F.regexp_extract(ent, r"^&([A-Za-z][A-Za-z0-9]*);$", 1))
     return F.coalesce(by_code, by_name, ent)
 

@@ -3,14 +3,21 @@
 * Page extraction (J4, J5) is per row and narrow: higher-order functions over
   the blocks of one page, no explode and no shuffle.
 * Summaries (J2) and keywords (J3) count the words of one text inside its
-  row: arrays are sorted and cut into runs, so there is no shuffle.
-* Language detection (J1) joins each text's word counts with a profile.
-  Whole texts are processed.
+  row, so there is no shuffle. Sentences are ranked in Arrow batches: sorting
+  words in SQL lambdas took three times as long.
+* Language detection (J1) is in ``language``. Whole texts are processed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+import sys
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as ST
 
 from newslake.functions import text as T, urls as U
 from newslake.functions._util import as_col, let
@@ -59,123 +66,116 @@ def text_blocks(html) -> Column:
     return F.transform(blocks, info)
 
 
+def _few_links(b, max_link_density: float = MAX_LINK_DENSITY) -> Column:
+    return b["link_chars"] <= F.length(b["text"]) * max_link_density
+
+
+def _lines(blocks) -> Column:
+    return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+
+
+def _dense(blocks, min_block: int, max_link_density: float) -> Column:
+    return _lines(F.filter(blocks, lambda b: (F.length(b["text"]) >= min_block) & _few_links(b, max_link_density)))
+
+
 def dense_text(html, min_block: int = MIN_BLOCK_CHARS, max_link_density: float = MAX_LINK_DENSITY) -> Column:
-    """Density-based main text: blocks of at least ``min_block`` characters
-    whose link text is at most ``max_link_density`` of the block."""
-    kept = F.filter(text_blocks(html), lambda b: (F.length(b["text"]) >= min_block)
-                    & (b["link_chars"] <= F.length(b["text"]) * max_link_density))
-    return F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    """Density-based text: blocks of at least ``min_block`` characters whose
+    link text is at most ``max_link_density`` of the block, each on its own."""
+    return _dense(text_blocks(html), min_block, max_link_density)
+
+
+def _article(blocks, min_block: int) -> Column:
+    def smooth(full):
+        # Characters outside links less those inside, as a mean over a block (twice) and its neighbours.
+        weight = F.transform(full, lambda b: F.length(b["text"]) - 2 * b["link_chars"])
+        return let(weight, lambda w: F.filter(full, lambda b, i: _few_links(b) & (
+            F.coalesce(F.get(w, i - 1), F.lit(0)) + 2 * F.get(w, i) + F.coalesce(F.get(w, i + 1), F.lit(0)) >= 4 * min_block)))
+    return _lines(let(F.filter(blocks, lambda b: F.length(b["text"]) > 0), smooth))
+
+
+def article_text(html, min_block: int = MIN_BLOCK_CHARS) -> Column:
+    """The article: blocks whose text density, smoothed over the neighbouring
+    blocks, reaches ``min_block``. A short paragraph between long ones stays, a
+    line of a menu or a teaser between links goes."""
+    return _article(text_blocks(html), min_block)
 
 
 def extract_main_text(html, min_size: int = T.NEWS_MIN_TEXT_SIZE) -> Column:
-    """Dense blocks; if that is shorter than ``min_size``, the visible
-    text of the whole page (I13)."""
-    main = dense_text(html)
-    return F.when(F.length(main) >= min_size, main).otherwise(T.visible_text(html))
+    """The article; if that is shorter than ``min_size``, the visible text
+    of the whole page (I13); if that is shorter too, the dense blocks alone,
+    and the visible text where there are none."""
+    def chain(blocks):
+        article, dense = _article(blocks, MIN_BLOCK_CHARS), _dense(blocks, MIN_BLOCK_CHARS, MAX_LINK_DENSITY)
+        return let(article, lambda a: F.when(F.length(a) >= min_size, a).otherwise(let(T.visible_text(html), lambda v: (
+            F.when((F.length(v) >= min_size) | (F.length(dense) == 0), v).otherwise(dense)))))
+    return let(text_blocks(html), chain)
 
 
 def html_lang(html) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(as_col(html), r"(?is)<html[^>]*\blang=.([A-Za-z-]+)", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(as_col(html), r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)), F.lit(""))
+
+
+def follow_refresh(pages: DataFrame, link: str = "link", html: str = "html", hops: int = 3) -> DataFrame:
+    """I16 followed: a page that only refreshes to another landed page gets that
+    page's link and html, over at most ``hops`` refreshes; the deepest landed one
+    counts. Pages without a refresh pass through; only ids are joined but for
+    the pages that are fetched."""
+    target = U.meta_refresh_target(F.col(html))
+    named = pages.withColumn("__to", F.when(target.isNotNull(), U.doc_id(target)))
+    # page -> where it refreshes to, up to hops times.
+    step = named.filter("__to is not null").select(U.doc_id(link).alias("__id"), "__to").distinct()
+    chain = step.select("__id", F.col("__to").alias("__at"), F.lit(1).alias("__depth"))
+    reached = chain
+    for d in range(2, hops + 1):
+        nxt = step.select(F.col("__id").alias("__at"), F.col("__to").alias("__next"))
+        chain = chain.join(nxt, "__at").select("__id", F.col("__next").alias("__at"), F.lit(d).alias("__depth"))
+        reached = reached.unionByName(chain)
+    wanted = reached.select("__at").distinct()
+    landed = (pages.select(U.doc_id(link).alias("__at"), F.col(link).alias("__link"), F.col(html).alias("__html"))
+              .join(wanted, "__at", "left_semi").groupBy("__at").agg(F.min(F.struct("__link", "__html")).alias("__p")))
+    deepest = reached.join(landed, "__at").groupBy("__id").agg(F.max_by("__p", "__depth").alias("__p"))
+    moved = (named.filter("__to is not null").withColumn("__id", U.doc_id(link)).join(deepest, "__id", "left")
+             .withColumn(link, F.coalesce("__p.__link", link)).withColumn(html, F.coalesce("__p.__html", html)))
+    return named.filter("__to is null").select(pages.columns).unionByName(moved.select(pages.columns))
 
 
 def extract_docs(pages: DataFrame, rules: dict[str, str] | None = None,
                  min_size: int = T.NEWS_MIN_TEXT_SIZE, link: str = "link", html: str = "html",
-                 content_type: str | None = None) -> DataFrame:
+                 content_type: str | None = None, language=None) -> DataFrame:
     """Page -> doc fields (link, id, content, content_type, title, html as
-    base64, text, summary, rule fields, tags, language of the page).
+    base64, text, summary, rule fields, tags, language).
 
     The title falls back to the text's best sentence, the summary has its three
     best (J2), the tags are the keywords meta and the ten most frequent words
     (J3), normalised. ``content_type`` is the column of the landed header, where
-    there is one. Per-row expressions only; the text is computed once."""
-    lang = html_lang(F.col(html))
-    header = F.col(content_type) if content_type else F.lit("text/html")
+    there is one. ``language`` (see ``language.language_of``) detects the language
+    of the text; without it, or for a text without letters, the page's own
+    attribute counts. Per-row steps only; text and sentences are computed once."""
     tags = F.concat(T.normalize_tags(T.meta_keywords(F.col(html))),
                     F.coalesce(T.normalize_tags(F.transform(top_words(F.col("text")), lambda x: x["token"])), F.array().cast("array<string>")))
-    with_text = spread(pages).select("*", T.clean_extracted(extract_main_text(F.col(html), min_size)).alias("text"))
+    header = F.col(content_type) if content_type else F.lit("text/html")
+    with_text = (spread(pages).select("*", T.clean_extracted(extract_main_text(F.col(html), min_size)).alias("text"))
+                 .withColumn("__best", best_sentences("text")))
+    lang = html_lang(F.col(html))
+    with_text = with_text.withColumn("__lang", F.coalesce(F.nullif(language("text"), F.lit("")), lang) if language else lang)
     return with_text.select(
-        "*",
+        *pages.columns, "text",
         U.doc_id(link).alias("id"),
-        F.array(F.struct(F.col(link).alias("base"), F.coalesce(lang, F.lit("")).alias("language"))).alias("content"),
+        F.array(F.struct(F.col(link).alias("base"), F.coalesce("__lang", F.lit("")).alias("language"))).alias("content"),
         T.content_type_of(F.col(link), header).alias("content_type" if content_type != "content_type" else "found_type"),
-        F.coalesce(T.html_title(F.col(html)), F.get(best_sentences(F.col("text"), 1), 0)["sentence"]).alias("title"),
-        F.array_join(F.transform(best_sentences(F.col("text")), lambda x: x["sentence"]), " ").alias("summary"),
+        F.coalesce(T.html_title(F.col(html)), best_sentence(F.col("__best"))).alias("title"),
+        F.array_join(F.transform("__best", lambda x: x["sentence"]), " ").alias("summary"),
         T.b64_html(F.col(html)).alias("html_b64"),
-        lang.alias("lang"),
+        F.col("__lang").alias("lang"),
         F.array_distinct(F.filter(tags, lambda t: F.length(t) > 0)).alias("tags"),
         *T.extract_rules(F.col("text"), rules),
     )
 
 
-# ---------------------------------------------------------------------------
-# J1 language detection (naive Bayes on words, Laplace smoothing)
-# ---------------------------------------------------------------------------
 def words(c) -> Column:
     return F.filter(F.split(F.lower(as_col(c)), WORD_SPLIT), lambda t: F.length(t) > 0)
 
 
-def fit_language_profiles(train: DataFrame, text: str = "text", lang: str = "lang",
-                          path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Word counts per language and a per-language table (log prior, log of
-    the smoothed denominator). Returns (profile, languages).
-
-    With ``path`` the fitted model is written there (like any trained model)
-    and read back: scoring then starts from stored tables, whose row counts
-    are known cheaply, and the lineage to the training corpus is cut."""
-    labelled = spread(train).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    profile = (labelled.select(F.col(lang).alias("lang"), F.explode(words(text)).alias("token"))
-               .groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")))
-    spark = train.sparkSession
-    # The profile is materialised once (a stored model, or a reliable
-    # checkpoint in the shared checkpoint dir); the statistics below read it
-    # instead of re-aggregating the corpus.
-    if path:
-        profile.write.mode("overwrite").parquet(path + "/profile")
-        profile = spark.read.parquet(path + "/profile")
-    else:
-        profile = profile.checkpoint(eager=True)
-    vocab = profile.select(F.count_distinct("token")).scalar()
-    n_docs = labelled.select(F.count(F.lit(1))).scalar()
-    docs_per = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
-    tokens_per = profile.groupBy("lang").agg(F.sum("n").alias("tokens"))
-    langs = docs_per.join(tokens_per, "lang").select(
-        "lang", F.log(F.col("docs") / n_docs).alias("log_prior"),
-        F.log(F.col("tokens") + vocab).alias("log_denom"))
-    if path:
-        langs.write.mode("overwrite").parquet(path + "/langs")
-        langs = spark.read.parquet(path + "/langs")
-    return profile, langs
-
-
-def detect_language(df: DataFrame, profile: DataFrame, langs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Most probable language per row (``""`` when the text is empty).
-
-    score(L) = log prior(L) - len * log(N_L + V) + sum over words seen in L
-    of log(n(w, L) + 1), one term per occurrence; of equal scores the first
-    language by name.
-
-    Words are counted inside each row, so a word reaches the join with the
-    profile once per text (a frequent word's rows can be split by AQE; the
-    planner broadcasts the profile only by its stored size). Sums are grouped
-    by (row, language), then per row with the table of languages, whose number
-    has no bound here."""
-    # Words are computed once into a column: an inlined expression would be
-    # evaluated again for each exploded row.
-    counted = spread(df).select(key, words(F.col(text)).alias("__w")).select(
-        key, F.size("__w").alias("dl"),
-        F.explode_outer(_runs(F.array_sort("__w"), lambda w: w, lambda a, lo, hi: F.struct(F.get(a, lo).alias("token"), (hi - lo).alias("c")))).alias("x"))
-    seen = counted.select(key, "dl", F.col("x.token").alias("token"), F.col("x.c").alias("c")).join(profile, "token", "left")
-    per_lang = seen.groupBy(key, "lang").agg(F.max("dl").alias("dl"), F.sum(F.col("c") * F.log(F.col("n") + 1)).alias("s"))
-    per_doc = per_lang.groupBy(key).agg(F.max("dl").alias("dl"), F.collect_list(F.struct("lang", "s")).alias("sums"))
-    table = langs.agg(F.array_sort(F.collect_list(F.struct("lang", "log_prior", "log_denom")))).scalar()
-    score = F.transform(F.col("__langs"), lambda g: F.struct(
-        (g["log_prior"] - F.col("dl") * g["log_denom"]
-         + F.coalesce(F.get(F.filter("sums", lambda x: x["lang"] == g["lang"]), 0)["s"], F.lit(0.0))).alias("score"), g["lang"].alias("lang")))
-    init = F.struct(F.lit(float("-inf")).alias("score"), F.lit("").alias("lang"))
-    best = F.aggregate(score, init, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
-    return per_doc.withColumn("__langs", table).select(key, F.when(F.col("dl") > 0, best["lang"]).otherwise(F.lit("")).alias("detected"))
-
-
 # ---------------------------------------------------------------------------
 # J2 summaries, J3 keywords
 # ---------------------------------------------------------------------------
@@ -195,21 +195,48 @@ def _runs(sorted_array: Column, key, make) -> Column:
     return let(sorted_array, lambda a: F.when(F.size(a) > 0, cut(a)))
 
 
+@lru_cache(maxsize=1)
+def _letter_runs() -> str:
+    """The pattern ``\\p{L}+`` for Python's ``re``, which has no such class."""
+    is_letter = [unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)] + [False]
+    edges = [c for c in range(len(is_letter)) if is_letter[c] != (c > 0 and is_letter[c - 1])]
+    return "[" + "".join(f"\\U{lo:08x}-\\U{hi - 1:08x}" for lo, hi in zip(edges[::2], edges[1::2])) + "]+"
+
+
+@lru_cache(maxsize=None)
+def _sentence_ranker(n: int):
+    sentence_pattern, word_pattern = SENTENCE, _letter_runs()
+    kind = ST.ArrayType(ST.StructType([ST.StructField("pos", ST.IntegerType()), ST.StructField("sentence", ST.StringType()), ST.StructField("rank", ST.IntegerType())]))
+
+    @F.pandas_udf(kind)
+    def rank(texts: pd.Series) -> pd.Series:
+        from collections import Counter
+        sentence, word = re.compile(sentence_pattern), re.compile(word_pattern)
+        out = []
+        for text in texts:
+            if text is None:
+                out.append(None)
+                continue
+            found = [s for s in (x.strip(" ") for x in sentence.findall(text)) if s]
+            tokens = [word.findall(s.lower()) for s in found]
+            counts = Counter(w for t in tokens for w in t)
+            best = sorted((-sum(counts[w] for w in t) / len(t), i) for i, t in enumerate(tokens) if t)[:n]
+            place = {i: r for r, (_, i) in enumerate(best)}
+            out.append([{"pos": i, "sentence": found[i], "rank": place[i]} for i in sorted(place)] if found else None)
+        return pd.Series(out, dtype=object)
+    return rank
+
+
 def best_sentences(text, n: int = 3) -> Column:
-    """J2 in the row: the ``n`` sentences (struct pos, sentence) whose words are
-    most frequent in the text (mean count of the sentence's words; the earlier
-    of equal ones), in text order; null when there is none."""
-    def choose(ss):
-        word = F.flatten(F.transform(ss, lambda s, i: F.transform(words(s), lambda w: F.struct(w.alias("w"), i.alias("i")))))
-        # Words by their count, then the counts by sentence.
-        counted = F.flatten(_runs(F.array_sort(word), lambda x: x["w"], lambda a, lo, hi: F.transform(
-            F.sequence(lo, hi - 1), lambda i: F.struct(F.get(a, i)["i"].alias("i"), (hi - lo).cast("double").alias("c")))))
-        score = _runs(F.array_sort(counted), lambda x: x["i"], lambda a, lo, hi: F.struct(
-            (-F.aggregate(F.sequence(lo, hi - 1), F.lit(0.0), lambda acc, i: acc + F.get(a, i)["c"]) / (hi - lo)).alias("s"), F.get(a, lo)["i"].alias("i")))
-        top = F.slice(F.array_sort(score), 1, n)
-        return F.transform(F.array_sort(F.transform(top, lambda x: x["i"])), lambda i: F.struct(i.alias("pos"), F.get(ss, i).alias("sentence")))
-    found = F.transform(F.regexp_extract_all(as_col(text), F.lit(SENTENCE), 0), lambda s: F.trim(s))
-    return let(F.filter(found, lambda s: F.length(s) > 0), choose)
+    """J2 in the row: the ``n`` sentences (struct pos, sentence, rank from 0)
+    whose words are most frequent in the text (mean count of the sentence's
+    words; the earlier of equal ones), in text order; null when there is none."""
+    return _sentence_ranker(n)(as_col(text))
+
+
+def best_sentence(best: Column) -> Column:
+    """The first by rank of what ``best_sentences`` gives."""
+    return F.get(F.filter(best, lambda x: x["rank"] == 0), 0)["sentence"]
 
 
 def summarize(df: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFrame:
@@ -222,8 +249,8 @@ def summarize(df: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFr
 def most_frequent(tokens, k: int) -> Column:
     """The ``k`` most frequent elements of an array of strings as structs (n,
     token), count desc then token asc; null for an empty array."""
-    counted = _runs(F.array_sort(as_col(tokens)), lambda w: w, lambda a, lo, hi: F.struct((lo - hi).alias("m"), F.get(a, lo).alias("token")))
-    return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: F.struct((-x["m"]).cast("long").alias("n"), x["token"].alias("token")))
+    counted = _runs(F.sort_array(as_col(tokens)), lambda w: w, lambda a, lo, hi: F.struct((lo - hi).alias("m"), F.get(a, lo).alias("token")))
+    return F.transform(F.slice(F.sort_array(counted), 1, k), lambda x: F.struct((-x["m"]).cast("long").alias("n"), x["token"].alias("token")))
 
 
 def top_words(text, k: int = 10, min_len: int = 3, stop_words: list[str] | None = None) -> Column:

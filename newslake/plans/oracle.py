@@ -39,8 +39,8 @@ _LINK = "'https://' || d.source || '.example.com/' || d.lang || '/' || CAST(d.do
 
 CTES: dict[str, tuple[list[str], str]] = {
     "nd": ([], "nd AS (SELECT count(*) AS n FROM documents)"),
-    "doc_updated": ([], "doc_updated AS (SELECT event_id // 5 AS doc_id, ts AS updated "
-                        "FROM events WHERE event_id % 5 = 0)"),
+    "doc_updated": ([], "doc_updated AS (SELECT event_id // 5 AS doc_id, max(ts) AS updated "
+                        "FROM events GROUP BY 1)"),
     "doc_topics": (["nd"], """doc_label AS (
   SELECT e.event_id % nd.n AS doc_id, e.event_type AS label, max(least(e.value, 100.0)) AS score
   FROM events e CROSS JOIN nd GROUP BY 1, 2),

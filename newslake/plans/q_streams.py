@@ -13,7 +13,7 @@ from newslake.functions import urls as U
 from newslake.operators import text as X
 from newslake.plans.catalog import register
 from newslake.plans.oracle import sql_doc_id, with_fixtures
-from newslake.plans.q_text import _GATE, sql_clean, sql_main
+from newslake.plans.q_text import _GATE, sql_clean, sql_pages
 from newslake.sources import fixtures as FX
 from newslake.streaming import streams as S
 
@@ -80,11 +80,11 @@ def q_stream_dedup(spark, base):
     return S.read_batches(spark, ck + "/out").select("user_id", "arrival")
 
 
-@register("stream_content", with_fixtures(f"""
+@register("stream_content", with_fixtures(sql_pages() + f"""
 SELECT {sql_doc_id('url')} AS id,
-       CASE WHEN length({sql_clean(sql_main('html'))}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
-       CAST(length({sql_clean(sql_main('html'))}) AS INTEGER) AS text_len
-FROM pages
+       CASE WHEN length({sql_clean('main')}) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
+       CAST(length({sql_clean('main')}) AS INTEGER) AS text_len
+FROM main
 WHERE {_GATE}
 QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id % 4 DESC, page_id DESC) = 1
 """))

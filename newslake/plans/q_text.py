@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newslake.functions import text as T
 from newslake.functions import urls as U
+from newslake.operators import language as L
 from newslake.operators import text as X
 from newslake.plans.catalog import register
 from newslake.plans.oracle import sql_doc_id, with_fixtures
@@ -30,7 +31,7 @@ def sql_decode(e: str) -> str:
 
 def sql_strip(h: str) -> str:
     h = f"regexp_replace({h}, '(?s)<!--.*?-->', '', 'g')"
-    return f"regexp_replace({h}, '(?is)<(script|style|head|title)[^>]*>.*?</(script|style|head|title)>', '', 'g')"
+    return rf"regexp_replace({h}, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>', '', 'g')"
 
 
 def sql_nodes(h: str) -> str:
@@ -47,19 +48,27 @@ def sql_plain(c: str) -> str:
     return f"trim(regexp_replace({sql_decode(f'regexp_replace({c}, {chr(39)}(?s)<[^>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, '\\s+', ' ', 'g'))"
 
 
-def sql_dense(h: str) -> str:
+def sql_blocks(h: str) -> str:
     split = "(?i)<(?:" + "|".join(X.BLOCK_TAGS) + ")\\b[^>]*>"
     blocks = f"regexp_split_to_array({sql_strip(h)}, '{split}')"
     links = "array_to_string(regexp_extract_all(b, '(?is)<a\\b[^>]*>(.*?)</a>', 1), ' ')"
-    info = f"list_transform({blocks}, lambda b: {{'text': {sql_plain('b')}, 'link_chars': length({sql_plain(links)})}})"
-    kept = (f"list_filter({info}, lambda x: length(x.text) >= {X.MIN_BLOCK_CHARS} AND "
-            f"x.link_chars <= length(x.text) * {X.MAX_LINK_DENSITY})")
-    return f"array_to_string(list_transform({kept}, lambda x: x.text), chr(10))"
+    return f"list_transform({blocks}, lambda b: {{'text': {sql_plain('b')}, 'link_chars': length({sql_plain(links)})}})"
 
 
-def sql_main(h: str, min_size: int = T.NEWS_MIN_TEXT_SIZE) -> str:
-    d = sql_dense(h)
-    return f"CASE WHEN length({d}) >= {min_size} THEN {d} ELSE {sql_visible(h)} END"
+def sql_pages(min_size: int = T.NEWS_MIN_TEXT_SIZE) -> str:
+    """CTEs up to ``main(page_id, url, html, dense, article, visible, main)``: the steps of J4 side by side."""
+    few = f"x.link_chars <= length(x.text) * {X.MAX_LINK_DENSITY}"
+    lines = "array_to_string(list_transform({}, lambda x: x.text), chr(10))"
+    smooth = f"coalesce(w[i - 1], 0) + 2 * w[i] + coalesce(w[i + 1], 0) >= {4 * X.MIN_BLOCK_CHARS}"
+    dense = f"list_filter(blocks, lambda x: length(x.text) >= {X.MIN_BLOCK_CHARS} AND {few})"
+    weights = "list_transform(full_, lambda x: length(x.text) - 2 * x.link_chars)"
+    return f"""
+blk AS (SELECT page_id, url, html, {sql_blocks('html')} AS blocks, {sql_visible('html')} AS visible FROM pages),
+full_blk AS (SELECT *, list_filter(blocks, lambda x: length(x.text) > 0) AS full_ FROM blk),
+weighed AS (SELECT *, {weights} AS w FROM full_blk),
+steps AS (SELECT page_id, url, html, visible, {lines.format(dense)} AS dense,
+          {lines.format(f"list_filter(full_, lambda x, i: {few} AND {smooth})")} AS article FROM weighed),
+main AS (SELECT *, CASE WHEN length(article) >= {min_size} THEN article WHEN length(visible) >= {min_size} OR length(dense) = 0 THEN visible ELSE dense END AS main FROM steps)"""
 
 
 def sql_clean(e: str) -> str:
@@ -67,7 +76,7 @@ def sql_clean(e: str) -> str:
 
 
 def sql_title(h: str) -> str:
-    t = f"NULLIF(trim(regexp_extract({h}, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"
+    t = f"NULLIF(trim(regexp_extract({h}, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1)), '')"
     meta = (f"NULLIF(regexp_extract({h}, '(?is)<meta[^>]*(?:name|property)=.(?:og:)?title.[^>]*content=.([^\"'']*)', 1), '')")
     return sql_decode(f"coalesce({t}, {meta})")
 
@@ -121,23 +130,23 @@ def q_html_tokens(spark, base):
     return p.select("page_id", F.size(T.html_tokens("html")).alias("n_tokens"))
 
 
-@register("main_text", with_fixtures(f"""
-SELECT page_id, md5({sql_clean(sql_main('html'))}) AS text_md5, CAST(length({sql_clean(sql_main('html'))}) AS INTEGER) AS text_len,
-       CAST(length({sql_dense('html')}) AS INTEGER) AS dense_len
-FROM pages
+@register("main_text", with_fixtures(sql_pages() + f"""
+SELECT page_id, md5({sql_clean('main')}) AS text_md5, CAST(length({sql_clean('main')}) AS INTEGER) AS text_len,
+       CAST(length(article) AS INTEGER) AS article_len, CAST(length(dense) AS INTEGER) AS dense_len
+FROM main
 """))
 def q_main_text(spark, base):
-    """J4 (+I17): dense-block main text with the visible-text fallback."""
+    """J4 (+I17): the article by smoothed density, then the visible text, then the dense blocks."""
     p = FX.pages(spark, base)
     t = T.clean_extracted(X.extract_main_text("html"))
     return p.select("page_id", F.md5(t).alias("text_md5"), F.length(t).alias("text_len"),
-                    F.length(X.dense_text("html")).alias("dense_len"))
+                    F.length(X.article_text("html")).alias("article_len"), F.length(X.dense_text("html")).alias("dense_len"))
 
 
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 # Extracted text, summary and tags of each page.
-_EXT = f"""
-ext AS (SELECT page_id, url, html, {sql_clean(sql_main('html'))} AS text FROM pages),
+_EXT = sql_pages() + f""",
+ext AS (SELECT page_id, url, html, {sql_clean('main')} AS text FROM main),
 sents AS (SELECT page_id, pos, trim(s) AS sentence FROM (SELECT page_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos
           FROM (SELECT page_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS ss FROM ext)) WHERE length(trim(s)) > 0),
 toks AS (SELECT page_id, pos, unnest({sql_words('sentence')}) AS token FROM sents),
@@ -310,37 +319,58 @@ def q_fetch_outcomes(spark, base):
 _W = sql_words("text")
 
 
-@register("language_detect", with_fixtures(f"""
-lab AS (SELECT lang, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
-prof AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest({_W}) AS token FROM lab) GROUP BY 1, 2),
-v AS (SELECT count(DISTINCT token) AS v FROM prof),
-nl AS (SELECT count(*) AS n FROM lab),
-langs AS (SELECT d.lang, ln(d.docs / nl.n) AS log_prior, ln(t.tokens + v.v) AS log_denom
-          FROM (SELECT lang, count(*) AS docs FROM lab GROUP BY lang) d
-          JOIN (SELECT lang, sum(n) AS tokens FROM prof GROUP BY lang) t USING (lang) CROSS JOIN nl CROSS JOIN v),
-target AS (SELECT page_id, {sql_visible('html')} AS text FROM pages),
-cnt AS (SELECT page_id, token, count(*) AS c FROM (SELECT page_id, unnest({_W}) AS token FROM target) GROUP BY 1, 2),
-seen AS (SELECT page_id, lang, sum(c * ln(n + 1)) AS s FROM cnt JOIN prof USING (token) GROUP BY 1, 2),
-dl AS (SELECT page_id, len({_W}) AS dl FROM target),
-sc AS (SELECT dl.page_id, dl.dl, langs.lang,
-              langs.log_prior - dl.dl * langs.log_denom + coalesce(seen.s, 0) AS score
-       FROM dl CROSS JOIN langs LEFT JOIN seen ON seen.page_id = dl.page_id AND seen.lang = langs.lang)
-SELECT page_id, CASE WHEN dl > 0 THEN lang ELSE '' END AS detected FROM sc
-QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, lang) = 1
-"""))
-def q_language_detect(spark, base):
-    """Word naive-Bayes profiles fitted on the labelled documents (the
-    fitted model stored under the checkpoint dir), applied to the visible
-    text of every page."""
+def sql_cells(text: str) -> str:
+    """The cells of a text's n-grams (J1), a list."""
+    norm = f"string_split(' ' || trim(regexp_replace(lower({text}), '{L.NOT_LETTERS}', ' ', 'g')) || ' ', '')"
+    def grams(n):
+        terms = " + ".join(f"c[i + {k}] * {L.FACTORS[n - 1 - k]}" for k in range(n))
+        return f"list_transform(range(1, len(c) - {n} + 2), lambda i: ({terms} + {n * 7919}) % {L.CELLS})"
+    found = " || ".join(grams(n) for n in range(1, L.ORDERS + 1))
+    return f"(SELECT CASE WHEN len(c) < 3 THEN [] ELSE {found} END FROM (SELECT list_transform({norm}, lambda x: unicode(x)::BIGINT) AS c))"
+
+
+def sql_language(target: str) -> str:
+    """CTEs up to ``language(id, detected)`` for the rows of ``target(id, text)``, by the profile of ``documents``."""
+    return f"""
+lab AS (SELECT doc_id, lang, unnest({sql_cells('text')}) AS cell FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+prof AS (SELECT lang, cell, count(*) AS n FROM lab GROUP BY 1, 2),
+langs AS (SELECT d.lang, ln(d.docs / sum(d.docs) OVER ()) AS prior, ln(coalesce(g.grams, 0) + {L.CELLS}) AS denom
+          FROM (SELECT lang, count(*) AS docs FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang) d
+          LEFT JOIN (SELECT lang, sum(n) AS grams FROM prof GROUP BY lang) g USING (lang)),
+cnt AS (SELECT id, cell, count(*) AS c FROM (SELECT id, unnest({sql_cells("coalesce(text, '')")}) AS cell FROM {target}) GROUP BY 1, 2),
+total AS (SELECT id, sum(c) AS m FROM cnt GROUP BY id),
+seen AS (SELECT id, lang, sum(c * ln(n + 1)) AS s FROM cnt JOIN prof USING (cell) GROUP BY 1, 2),
+sc AS (SELECT total.id, langs.lang, prior + coalesce(seen.s, 0) - m * denom AS score FROM total CROSS JOIN langs LEFT JOIN seen ON seen.id = total.id AND seen.lang = langs.lang),
+won AS (SELECT id, lang FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) = 1),
+language AS (SELECT t.id, coalesce(won.lang, '') AS detected FROM {target} t LEFT JOIN won ON won.id = t.id)"""
+
+
+def language_profile(spark, base):
+    """The profile fitted on the labelled documents, stored under the checkpoint dir, once a session."""
     import os
     import uuid
     from newslake.session import ensure_checkpoint_dir
-    docs = FX.read_table(spark, base, "documents")
-    model_path = os.path.join(ensure_checkpoint_dir(spark), "models", f"lang-{uuid.uuid4().hex[:12]}")
-    profile, langs = X.fit_language_profiles(docs, path=model_path)
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _PROFILES:
+        path = os.path.join(ensure_checkpoint_dir(spark), "models", f"lang-{uuid.uuid4().hex[:12]}")
+        L.fit_language_profiles(FX.read_table(spark, base, "documents"), path=path)
+        _PROFILES[key] = path
+    return L.read_language_profiles(spark, _PROFILES[key])
+
+
+_PROFILES: dict[tuple[str, str], str] = {}
+
+
+@register("language_detect", with_fixtures(f"""
+target AS (SELECT page_id AS id, {sql_visible('html')} AS text FROM pages),""" + sql_language("target") + """
+SELECT id AS page_id, detected FROM language
+"""))
+def q_language_detect(spark, base):
+    """Character n-gram profiles fitted on the labelled documents and stored,
+    applied to the visible text of every page."""
     from newslake.operators.partitioning import spread
     target = spread(FX.pages(spark, base)).select("page_id", T.visible_text("html").alias("text"))
-    return X.detect_language(target, profile, langs, "page_id")
+    return L.detect_language(target, *language_profile(spark, base), "page_id")
 
 
 @register("summaries", with_fixtures(f"""

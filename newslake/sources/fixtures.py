@@ -39,13 +39,13 @@ def fixture_tags(text) -> F.Column:
     from newslake.operators.text import most_frequent
     letters = F.transform(F.split(text, TOKEN_SEP), lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z]", "")))
     top = most_frequent(F.filter(letters, lambda t: F.length(t) > 2), 8)
-    return F.coalesce(F.array_sort(F.transform(top, lambda x: x["token"])), F.array().cast("array<string>"))
+    return F.coalesce(F.sort_array(F.transform(top, lambda x: x["token"])), F.array().cast("array<string>"))
 
 
 def fixture_title(text) -> F.Column:
     """The one-sentence summary (J2) of the whole text."""
-    from newslake.operators.text import best_sentences
-    return F.get(best_sentences(text, 1), 0)["sentence"]
+    from newslake.operators.text import best_sentence, best_sentences
+    return best_sentence(best_sentences(text, 1))
 
 
 def doc_count(documents: DataFrame):
@@ -120,8 +120,7 @@ def build_docs(spark: SparkSession, base: str) -> DataFrame:
         F.lit("rss").alias("format"),
         F.lit("rss").alias("source_type"),
     )
-    updated = (events.filter(F.col("event_id") % 5 == 0)
-               .select(F.expr("event_id div 5").alias("doc_id"), F.col("ts").alias("updated")))
+    updated = events.groupBy(F.expr("event_id div 5").alias("doc_id")).agg(F.max("ts").alias("updated"))
     per_label = (events
                  .select((F.col("event_id") % n_docs).alias("doc_id"),
                          F.col("event_type").alias("label"),
