@@ -18,6 +18,7 @@ from newslake.functions import urls as U
 from newslake.functions.dates import in_range
 from newslake.operators import aggregates as A
 from newslake.operators import windows
+from newslake.operators.postings import search_docs
 
 # Node kinds and edge weights.
 TOPIC_NODE = ("star", 3)
@@ -30,12 +31,12 @@ EDGE_FIRST = {"source_author": 1, "source_link": 1, "author_link": 1, "topic_lin
 
 
 def graph_scope(docs: DataFrame, now: Column, gte: str = "now-1M/d", lt: str = "now/d",
-                q: str | None = None) -> DataFrame:
-    """K1: docs with text in ``[gte, lt)`` (and matching ``q``)."""
+                q: str | None = None, index=None) -> DataFrame:
+    """K1: docs with text in ``[gte, lt)`` (and matching the query string
+    ``q``, by the stored ``index`` where there is one)."""
     d = docs.filter(F.col("text").isNotNull() & in_range("updated", gte, lt, now))
     if q:
-        from newslake.operators.search import bm25
-        d = bm25(d, q, ["title", "summary", "text"], corpus=docs)
+        d = search_docs(d, docs, q, ["title", "summary", "text"], index)
     return d
 
 

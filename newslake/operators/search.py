@@ -1,5 +1,8 @@
 """Full-text match, BM25 relevance and the overall score.
 
+``postings`` answers the same queries from a stored index; this module works on
+the docs themselves, for stores without one.
+
 Plan shape: the query terms are a parameter (a handful of strings), so term
 frequencies are computed per doc as ``size(filter(tokens, t -> t = term))``
 columns -- no explode, no shuffle of the corpus. The corpus statistics
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import ast
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,6 +57,18 @@ def text_match(tok: Column, terms: list[str], mode: str = "any", phrase_text: Co
     return out
 
 
+def query_match(df_fields: list[str], q: str, default: str = "or") -> Column:
+    """C9 without an index: the query string ``q`` as one Column over the named
+    text columns (see ``query_string``); phrases lie within one column."""
+    from newslake.operators import query_string as Q
+
+    def leaf(w):
+        fields = [f for f in df_fields if w.field in (None, f)]
+        found = [text_match(tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))), list(w.terms), "phrase" if len(w.terms) > 1 else "all") for f in fields]
+        return reduce(Column.__or__, found) if found else F.lit(False)
+    return Q.condition(Q.parse(q, default), leaf)
+
+
 def _equals(term: str):
     return lambda t: t == F.lit(term)
 
@@ -81,6 +97,13 @@ def read_term_stats(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(path + "/terms"), spark.read.parquet(path + "/totals")
 
 
+def _matching(n: int, mode: str) -> Column:
+    """Rows with ``any`` or ``all`` of ``n`` counted terms; ``score`` keeps all rows."""
+    if mode == "score":
+        return F.lit(True)
+    return reduce(Column.__and__ if mode == "all" else Column.__or__, [F.col(f"__tf{i}") > 0 for i in range(n)])
+
+
 def bm25(docs: DataFrame, q: str, fields: list[str] | None = None, corpus: DataFrame | None = None,
          score_col: str = "score", mode: str = "any", k1: float = BM25_K1, b: float = BM25_B,
          stats: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -117,11 +140,7 @@ def bm25(docs: DataFrame, q: str, fields: list[str] | None = None, corpus: DataF
         tf = F.col(f"__tf{i}").cast("double")
         norm = tf + k1 * (1 - b + b * F.col("__dl") / avgdl)
         total = total + F.when(tf > 0, idf * tf * (k1 + 1) / norm).otherwise(F.lit(0.0))
-    match = [F.col(f"__tf{i}") > 0 for i in range(len(terms))]
-    cond = match[0]
-    for m in match[1:]:
-        cond = (cond & m) if mode == "all" else (cond | m)
-    out = scored.filter(cond).withColumn(score_col, total)
+    out = scored.filter(_matching(len(terms), mode)).withColumn(score_col, total)
     return out.drop("__dl", *[f"__tf{i}" for i in range(len(terms))])
 
 
@@ -143,11 +162,7 @@ def _bm25_with(docs, terms, fields, stats, score_col, mode, k1, b) -> DataFrame:
         tf = F.col(f"__tf{i}").cast("double")
         norm = tf + k1 * (1 - b + b * F.col("__dl") / tot.getField("avgdl"))
         total = total + F.when(tf > 0, idf * tf * (k1 + 1) / norm).otherwise(F.lit(0.0))
-    match = [F.col(f"__tf{i}") > 0 for i in range(len(terms))]
-    cond = match[0]
-    for m in match[1:]:
-        cond = (cond & m) if mode == "all" else (cond | m)
-    out = scored.filter(cond).withColumn(score_col, total)
+    out = scored.filter(_matching(len(terms), mode)).withColumn(score_col, total)
     return out.drop("__dl", *[f"__tf{i}" for i in range(len(terms))])
 
 

@@ -21,7 +21,6 @@ from pyspark.sql import types as ST
 
 from newslake.functions import text as T, urls as U
 from newslake.functions._util import as_col, let
-from newslake.operators import windows
 from newslake.operators.partitioning import spread
 
 # Block-level tags that start a text block, block thresholds.
@@ -272,22 +271,3 @@ def keywords(df: DataFrame, key: str, text: str = "text", k: int = 10, min_len:
 def keyword_tags(df: DataFrame, key: str, text: str = "text", k: int = 10) -> DataFrame:
     """J3 as a tags column (key, tags) in rank order."""
     return spread(df).select(key, F.transform(top_words(F.col(text), k), lambda x: x["token"]).alias("tags")).filter(F.size("tags") > 0)
-
-
-def content_pass(stubs: DataFrame, pages: DataFrame, rules: dict[str, str] | None = None,
-                 min_size: int = T.NEWS_MIN_TEXT_SIZE) -> DataFrame:
-    """Docs without text -> landed page content -> gates (C11-C13) ->
-    extraction (J5) -> overlay (D7) with the C14 size outcome."""
-    from newslake.operators.joins import apply_content
-    todo = stubs.filter(F.col("text").isNull())
-    gated = pages.filter(U.is_valid_url("link") & U.not_excluded_uri("link") & U.not_excluded_type("link"))
-    extracted = extract_docs(gated, rules, min_size)
-    # Several landed pages can map to one id (same link, other query): the
-    # latest landing wins, so the overlay join stays one-to-one.
-    seq = "page_id" if "page_id" in extracted.columns else None
-    extracted = (windows.latest_per_key(extracted, "id", seq) if seq
-                 else extracted.dropDuplicates(["id"]))
-    content = extracted.select(
-        "id", "text", "title", "summary", F.col("html_b64").alias("html"),
-        "lang", "content_type", "tags")
-    return apply_content(todo, content, min_size)

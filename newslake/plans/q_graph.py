@@ -41,7 +41,7 @@ _TREE = _SCOPE + _TREE_BODY
 
 def _tree(spark, base, q=None):
     docs = FX.docs(spark, base)
-    scope = G.graph_scope(docs, FX.clock_for(spark, base), q=q)
+    scope = G.graph_scope(docs, FX.clock_for(spark, base), q=q, index=FX.search_index(spark, base) if q else None)
     return G.bucket_tree(scope, 10, 10, 10)
 
 

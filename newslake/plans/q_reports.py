@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newslake.operators import joins as J
+from newslake.operators import postings as PO
 from newslake.operators import predicates as P
 from newslake.operators import search as S
 from newslake.operators import windows as W
@@ -34,9 +35,19 @@ FEED_COLS = f"""id, {TITLE_OR} AS title, {SUMMARY_OR} AS summary, {CONTENT_OR} A
        round(overall_score, 6) AS overall_score, {CATEGORIES} AS categories, {RIGHTS} AS rights"""
 
 
-def sql_bm25(source: str, terms: list[str], mode: str = "any") -> str:
+def sql_tokens(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 0)"
+
+
+def sql_in(c: str, words: str) -> str:
+    """Whether the words occur in a row in the column."""
+    return f"contains(' ' || array_to_string({sql_tokens(c)}, ' ') || ' ', ' {words} ')"
+
+
+def sql_bm25(source: str, terms: list[str], mode: str = "any", where: str | None = None) -> str:
     """CTEs ``tok``, ``tf``, ``st``, ``scored``: BM25 over title+summary+text
-    of ``source`` with corpus statistics over all ``docs``."""
+    of ``source`` with corpus statistics over all ``docs``. ``where`` decides in
+    place of ``mode`` which rows match."""
     tok = ("list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), "
            "coalesce(text, ''))), '[^\\p{L}\\p{N}]+'), lambda t: length(t) > 0)")
     tfs = ", ".join(f"len(list_filter(tok, lambda t: t = '{t}')) AS tf{i}" for i, t in enumerate(terms))
@@ -46,7 +57,7 @@ def sql_bm25(source: str, terms: list[str], mode: str = "any") -> str:
         f"({S.BM25_K1} + 1) / (tf{i} + {S.BM25_K1} * (1 - {S.BM25_B} + {S.BM25_B} * dl / st.avgdl)) ELSE 0.0 END)"
         for i in range(len(terms)))
     joiner = " AND " if mode == "all" else " OR "
-    match = joiner.join(f"tf{i} > 0" for i in range(len(terms)))
+    match = where or joiner.join(f"tf{i} > 0" for i in range(len(terms)))
     return f"""corpus_tf AS (SELECT len({tok}) AS dl, {", ".join(f"len(list_filter({tok}, lambda t: t = '{t}')) AS tf{i}" for i, t in enumerate(terms))} FROM docs),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM corpus_tf),
 tok AS (SELECT s.*, {tok} AS tok FROM {source} s),
@@ -119,7 +130,7 @@ SELECT {FEED_COLS} FROM paged WHERE overall_score >= 0.1
 def q_ranked_feed_search(spark, base):
     """L1 + C9 + J8: text query ``anea attion`` (any term), BM25 relevance."""
     docs, now = _now(spark, base)
-    return R.ranked_feed(docs, FX.models(spark), now, q="anea attion", stats=FX.term_stats(spark, base))
+    return R.ranked_feed(docs, FX.models(spark), now, q="anea attion", index=FX.search_index(spark, base))
 
 
 FORMULA_LOG = "log(1 + es_score) * mean(topics_scores)"
@@ -137,7 +148,7 @@ def q_ranked_feed_formula(spark, base):
     topic probability) given as text."""
     docs, now = _now(spark, base)
     return R.ranked_feed(docs, FX.models(spark), now, q="the", formula=FORMULA_LOG,
-                         stats=FX.term_stats(spark, base))
+                         index=FX.search_index(spark, base))
 
 
 # ---------------------------------------------------------------------------
@@ -148,8 +159,8 @@ SELECT doc_id, round(score, 6) AS score FROM scored
 """, "docs"))
 def q_bm25_search(spark, base):
     """BM25 of ``the anea eriner`` over every doc (any term)."""
-    docs = FX.docs(spark, base)
-    out = S.bm25(docs, "the anea eriner", R.SEARCH_FIELDS, stats=FX.term_stats(spark, base))
+    docs = FX.docs(spark, base).select("id", "doc_id")
+    out = PO.search(docs, FX.search_index(spark, base), "the anea eriner")
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -158,11 +169,68 @@ SELECT doc_id, round(score, 6) AS score FROM scored
 """, "docs"))
 def q_bm25_search_all(spark, base):
     """J8 + C9 (all terms)."""
-    docs = FX.docs(spark, base)
-    out = S.bm25(docs, "the and", R.SEARCH_FIELDS, mode="all", stats=FX.term_stats(spark, base))
+    docs = FX.docs(spark, base).select("id", "doc_id")
+    out = PO.search(docs, FX.search_index(spark, base), "the and", default="and")
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
+_WEEK = "base AS (SELECT docs.* FROM docs, now_t WHERE updated >= now_t.now - INTERVAL 7 DAY AND updated < now_t.now),\n"
+_DAYS = "base AS (SELECT docs.* FROM docs, now_t WHERE updated >= now_t.now - INTERVAL 7 DAY AND updated < now_t.now AND text IS NOT NULL),\n"
+_FEED = f""",
+paged AS (SELECT *, {OVERALL} AS overall_score FROM scored ORDER BY updated DESC, score DESC, id LIMIT 4000)
+SELECT {FEED_COLS} FROM paged WHERE overall_score >= 0.1
+"""
+_RECENT = f"""
+SELECT id, round(score, 6) AS score FROM scored
+ORDER BY {BEST} DESC NULLS LAST, updated DESC, score DESC, id LIMIT 50
+"""
+
+
+def _word(w: str) -> str:
+    return f"({sql_in('title', w)} OR {sql_in('text', w)})"
+
+
+def _feed_query(spark, base, q):
+    docs, now = _now(spark, base)
+    return R.ranked_feed(docs, FX.models(spark), now, q=q, index=FX.search_index(spark, base))
+
+
+def _recent_query(spark, base, q):
+    docs, now = _now(spark, base)
+    out = R.recent_docs(docs, FX.models(spark), now, q=q, gte="now-7d", size=50, index=FX.search_index(spark, base))
+    return out.select("id", F.round("score", 6).alias("score"))
+
+
+@register("feed_query_phrase", with_fixtures(_WEEK + sql_bm25("base", ["of", "the"], where=_word("of the")) + _FEED, "docs", "now_t"))
+def q_feed_query_phrase(spark, base):
+    """L1 + C9: the ranked feed of a phrase."""
+    return _feed_query(spark, base, '"of the"')
+
+
+@register("feed_query_boolean", with_fixtures(_WEEK + sql_bm25("base", ["anea"], where=f"{_word('anea')} AND NOT {_word('attion')}") + _FEED, "docs", "now_t"))
+def q_feed_query_boolean(spark, base):
+    """L1 + C9: the ranked feed of ``AND`` with ``NOT``."""
+    return _feed_query(spark, base, "anea AND NOT attion")
+
+
+@register("recent_query_groups", with_fixtures(_DAYS + sql_bm25("base", ["the", "anea", "attion"], where=f"({_word('anea')} OR {_word('attion')}) AND {_word('the')}") + _RECENT, "docs", "now_t"))
+def q_recent_query_groups(spark, base):
+    """L2 + C9: recent docs of a group in parentheses and a required word."""
+    return _recent_query(spark, base, "(anea OR attion) AND the")
+
+
+@register("recent_query_field", with_fixtures(_DAYS + sql_bm25("base", ["the"], where=f"{sql_in('title', 'the')} AND NOT {sql_in('text', 'and the')}") + _RECENT, "docs", "now_t"))
+def q_recent_query_field(spark, base):
+    """L2 + C9: recent docs with a word in one field and without a phrase in another."""
+    return _recent_query(spark, base, '+title:the -text:"and the"')
+
+
+@register("recent_query_without", with_fixtures(_DAYS + f"scored AS (SELECT base.*, 0.0 AS score FROM base WHERE NOT {_word('the')})" + _RECENT, "docs", "now_t"))
+def q_recent_query_without(spark, base):
+    """L2 + C9: recent docs that lack a word; they have no relevance."""
+    return _recent_query(spark, base, "NOT the")
+
+
 _TOK = ("list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), "
         "lambda t: length(t) > 0)")
 
@@ -270,7 +338,8 @@ def q_recent_docs_model_search(spark, base):
     """L2 + D3 + C9/J8: the last 3 days' docs of model ``alpha`` matching a
     text query, best topic first, then newest, then relevance."""
     docs, now = _now(spark, base)
-    out = R.recent_docs(docs, _alpha_models(spark), now, q="anea attion", model="alpha", gte="now-3d", size=10)
+    out = R.recent_docs(docs, _alpha_models(spark), now, q="anea attion", model="alpha", gte="now-3d", size=10,
+                        index=FX.search_index(spark, base))
     return out.select("id", F.round("score", 6).alias("score"))
 
 

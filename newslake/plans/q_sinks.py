@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from newslake.functions import text as T
 from newslake.functions import urls as U
+from newslake.operators import language as L
+from newslake.operators import passes as PS
 from newslake.operators import predicates as P
 from newslake.operators import writes as WR
+from newslake.operators.store import Store
 from newslake.plans import reports as R
 from newslake.plans import catalog, q_topics  # noqa: F401 - registers training_set
 from newslake.plans.catalog import register
@@ -24,7 +27,8 @@ from newslake.plans.oracle import sql_doc_id, with_fixtures
 from newslake.session import ensure_checkpoint_dir
 from newslake.sources import feeds as FD
 from newslake.sources import fixtures as FX
-from newslake.plans.q_text import sql_clean, sql_visible
+from newslake.plans.q_text import _EXT, _GATE, language_profile, sql_clean, sql_language, sql_title, sql_visible
+from newslake.plans.q_topics import SQL_LABELS, SQL_SCORES, fixed_models, score_columns, sql_fixed_scores
 
 # The text writer ends every file with a newline; that node survives trim.
 CLEAN = sql_clean(sql_visible("(html || chr(10))"))
@@ -203,31 +207,98 @@ def q_document_labels(spark, base):
                                                            F.octet_length("text")).alias("caption"))
 
 
-@register("prediction_pass", with_fixtures("""
-SELECT id, CASE WHEN text IS NOT NULL THEN 2 ELSE len(topics) END AS n_topics FROM docs
+def _store(spark, name: str, df) -> Store:
+    store = Store(spark, _scratch(spark, name))
+    store.create(df)
+    return store
+
+
+_EMPTY_TOPICS = "array<struct<label:string,score:double>>"
+
+
+@register("prediction_pass", with_fixtures(f"""
+target AS (SELECT id, title, summary, text FROM docs),
+{sql_fixed_scores('target')}
+SELECT d.id, d.origin, CASE WHEN d.text IS NULL THEN NULL ELSE {SQL_LABELS[:-len(" AS labels")]} END AS labels, {SQL_SCORES} FROM docs d JOIN fixed_scores USING (id)
 """, "docs"))
 def q_prediction_pass(spark, base):
-    """Docs with text -> classifier input (I19) -> topics (J9) -> upsert
-    into the store (B1): every doc with text has a score for each class."""
-    from newslake.operators import topics as TP
-    from newslake.plans.q_topics import _labelled
-    model, _ = TP.train_topic_model(_labelled(spark, base), "linear",
-                                    TP.trainer_profile("linear", 2, iterations=30))
-    docs = FX.docs(spark, base)
-    todo = docs.filter(P.has("text")).select("id", "title", "summary", "text", F.lit(1).alias("seq"))
-    pred = TP.predict_topics(todo, {"quality": model}).select("id", "topics", "seq")
-    store = WR.upsert(docs.select("id", "topics", F.lit(0).alias("seq")), pred, "id", "seq")
-    return store.select("id", F.size("topics").alias("n_topics"))
+    """L8 on a stored doc table: docs with text -> classifier input (I19) ->
+    topics (J9) -> upsert (B1), read back."""
+    docs = FX.docs(spark, base).select("id", "origin", "title", "summary", "text", F.lit(None).cast(_EMPTY_TOPICS).alias("topics"))
+    out = PS.prediction_pass(_store(spark, "predict", docs), fixed_models(spark))
+    return out.select("id", "origin", *score_columns())
 
 
-@register("source_refresh", with_fixtures("""
-SELECT id,
-       CASE WHEN length(text) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome
-FROM docs WHERE origin = 'src4'
-""", "docs"))
+# The landed pages as docs of three feeds (their language part) that wait for text.
+_FEED = r"^https?://[^/]+/([a-z]{2})/"
+
+
+def _stubs(spark, base):
+    pages = FX.pages(spark, base)
+    stubs = pages.select(U.doc_id("link").alias("id"), F.regexp_extract("link", _FEED, 1).alias("origin"), "link", F.lit(None).cast("string").alias("text"),
+                         F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast(_EMPTY_TOPICS).alias("topics"), F.col("page_id").alias("seq"))
+    return pages, WR.upsert(stubs.limit(0), stubs, "id", "seq").drop("seq")
+
+
+_CONTENT = _EXT + f""",
+last AS (SELECT {sql_doc_id('url')} AS id, ext.*, coalesce({sql_title('html')}, first_sentence) AS title, summary, coalesce(tags, '') AS tags, {_GATE} AS gate,
+                regexp_extract(url, '{_FEED}', 1) AS origin,
+                NULLIF(lower(regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1)), '') AS attribute
+         FROM ext LEFT JOIN summ USING (page_id) LEFT JOIN tags USING (page_id)
+         QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1),
+target AS (SELECT id, title, summary, text FROM last),
+{sql_fixed_scores('target')},""" + sql_language("target") + f""",
+passed AS (SELECT last.id, origin, CASE WHEN NOT gate THEN 'unchanged' WHEN length(text) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
+       CAST(CASE WHEN gate THEN length(text) END AS INTEGER) AS text_len, CASE WHEN gate THEN md5(summary) END AS summary_md5, CASE WHEN gate THEN tags END AS tags,
+       CASE WHEN gate THEN coalesce(NULLIF(detected, ''), attribute) END AS language, CASE WHEN gate THEN {SQL_LABELS[:-len(" AS labels")]} END AS labels,
+       {", ".join(f"CASE WHEN gate THEN round(s{k}, 6) END AS score_{k}" for k in range(3))}
+  FROM last JOIN fixed_scores USING (id) JOIN language ON language.id = last.id)
+"""
+
+
+def _passed(out):
+    return out.select("id", F.coalesce("outcome", F.lit("unchanged")).alias("outcome"), F.length("text").alias("text_len"), F.md5("summary").alias("summary_md5"),
+                      F.array_join(F.array_sort("tags"), ",").alias("tags"), F.col("lang").alias("language"), *score_columns())
+
+
+@register("content_pass", with_fixtures(_CONTENT + "SELECT * EXCLUDE (origin) FROM passed"))
+def q_content_pass(spark, base):
+    """L7 (+D7, C11-C14, J1-J5, J9, B1, B11) on a stored doc table: docs without
+    text are filled from the landed pages (text, summary, tags, language), small
+    texts flagged (the doc is kept), topics predicted, and what changed upserted."""
+    pages, stubs = _stubs(spark, base)
+    store = _store(spark, "content", stubs)
+    return _passed(PS.content_pass(store, pages, language=L.language_of(*language_profile(spark, base)), models=fixed_models(spark)))
+
+
+@register("source_refresh", with_fixtures(_CONTENT + "SELECT * EXCLUDE (origin) FROM passed WHERE origin = 'de'"))
 def q_source_refresh(spark, base):
-    """One source's refresh -- its children (C8) go through the content
-    gate (C14) with run outcomes (B11)."""
-    docs = P.docs_of(FX.docs(spark, base), "src4")
-    out = WR.with_outcome(docs, P.long_enough("text"), reason=F.lit("text too small"))
-    return out.select("id", "outcome")
+    """One feed of the store collected from the landed entries (new ones
+    are added) and its children's content pass; other feeds are not touched."""
+    pages, entries = _stubs(spark, base)
+    store = _store(spark, "refresh", entries.filter("origin <> 'de'"))
+    return _passed(PS.source_refresh(store, "de", entries, pages, language=L.language_of(*language_profile(spark, base)), models=fixed_models(spark)))
+
+
+@register("store_upsert", with_fixtures("""
+allv AS (SELECT id, origin, title, 0 AS seq FROM docs
+         UNION ALL SELECT id, origin, 'new: ' || title, 1 FROM docs WHERE origin IN ('src1', 'src2', 'src19')
+         UNION ALL SELECT 'extra' || id, 'src2', title, 1 FROM docs WHERE origin = 'src3'),
+kept AS (SELECT * FROM allv QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
+SELECT origin, count(*) AS n, count(*) FILTER (WHERE title LIKE 'new: %') AS n_new, md5(string_agg(id || coalesce(title, ''), ',' ORDER BY id)) AS rows_md5,
+       origin IN ('src1', 'src2', 'src19') AS rewritten FROM kept GROUP BY origin
+""", "docs"))
+def q_store_upsert(spark, base):
+    """B1 on a stored doc table: a batch for three sources replaces and adds rows;
+    read back by source, with whether its files are new ones."""
+    docs = FX.docs(spark, base).select("id", "origin", "title")
+    store = _store(spark, "upsert", docs)
+    before = store.folders()
+    batch = docs.filter(F.col("origin").isin("src1", "src2", "src19")).withColumn("title", F.concat(F.lit("new: "), "title")).unionByName(
+        docs.filter("origin = 'src3'").select(F.concat(F.lit("extra"), "id").alias("id"), F.lit("src2").alias("origin"), "title"))
+    store.upsert(batch)
+    moved = [p for p, f in store.folders().items() if before.get(p) != f]  # one for each source
+    line = F.concat("id", F.coalesce("title", F.lit("")))
+    return store.read().groupBy("origin").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("title").startswith("new: ")).alias("n_new"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]), ",")).alias("rows_md5")).withColumn("rewritten", F.col("origin").isin(moved))

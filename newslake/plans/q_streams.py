@@ -14,6 +14,7 @@ from newslake.operators import text as X
 from newslake.plans.catalog import register
 from newslake.plans.oracle import sql_doc_id, with_fixtures
 from newslake.plans.q_text import _GATE, sql_clean, sql_pages
+from newslake.plans.q_topics import SQL_LABELS, SQL_SCORES, fixed_models, score_columns, sql_fixed_scores
 from newslake.sources import fixtures as FX
 from newslake.streaming import streams as S
 
@@ -129,17 +130,16 @@ def q_stream_feeds(spark, base):
                       D.to_iso_z("updated").alias("updated"))
 
 
-@register("stream_predict", "SELECT doc_id, 2 AS n_topics FROM documents")
+@register("stream_predict", with_fixtures(f"""
+target AS (SELECT doc_id AS id, NULL::VARCHAR AS title, NULL::VARCHAR AS summary, text FROM documents),
+{sql_fixed_scores('target')}
+SELECT id AS doc_id, {SQL_LABELS}, {SQL_SCORES} FROM fixed_scores
+"""))
 def q_stream_predict(spark, base):
-    """M3: a topic model fitted in batch, applied to a document stream."""
-    from newslake.operators import topics as TP
-    from newslake.plans.q_topics import _labelled
-    model, _ = TP.train_topic_model(_labelled(spark, base), "linear",
-                                    TP.trainer_profile("linear", 2, iterations=30))
+    """M3: a stored topic model applied to a document stream."""
     docs = _stream(spark, base, "documents", "doc_id").select(
         "doc_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary"), "text")
-    pred = S.predict_stream(docs, {"quality": model}).select(
-        "doc_id", F.size("topics").alias("n_topics"), F.struct("doc_id").alias("o"))
+    pred = S.predict_stream(docs, fixed_models(spark)).select("doc_id", *score_columns())
     ck = S.checkpoint_path(spark, "predict")
     S.run_available(pred, ck + "/out", ck + "/ckpt", output_mode="append")
-    return S.read_batches(spark, ck + "/out").select("doc_id", "n_topics")
+    return S.read_batches(spark, ck + "/out").drop("batch_id")

@@ -202,29 +202,6 @@ _GATE = ("coalesce(regexp_matches(url, '(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[
          "(\\.tgz)|(\\.xz)|(\\.img))([?#].*)?$')")
 
 
-@register("content_pass", with_fixtures(_EXT + f"""
-SELECT {sql_doc_id('url')} AS id,
-       CASE WHEN NOT ({_GATE}) THEN 'unchanged' WHEN length(text) > 1000 THEN 'successful' ELSE 'failed: text too small' END AS outcome,
-       CAST(CASE WHEN {_GATE} THEN length(text) END AS INTEGER) AS text_len,
-       CASE WHEN {_GATE} THEN md5(summary) END AS summary_md5,
-       CASE WHEN {_GATE} THEN coalesce(tags, '') END AS tags
-FROM ext LEFT JOIN summ USING (page_id) LEFT JOIN tags USING (page_id)
-QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1
-"""))
-def q_content_pass(spark, base):
-    """L7 (+D7, C11-C14, J5, B11): landed pages become stubs without text,
-    the content pass fills them from the page content (text, summary, tags)
-    and flags texts that are too small (the doc is kept)."""
-    from newslake.operators.writes import upsert
-    pages = FX.pages(spark, base)
-    stubs = pages.select(U.doc_id("link").alias("id"), "link", F.lit(None).cast("string").alias("text"),
-                         F.lit(None).cast("array<string>").alias("tags"), F.col("page_id").alias("seq"))
-    stubs = upsert(stubs.limit(0), stubs, "id", "seq")
-    out = X.content_pass(stubs, pages)
-    return out.select("id", "outcome", F.length("text").alias("text_len"), F.md5("summary").alias("summary_md5"),
-                      F.array_join(F.array_sort("tags"), ",").alias("tags"))
-
-
 @register("extract_rules", with_fixtures("""
 SELECT doc_id,
        array_to_string(regexp_extract_all(text, '(?im)(CVE-[0-9]{4}-[0-9]{4,})', 1), ',') AS cve,

@@ -10,19 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.functions import dates, text as T, urls as U
-from newslake.operators import joins as J, search as S, windows as W
+from newslake.operators import joins as J, postings as PO, search as S, windows as W
 from newslake.operators.predicates import above, in_range
 
 ATOM_SIZE = 4000
 SEARCH_FIELDS = ["title", "summary", "text"]
 
 
-def _scored(docs: DataFrame, corpus: DataFrame, q: str | None, stats=None) -> DataFrame:
-    if q:
-        return S.bm25(docs, q, SEARCH_FIELDS, corpus=corpus, stats=stats)
-    return docs.withColumn("score", F.lit(1.0))
-
-
 def categories_text(cats: Column) -> Column:
     return F.array_join(F.transform(cats, lambda c: F.concat(c["term"], F.lit("|"), c["label"])), ";")
 
@@ -31,15 +25,16 @@ def ranked_feed(docs: DataFrame, models: DataFrame, now: Column, q: str | None =
                 model: str | None = None, topic: str | None = None, gte: str = "now-7d",
                 lt: str = "now", offset: int = 0, size: int = ATOM_SIZE,
                 formula: str = S.DEFAULT_OVERALL_SCORE,
-                threshold: float = T.OVERALL_SCORE_THRESHOLD, stats=None) -> DataFrame:
+                threshold: float = T.OVERALL_SCORE_THRESHOLD, index: PO.Index | None = None) -> DataFrame:
     """L1: the ranked feed. Docs in ``[gte, lt)``, optionally selected by
-    model/topic (D3) and a text query (C9 + BM25), newest first then by
+    model/topic (D3) and a query string (C9 + BM25, from a stored ``index``
+    where there is one), newest first then by
     relevance, paged, then scored (I24) and cut at the threshold (C16); rows
     are shaped as feed entries (I9-I11, I29)."""
     d = docs.filter(in_range("updated", gte, lt, now))
     if model or topic:
         d = d.filter(J.model_filter(models, model, topic))
-    d = _scored(d, docs, q, stats)
+    d = PO.search_docs(d, docs, q, SEARCH_FIELDS, index)
     ordered = d.orderBy(F.col("updated").desc_nulls_last(), F.col("score").desc(), F.col("id"))
     paged = W.page(ordered, offset, size)
     scored = S.with_overall_score(paged, "score", "topics", formula)
@@ -60,7 +55,7 @@ def ranked_feed(docs: DataFrame, models: DataFrame, now: Column, q: str | None =
 def recent_docs(docs: DataFrame, models: DataFrame, now: Column, q: str | None = None,
                 model: str | None = None, topic: str | None = None, filter_cond: Column | None = None,
                 exclude_cond: Column | None = None, gte: str = "now-4h", lt: str = "now",
-                offset: int = 0, size: int = 1) -> DataFrame:
+                offset: int = 0, size: int = 1, index: PO.Index | None = None) -> DataFrame:
     """L2: docs with text in ``[gte, lt)``, best topic first (G2), then
     newest, then relevance; optional model/topic/text/filter/exclude (N3)."""
     d = docs.filter(in_range("updated", gte, lt, now) & F.col("text").isNotNull())
@@ -70,7 +65,7 @@ def recent_docs(docs: DataFrame, models: DataFrame, now: Column, q: str | None =
         d = d.filter(_cond(filter_cond))
     if exclude_cond is not None:
         d = d.filter(~F.coalesce(_cond(exclude_cond), F.lit(False)))
-    d = _scored(d, docs, q)
+    d = PO.search_docs(d, docs, q, SEARCH_FIELDS, index)
     ordered = d.orderBy(W.best_topic_key().desc_nulls_last(), F.col("updated").desc_nulls_last(),
                         F.col("score").desc(), F.col("id"))
     return W.page(ordered, offset, size)

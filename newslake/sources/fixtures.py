@@ -18,10 +18,13 @@ Scale notes
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newslake.functions import urls
-from newslake.session import read_table
+from newslake.session import ensure_checkpoint_dir, read_table
 
 # Fixed values of the fixture mapping.
 ORPHAN_SOURCE = "src19"
@@ -37,7 +40,7 @@ def fixture_tags(text) -> F.Column:
     """The 8 most frequent words of the whole text (white-space tokens, letters
     A-Z only, lower case, longer than 2; of equal counts the first by name), sorted."""
     from newslake.operators.text import most_frequent
-    letters = F.transform(F.split(text, TOKEN_SEP), lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z]", "")))
+    letters = F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z \t\n\r]", "")), TOKEN_SEP)
     top = most_frequent(F.filter(letters, lambda t: F.length(t) > 2), 8)
     return F.coalesce(F.sort_array(F.transform(top, lambda x: x["token"])), F.array().cast("array<string>"))
 
@@ -68,26 +71,25 @@ def materialize_docs(spark: SparkSession, base: str, path: str) -> str:
 
 def forget_store(base: str) -> None:
     _STORES.pop(base, None)
-    _TERM_STATS.pop(base, None)
+    for key in [k for k in _INDEXES if k[1] == base]:
+        del _INDEXES[key]
 
 
-# Materialised BM25 statistics (base dir -> path), see ``materialize_term_stats``.
-_TERM_STATS: dict[str, str] = {}
+# Stored search indexes ((application, base dir) -> path), see ``search_index``.
+_INDEXES: dict[tuple[str, str], str] = {}
 SEARCH_FIELDS = ["title", "summary", "text"]
 
 
-def materialize_term_stats(spark: SparkSession, base: str, path: str) -> str:
-    """Build the search statistics of the doc store once (the index)."""
-    from newslake.operators.search import write_term_stats
-    write_term_stats(docs(spark, base), path, SEARCH_FIELDS)
-    _TERM_STATS[base] = path
-    return path
-
-
-def term_stats(spark: SparkSession, base: str):
-    """Stored search statistics for ``base`` or None (computed per query)."""
-    from newslake.operators.search import read_term_stats
-    return read_term_stats(spark, _TERM_STATS[base]) if base in _TERM_STATS else None
+def search_index(spark: SparkSession, base: str):
+    """The stored postings of the doc store: written under the shared checkpoint
+    dir on first use and read by every search after it."""
+    from newslake.operators import postings as PO
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _INDEXES:
+        path = os.path.join(ensure_checkpoint_dir(spark), "indexes", f"docs-{uuid.uuid4().hex[:12]}")
+        PO.write_index(docs(spark, base), path, SEARCH_FIELDS)
+        _INDEXES[key] = path
+    return PO.read_index(spark, _INDEXES[key])
 
 
 def docs(spark: SparkSession, base: str) -> DataFrame:
