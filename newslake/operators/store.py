@@ -106,9 +106,10 @@ class Store:
         found = self._marker()
         self._record(found[0] if found else 0, self._write(df), {}, df.schema)
 
-    def upsert(self, batch: DataFrame, order: str | Column | None = None, stream: str | None = None, batch_id: int | None = None) -> bool:
+    def upsert(self, batch: DataFrame, order: str | Column | None = None, stream: str | None = None, batch_id: int | None = None, contest: bool = False) -> bool:
         """B1: the rows of ``batch`` replace stored ones with the same source and
-        key; ``order`` picks the last of several in the batch. Only folders of
+        key; ``order`` picks the last of several in the batch, and with ``contest``
+        also between them and the stored one. Only folders of
         sources that the batch names are rewritten: their other rows by an anti
         join on the key. A batch of a ``stream`` that is recorded already changes
         nothing; returns whether anything was written. Columns that the store
@@ -132,6 +133,9 @@ class Store:
             touched = self.read(parts)
             same = [touched[self.key] == staged[self.key], touched[self.part].eqNullSafe(staged[self.part])]
             rows = touched.join(staged, same, "left_anti").unionByName(staged, allowMissingColumns=True)
+            if contest:
+                last = windows.latest_per_key(touched.join(staged, same, "left_semi").unionByName(staged, allowMissingColumns=True), [self.part, self.key], order)
+                rows = touched.join(staged, same, "left_anti").unionByName(last, allowMissingColumns=True)
         self._record(version, folders | self._write(rows), streams, rows.schema)
         return True
 

@@ -30,9 +30,6 @@ from newslake.sources import fixtures as FX
 from newslake.plans.q_text import _EXT, _GATE, language_profile, sql_clean, sql_language, sql_title, sql_visible
 from newslake.plans.q_topics import SQL_LABELS, SQL_SCORES, fixed_models, score_columns, sql_fixed_scores
 
-# The text writer ends every file with a newline; that node survives trim.
-CLEAN = sql_clean(sql_visible("(html || chr(10))"))
-
 ISO = "strftime(updated, '%Y-%m-%dT%H:%M:%SZ')"
 
 
@@ -100,21 +97,38 @@ def q_training_files(spark, base):
 
 
 @register("landed_documents", with_fixtures(f"""
-SELECT page_id, 'text/html' AS content_type,
-       CAST(length({CLEAN}) AS INTEGER) AS text_len,
-       CASE WHEN length(trim({CLEAN})) > 0 THEN 'successful' ELSE 'error: empty text' END AS outcome
-FROM pages
+r AS (SELECT 'https://land.example/page/' || page_id AS link, 'text/html' AS content_type, {sql_clean(sql_visible('html'))} AS text FROM pages
+      UNION ALL SELECT 'https://land.example/doc/' || doc_id || '.txt', 'text/plain', {sql_clean('text')} FROM documents
+      UNION ALL SELECT 'https://land.example/label/' || doc_id, 'application/json', 'quality ' || quality || chr(10) || 'a "b" ' || toxic FROM labels
+      UNION ALL SELECT 'https://land.example/nation/' || n_nationkey || '.csv', 'text/csv', 'key name' || chr(10) || n_nationkey || ' ' || n_name FROM nation
+      UNION ALL SELECT 'https://land.example/supplier/' || s_suppkey || '.pdf', 'application/pdf', 'Supplier (' || s_name || ')' || chr(10) || 'of nation ' || s_nationkey FROM supplier
+      UNION ALL SELECT 'https://land.example/region/' || r_regionkey || '.zip', 'application/zip', NULL FROM region)
+SELECT link, content_type, CAST(length(text) AS INTEGER) AS text_len, md5(text) AS text_md5,
+       CASE WHEN content_type = 'application/zip' THEN 'refused: archive' WHEN length(trim(text)) > 0 THEN 'successful' ELSE 'error: empty text' END AS outcome
+FROM r
 """))
 def q_landed_documents(spark, base):
-    """Landed responses (each page's HTML written as one file) scanned as
-    binary files, typed by their first bytes, decoded and cleaned (I17)."""
-    pages = FX.pages(spark, base)
+    """Landed responses of five types, many in a file, typed by their bytes,
+    headers and links, turned into text and cleaned (I17), with an outcome for each."""
+    table = lambda name: FX.read_table(spark, base, name)
+
+    def record(df, key, path, end, body, header=None):
+        return df.select(F.concat(F.lit(f"https://land.example/{path}/"), F.col(key).cast("string"), F.lit(end)).alias("link"),
+                         F.lit(header).cast("string").alias("header"), F.encode(body, "UTF-8").alias("body"))
+    text = lambda *cs: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in cs])
+    number = lambda c: F.col(c).cast("string")
+    shown = text("BT (Supplier \\(", F.col("s_name"), "\\)) Tj T* [(of na) -20 (tion ", number("s_nationkey"), ")] TJ ET")
+    landed = record(table("pages"), "page_id", "page", "", F.col("html"), "text/html")
+    for part in (record(table("documents"), "doc_id", "doc", ".txt", F.col("text"), "text/plain; charset=utf-8"),
+                 record(table("labels"), "doc_id", "label", "", text('{"q": "quality ', number("quality"), '", "n": 1, "t": ["a \\"b\\" ', number("toxic"), '"]}')),
+                 record(table("nation"), "n_nationkey", "nation", ".csv", text('key,"name"\r\n', number("n_nationkey"), ",", F.col("n_name"))),
+                 record(table("supplier"), "s_suppkey", "supplier", ".pdf", text("%PDF-1.4\n1 0 obj <<>> stream\n", shown, "\nendstream endobj")),
+                 record(table("region"), "r_regionkey", "region", ".zip", text("PK\x03\x04", F.col("r_name")))):
+        landed = landed.unionByName(part)
     path = _scratch(spark, "landed")
-    pages.select("page_id", "html").write.partitionBy("page_id").text(path)
-    docs = FD.read_documents(spark, path, "*.txt")
-    page_id = F.regexp_extract("link", r"page_id=([0-9]+)", 1).cast("bigint")
-    return docs.select(page_id.alias("page_id"), "content_type",
-                       F.length("text").alias("text_len"), "outcome")
+    landed.write.parquet(path)
+    docs = FD.response_texts(spark.read.parquet(path), header="header")
+    return docs.select("link", "content_type", F.length("text").alias("text_len"), F.md5("text").alias("text_md5"), "outcome")
 
 
 @register("ingest_all", with_fixtures(f"""
@@ -243,7 +257,7 @@ def _stubs(spark, base):
 _CONTENT = _EXT + f""",
 last AS (SELECT {sql_doc_id('url')} AS id, ext.*, coalesce({sql_title('html')}, first_sentence) AS title, summary, coalesce(tags, '') AS tags, {_GATE} AS gate,
                 regexp_extract(url, '{_FEED}', 1) AS origin,
-                NULLIF(lower(regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1)), '') AS attribute
+                NULLIF(lower(regexp_extract(html, '(?is)<html\\b[^>]*\\blang\\s*=\\s*["'']?([A-Za-z-]+)', 1)), '') AS attribute
          FROM ext LEFT JOIN summ USING (page_id) LEFT JOIN tags USING (page_id)
          QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id DESC) = 1),
 target AS (SELECT id, title, summary, text FROM last),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newslake.functions import text as T
 from newslake.functions import urls as U
 from newslake.operators import text as X
+from newslake.operators.store import Store
 from newslake.plans.catalog import register
 from newslake.plans.oracle import sql_doc_id, with_fixtures
 from newslake.plans.q_text import _GATE, sql_clean, sql_pages
@@ -27,6 +28,8 @@ def _stream(spark, base, name, key):
     folders one after the other (``key`` modulo their number) and are read a
     file at a time, so state, updates and resuming cross micro-batches."""
     static = FX.read_table(spark, base, name).withColumn("arrival", F.pmod(F.col(key), F.lit(ARRIVALS)).cast("int"))
+    # One arrival a day.
+    static = static.withColumn("landed", F.timestamp_seconds(F.col("arrival") * 86400))
     path = S.checkpoint_path(spark, f"landed-{name}")
     for i in range(ARRIVALS):
         static.filter(F.col("arrival") == i).write.parquet(os.path.join(path, f"{i}"))
@@ -39,33 +42,36 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, voter ORDER BY event_id % 4 DESC
 """, "votes"))
 def q_stream_votes(spark, base):
     """M5 (+M8): votes as a stream; the last vote per (doc, voter) is
-    streaming state (update mode), written per batch and read back as the
-    store view; arrival order wins."""
+    streaming state of the last days (update mode), upserted into a stored
+    table and read back; arrival order wins."""
     n_docs = FX.read_table(spark, base, "documents").count()
     ev = _stream(spark, base, "events", "event_id")
     votes = (ev.filter(F.col("event_type").isin(list(FX.VOTE_SCORES)))
-             .select("event_id", "arrival", (F.col("event_id") % n_docs).alias("doc_id"),
+             .select("event_id", "arrival", "landed", (F.col("event_id") % n_docs).alias("doc_id"),
                      F.col("user_id").cast("string").alias("voter"),
                      F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1)
                      .otherwise(2).alias("score")))
-    latest = S.latest_per_key_stream(votes, ["doc_id", "voter"], ["arrival", "event_id"], ["score"])
+    latest = S.latest_per_key_stream(votes, ["doc_id", "voter"], ["arrival", "event_id"], ["score"], arrival="landed")
     ck = S.checkpoint_path(spark, "votes")
-    S.run_available(latest, ck + "/out", ck + "/ckpt")
-    view = S.latest_across_batches(S.read_batches(spark, ck + "/out"), ["doc_id", "voter"])
-    return view.select("doc_id", "voter", "score")
+    # A vote's folder is a share of the docs; its key is the doc and the voter.
+    keyed = latest.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(8))).withColumn("id", F.concat_ws("/", "doc_id", "voter"))
+    store = Store(spark, ck + "/store", part="share")
+    S.run_into_store(keyed, store, "votes", ck + "/ckpt")
+    return store.read().select("doc_id", "voter", "score")
 
 
 @register("stream_resume_points", with_fixtures("""
 SELECT user_id, max(event_id) AS since_id FROM events GROUP BY user_id
 """))
 def q_stream_resume_points(spark, base):
-    """M6: per-account high-water marks kept as streaming state."""
+    """M6: per-account high-water marks: streaming state of the last days,
+    upserted into a stored table where the higher mark stays."""
     ev = _stream(spark, base, "events", "event_id")
-    marks = S.resume_points(ev, "user_id", "event_id").withColumn("o", F.struct(F.col("since_id")))
+    marks = S.resume_points(ev, "user_id", "event_id", arrival="landed").withColumn("share", F.pmod(F.xxhash64("user_id"), F.lit(4)))
     ck = S.checkpoint_path(spark, "resume")
-    S.run_available(marks, ck + "/out", ck + "/ckpt")
-    view = S.latest_across_batches(S.read_batches(spark, ck + "/out"), ["user_id"])
-    return view.select("user_id", "since_id")
+    store = Store(spark, ck + "/store", part="share", key="user_id")
+    S.run_into_store(marks, store, "marks", ck + "/ckpt")
+    return store.read().select("user_id", "since_id")
 
 
 @register("stream_dedup", with_fixtures("""
@@ -91,18 +97,18 @@ QUALIFY row_number() OVER (PARTITION BY {sql_doc_id('url')} ORDER BY page_id % 4
 """))
 def q_stream_content(spark, base):
     """M2 (+M7): landed pages as a stream through the content pass (gates,
-    extraction, size outcome) into an append-only store read as latest per
-    id: the page of the last arrival."""
-    pages = _stream(spark, base, "pages", "page_id").select("page_id", F.col("url").alias("link"), "html")
+    extraction, size outcome), each batch upserted into the store by feed: the
+    page of the last arrival stays, and reads are plain scans."""
+    pages = _stream(spark, base, "pages", "page_id").select("page_id", F.col("url").alias("link"), "html", "arrival")
     gated = pages.filter(U.is_valid_url("link") & U.not_excluded_uri("link") & U.not_excluded_type("link"))
     docs = X.extract_docs(gated).select(
-        "id", "text", F.struct(F.col("page_id")).alias("o"),
+        "id", F.regexp_extract("link", r"^https?://[^/]+/([a-z]{2})/", 1).alias("origin"), "text", F.struct("arrival", "page_id").alias("o"),
         F.when(F.length("text") > T.NEWS_MIN_TEXT_SIZE, F.lit("successful"))
         .otherwise(F.lit("failed: text too small")).alias("outcome"))
     ck = S.checkpoint_path(spark, "content")
-    S.run_available(docs, ck + "/out", ck + "/ckpt", output_mode="append")
-    view = S.latest_across_batches(S.read_batches(spark, ck + "/out"), ["id"])
-    return view.select("id", "outcome", F.length("text").alias("text_len"))
+    store = Store(spark, ck + "/store")
+    S.run_into_store(docs, store, "content", ck + "/ckpt", output_mode="append")
+    return store.read().select("id", "outcome", F.length("text").alias("text_len"))
 
 
 @register("stream_feeds", with_fixtures("""

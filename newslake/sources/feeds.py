@@ -7,6 +7,7 @@ nothing is inferred on a large input.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newslake.functions import dates, text as TX, urls as U
@@ -175,23 +176,102 @@ def ingest_all(parts: dict[str, DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------------------
 # A8 landed documents
 # ---------------------------------------------------------------------------
-def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Landed responses. Type guessed from magic bytes / extension;
-    HTML-like text decoded, cleaned (I17); empty text is an error."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    # Bytes -> text without failing on invalid UTF-8 (replaced by U+FFFD).
-    body = F.make_valid_utf8(F.col("content").cast("string"))
-    head = F.lower(F.substring(body, 1, 512))
-    kind = (F.when(F.substring("content", 1, 4) == F.lit(bytearray(b"%PDF")), F.lit("application/pdf"))
+# How response bodies begin.
+PDF_MAGIC, ZIP_MAGIC = b"%PDF", b"PK\x03\x04"
+
+
+def response_type(body: Column, text: Column, link: Column, header: Column | None = None) -> Column:
+    """The type of a response by its first bytes, then its header, then the
+    ending of its link."""
+    head = F.ltrim(F.lower(F.substring(text, 1, 512)))
+    named = F.lower(F.coalesce(header, F.lit(""))) if header is not None else F.lit("")
+    ends = lambda e: F.lower(F.regexp_replace(link, "[?#].*$", "")).endswith(e)
+    return (F.when(F.substring(body, 1, 4) == F.lit(bytearray(PDF_MAGIC)), F.lit("application/pdf"))
+            .when(F.substring(body, 1, 4) == F.lit(bytearray(ZIP_MAGIC)), F.lit("application/zip"))
             .when(head.contains("<html") | head.contains("<!doctype html"), F.lit("text/html"))
-            .when(F.trim(head).startswith("{") | F.trim(head).startswith("["), F.lit("application/json"))
-            .when(F.lower("path").endswith(".csv"), F.lit("text/csv"))
+            .when(F.try_parse_json(text).isNotNull() & head.rlike(r"^[{\[]"), F.lit("application/json"))
+            .when(named.contains("html"), F.lit("text/html"))
+            .when(named.contains("csv") | ends(".csv"), F.lit("text/csv"))
             .otherwise(F.lit("text/plain")))
-    text = F.when(kind == "text/html", TX.visible_text(body)).when(kind != "application/pdf", body)
-    out = raw.select(F.col("path").alias("link"), kind.alias("content_type"),
-                     TX.clean_extracted(text).alias("text"), F.col("length"))
-    return out.withColumn("outcome", F.when(F.length(F.trim("text")) > 0, F.lit("successful"))
-                          .otherwise(F.lit("error: empty text")))
+
+
+def json_text(text: Column) -> Column:
+    """The string values of a JSON text, a line each (keys are left out)."""
+    values = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*")(?!\s*:)(?=\s*[,}\]]|\s*$)'), 1)
+    return F.array_join(F.transform(values, lambda v: F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), 0)), "\n")
+
+
+def csv_text(text: Column) -> Column:
+    """The cells of a CSV text: fields joined by a blank, without quotes."""
+    cells = F.regexp_replace(text, r'"((?:[^"]|"")*)"', "$1")
+    return F.replace(F.regexp_replace(F.replace(cells, F.lit('""'), F.lit('"')), r"[,;\t]", " "), F.lit("\r\n"), F.lit("\n"))
+
+
+def pdf_text():
+    """A function from PDF bytes to the text that their content streams show (plain
+    or deflated streams with literal strings; others give an empty text)."""
+    @F.pandas_udf(T.StringType())
+    def show(bodies: pd.Series) -> pd.Series:
+        import re
+        import zlib
+        stream = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+        shown = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\]\\]|\\.)*)\]\s*TJ|(T\*|\b(?:Td|TD|ET)\b)", re.S)
+        piece, escape = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.S), re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3})")
+        signs = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+        def plain(s):
+            return escape.sub(lambda m: signs.get(m[1], m[1]) if not m[1][:1].isdigit() else bytes([int(m[1], 8) & 255]), s)
+        out = []
+        for body in bodies:
+            lines = [b""]
+            for m in stream.finditer(body or b""):
+                data = m[1]
+                try:
+                    data = zlib.decompress(data)
+                except zlib.error:
+                    pass
+                for x in shown.finditer(data):
+                    if x[3]:
+                        lines.append(b"")
+                    else:
+                        lines[-1] += plain(x[1]) if x[1] is not None else b"".join(plain(p) for p in piece.findall(x[2]))
+            text = b"\n".join(x for x in lines if x)
+            out.append(text.decode("utf-8") if _utf8(text) else text.decode("latin-1"))
+        return pd.Series(out, dtype=object)
+
+    def _utf8(b):
+        try:
+            b.decode("utf-8")
+            return True
+        except UnicodeDecodeError:
+            return False
+    return show
+
+
+def response_texts(responses: DataFrame, link: str = "link", body: str = "body", header: str | None = None) -> DataFrame:
+    """Landed responses, many in a file (records of a link, the bytes and the
+    header's type), with ``content_type``, cleaned ``text`` (I17) and ``outcome``. HTML gives
+    its visible text, JSON its string values, CSV its cells, PDF what it shows;
+    archives are refused, an empty text is an error. Invalid UTF-8 is replaced."""
+    from newslake.operators.partitioning import spread
+    raw = spread(responses).withColumn("__text", F.make_valid_utf8(F.col(body).cast("string")))
+    kind = response_type(F.col(body), F.col("__text"), F.col(link), F.col(header) if header else None)
+    typed = raw.withColumn("content_type" if "content_type" not in responses.columns else "found_type", kind)
+    name = "content_type" if "content_type" not in responses.columns else "found_type"
+    # Only PDF bytes go to Python.
+    shown = pdf_text()(F.when(F.col(name) == "application/pdf", F.col(body)))
+    t = F.col("__text")
+    text = (F.when(F.col(name) == "text/html", TX.visible_text(t)).when(F.col(name) == "application/json", json_text(t)).when(F.col(name) == "text/csv", csv_text(t))
+            .when(F.col(name) == "application/pdf", shown).when(F.col(name) == "text/plain", t))
+    out = typed.withColumn("text", TX.clean_extracted(text)).drop("__text")
+    return out.withColumn("outcome", F.when(F.col(name) == "application/zip", F.lit("refused: archive"))
+                          .when(F.length(F.trim("text")) > 0, F.lit("successful")).otherwise(F.lit("error: empty text")))
+
+
+def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """A8 on a folder with a file for each response (see ``response_texts``)."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return response_texts(raw.select(F.col("path").alias("link"), F.col("content").alias("body"), "length")).drop("body")
 
 
 # ---------------------------------------------------------------------------

@@ -11,7 +11,7 @@ Conventions
   cluster's ``spark.checkpoint.dir``) records progress (M6).
 * Last-writer-wins is by arrival (batch id, then the row's own sequence),
   not by the ``updated`` field: the reference has no event-time semantics
-  (M8). A watermark only bounds the dedup state.
+  (M8). Watermarks are on the time of arrival and only bound state.
 """
 
 from __future__ import annotations
@@ -64,19 +64,49 @@ def dedup_first_seen(stream: DataFrame, key: str = "id", ts: str = "updated",
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def latest_per_key_stream(stream: DataFrame, keys: list[str], order_cols: list[str],
-                          value_cols: list[str]) -> DataFrame:
+def latest_per_key_stream(stream: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
+                          arrival: str | None = None, every: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """M4 / M5 (last writer wins): a stateful aggregation keeping, per key,
-    the values of the row with the highest order; emitted in update mode."""
+    the values of the row with the highest order; emitted in update mode.
+
+    With ``arrival`` (a timestamp set when the row lands, so it never runs behind)
+    the state is kept by key and period of arrival and dropped ``delay`` after the
+    period: it holds the keys of the last periods, not all that were ever seen.
+    A key that comes again later is emitted again; a sink that keeps the highest
+    order (``store_sink``) has the same rows either way."""
     order = F.struct(*order_cols)
     vals = F.struct(*value_cols)
-    return stream.groupBy(*keys).agg(F.max_by(vals, order).alias("v"), F.max(order).alias("o")).select(
+    by = [F.col(k) for k in keys]
+    if arrival:
+        stream = stream.withColumn("__arrival", F.col(arrival).cast("timestamp")).withWatermark("__arrival", delay)
+        by.append(F.window("__arrival", every).alias("__period"))
+    return stream.groupBy(*by).agg(F.max_by(vals, order).alias("v"), F.max(order).alias("o")).select(
         *keys, "v.*", "o")
 
 
-def resume_points(stream: DataFrame, key: str, id_col: str) -> DataFrame:
-    """M6: the per-source high-water mark as streaming state."""
-    return stream.groupBy(key).agg(F.max(F.col(id_col).try_cast("bigint")).alias("since_id"))
+def resume_points(stream: DataFrame, key: str, id_col: str, arrival: str | None = None, every: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """M6: the per-source high-water mark as streaming state (with ``arrival`` of
+    the last periods only, see ``latest_per_key_stream``)."""
+    seen = stream.withColumn("since_id", F.col(id_col).try_cast("bigint"))
+    return latest_per_key_stream(seen, [key], ["since_id"], ["since_id"], arrival, every, delay)
+
+
+def store_sink(store, name: str, order: str = "o"):
+    """foreachBatch sink into a stored table: of each key the row with the highest
+    order, stored or new. Only the folders that a batch names are rewritten, reads
+    need no window over the batches, and a batch that is retried after its version
+    was recorded changes nothing."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(batch, order, stream=name, batch_id=batch_id, contest=True)
+    return write
+
+
+def run_into_store(stream: DataFrame, store, name: str, checkpoint: str, output_mode: str = "update", order: str = "o") -> StreamingQuery:
+    """Process everything available now into ``store``, then stop."""
+    q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+         .foreachBatch(store_sink(store, name, order)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
 
 
 def batch_writer(path: str, fmt: str = "parquet", partition_by: list[str] | None = None):
@@ -112,12 +142,6 @@ def latest_across_batches(df: DataFrame, keys: list[str]) -> DataFrame:
     return windows.first_per(df, keys, [F.col("batch_id").desc(), F.col("o").desc()]).drop("batch_id", "o")
 
 
-def upsert_stream_sink(store_path: str, key: str = "id"):
-    """M2 / B1 in streams: append each batch as a new store version; the store
-    is read as ``latest per key`` by (batch_id, seq)."""
-    return batch_writer(store_path)
-
-
 def predict_stream(stream: DataFrame, fitted: dict) -> DataFrame:
     """M3: classifier scoring on a stream (narrow transform per batch)."""
     from newslake.operators.topics import predict_topics
