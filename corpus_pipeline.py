@@ -16,10 +16,18 @@ from newslake.llm import decontam, jaccard, pii, sentencepiece_codec, toxicity
 from newslake.llm.common import Scratch, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Bytes of a batch between Spark and a Python worker: both hold two of them for each running task.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, for texts of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score 0.3 or more. The classifier learns from the labels outside the held-out rows."""
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out("doc_id"))
     return toxicity.score(docs, model, into="_score").where(F.col("_score") < toxicity.Limits().threshold).drop("_score")
 
@@ -34,6 +42,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     null id or linked with nothing stay. Rows with a word that repeat an id are
     one document, the one with the smallest text, before links are looked for.
     Adds the key of each row, as null ids may repeat."""
+    small_batches(spark)
     scratch = Scratch(spark, "groups")
     again = scratch.save(docs.where(F.col("doc_id").isNotNull() & _has_word()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), 1)
     # Written once if ids repeat, as the search reads it several times.
@@ -58,6 +67,7 @@ def _first_of_id(docs: DataFrame, again: DataFrame) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows that themselves hold 80 % or more of the 5-word shingles of
     a benchmark item, whatever other rows of their id hold."""
+    small_batches(spark)
     if ROW not in docs.columns:  # a key that is not written could change between reads
         docs = Scratch(spark, "rows").save(docs.withColumn(ROW, F.monotonically_increasing_id()))
     found = decontam.contaminated(docs.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
@@ -66,12 +76,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by surrogates; ``n_chars`` follows the new text."""
+    small_batches(spark)
     out = pii.pseudonymise(docs, count_into="_entities").drop("_entities")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the token ids of each text."""
+    small_batches(spark)
     return sentencepiece_codec.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
