@@ -16,7 +16,9 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import os
 import re
+import secrets
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -179,6 +181,22 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_rest(form: str) -> int:
+    """What is left modulo 97: 1 for an IBAN with right check digits."""
+    return int("".join(str(int(c, 36)) for c in form[4:] + form[:4])) % 97
+
+
+#: Ranges of addresses with a meaning of their own (private, loopback, shared, link-local, documentation, multicast, reserved); a surrogate stays in its range, or outside all of them.
+ADDRESS_CLASSES = [(0x00000000, 0x00FFFFFF), (0x0A000000, 0x0AFFFFFF), (0x64400000, 0x647FFFFF), (0x7F000000, 0x7FFFFFFF), (0xA9FE0000, 0xA9FEFFFF), (0xAC100000, 0xAC1FFFFF),
+                   (0xC0000200, 0xC00002FF), (0xC0A80000, 0xC0A8FFFF), (0xC6120000, 0xC613FFFF), (0xC6336400, 0xC63364FF), (0xCB007100, 0xCB0071FF), (0xE0000000, 0xEFFFFFFF), (0xF0000000, 0xFFFFFFFF)]
+#: Digits of a card number that name its issuer.
+ISSUER = 6
+
+
+def _address_class(x: int) -> tuple[int, int] | None:
+    return next((c for c in ADDRESS_CLASSES if c[0] <= x <= c[1]), None)
+
+
 _SCRIPTS = [("а", "я"), ("А", "Я"), ("α", "ω"), ("Α", "Ω"), ("א", "ת"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "鿋"), ("가", "힣")]
 
 
@@ -205,20 +223,26 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
     """The canonical form of the replacement of an entity's canonical form."""
     if kind in ("phone", "ssn", "card"):
         n = len(form)
-        keep = max(0, n - 10) if kind == "phone" else 0  # the country code stays
+        keep = max(0, n - 10) if kind == "phone" else ISSUER if kind == "card" else 0  # the country code stays, the issuer too
         if kind == "card" and luhn(form):
-            body = str(permute(key, int(form[:-1]), 10 ** (n - 1), kind, n, attempt)).zfill(n - 1)
+            body = form[:keep] + str(permute(key, int(form[keep:-1]), 10 ** (n - 1 - keep), kind, form[:keep], n, attempt)).zfill(n - 1 - keep)
             return body + next(c for c in "0123456789" if luhn(body + c))
         digits = form[keep:]
         while True:
             digits = str(permute(key, int(digits), 10 ** len(digits), kind, form[:keep], n, attempt)).zfill(len(digits))
-            if kind != "card" or not luhn(digits):
+            if kind != "card" or not luhn(form[:keep] + digits):
                 return form[:keep] + digits
     if kind == "ip":
         x = 0
         for part in form.split("."):
             x = x * 256 + int(part)
-        x = permute(key, x, 1 << 32, kind, attempt)
+        own = _address_class(x)
+        if own:
+            x = own[0] + permute(key, x - own[0], own[1] - own[0] + 1, kind, own, attempt)
+        else:
+            x = permute(key, x, 1 << 32, kind, attempt)
+            while _address_class(x):
+                x = permute(key, x, 1 << 32, kind, attempt)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     draw = _stream(key, kind, form, attempt)
     if kind == "given":
@@ -239,7 +263,10 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
         more = "".join(str(draw(10)) for _ in range(attempt // 4))  # a used-up format gets longer
         return "".join(_like(c, draw) for c in local) + more + "@" + "".join(_like(c, draw) for c in host) + "." + top
     if kind == "iban":
-        return form[:2] + "".join(_like(c, draw) for c in form[2:])
+        body = "".join(_like(c, draw) for c in form[4:])
+        if iban_rest(form) == 1:
+            return form[:2] + str(98 - iban_rest(form[:2] + "00" + body)).zfill(2) + body
+        return form[:2] + "".join(_like(c, draw) for c in form[2:4]) + body
     hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", form) is not None
     head = re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)?", form)[0]
     return head + "".join(_like(c, draw, hexa) for c in form[len(head):])
@@ -303,10 +330,27 @@ def attempts(docs: DataFrame, key: bytes, scratch: Scratch, most: int = 64) -> D
 BROADCAST_EXCEPTIONS = 100_000
 
 
-def pseudonymise(docs: DataFrame, key: str = "newslake", text_col: str = "text", count_into: str = "n_entities") -> DataFrame:
+#: The environment variable that holds the key where the caller passes none.
+KEY_VARIABLE = "NEWSLAKE_PII_KEY"
+
+
+@lru_cache(maxsize=1)
+def _passing_key() -> str:
+    return secrets.token_hex(32)
+
+
+def secret_key(key: str | None = None) -> bytes:
+    """The caller's key, else that of the environment, else a random one of this
+    process. None is in the source: whoever has the key can turn numbers back."""
+    return hashlib.sha256((key or os.environ.get(KEY_VARIABLE) or _passing_key()).encode()).digest()
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text", count_into: str = "n_entities") -> DataFrame:
     """``docs`` with the personal data of ``text_col`` replaced, and one more
     column with the number of entities replaced. ``key`` is the secret: the same
-    key gives the same surrogates.
+    key gives the same surrogates. Without one it is taken from the environment
+    (``NEWSLAKE_PII_KEY``); if that is unset too, a random key is drawn, and
+    surrogates agree among the calls of this driver process only.
 
     Whole texts are searched. Null texts stay null and empty ones empty, with 0
     entities; repeated rows get equal results; an empty table gives an empty
@@ -315,7 +359,7 @@ def pseudonymise(docs: DataFrame, key: str = "newslake", text_col: str = "text",
     """
     if count_into in docs.columns:
         raise ValueError(f"column {count_into} exists")
-    secret = hashlib.sha256(key.encode()).digest()
+    secret = secret_key(key)
     scratch = Scratch(docs.sparkSession, "pii")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     exceptions = scratch.save(attempts(texts, secret, scratch))

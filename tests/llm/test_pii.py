@@ -104,3 +104,33 @@ def test_earlier_pattern_wins():
     text = "Mary Miller wrote Mary.Miller@x.org, Miller@y.org; token=Miller.Mary123456"
     spans = pii.detect(text)
     assert [(text[a:b], k) for a, b, k, _ in spans] == [("Mary", "given"), ("Miller", "family"), ("Mary.Miller@x.org", "email"), ("Miller@y.org", "email"), ("Miller.Mary123456", "secret")]
+
+
+def test_keys(spark, monkeypatch):
+    rows = [(1, "call +1 (017) 555-7713 or x@y.org")]
+    monkeypatch.delenv(pii.KEY_VARIABLE, raising=False)
+    passing = run(spark, rows)[1]["text"]
+    assert passing == run(spark, rows)[1]["text"] != run(spark, rows, key="newslake")[1]["text"]
+    assert pii.secret_key() != pii.hashlib.sha256(b"newslake").digest()
+    pii._passing_key.cache_clear()
+    assert run(spark, rows)[1]["text"] != passing  # as in another process
+    monkeypatch.setenv(pii.KEY_VARIABLE, "mine")
+    assert run(spark, rows)[1]["text"] == run(spark, rows, key="mine")[1]["text"]
+
+
+def test_check_digits_issuers_and_address_classes():
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "DE00370400440532013000"]
+    for i in ibans:
+        out = pii.surrogate(KEY, "iban", i, 0)
+        assert out[:2] == i[:2] and len(out) == len(i) and out != i and (pii.iban_rest(out) == 1) >= (pii.iban_rest(i) == 1)
+    for c in ("4539148803436467", "378282246310005", "6011000990139424", "9807915762804490"):
+        out = pii.surrogate(KEY, "card", c, 0)
+        assert out[:6] == c[:6] and len(out) == len(c) and out != c and pii.luhn(out) == pii.luhn(c)
+    import ipaddress
+    names = ("is_private", "is_loopback", "is_multicast", "is_link_local", "is_reserved")
+    seen = set()
+    for a in ["192.168.1.1", "10.0.0.5", "127.0.0.1", "172.20.3.4", "169.254.7.7", "224.0.0.9", "8.8.8.8", "97.51.17.173", "100.64.1.1", "0.0.0.0", "198.51.100.7", "1.1.1.1"] + [f"192.168.0.{i}" for i in range(200)]:
+        out = pii.surrogate(KEY, "ip", a, 0)
+        assert [getattr(ipaddress.ip_address(out), n) for n in names] == [getattr(ipaddress.ip_address(a), n) for n in names], (a, out)
+        seen.add(out)
+    assert len(seen) == 212
