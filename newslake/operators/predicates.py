@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.functions import dates, urls
 from newslake.functions._util import as_col
-from newslake.functions.text import NEWS_MIN_TEXT_SIZE, OVERALL_SCORE_THRESHOLD, TRAINING_MIN_TEXT_SIZE
+from newslake.functions.text import NEWS_MIN_TEXT_SIZE, OVERALL_SCORE_THRESHOLD
 
 
 def of_type(df: DataFrame, t: str, col: str = "type") -> DataFrame:
@@ -121,12 +121,6 @@ def long_enough(text, n: int = NEWS_MIN_TEXT_SIZE) -> Column:
     return F.coalesce(F.length(as_col(text)) > n, F.lit(False))
 
 
-def trainable(text="text", lang="lang", model_lang="en", n: int = TRAINING_MIN_TEXT_SIZE) -> Column:
-    """Text longer than 500 characters in the model's language."""
-    ml = model_lang if isinstance(model_lang, Column) else F.lit(model_lang)
-    return long_enough(text, n) & F.coalesce(as_col(lang) == ml, F.lit(False))
-
-
 def above(score, thr: float = OVERALL_SCORE_THRESHOLD) -> Column:
     """Overall score at least the threshold."""
     return F.coalesce(as_col(score) >= thr, F.lit(False))

@@ -16,20 +16,7 @@ def merge_tags(stored, new) -> Column:
     return F.concat(a, F.array_sort(F.array_except(b, a)))
 
 
-def union_feeds(*dfs: DataFrame) -> DataFrame:
-    """H2: union of feeds of different formats by column name."""
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d, allowMissingColumns=True)
-    return out
-
-
 def dedup_by_id(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """H3: one row per id, the latest by ``seq`` (same link -> same id ->
     replaced)."""
     return windows.latest_per_key(df, key, seq)
-
-
-def distinct_training_docs(df: DataFrame) -> DataFrame:
-    """H4: a doc reached through two tags of one topic is written once."""
-    return df.dropDuplicates(["model", "topic", "doc_id"])

@@ -56,12 +56,6 @@ def latest_per_key(df: DataFrame, key: str | list[str], seq) -> DataFrame:
     return first_per(df, keys, [as_col(seq).desc()])
 
 
-def take_quota(df: DataFrame, keys: list[str], order, quota: str) -> DataFrame:
-    """the first ``quota`` rows per group (quota is a column of df)."""
-    w = Window.partitionBy(*keys).orderBy(*_orders(order))
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= F.col(quota)).drop("__rn")
-
-
 def tag_quotas(inventory: DataFrame, limit_col: str = "limit", group: list[str] | None = None,
                tag_col: str = "tag", size_col: str = "n_docs", eligible_col: str = "n_eligible") -> DataFrame:
     """rolling quota carry-over along the tags of a topic, smallest first.

@@ -191,12 +191,10 @@ QUALIFY row_number() OVER (ORDER BY doc_count DESC, origin) <= (SELECT n FROM n_
 def q_topic_stats_all_sources(spark, base):
     """The number of source buckets defaults to the number of sources."""
     docs = FX.docs(spark, base)
-    n = A.default_topic_size(FX.sources(spark, base)).select("n_sources").scalar()
+    n = A.default_topic_size(FX.sources(spark, base)).first()["n_sources"]
     predicted = docs.filter(F.exists("topics", lambda t: t["label"].isNotNull()))
     per_origin = predicted.groupBy("origin").agg(F.count(F.lit(1)).alias("doc_count"))
-    ranked = per_origin.withColumn("rn", F.row_number().over(
-        W.Window.orderBy(F.col("doc_count").desc(), "origin")))
-    return ranked.filter(F.col("rn") <= n).select("origin", "doc_count")
+    return per_origin.orderBy(F.col("doc_count").desc(), "origin").limit(n)
 
 
 @register("count_matching", with_fixtures("""

@@ -243,12 +243,16 @@ reg AS (SELECT id, title, 'source' AS type FROM sources
 SELECT type, count(*) AS n FROM reg GROUP BY type
 """, "sources", "topics", "models"))
 def q_registry_scan(spark, base):
-    """One registry table of all object types, listed by type."""
-    from newslake.operators.predicates import of_type
+    """One stored registry table of all object types, listed by type."""
+    import os
+    import uuid
+    from newslake.session import ensure_checkpoint_dir
     reg = (FX.sources(spark, base).select("id", "title", F.lit("source").alias("type"))
            .unionByName(FX.topics(spark).select("id", "title", F.lit("topic").alias("type")))
            .unionByName(FX.models(spark).select("id", "title", F.lit("model").alias("type"))))
-    parts = [of_type(reg, t).groupBy("type").agg(F.count(F.lit(1)).alias("n")) for t in ("source", "topic", "model")]
+    path = os.path.join(ensure_checkpoint_dir(spark), "registries", uuid.uuid4().hex)
+    reg.write.parquet(path)
+    parts = [FD.load_registry(spark, path, t).groupBy("type").agg(F.count(F.lit(1)).alias("n")) for t in ("source", "topic", "model")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

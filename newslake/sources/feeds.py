@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from newslake.functions import dates, text as TX, urls as U
-from newslake.functions._util import EMPTY_STRINGS, as_col
+from newslake.functions._util import EMPTY_STRINGS
+from newslake.operators.aggregates import max_id_per_source
 from newslake.operators.broadcast import bounded_broadcast
 from newslake.operators import windows
+from newslake.operators.predicates import of_type
 
 # Chat-created sources and docs.
 CHAT_SOURCE_DEFAULTS = {"limit": 200, "step": 1000, "freq": 30, "depth": 2}
@@ -64,12 +66,6 @@ def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFram
     return spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
 
 
-def parse_feed_items(xml_col, row_tag: str = "item") -> Column:
-    """A1 for a text column holding one item/entry per row."""
-    schema = RSS_ITEM_SCHEMA if row_tag == "item" else ATOM_ENTRY_SCHEMA
-    return F.from_xml(as_col(xml_col), schema)
-
-
 def normalize_entries(items: DataFrame, origin, now, row_tag: str = "item") -> DataFrame:
     """A2: feed entries -> docs. tags = category terms; ``updated`` defaults
     to now; source = the entry's source link or ``""``; format and
@@ -105,10 +101,11 @@ def require_entries(items: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def take_until_empty_page(pages: DataFrame, source: str = "source", offset: str = "offset",
                           n_entries: str = "n_entries") -> DataFrame:
-    """A3: per source keep the pages before the first one with no entries."""
-    first_empty = pages.groupBy(source).agg(
-        F.min(F.when(F.col(n_entries) == 0, F.col(offset))).alias("__first_empty"))
-    return (pages.join(first_empty, source)
+    """A3: per source keep the pages before the first one with no entries. Only
+    sources with such a page are joined, by broadcast where their number is
+    checked, so the pages of a hot source stay where they are."""
+    first_empty = pages.filter(F.col(n_entries) == 0).groupBy(source).agg(F.min(offset).alias("__first_empty"))
+    return (pages.join(bounded_broadcast(first_empty), source, "left")
             .filter(F.col("__first_empty").isNull() | (F.col(offset) < F.col("__first_empty")))
             .drop("__first_empty"))
 
@@ -117,7 +114,7 @@ def newer_than_watermark(new: DataFrame, stored: DataFrame, key: str = "origin",
     """Only items with an id above the highest stored id of their
     source (numeric comparison)."""
     # One row per source: broadcast where its size is checked.
-    marks = bounded_broadcast(stored.groupBy(key).agg(F.max(F.col(id_col).try_cast("bigint")).alias("__since")))
+    marks = bounded_broadcast(max_id_per_source(stored, key, id_col).withColumnRenamed("max_id", "__since"))
     return (new.join(marks, key, "left")
             .filter(F.col("__since").isNull() | (F.col(id_col).try_cast("bigint") > F.col("__since")))
             .drop("__since"))
@@ -156,10 +153,6 @@ def tweets_to_docs(tweets: DataFrame, origin) -> DataFrame:
         F.lit("twitter").alias("format"), F.lit("twitter").alias("source_type"))
 
 
-def read_tweets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TWEET_SCHEMA).json(path)
-
-
 # ---------------------------------------------------------------------------
 # A7 dispatch
 # ---------------------------------------------------------------------------
@@ -325,7 +318,7 @@ def messages_to_sources(messages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def load_registry(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Every object of one type from a registry table."""
-    return spark.read.parquet(path).filter(F.col("type") == kind)
+    return of_type(spark.read.parquet(path), kind)
 
 
 def get(df: DataFrame, ids, parent: str | None = None, key: str = "id") -> DataFrame:
