@@ -368,13 +368,15 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text"
     table = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["form"]): r["attempt"] for r in exceptions.collect()} if few else {})
 
     columns = docs.columns
+    taken = {c.lower() for c in columns}
+    own_tries, text_key = (next(n for n in (f"{c}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken) for c in ("attempts", "text_key"))
 
     def run(batches):
         known = table.value
         cached = lru_cache(1 << 16)(lambda kind, form, attempt: surrogate(secret, kind, form, attempt))
         for b in batches:
             out, count = [], []
-            own = b.column("_attempts").to_pylist() if "_attempts" in b.schema.names else None
+            own = b.column(own_tries).to_pylist() if own_tries in b.schema.names else None
             for i, t in enumerate(b.column(text_col).to_pylist()):
                 tries = known if own is None else {(x["kind"], x["form"]): x["attempt"] for x in own[i] or ()}
                 spans = detect(t)
@@ -394,8 +396,8 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text"
         def mentions(batches):
             for b in batches:
                 rows = sorted({(hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest(), kind, form) for t in b.column("text").to_pylist() if t for _, _, kind, form in detect(t)})
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["_key", "kind", "form"])
-        of_text = (texts.mapInArrow(mentions, "_key string, kind string, form string").distinct().join(exceptions, ["kind", "form"])
-                   .groupBy("_key").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("_attempts")))
-        typed = typed.withColumn("_key", F.sha2(text_col, 256)).join(of_text, "_key", "left").select(*columns, "_attempts")
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["of", "kind", "form"])
+        of_text = (texts.mapInArrow(mentions, "of string, kind string, form string").distinct().join(exceptions, ["kind", "form"])
+                   .groupBy(F.col("of").alias(text_key)).agg(F.collect_list(F.struct("kind", "form", "attempt")).alias(own_tries)))
+        typed = typed.withColumn(text_key, F.sha2(text_col, 256)).join(of_text, text_key, "left").select(*columns, own_tries)
     return typed.mapInArrow(run, schema)

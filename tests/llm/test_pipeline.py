@@ -79,9 +79,40 @@ def test_only_rows_at_fault_are_dropped(spark, tmp_dir):
     want = [r for r in rows if r not in (rows[6], rows[8])]
     one = P.one_of_each_group(spark, df, tmp_dir)
     key = lambda r: tuple(map(str, r))
-    assert sorted((tuple(r) for r in one.drop(P.ROW).collect()), key=key) == sorted(want, key=key)
+    assert one.columns == df.columns  # a stage adds no column
+    assert sorted((tuple(r) for r in one.collect()), key=key) == sorted(want, key=key)
     one.write.parquet(f"{tmp_dir}/one")
-    for docs in (spark.read.parquet(f"{tmp_dir}/one"), spark.createDataFrame(want, schema)):  # with and without the key
+    for docs in (spark.read.parquet(f"{tmp_dir}/one"), spark.createDataFrame(want, schema)):  # read and not read
         out = P.drop_contaminated(spark, docs, tmp_dir)
         assert out.columns == ["doc_id", "text", "source"]
         assert sorted((tuple(r) for r in out.collect()), key=key) == sorted((r for r in want if r != rows[11]), key=key)
+
+
+CLASHES = ["score", "Group_Id", "row_key", "n_entities", "token_ids", "_score", "_row", "_key", "attempts", "text_key", "node", "u", "n"]
+
+
+def test_columns_with_the_names_of_helpers(spark, tmp_dir):
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(900)}" for _ in range(80))
+    rows = [(i, t, *["own"] * len(CLASHES)) for i, t in ((1, text), (2, text), (3, "mail x@y.org " * 30), (4, None), (5, ""), (6, "w" * 300_000))]
+    spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)).write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    spark.createDataFrame([(0, "a b c d e f g h")], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    out = P.run(spark, tmp_dir)
+    assert out.columns == ["doc_id", "text", *[c for c in CLASHES if c != "token_ids"], "token_ids"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == {1, 3, 4, 5, 6} and "x@y.org" not in got[3]["text"]
+    assert all(r[c] == "own" for r in got.values() for c in CLASHES if c != "token_ids") and len(got[1]["token_ids"]) > 80
+
+
+def test_empty_tables(spark, tmp_dir):
+    docs, items = write(spark, f"{tmp_dir}/full")
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for empty, rows in (("documents", 0), ("others", None)):
+        base = f"{tmp_dir}/{empty}"
+        for t, schema in schemas.items():
+            none = (t == "documents") == (empty == "documents")
+            (spark.createDataFrame([], schema) if none else spark.read.parquet(f"{tmp_dir}/full/{t}.parquet")).write.parquet(f"{base}/{t}.parquet")
+        out = P.run(spark, base)
+        # Without labels nothing is toxic, without a benchmark nothing is contaminated: copies alone go.
+        assert out.count() == (0 if rows == 0 else len({d[1] for d in docs if d[1] and d[0] != 9 and d[0] is not None and not d[1].endswith(" tail")}) + 5)
