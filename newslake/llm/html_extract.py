@@ -29,9 +29,12 @@ CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "
 FRAME_TAGS = frozenset("nav aside footer form menu search dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 # Words of class, id and role that announce the frame, and the article.
-FRAME_WORDS = frozenset("ad ads adv advert advertisement adverts advertising alert banner bar breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr hidden legal login masthead menu menubar message modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing shop sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar trending widget complementary contentinfo navigation".split())
+FRAME_WORDS = frozenset("ad ads adv advert advertisement adverts advertising alert banner bar breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr hidden legal login masthead menu menubar message modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related reply replies respond search share sharing shop sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar trending widget complementary contentinfo navigation "
+                        # the same in other languages
+                        "anzeige werbung reklame kommentar kommentare publicite reclame commentaire commentaires anuncio publicidad comentario comentarios response responses".split())
 # Of these, the words that also name what wraps a whole page or article; the others are never released.
-HARD_WORDS = frozenset("adv advert advertisement adverts advertising comment comments commentlist consent cookie cookies contentinfo copyright disclaimer discussion disqus feedback footer gdpr hidden login newsletter promo promoted promotion recommended related reply replies respond signup sponsor sponsored subscribe subscription teaser trending".split())
+HARD_WORDS = frozenset("adv advert advertisement adverts advertising comment comments commentlist consent cookie cookies contentinfo copyright disclaimer discussion disqus feedback footer gdpr hidden login newsletter promo promoted promotion recommended related reply replies respond signup sponsor sponsored subscribe subscription teaser trending "
+                       "anzeige werbung reklame kommentar kommentare publicite reclame commentaire commentaires anuncio publicidad comentario comentarios response responses".split())
 # After these a word names a state of the element and not the element: no-sidebar, has-nav.
 STATES = frozenset("no non has have with without".split())
 ARTICLE_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
@@ -304,6 +307,9 @@ ABOVE = [
     "<header><h1><a href=/>The Daily Paper</a></h1><p>News since 1950</p></header><div id=menu>Home News Sport</div>",
     "<p><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></p>",
     f"<div class=cookie-notice>We use cookies to make this site better for all readers.</div><aside><p>{_LONG}</p></aside>",
+    # Without names: links alone, in rows and with short texts between them, tell the frame.
+    "<div><a href=/a>Home</a></div><div><a href=/b>World news</a></div><div><a href=/c>Sport</a></div>",
+    "<table><tr><td><a href=/a>Start</a><td>Suche nach Themen<td><a href=/b>Nachrichten</a> | <a href=/c>Wetter</a></table>",
 ]
 MAIN = [
     f"<article data-main><h1>Bridge to be repaired</h1><p>{_LONG * 2}<p>It rained.<p>{_LONG}</p><ul><li>One point<li>Another point</ul><p><a href=/x>See the full plan here</a></p></article>",
@@ -315,6 +321,11 @@ MAIN = [
     "<article data-main><h1>Hm</h1><p>Brief.</p></article>",
     "<article data-main><p>Only.</p></article>",
     "<article data-main><ul><li><a href=/1>A list of links</a><li><a href=/2>is an article too</a></ul></article>",
+    # Without names: headings, short paragraphs and lists belong to the long paragraphs beside them.
+    f"<div data-main><h1>Big title</h1><p>{_LONG * 2}</p><p>Yes.</p><ul><li>One point</li><li>Another point</li></ul></div>",
+    f"<div data-main><h2>Kleine Nachricht</h2><p>{_LONG}</p><p>Ja.</p><p>{_LONG * 2}</p></div>",
+    f"<div data-main><h1>Un titre</h1><p>Par un lecteur</p><p>{_LONG * 2}</p><h3>Suite</h3><p>Non.</p></div>",
+    f"<div data-main><p>{_LONG}<a href=/x>with a link to another page</a>.</p><p>{_LONG}</p><p>Fin.</p></div>",
 ]
 BELOW = [
     "",
@@ -323,6 +334,9 @@ BELOW = [
     "<p><a href=/c>Contact</a> <a href=/i>Imprint</a></p><p>Copyright 2001</p>",
     "<div class=sidebar><h3>Most read</h3><ul><li><a href=/1>Storm hits coast</a></ul></div><div>Last change: May</div>",
     f"<form><p>Write to us with your name</p></form><div class=related><p>{_LONG}</p></div><div><a href=/z>Top of page</a></div>",
+    "<div><a href=/1>Storm hits the coast of the island and the old town again tonight say reporters</a></div><div><a href=/2>Mehr Meldungen</a></div><div>Copyright 2001</div>",
+    "<div><a href=/1>Contact</a> - <a href=/2>Imprint</a> - <a href=/3>Legal</a></div>",
+    "<div><a href=/1>Plus d'articles</a></div><div>Tous droits 2001</div><div><a href=/2>Haut de page</a></div>",
 ]
 # Wrappers with names of the frame, around the main blocks and around all.
 WRAPPER = ["<div class='layout no-sidebar'>", "<div class='right-sidebar container'>", "<div id=page class=has-nav><form id=search-page>"]

@@ -71,3 +71,29 @@ def test_content_of_math_object_and_button():
 def test_unclosed_elements_end_at_their_parent(tag):
     text = H.main_text(f"<article><p>One.</p><div><{tag}></div><p>{LONG}</p><p>Two <{tag}><p>{LONG}</article>", TREE)
     assert text.startswith("One.") and text.count(LONG) == 2
+
+
+def used(tree):
+    return set() if tree.feature < 0 else {H.FEATURES[tree.feature]} | used(tree.low) | used(tree.high)
+
+
+def test_tree_uses_density_and_a_neighbour():
+    names = used(TREE)
+    assert "density" in names and names & {"words before", "density before", "words after", "density after"}
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><h1>Big title</h1><p>{LONG}</p><p>Yes.</p><ul><li>One point</li></ul></div>", f"Big title\n\n{LONG}\n\nYes.\n\nOne point"),
+    (f"<div><a href=/>Start</a></div><div><a href=/n>Neues</a></div><div><h1>Titel</h1><p>{LONG}</p><p>Nein.</p></div><div><a href=/m>Mehr davon in einem langen Verweis auf andere Seiten</a></div>", f"Titel\n\n{LONG}\n\nNein."),
+    (f"<article><p>{LONG}</p></article><div class=responses><p>{LONG}</p></div><div class=werbung><p>{LONG}</p></div><div id=kommentare><p>{LONG}</p></div>", LONG),
+    (f"<p>{LONG}</p><p><a href=/1>{LONG}</a></p><p><a href=/2>Only a link</a></p>", LONG),
+])
+def test_pages_without_helpful_names(page, want):
+    assert H.main_text(page, TREE) == want
+
+
+def test_query_with_extra_columns(spark, tmp_dir):
+    from newslake.llm.queries import QUERIES
+    df = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "mine", 5)], "page_id long, url string, html string, text string, n_chars int")
+    df.write.parquet(f"{tmp_dir}/pages.parquet")
+    assert [tuple(r) for r in QUERIES["op7_html_extraction"](spark, tmp_dir).collect()] == [(1, "u", LONG, len(LONG))]
