@@ -167,7 +167,28 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(Scratch(spark, "lengths").save(token_counts.histogram(lengths)))
 
 
-@query()
+OP13_SQL = """
+WITH RECURSIVE k(i, step, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, step + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM k WHERE step < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM k WHERE step = 8),
+ids AS (SELECT doc_id, text, [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: unicode(x)::BIGINT) AS b FROM documents),
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM ids, tab),
+g AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+o AS (SELECT doc_id, n, a, 1 + (n - a) // (3 + g % 8) AS p, unnest(range(n)) AS i, unnest(w) AS w FROM g),
+x AS (SELECT o.doc_id, o.n, o.i, src.w FROM o JOIN o src ON src.doc_id = o.doc_id AND src.i = CASE WHEN o.a IS NULL OR o.i < o.a THEN o.i ELSE o.a + (o.i - o.a) % o.p END),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM x JOIN x y ON y.doc_id = x.doc_id AND y.w = x.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM m),
+st AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM isl GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM st GROUP BY doc_id, start, length),
+total AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS sha FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+kept AS (SELECT x.doc_id, string_agg(x.w, ' ' ORDER BY x.i) AS t FROM x
+         WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.period AND x.i < r.start + r.length) GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, coalesce(sha, sha256('')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN total USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(OP13_SQL)
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, one in ten with a periodic end, with its periodic runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
