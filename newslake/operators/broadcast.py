@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from newslake.operators.partitioning import plan_nodes
+
 # Registries (topics, models, voters of one request...) above these bounds
 # are joined by shuffle instead of broadcast.
 MAX_BROADCAST_ROWS = 200_000
@@ -22,9 +24,10 @@ def plan_size_bytes(df: DataFrame) -> int | None:
 
 def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     """True when ``df`` is known to be small: by the planner's size estimate
-    (no job), else by counting at most ``max_rows + 1`` rows."""
+    (no job), else by counting at most ``max_rows + 1`` rows. The estimate does
+    not know how many rows an ``explode`` makes of one; those are counted."""
     size = plan_size_bytes(df)
-    if size is not None and size <= max_bytes:
+    if size is not None and size <= max_bytes and not {"Generate", "Expand"} & (plan_nodes(df) or {"Generate"}):
         return True
     return df.limit(max_rows + 1).count() <= max_rows
 

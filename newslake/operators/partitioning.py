@@ -18,6 +18,22 @@ _SHUFFLING = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Subquery",
               "Union", "Distinct", "Deduplicate")
 
 
+def plan_nodes(df: DataFrame) -> set[str] | None:
+    """The names of the nodes of the optimised plan, and ``Subquery`` if an
+    expression holds one; None where the plan can't be read."""
+    try:
+        root = df._jdf.queryExecution().optimizedPlan()
+        names, stack = set(), [root]
+        while stack:
+            node = stack.pop()
+            names.add(node.nodeName())
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+        return names | ({"Subquery"} if root.subqueriesAll().size() else set())
+    except Exception:  # noqa: BLE001 - not a classic DataFrame
+        return None
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over ``min_partitions`` (default: the default
     parallelism) when it is a plain scan with fewer splits; otherwise return
@@ -29,11 +45,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle, and inspecting them would execute stages)."""
     if df.isStreaming:
         return df
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-    except Exception:  # noqa: BLE001 - not a classic DataFrame: leave it
-        return df
-    if any(node in plan for node in _SHUFFLING):
+    nodes = plan_nodes(df)
+    if nodes is None or any(n.startswith(_SHUFFLING) for n in nodes):
         return df
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism

@@ -202,7 +202,6 @@ def _letter_runs() -> str:
     return "[" + "".join(f"\\U{lo:08x}-\\U{hi - 1:08x}" for lo, hi in zip(edges[::2], edges[1::2])) + "]+"
 
 
-@lru_cache(maxsize=None)
 def _sentence_ranker(n: int):
     sentence_pattern, word_pattern = SENTENCE, _letter_runs()
     kind = ST.ArrayType(ST.StructType([ST.StructField("pos", ST.IntegerType()), ST.StructField("sentence", ST.StringType()), ST.StructField("rank", ST.IntegerType())]))

@@ -217,3 +217,16 @@ def test_top_k_per_beyond_the_group_limit(spark, monkeypatch):
     monkeypatch.setattr(windows, "GROUP_LIMIT", 10)
     got = windows.top_k_per(df, ["k"], F.col("v").desc(), 40, "rn").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 120
+
+
+def test_plans_are_read_by_their_nodes(spark, tmp_dir):
+    """Names of paths and columns don't count; rows of an explode are counted."""
+    from newslake.operators import broadcast as B
+    from newslake.operators.partitioning import plan_nodes, spread
+    spark.range(10).select(F.col("id").alias("JoinSortWindow")).coalesce(1).write.parquet(tmp_dir + "/Aggregate Union")
+    df = spark.read.parquet(tmp_dir + "/Aggregate Union")
+    assert not any(n.startswith(("Join", "Sort", "Window", "Aggregate", "Union")) for n in plan_nodes(df))
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "Subquery" in plan_nodes(df.filter(F.col("JoinSortWindow") > df.agg(F.min("JoinSortWindow")).scalar()))
+    wide = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("x"))
+    assert B.is_bounded(wide) and not B.is_bounded(wide, max_rows=4999) and B.is_bounded(spark.range(5000), max_rows=10)
