@@ -92,7 +92,7 @@ def resume_points(stream: DataFrame, key: str, id_col: str, arrival: str | None
 
 
 def store_sink(store, name: str, order: str = "o"):
-    """foreachBatch sink into a stored table: of each key the row with the highest
+    """M2, M5, M6: foreachBatch sink into a stored table: of each key the row with the highest
     order, stored or new. Only the folders that a batch names are rewritten, reads
     need no window over the batches, and a batch that is retried after its version
     was recorded changes nothing."""
