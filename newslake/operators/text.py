@@ -195,15 +195,16 @@ def _runs(sorted_array: Column, key, make) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _letter_runs() -> str:
-    """The pattern ``\\p{L}+`` for Python's ``re``, which has no such class."""
-    is_letter = [unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)] + [False]
-    edges = [c for c in range(len(is_letter)) if is_letter[c] != (c > 0 and is_letter[c - 1])]
-    return "[" + "".join(f"\\U{lo:08x}-\\U{hi - 1:08x}" for lo, hi in zip(edges[::2], edges[1::2])) + "]+"
+def _letter_runs() -> tuple[str, dict[int, str]]:
+    """The pattern ``\\p{L}+`` for Python's ``re``, which has no such class: word
+    characters without digits and the other numbers (Nl, No). Those beyond the
+    basic plane would make the class slow; they are a table for ``translate``."""
+    numbers = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
+    return r"[^\W\d_" + "".join(f"\\u{c:04x}" for c in numbers if c < 0x10000) + "]+", {c: " " for c in numbers if c > 0xFFFF}
 
 
 def _sentence_ranker(n: int):
-    sentence_pattern, word_pattern = SENTENCE, _letter_runs()
+    sentence_pattern, (word_pattern, beyond) = SENTENCE, _letter_runs()
     kind = ST.ArrayType(ST.StructType([ST.StructField("pos", ST.IntegerType()), ST.StructField("sentence", ST.StringType()), ST.StructField("rank", ST.IntegerType())]))
 
     @F.pandas_udf(kind)
@@ -216,7 +217,8 @@ def _sentence_ranker(n: int):
                 out.append(None)
                 continue
             found = [s for s in (x.strip(" ") for x in sentence.findall(text)) if s]
-            tokens = [word.findall(s.lower()) for s in found]
+            plain = text.isascii() or max(text) <= "\uffff"
+            tokens = [word.findall(s.lower() if plain else s.lower().translate(beyond)) for s in found]
             counts = Counter(w for t in tokens for w in t)
             best = sorted((-sum(counts[w] for w in t) / len(t), i) for i, t in enumerate(tokens) if t)[:n]
             place = {i: r for r, (_, i) in enumerate(best)}
@@ -240,7 +242,8 @@ def best_sentence(best: Column) -> Column:
 def summarize(df: DataFrame, key: str, text: str = "text", n: int = 3) -> DataFrame:
     """Extractive summary -- the ``n`` best sentences of each text, in text
     order and joined by a space. A narrow step: no shuffle."""
-    best = spread(df).select(key, best_sentences(F.col(text), n).alias("__b")).filter(F.size("__b") > 0)
+    # A text with a letter has a sentence; a filter on the ranking would run it twice.
+    best = spread(df).filter(F.col(text).rlike(r"\p{L}")).select(key, best_sentences(F.col(text), n).alias("__b"))
     return best.select(key, F.array_join(F.transform("__b", lambda x: x["sentence"]), " ").alias("summary"))
 
 

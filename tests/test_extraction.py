@@ -124,3 +124,15 @@ def test_ranked_sentences(spark):
     assert [(x["pos"], x["sentence"], x["rank"]) for x in best] == [(0, "Cats sleep.", 0), (2, "Cats and dogs and cats!", 1)] or [x["rank"] for x in best] == [1, 0]
     df = spark.createDataFrame([(None,), ("",), ("...",), ("1 2. 3",)], "t string")
     assert [r[0] for r in df.select(F.size(F.coalesce(X.best_sentences("t"), F.array().cast("array<struct<pos:int,sentence:string,rank:int>>")))).collect()] == [0, 0, 0, 0]
+
+
+def test_letter_runs_are_those_of_the_engine(spark):
+    """Every character that is a letter, or a number of another kind, among letters."""
+    import re
+    import sys
+    import unicodedata
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Nl", "No", "Mn", "Pc") and (c < 0x3000 or c % 97 == 0 or unicodedata.category(chr(c))[0] == "N")]
+    pattern, beyond = X._letter_runs()
+    word = re.compile(pattern)
+    for c in chars:
+        assert bool(word.fullmatch(c.translate(beyond))) == (unicodedata.category(c)[0] == "L"), hex(ord(c))
