@@ -114,3 +114,16 @@ def test_empty_store(spark, docs, tmp_dir):
     PO.write_index(docs.limit(0), tmp_dir + "/i", FIELDS)
     ix = PO.read_index(spark, tmp_dir + "/i")
     assert PO.search(docs.limit(0), ix, "apple").count() == 0 and PO.search(docs.limit(0), ix, "-apple").count() == 0
+
+
+def test_postings_are_stored_by_block(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(PO, "BLOCK_BYTES", 64)  # several blocks in a task
+    many = spark.range(200, numPartitions=2).select("id", F.when(F.col("id") % 3 > 0, "Same title").alias("title"), F.concat(F.lit(" same "), F.col("id").cast("string"), F.lit(" same")).alias("text"))
+    PO.write_index(many, tmp_dir + "/i", FIELDS, buckets=2)
+    ix = PO.read_index(spark, tmp_dir + "/i")
+    rows = ix.blocks.filter("term = 'same'").collect()
+    assert 2 < len(rows) < 200 and sum(r["df"] for r in rows) == 200 and sum(r["n"] for r in rows) == 533
+    got = {r["id"]: (r["tf"], r["dl"], r["pos"]) for r in ix.postings.filter("term = 'same'").collect()}
+    assert got == {i: (3, 5, [0, PO.FIELD, PO.FIELD + 2]) if i % 3 else (2, 3, [PO.FIELD, PO.FIELD + 2]) for i in range(200)}
+    assert ix.totals.first()["avgdl"] == (133 * 5 + 67 * 3) / 200
+    assert PO.search(many, ix, 'text:"same 7"').count() == 1 and PO.search(many, ix, "title:same").count() == 133
