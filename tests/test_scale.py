@@ -50,3 +50,17 @@ def test_batches_of_a_stream_do_not_grow_with_its_files(spark, tmp_dir):
     S.run_available(stream, tmp_dir + "/out", tmp_dir + "/ckpt", output_mode="append")
     out = S.read_batches(spark, tmp_dir + "/out")
     assert sorted((r["batch_id"], r["arrival"], r["count"]) for r in out.groupBy("batch_id", "arrival").count().collect()) == [(i, i, 200) for i in range(4)]
+
+
+def test_top_words_are_counted_in_batches(spark):
+    from newslake.operators import text as X
+    rows = [(1, "Zoo zoo ant; ANT the the the of été l'Été x2yy 日本語 日本語 äbc"), (2, ""), (3, None), (4, "the of 12"), (5, " bee bee bee cat dog cat dog eel")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    tops = df.select("id", X.top_words("text", k=4).alias("w"))
+    assert "ArrowEvalPython" in plan(tops)
+    got = {r["id"]: r["w"] and [(x["n"], x["token"]) for x in r["w"]] for r in tops.collect()}
+    assert got == {1: [(2, "ant"), (2, "zoo"), (2, "été"), (2, "日本語")], 2: None, 3: None, 4: None, 5: [(3, "bee"), (2, "cat"), (2, "dog"), (1, "eel")]}
+    slow = X.most_frequent(F.filter(X.words("text"), lambda w: (F.length(w) >= 3) & ~w.isin(X.STOP_WORDS)), 10)
+    assert df.filter(~slow.eqNullSafe(X.top_words("text"))).count() == 0
+    assert {(r["id"], r["token"], r["rank"]) for r in X.keywords(df, "id", k=1).collect()} == {(1, "ant", 1), (5, "bee", 1)}
+    assert {r["id"]: r["tags"] for r in X.keyword_tags(df, "id", k=1).collect()} == {1: ["ant"], 5: ["bee"]}
